@@ -103,15 +103,16 @@ def fingerprints_of(column: pa.Array, shingle: int) -> np.ndarray:
     return majority(xxh64_spans(data, starts[at], ends[last]), count)
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """(doc_id, fp long) for every row of docs(doc_id, text). A null or wordless text has fingerprint zero."""
+def fingerprints(docs: DataFrame, shingle: int = 3, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """(keys, fp long) for every row of docs. A null or wordless text has fingerprint zero."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, most=1 << 20):
-            fp = fingerprints_of(batch.column(1), shingle).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], ["doc_id", "fp"])
+            fp = fingerprints_of(batch.column(len(keys)), shingle).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], pa.array(fp)], [*keys, "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    read = docs.select(*keys, "text")
+    return read.mapInArrow(run, ", ".join(f"{k} {read.schema[k].dataType.simpleString()}" for k in keys) + ", fp long")
 
 
 def _signed(x: int) -> int:
@@ -145,18 +146,27 @@ def links(prints: DataFrame) -> DataFrame:
     return met.select(F.col("fp").alias("b"), F.coalesce(near, self).alias("a")).where("a is not null and a <> b").where(f"bit_count(a ^ b) <= {RADIUS}").distinct()
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """(doc_id, fp, component_id): component_id is the smallest doc_id reachable over links of at most three bits.
+def near_duplicates(docs: DataFrame, shingle: int = 3, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """(keys, fp, component_id): component_id is the smallest doc_id (or struct of keys) reachable over links of at most three bits.
 
     Every row of docs gives one row, repeated ids and null ids included (a null id never is the smallest).
-    Only docs' doc_id and text are read. An empty table gives an empty one.
+    Only the keys and text are read. An empty table gives an empty one.
     """
-    each = settle(fingerprints(docs, shingle))
-    prints = each.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    each = settle(fingerprints(docs, shingle, keys))
+    prints = each.groupBy("fp").agg(F.min(keys[0] if len(keys) == 1 else F.struct(*keys)).alias("least"))
     parts = connected_components(links(prints.select("fp")))
     label = prints.join(parts, prints.fp == parts.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("label"))
     named = label.join(label.groupBy("label").agg(F.min("least").alias("component_id")), "label").select("fp", "component_id")
-    return each.join(named, "fp").select("doc_id", "fp", "component_id")
+    return each.join(named, "fp").select(*keys, "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, shingle: int = 5) -> DataFrame:
+    """The rows of docs, with their columns, of which each is the smallest (doc_id, text hash) of its near-duplicates; one of equal rows."""
+    own = docs.columns
+    keyed = docs.select(F.struct(*own).alias("_row"), F.coalesce("doc_id", F.lit(-(1 << 63))).alias("key_id"), F.xxhash64("text").alias("key_text"), "text")
+    found = near_duplicates(keyed, shingle, ("key_id", "key_text"))
+    kept = found.select("component_id.key_id", "component_id.key_text").distinct()
+    return keyed.join(kept, ["key_id", "key_text"], "left_semi").dropDuplicates(["key_id", "key_text"]).select("_row.*")
 
 
 def hexed(fp: str = "fp") -> F.Column:
