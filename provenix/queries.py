@@ -1,14 +1,758 @@
-"""Registered queries and the SQL that gives the same rows."""
+"""Registered queries, one or more for each group of operators, and the SQL that gives the same rows."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from provenix.functions import intervals
+from provenix.operators import attest, chain, coverage, ingest, population, qualify, reconcile, validate
+from provenix.plans import verify
+from provenix.sources import ledger
+from provenix.sources.evidence import oracle, view
+from provenix.streaming import evidence as streaming
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+WINDOW = ["tenant_id", "window_ref"]
+STREAM = chain.STREAM
+
+
+def query(sql: str | None = None, *views: str):
+    """Registers a function of (view reader) under its name, with SQL over the named views."""
+
+    def add(f):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return f(lambda name: view(spark, sf_dir, name))
+
+        run.__name__, run.__doc__ = f.__name__, f.__doc__
+        QUERIES[f.__name__] = run
+        if sql:
+            ORACLES[f.__name__] = oracle(sql, *views)
+        return run
+
+    return add
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy("o_orderstatus").count()
+    """For each tenant and month: how many destination records match our evidence, and how many have none."""
+    return QUERIES["o66_status_counts"](spark, sf_dir)
+
+
+def results_of(v) -> DataFrame:
+    return reconcile.classify(v("population_items"), v("receipts"), v("confirmations"), v("proposals"))
+
+
+# The classification in SQL, from counts by correlated grouping; shared by the statements below.
+RESULTS = """with sr as (select r.*, i.population_ref from receipts r join population_items i using (tenant_id, boundary_ref, destination_record_id)),
+sc as (select c.*, i.population_ref, i.destination_system own from confirmations c join population_items i using (tenant_id, boundary_ref, destination_record_id)),
+rf as (select population_ref, destination_record_id, count(*) nr, min(action_id) ra from sr group by all),
+cf as (select population_ref, destination_record_id, count(*) nc, min(action_id) ca, min(record_id) cr, min(destination_record_digest) content, bool_or(destination_system <> own) other from sc group by all),
+pa as (select tenant_id, action_id, count(*) np, min(action_family) lo, max(action_family) hi from proposals group by all),
+sp as (select population_ref, action_id from sr group by all having count(distinct destination_record_id) > 1),
+li as (select distinct tenant_id, population_ref, destination_record_id, action_id from (select tenant_id, population_ref, destination_record_id, action_id from sr union all select tenant_id, population_ref, destination_record_id, action_id from sc)),
+lf as (select l.population_ref, l.destination_record_id, bool_or(p.lo <> 'order.create' or p.hi <> 'order.create') fam, max(p.np) mp, bool_or(s.action_id is not null) spans
+       from li l left join pa p on p.tenant_id = l.tenant_id and p.action_id = l.action_id left join sp s on s.population_ref = l.population_ref and s.action_id = l.action_id group by all),
+du as (select population_ref, content, count(*) nt from cf where nc = 1 and not other group by all having count(*) > 1),
+results as (select i.tenant_id, i.boundary_ref, i.population_ref, i.destination_record_id,
+  case when coalesce(cf.other, false) or coalesce(lf.fam, false) then 'out_of_scope'
+       when coalesce(nr, 0) > 1 or coalesce(nc, 0) > 1 or coalesce(mp, 0) > 1 or coalesce(spans, false) then 'ambiguous'
+       when nc = 1 and du.nt is not null then 'duplicate'
+       when nr = 1 and nc = 1 and ra = ca and own.np = 1 and own.lo = 'order.create' then 'matched'
+       when coalesce(nr, 0) > 0 then 'unmatched_with_evidence' else 'unmatched_without_evidence' end status, nr, ra, cr
+  from population_items i left join rf using (population_ref, destination_record_id) left join cf using (population_ref, destination_record_id) left join lf using (population_ref, destination_record_id)
+  left join du on du.population_ref = i.population_ref and du.content = cf.content and cf.nc = 1 and not cf.other left join pa own on own.tenant_id = i.tenant_id and own.action_id = rf.ra)
+"""
+R_VIEWS = ("receipts", "confirmations", "proposals")
+COUNTS = ", ".join(f"count(*) filter (where status = '{s}') {s}" for s in reconcile.STATUSES) + ", count(*) n"
+
+
+@query(RESULTS + "select tenant_id, boundary_ref, population_ref, destination_record_id, status, case when nr = 1 and status <> 'ambiguous' then ra end action_id, case when status in ('duplicate', 'matched') then cr end confirmation_record_id from results", *R_VIEWS)
+def o64_reconcile(v):
+    return results_of(v)
+
+
+@query(RESULTS + "select population_ref, destination_record_id, nr n_receipts, ra receipt_action from results where nr > 0", *R_VIEWS)
+def o60_receipt_index(v):
+    return reconcile.receipt_facts(v("population_items"), v("receipts")).select("population_ref", "destination_record_id", "n_receipts", "receipt_action")
+
+
+@query(RESULTS + "select population_ref, destination_record_id, action_id, p.np n_proposals from li left join pa p using (tenant_id, action_id)", *R_VIEWS)
+def o61_linked_proposals(v):
+    items, key = v("population_items"), [*reconcile.SCOPE, "destination_record_id"]
+    own = items.select(*reconcile.ITEM)
+    links = v("receipts").join(own, key).select(*reconcile.ITEM, "action_id").unionByName(v("confirmations").join(own, key).select(*reconcile.ITEM, "action_id")).distinct()
+    n = v("proposals").groupBy(*reconcile.SCOPE, "action_id").agg(F.count(F.lit(1)).alias("n_proposals"))
+    return links.join(n, [*reconcile.SCOPE, "action_id"], "left").select("population_ref", "destination_record_id", "action_id", "n_proposals")
+
+
+@query(RESULTS + "select population_ref, action_id, count(distinct destination_record_id) n_records from sr group by all having count(distinct destination_record_id) > 1", *R_VIEWS)
+def o62_spanning_actions(v):
+    return reconcile.spanning_actions(v("population_items"), v("receipts")).select("population_ref", "action_id", "n_records")
+
+
+@query(RESULTS + "select cf.population_ref, destination_record_id, content, nt n_twins from cf join du on du.population_ref = cf.population_ref and du.content = cf.content where nc = 1 and not other".replace("content, nt", "cf.content, nt"), *R_VIEWS)
+def o63_duplicate_records(v):
+    return reconcile.duplicate_records(v("population_items"), v("confirmations")).select("population_ref", "destination_record_id", "content", "n_twins")
+
+
+@query(RESULTS + "select population_ref, signed_count, coalesce(n, 0) n_results, signed_count = coalesce(n, 0) conserved from populations left join (select population_ref, count(*) n from results group by 1) using (population_ref)", *R_VIEWS, "populations")
+def o65_conservation(v):
+    return reconcile.conservation(results_of(v), v("populations")).select("population_ref", "signed_count", "n_results", "conserved")
+
+
+@query(RESULTS + f"select tenant_id, population_ref, {COUNTS} from results group by tenant_id, population_ref", *R_VIEWS)
+def o66_status_counts(v):
+    return reconcile.counts(results_of(v), "tenant_id", "population_ref")
+
+
+@query(RESULTS + f"select tenant_id, boundary_ref, population_ref, {COUNTS} from results group by rollup (tenant_id, boundary_ref, population_ref)", *R_VIEWS)
+def o66_roll_up(v):
+    return reconcile.roll_up(results_of(v))
+
+
+@query(RESULTS + "select population_ref, destination_record_id, case when substr(destination_record_id, -1) = '3' then 'changed' else status end status, 'stored' side from results where substr(destination_record_id, -1) = '3' union all select population_ref, destination_record_id, status, 'rebuilt' from results where substr(destination_record_id, -1) = '3'", *R_VIEWS)
+def o67_replay_difference(v):
+    rebuilt = results_of(v).select("population_ref", "destination_record_id", "status")
+    stored = rebuilt.withColumn("status", F.when(F.col("destination_record_id").endswith("3"), "changed").otherwise(F.col("status")))
+    return reconcile.replay_difference(stored, rebuilt)
+
+
+@query(RESULTS + """, c as (select tenant_id, population_ref, 10000 * count(*) filter (where status like 'unmatched%') // count(*) rate from results group by all)
+select population_ref, rate, cast(floor(sum(rate) over w / nullif(count(*) over w, 0)) as bigint) trailing_rate from c join populations using (tenant_id, population_ref)
+window w as (partition by tenant_id order by window_start, population_ref rows between 6 preceding and 1 preceding)""", *R_VIEWS, "populations")
+def o68_unmatched_rate(v):
+    return reconcile.unmatched_rate(results_of(v), v("populations")).select("population_ref", "rate", "trailing_rate")
+
+
+MERGED = """with o as (select *, max(gap_end) over (partition by tenant_id, window_ref order by gap_start, gap_end rows between unbounded preceding and 1 preceding) reach from gaps),
+i as (select *, sum(case when reach is null or gap_start > reach then 1 else 0 end) over (partition by tenant_id, window_ref order by gap_start, gap_end rows unbounded preceding) k from o),
+merged as (select tenant_id, window_ref, min(gap_start) gap_start, max(gap_end) gap_end, count(*) n_merged from i group by tenant_id, window_ref, k)
+"""
+COVERED = MERGED + """, edge as (select tenant_id, window_ref, gap_start s, gap_end e from merged union all select tenant_id, window_ref, window_start, window_start from windows union all select tenant_id, window_ref, window_end, window_end from windows),
+covered as (select * from (select tenant_id, window_ref, lag(e) over (partition by tenant_id, window_ref order by s, e) covered_start, s covered_end from edge) where covered_start < covered_end)
+"""
+
+
+@query(MERGED + "select * from merged", "gaps")
+def o93_gap_merge(v):
+    return intervals.merge(v("gaps"), WINDOW)
+
+
+@query(COVERED + "select * from covered", "gaps", "windows")
+def o94_covered(v):
+    return intervals.complement(v("windows"), intervals.merge(v("gaps"), WINDOW), WINDOW)
+
+
+@query(COVERED + """select tenant_id, window_ref, coalesce(g, 0) gap_us, coalesce(c, 0) covered_us, 86400000000 window_us, coalesce(g, 0) + coalesce(c, 0) = 86400000000 tiled from windows
+left join (select tenant_id, window_ref, cast(sum(epoch_us(gap_end) - epoch_us(gap_start)) as bigint) g from merged group by all) using (tenant_id, window_ref)
+left join (select tenant_id, window_ref, cast(sum(epoch_us(covered_end) - epoch_us(covered_start)) as bigint) c from covered group by all) using (tenant_id, window_ref)""", "gaps", "windows")
+def o95_partition_audit(v):
+    merged = intervals.merge(v("gaps"), WINDOW)
+    return intervals.partition_audit(v("windows"), merged, intervals.complement(v("windows"), merged, WINDOW), WINDOW)
+
+
+@query("""with w as (select tenant_id, window_ref, window_start + interval '6' hour a, window_end - interval '6' hour b from windows)
+select gap_id, greatest(gap_start, a) >= least(gap_end, b) outside, case when greatest(gap_start, a) < least(gap_end, b) then greatest(gap_start, a) end clip_start,
+case when greatest(gap_start, a) < least(gap_end, b) then least(gap_end, b) end clip_end from gaps join w using (tenant_id, window_ref)""", "gaps", "windows")
+def o96_gap_clip(v):
+    core = v("windows").withColumns({"window_start": F.expr("window_start + interval 6 hours"), "window_end": F.expr("window_end - interval 6 hours")})
+    return intervals.clip(v("gaps"), core, WINDOW).select("gap_id", "outside", "clip_start", "clip_end")
+
+
+@query(MERGED + """select tenant_id, window_ref, action_id, case when is_matched and not is_skewed then 'reconciled' else 'unknown' end classification from occurrences o
+where is_skewed or exists (select 1 from merged m where m.tenant_id = o.tenant_id and m.window_ref = o.window_ref and occurred_at >= gap_start and occurred_at < gap_end)""", "gaps", "occurrences")
+def o97_actions_in_gaps(v):
+    return coverage.gap_actions(v("occurrences"), v("gaps"), WINDOW)
+
+
+@query("""select g.tenant_id, g.window_ref, gap_id, count(action_id) n_located from gaps g left join occurrences o on g.tenant_id = o.tenant_id and g.window_ref = o.window_ref and occurred_at >= gap_start and occurred_at < gap_end group by all""", "gaps", "occurrences")
+def o98_located_counts(v):
+    return coverage.located_counts(v("occurrences"), v("gaps"), WINDOW)
+
+
+@query("select gap_id, case when gap_end <= gap_start then 'empty_interval' else 'outside_window' end reason from (select gap_id, gap_start, case when gap_id % 5 = 0 then gap_start when gap_id % 7 = 0 then gap_end + interval '1' day else gap_end end gap_end, window_end from gaps) where gap_end <= gap_start or gap_end > window_end", "gaps")
+def o93_refused_gaps(v):
+    bad = v("gaps").withColumn("gap_end", F.when(F.col("gap_id") % 5 == 0, F.col("gap_start")).when(F.col("gap_id") % 7 == 0, F.expr("gap_end + interval 1 day")).otherwise(F.col("gap_end")))
+    return intervals.refused(bad, v("gaps").select(*WINDOW, "window_start", "window_end").distinct(), WINDOW).select("gap_id", "reason")
+
+
+CLEAN = """with kept as (select * from qualifications a where not exists (select 1 from qualifications b where b.tenant_id = a.tenant_id and b.qualification_ref <> a.qualification_ref and a.assigned_class < b.assigned_class and b.qualified_at >= a.qualified_at and b.recorded_at < a.recorded_at)),
+force as (select p.tenant_id, p.population_ref window_ref, window_start, window_end,
+  (select arg_max(assigned_class, (qualified_at, qualification_ref)) from kept k where k.tenant_id = p.tenant_id and k.qualified_at < p.window_start) gov,
+  (select arg_max(qualification_ref, (qualified_at, qualification_ref)) from kept k where k.tenant_id = p.tenant_id and k.qualified_at < p.window_start) ref,
+  (select arg_max(enumeration_capable, (qualified_at, qualification_ref)) from kept k where k.tenant_id = p.tenant_id and k.qualified_at < p.window_start) enu,
+  (select max(assigned_class) from kept k where k.tenant_id = p.tenant_id and k.qualified_at >= p.window_start and k.qualified_at < p.window_end) mid,
+  (select bool_and(enumeration_capable) from qualifications k where k.tenant_id = p.tenant_id and k.qualified_at >= p.window_start and k.qualified_at < p.window_end) mide from populations p),
+classes as (select tenant_id, window_ref, window_start, window_end, ref governing_ref, case when gov is not null then greatest(gov, mid) end class_in_force, enu and coalesce(mide, true) enumeration_capable from force)
+"""
+Q_VIEWS = ("qualifications", "populations")
+
+
+def windows_of(v, *more: str) -> DataFrame:
+    return v("populations").select("tenant_id", "action_family", "destination_system", F.col("population_ref").alias("window_ref"), "window_start", "window_end", *more)
+
+
+def claims_of(v) -> DataFrame:
+    return v("attestations").select("tenant_id", F.lit("order.create").alias("action_family"), F.lit("erp").alias("destination_system"), F.col("population_ref").alias("window_ref"), "window_start", "window_end", "claimed_class")
+
+
+@query(CLEAN + "select qualification_ref, tenant_id, assigned_class from kept", *Q_VIEWS)
+def o70_without_backdated_upgrades(v):
+    return qualify.without_backdated_upgrades(v("qualifications")).select("qualification_ref", "tenant_id", "assigned_class")
+
+
+@query(CLEAN + "select tenant_id, window_ref, governing_ref, class_in_force, enumeration_capable, case when class_in_force in ('c1', 'c2') then 'reconciled' when class_in_force = 'c3' then 'enforced' when class_in_force is not null then 'observed' end admissible_level, class_in_force in ('c1', 'c2', 'c3') emits_ratio from classes", *Q_VIEWS)
+def o71_class_in_force(v):
+    return qualify.in_force(windows_of(v), v("qualifications")).select("tenant_id", "window_ref", "governing_ref", "class_in_force", "enumeration_capable", "admissible_level", "emits_ratio")
+
+
+@query(CLEAN + """select c.window_ref, c.tenant_id, claimed_class, class_in_force, case when class_in_force is null then 'unqualified window' when claimed_class >= class_in_force then 'ok'
+when (select min(qualified_at) from kept k where k.tenant_id = c.tenant_id and k.assigned_class <= claimed_class) >= c.window_start then 'qualification postdates window' else 'not qualified' end verdict
+from classes c join attestations a on a.population_ref = c.window_ref""", *Q_VIEWS, "attestations")
+def o74_class_claimability(v):
+    return qualify.claimability(claims_of(v), v("qualifications"))
+
+
+@query("""select population_ref window_ref, claimed_class, count(q.qualification_ref) n_entitling, count(q.qualification_ref) > 0 entitled from attestations a left join qualifications q
+on q.tenant_id = a.tenant_id and q.assigned_class = a.claimed_class and q.qualified_at < a.window_start group by all""", "qualifications", "attestations")
+def o77_entitling_record(v):
+    return qualify.entitled(claims_of(v), v("qualifications"))
+
+
+@query("""select qualification_ref, tenant_id from qualifications a where cast(substr(qualification_ref, 2) as int) % 3 = 0 and exists (select 1 from qualifications b where cast(substr(b.qualification_ref, 2) as int) % 3 <> 0
+and b.tenant_id = a.tenant_id and a.assigned_class < b.assigned_class and a.qualified_at <= b.qualified_at)""", "qualifications")
+def o78_refused_upgrades(v):
+    third = F.substring("qualification_ref", 2, 9).cast("int") % 3 == 0
+    q = v("qualifications")
+    return qualify.refused_upgrades(q.where(third), q.where(~third)).select("qualification_ref", "tenant_id")
+
+
+@query("select qualification_ref, tenant_id, qualified_at + cast(regexp_extract(cadence, 'P(\\d+)M', 1) as int) * interval '1' month revalidate_after, timestamp '2000-01-01' >= qualified_at + cast(regexp_extract(cadence, 'P(\\d+)M', 1) as int) * interval '1' month overdue from qualifications", "qualifications")
+def o79_revalidation(v):
+    return qualify.revalidation(v("qualifications"), "2000-01-01 00:00:00")
+
+
+@query("""select * from (select qualification_ref, concat_ws(',', case when identity_isolation_attribute is null and assigned_class <> 'c5' then 'no_isolation_requires_c5' end, case when identity_vendor_settable and identity_isolation_attribute is null then 'settable_without_attribute' end,
+case when assigned_class in ('c1', 'c2') and (identity_isolation_attribute is null or identity_vendor_settable) then 'c1_c2_require_unsettable_isolation' end, case when assigned_class in ('c1', 'c2', 'c3') and not enumeration_capable then 'c1_to_c3_require_enumeration' end,
+case when deletion_traceless_possible and assigned_class in ('c1', 'c2') then 'traceless_deletion_caps_at_c3' end) codes from qualifications) where codes <> ''""", "qualifications")
+def o21_qualification_constraints(v):
+    return qualify.constraint_audit(v("qualifications")).select("qualification_ref", F.array_join("codes", ",").alias("codes"))
+
+
+@query("""select boundary_ref, families, n_families, lead(boundary_ref) over (partition by tenant_id, name order by version, boundary_ref) superseded_by from boundaries
+left join (select boundary_ref, string_agg(distinct action_family, ',' order by action_family) families, count(*) n_families from boundary_families group by 1) using (boundary_ref)""", "boundaries", "boundary_families")
+def o80_boundary_history(v):
+    return attest.boundary_history(v("boundaries"), v("boundary_families")).select("boundary_ref", "families", "n_families", "superseded_by")
+
+
+EFFECTIVE = """with x as (select *, greatest(window_start, recorded_at) st, lead(greatest(window_start, recorded_at)) over w nx, recording_time_attested and coalesce(lead(recording_time_attested) over w, true) ok from boundaries window w as (partition by tenant_id, name order by version, boundary_ref)),
+eff as (select tenant_id, boundary_ref, window_start, window_end, case when ok then st end effective_start, case when ok then least(window_end, nx) end effective_end, case when ok then least(window_end, nx) <= st end empty from x)
+"""
+
+
+@query(EFFECTIVE + "select boundary_ref, effective_start, effective_end, empty from eff", "boundaries")
+def o81_effective_interval(v):
+    return attest.effective(v("boundaries")).select("boundary_ref", "effective_start", "effective_end", "empty")
+
+
+@query(EFFECTIVE + """select boundary_ref, 'whole' part, window_start uncovered_start, window_end uncovered_end from eff where effective_start is null or empty
+union all select boundary_ref, 'head', window_start, effective_start from eff where not empty and effective_start > window_start union all select boundary_ref, 'tail', effective_end, window_end from eff where not empty and effective_end < window_end""", "boundaries")
+def o82_uncovered_parts(v):
+    return attest.uncovered(attest.effective(v("boundaries"))).drop("tenant_id")
+
+
+@query("""with p as (select boundary_ref, lag(boundary_ref) over (partition by tenant_id, name order by version, boundary_ref) prev from boundaries)
+select boundary_ref, coalesce((select string_agg(action_family, ',' order by action_family) from boundary_families f where f.boundary_ref = p.boundary_ref and action_family not in (select action_family from boundary_families g where g.boundary_ref = p.prev)), '') added,
+coalesce((select string_agg(action_family, ',' order by action_family) from boundary_families f where f.boundary_ref = p.prev and action_family not in (select action_family from boundary_families g where g.boundary_ref = p.boundary_ref)), '') dropped from p where prev is not null""", "boundaries", "boundary_families")
+def o83_scope_changes(v):
+    return attest.scope_changes(v("boundaries"), v("boundary_families")).drop("tenant_id")
+
+
+@query("select boundary_ref, action_family, count(*) n_actions from proposals where action_family <> 'order.create' group by all", "proposals")
+def o84_undeclared_families(v):
+    declared = v("populations").select("tenant_id", "boundary_ref", "action_family").distinct()
+    return attest.undeclared(v("proposals"), declared).drop("tenant_id")
+
+
+FACTS = RESULTS + """, ir as (select tenant_id, boundary_ref, destination_record_id, action_id, max(responded_at) it, max((cast(substr(destination_record_id, 2) as bigint) % 17 - 8) * 1000) sk from receipts group by all),
+facts as (select r.tenant_id, r.population_ref, r.destination_record_id, r.status, case when r.status = 'matched' then 'reconciled' when r.status in ('unmatched_with_evidence', 'duplicate') and it is not null then 'observed' end support,
+ case when r.status = 'matched' then c.authoritative_time when r.status in ('unmatched_with_evidence', 'duplicate') then it end occurred_at, r.status in ('unmatched_with_evidence', 'duplicate') and it is not null and abs(sk) > 5000 skewed
+ from results r left join confirmations c on r.status in ('duplicate', 'matched') and c.record_id = r.cr and c.tenant_id = r.tenant_id
+ left join ir on r.nr = 1 and r.status <> 'ambiguous' and ir.tenant_id = r.tenant_id and ir.destination_record_id = r.destination_record_id and ir.action_id = r.ra)
+"""
+
+
+def facts_of(v, results: DataFrame) -> DataFrame:
+    skew = (F.substring("destination_record_id", 2, 20).cast("long") % 17 - 8) * 1000
+    return coverage.support(results, v("confirmations"), v("receipts").withColumn("ingest_time", F.col("responded_at")).withColumn("clock_skew_ms", skew))
+
+
+@query(FACTS + "select population_ref, destination_record_id, status, support, occurred_at, skewed from facts", *R_VIEWS)
+def o91_support_and_occurrence(v):
+    return facts_of(v, results_of(v)).select("population_ref", "destination_record_id", "status", "support", "occurred_at", "skewed")
+
+
+def gaps_by_population(v) -> DataFrame:
+    day = F.expr("window_start + interval 3 days")
+    return v("populations").where("signed_count % 2 = 0").select("tenant_id", "boundary_ref", "population_ref", day.alias("gap_start"), F.expr("window_start + interval 6 days").alias("gap_end"))
+
+
+def report_of(v) -> DataFrame:
+    results = results_of(v)
+    return coverage.report(results, facts_of(v, results), v("populations"), qualify.in_force(windows_of(v), v("qualifications")), gaps_by_population(v))
+
+
+REPORT = FACTS + ", " + CLEAN[5:] + """, pg as (select population_ref, window_start + interval '3' day gs, window_start + interval '6' day ge from populations where signed_count % 2 = 0),
+rk as (select *, case support when 'observed' then 1 when 'enforced' then 2 when 'reconciled' then 3 end sr from facts),
+hd as (select p.*, class_in_force, enumeration_capable, coalesce((select max(sr) from rk where rk.population_ref = p.population_ref), 1) er,
+ case when class_in_force in ('c1', 'c2') then 3 when class_in_force = 'c3' then 2 when class_in_force is not null then 1 end ar from populations p left join classes c on c.window_ref = p.population_ref),
+f2 as (select rk.*, least(er, ar) cl, hd.result_cap_hit, occurred_at >= window_start and occurred_at < window_end iw, gs is not null ag, skewed or coalesce(occurred_at >= window_start and occurred_at < window_end and occurred_at >= gs and occurred_at < ge, false) ig
+ from rk join hd using (population_ref) left join pg using (population_ref)),
+f3 as (select *, ig and status = 'matched' and support = 'reconciled' and not skewed rg from f2),
+t as (select population_ref, count(*) filter (where support is not null and not skewed and coalesce(iw, true) and status not in ('unmatched_without_evidence', 'out_of_scope') and not (ig and not rg) and not (ig and cl <> 3) and not (ag and occurred_at is null) and sr >= cl) num,
+ count(*) filter (where ig) aig, count(*) filter (where rg) rig, count(*) filter (where status = 'matched') matched, count(*) filter (where status = 'out_of_scope') oos from f3 group by 1),
+z as (select hd.*, num, aig, rig, matched, oos, case when not coalesce(class_in_force in ('c1', 'c2', 'c3'), false) then 'denominator_class_withholds_ratio' when result_cap_hit or not pagination_complete then 'truncated_population'
+ when not coalesce(enumeration_capable, false) then 'population_not_enumerable' when signed_count - oos <= 0 then 'denominator_empty_after_exclusions' else 'available' end st from hd join t using (population_ref))
+select population_ref, class_in_force, ['observed', 'enforced', 'reconciled'][er] evidence_level, ['observed', 'enforced', 'reconciled'][least(er, ar)] claimed_level, st ratio_state, num numerator, signed_count,
+ case when st = 'available' then concat(cast(num * 10000 // (signed_count - oos) // 10000 as string), '.', lpad(cast(num * 10000 // (signed_count - oos) % 10000 as string), 4, '0')) end coverage_ratio,
+ matched, oos out_of_scope, aig actions_in_gaps, rig reconciled_in_gaps, num <> matched numerator_differs_from_matched from z
+""".replace("least(er, ar) cl", "case when ar is not null then least(er, ar) end cl").replace("[least(er, ar)] claimed_level", "[case when ar is not null then least(er, ar) end] claimed_level")
+
+
+@query(REPORT, *R_VIEWS, *Q_VIEWS)
+def o104_coverage_report(v):
+    return report_of(v).select("population_ref", "class_in_force", "evidence_level", "claimed_level", "ratio_state", "numerator", "signed_count", "coverage_ratio", "matched", "out_of_scope", "actions_in_gaps", "reconciled_in_gaps", "numerator_differs_from_matched")
+
+
+@query("""select tenant_id, collector_id, record_id, case when o and support is not null then 'observed' else support end support from (select s.tenant_id, s.collector_id, record_id, case when submission_id % 3 = 0 then 'reconciled' when submission_id % 3 = 1 then 'enforced' end support, coalesce(bool_or(observation_only), false) o
+from submissions s left join collectors c on c.tenant_id = s.tenant_id and c.collector_id = s.collector_id where submission_id < 10000000 group by all)""", "submissions", "collectors")
+def o105_observation_only(v):
+    facts = v("submissions").where("submission_id < 10000000").select("tenant_id", "collector_id", "record_id", F.when(F.col("submission_id") % 3 == 0, "reconciled").when(F.col("submission_id") % 3 == 1, "enforced").alias("support"))
+    return coverage.observation_only(facts, v("collectors")).drop("observation_only")
+
+
+LINKS = """with l as (select r.*, b.record_digest bd, b.key_id bk, b.sequence is not null kn from stream_records r left join stream_records b on b.tenant_id = r.tenant_id and b.stream_id = r.stream_id and b.sequence = r.sequence - 1),
+c as (select *, concat_ws(',', case when not sig_ok then 'signature_invalid' end, case when sequence <> 1 and not kn then 'sequence_gap' end,
+ case when (sequence = 1 and prev_digest is not null) or (kn and prev_digest is distinct from bd) then 'chain_link_broken' end, case when kn and key_id <> bk and not has_continuity then 'key_discontinuity' end) codes from l)
+"""
+
+
+@query(LINKS + "select record_id, codes from c", "stream_records")
+def o31_links(v):
+    return chain.links(v("stream_records")).select("record_id", F.array_join("codes", ",").alias("codes"))
+
+
+@query("select tenant_id, stream_id, sequence, count(distinct (record_id, record_digest)) n_records, count(*) n_rows from filed_records where sig_ok group by all having count(distinct (record_id, record_digest)) > 1", "filed_records")
+def o30_forks(v):
+    return chain.forks(v("filed_records"))
+
+
+@query("""select tenant_id, stream_id, sequence, arg_min(record_id, (not sig_ok, record_id, record_digest)) record_id, count(*) duplicate_count from filed_records group by all""", "filed_records")
+def o30_settled_positions(v):
+    return chain.settled(v("filed_records")).select(*STREAM, "sequence", "record_id", "duplicate_count")
+
+
+@query(LINKS + """, br as (select tenant_id, stream_id, min(sequence) fb, arg_min(split_part(codes, ',', 1), sequence) code from c where codes <> '' group by all),
+fk as (select tenant_id, stream_id, min(sequence) f from (select tenant_id, stream_id, sequence from filed_records where sig_ok group by all having count(distinct (record_id, record_digest)) > 1) group by all)
+select tenant_id, stream_id, fb first_break, code, f fork_at, coalesce(max(sequence) filter (where f is null and (fb is null or sequence < fb)), 0) valid_through,
+arg_max(record_digest, sequence) filter (where f is null and (fb is null or sequence < fb)) last_digest, f is not null fatal from stream_records left join br using (tenant_id, stream_id) left join fk using (tenant_id, stream_id) group by all""", "stream_records", "filed_records")
+def o35_valid_prefix(v):
+    r = v("stream_records")
+    return chain.valid_prefix(r, chain.links(r), chain.forks(v("filed_records"))).drop("last_key")
+
+
+@query(LINKS + """, b as (select tenant_id, stream_id, sequence at, source_time gap_end, case when codes like '%sequence_gap%' then 'sequence_break' else 'key_discontinuity' end cause from c where codes like '%sequence_gap%' or codes like '%key_discontinuity%')
+select b.tenant_id, b.stream_id, at, max(r.sequence) last_known, cause, arg_max(r.source_time, r.sequence) gap_start, gap_end from b join stream_records r on r.tenant_id = b.tenant_id and r.stream_id = b.stream_id and r.sequence < at group by all""".replace(" at,", ' "at",').replace("sequence at", 'sequence "at"').replace("< at ", '< "at" '), "stream_records")
+def o36_break_gaps(v):
+    r = v("stream_records")
+    return chain.break_gaps(r, chain.links(r))
+
+
+@query(LINKS + """, s as (select *, sum(case when codes <> '' then 1 else 0 end) over (partition by tenant_id, stream_id order by sequence) k from c)
+select tenant_id, stream_id, cast(k as bigint) segment_id, min(sequence) first_sequence, max(sequence) last_sequence, count(*) n_records, min(source_time) start_time, max(source_time) end_time from s group by all""", "stream_records")
+def o37_segments(v):
+    return chain.segments(chain.links(v("stream_records")))
+
+
+@query("""with b as (select *, concat(stream_id, ':', cast(event_id % 3 as string)) bundle_id from stream_records where event_id % 3 < 2),
+p as (select *, lag(sequence) over w ps, lag(record_digest) over w pd from b window w as (partition by bundle_id, tenant_id, stream_id order by sequence, record_id))
+select bundle_id, record_id, case when ps is null and sequence > 1 then concat('before:', cast(sequence - 1 as string)) when ps is null then case when prev_digest is null then 'checked' else 'broken' end
+when ps = sequence then 'fork' when ps + 1 < sequence then 'unchecked' when prev_digest is not distinct from pd then 'checked' else 'broken' end link from p""", "stream_records")
+def o38_slice_links(v):
+    b = v("stream_records").where("event_id % 3 < 2").withColumn("bundle_id", F.concat("stream_id", F.lit(":"), (F.col("event_id") % 3).cast("string")))
+    return chain.slice_links(b).select("bundle_id", "record_id", "link")
+
+
+@query("select tenant_id, stream_id, count(distinct case when event_type = 'error' then 'issuer' else 'evidence' end) n_namespaces from stream_records group by all having count(distinct case when event_type = 'error' then 'issuer' else 'evidence' end) > 1", "stream_records")
+def o34_stream_namespaces(v):
+    return chain.namespaces(v("stream_records").withColumn("namespace", F.when(F.col("event_type") == "error", "issuer").otherwise("evidence")))
+
+
+@query("""with l as (select * from submissions where submission_id < 10000000 and submission_id % 2 = 0)
+select s.submission_id, case when p.record_id is not null and p.record_id <> s.record_id then 'fork' when i.wire_digest = s.wire_digest then 'replay' when i.wire_digest is not null then 'content_substitution' else 'accept' end outcome
+from submissions s left join l p on p.tenant_id = s.tenant_id and p.stream_id = s.stream_id and p.sequence = s.sequence left join l i on i.tenant_id = s.tenant_id and i.record_id = s.record_id""", "submissions")
+def o24_against_ledger(v):
+    s = v("submissions")
+    return ingest.classify_against_ledger(s, s.where("submission_id < 10000000 and submission_id % 2 = 0")).select("submission_id", "outcome")
+
+
+@query("""with f as (select *, first_value(record_id) over (partition by tenant_id, stream_id, sequence order by submission_id) pr, first_value(wire_digest) over (partition by tenant_id, record_id order by submission_id) iw,
+row_number() over (partition by tenant_id, stream_id, sequence order by submission_id) np, row_number() over (partition by tenant_id, record_id order by submission_id) ni from submissions)
+select submission_id, case when np = 1 and ni = 1 then 'accept' when pr <> record_id then 'fork' when iw = wire_digest then 'replay' else 'content_substitution' end outcome from f""", "submissions")
+def o24_in_arrival_order(v):
+    return ingest.classify_in_order(v("submissions")).select("submission_id", "outcome")
+
+
+@query("select tenant_id, stream_id, sequence from stream_records where (sequence = 1) <> (prev_digest is null)", "stream_records")
+def o25_position_domain(v):
+    return ingest.position_domain(v("stream_records")).select(*STREAM, "sequence")
+
+
+@query("""select submission_id, case when c.collector_id is null then 'collector_unknown' when source_time >= revoked_at then 'collector_revoked' when collector_version <> version then 'collector_version_mismatch' else 'ok' end auth
+from submissions s left join (select tenant_id, collector_id, max(version) version, min(revoked_at) revoked_at from collectors group by all) c on c.tenant_id = s.tenant_id and c.collector_id = s.collector_id""", "submissions", "collectors")
+def o26_authenticate(v):
+    return ingest.authenticate(v("submissions"), v("collectors")).select("submission_id", "auth")
+
+
+@query("""select record_id, count(k.key_id) n_keys, min(key_record) key_record from stream_records r left join keys k on k.tenant_id = r.tenant_id and k.key_id = r.key_id and valid_from <= source_time and source_time < valid_until and (compromised_from is null or source_time < compromised_from) group by all""", "stream_records", "keys")
+def o27_keys_valid_at(v):
+    return ingest.keys_valid_at(v("stream_records"), v("keys")).select("record_id", "n_keys", "key_record")
+
+
+@query("""select record_id, cast(trunc((epoch_us(ingest_time) - epoch_us(source_time)) / 1000.0) as bigint) skew_ms, concat_ws(',', case when key_namespace <> 'issuer' then 'receipt_namespace' end, case when not sig_ok then 'receipt_signature' end,
+case when receipt_digest <> record_digest then 'receipt_digest_mismatch' end, case when cast(trunc((epoch_us(ingest_time) - epoch_us(source_time)) / 1000.0) as bigint) <> clock_skew_ms then 'receipt_skew_mismatch' end) codes from ingest_receipts""", "ingest_receipts")
+def o29_receipt_binding(v):
+    return ingest.receipt_binding(v("ingest_receipts")).select("record_id", ingest.skew_ms().alias("skew_ms"), F.array_join("codes", ",").alias("codes"))
+
+
+@query("select population_ref, string_agg(destination_record_id, ',' order by authoritative_time, destination_record_id) ids, count(*) count, min(authoritative_time) ts_min, max(authoritative_time) ts_max from population_items group by all", "population_items")
+def o06_enumerate(v):
+    return population.enumerate_window(v("population_items")).select("population_ref", F.array_join("record_identifiers", ",").alias("ids"), "count", "ts_min", "ts_max")
+
+
+@query("""select query_id, n n_records, t total_size, case when f then 'page_failed' when rep > 0 then 'next_link_repeated' when ends <> 1 then 'next_link_absent' when nt > 1 then 'total_changed' when n <> t then 'rows_differ_from_total' else 'complete' end state
+from (select query_id, cast(sum(n_records) as bigint) n, max(total_size) t, count(distinct total_size) nt, bool_or(failed) f, count(*) - count(next_url) ends, count(next_url) - count(distinct next_url) rep from page_log group by 1)""", "page_log")
+def o07_page_completeness(v):
+    return population.page_completeness(v("page_log"))
+
+
+@query("""select r.record_id, c.destination_record_digest, case when c.record_id is null then 'unmatched_without_evidence' else 'confirmed' end state from receipts r left join confirmations c using (tenant_id, boundary_ref, destination_record_id, action_id)""", "receipts", "confirmations")
+def o08_confirm(v):
+    return population.confirm(v("receipts"), v("confirmations").drop("record_id", "authoritative_time", "destination_system")).select("record_id", "destination_record_digest", "state")
+
+
+@query("""select population_ref, window_end + cast(signed_count % 5 as int) * interval '1' day eligible_at, timestamp '1998-06-15' < window_end + cast(signed_count % 5 as int) * interval '1' day pending,
+concat_ws(',', case when result_cap_hit then 'result_cap_hit' end, case when not pagination_complete then 'pagination_incomplete' end, case when signed_count % 9 * 86400 > signed_count % 5 * 86400 then 'settlement_lag_exceeded' end) alerts from populations""", "populations")
+def o41_eligibility_and_alerts(v):
+    p = v("populations").withColumn("settlement_lag_s", F.col("signed_count") % 5 * 86400).withColumn("observed_lag_s", F.col("signed_count") % 9 * 86400)
+    return population.alerts(population.eligibility(p, "1998-06-15 00:00:00")).select("population_ref", "eligible_at", "pending", F.array_join("alerts", ",").alias("alerts"))
+
+
+@query("""with e as (select population_ref, 1 id, signed_count, ts_min, ts_max, result_cap_hit from populations union all select population_ref, 2, signed_count + case when signed_count % 3 = 0 then 1 else 0 end, ts_min, ts_max + case when signed_count % 4 = 0 then interval '1' hour else interval '0' hour end, result_cap_hit from populations)
+select a.population_ref, concat_ws(',', case when a.signed_count <> b.signed_count then 'signed_count' end, case when a.ts_max <> b.ts_max then 'ts_max' end) fields from e a join e b on a.population_ref = b.population_ref and a.id = 1 and b.id = 2 where a.signed_count <> b.signed_count or a.ts_max <> b.ts_max""", "populations")
+def o45_disagreements(v):
+    p = v("populations").withColumn("enumeration_id", F.concat("population_ref", F.lit("/1"))).withColumn("retrieved_at", F.col("window_end"))
+    again = p.withColumn("enumeration_id", F.concat("population_ref", F.lit("/2"))).withColumn("retrieved_at", F.expr("window_end + interval 1 day"))
+    again = again.withColumn("ts_max", F.when(F.col("signed_count") % 4 == 0, F.expr("ts_max + interval 1 hour")).otherwise(F.col("ts_max"))).withColumn("signed_count", F.col("signed_count") + F.when(F.col("signed_count") % 3 == 0, 1).otherwise(0))
+    got = population.disagreements(p.unionByName(again), ("signed_count", "ts_min", "ts_max", "result_cap_hit"))
+    return got.select(F.regexp_replace("earlier", "/1$", "").alias("population_ref"), F.array_join("fields", ",").alias("fields"))
+
+
+@query("select population_ref, 'count_differs' reason from populations where signed_count % 3 = 0", "populations")
+def o46_population_integrity(v):
+    e = population.enumerate_window(v("population_items")).join(v("populations").select("population_ref", "signed_count"), "population_ref").withColumn("signed_count", F.col("signed_count") + F.when(F.col("signed_count") % 3 == 0, 1).otherwise(0))
+    return population.integrity(e)[1].select("population_ref", "reason")
+
+
+@query("""with s as (select * from stream_base where event_id % 4 <> 0), b as (select * from stream_base where event_id % 4 = 0), l as (select tenant_id, stream_id, max(sequence) m, arg_max(record_digest, sequence) d from s group by all)
+select b.event_id, coalesce(m, 0) + row_number() over w sequence, coalesce(lag(record_digest) over w, d) prev_digest from b left join l on l.tenant_id = b.tenant_id and l.stream_id = b.stream_id window w as (partition by b.tenant_id, b.stream_id order by event_id)""", "stream_base")
+def o47_next_positions(v):
+    s = v("stream_base")
+    return population.next_positions(s.where("event_id % 4 <> 0"), s.where("event_id % 4 = 0").drop("sequence"), "event_id").select("event_id", "sequence", "prev_digest")
+
+
+UNKNOWN = """with u as (select *, last_value(case when outcome = 'confirmed-clean' then checked_at end ignore nulls) over (partition by scope order by checked_at, check_id rows between unbounded preceding and 1 preceding) clean from permission_checks),
+unknown as (select scope, check_id, outcome, case outcome when 'confirmed-clean' then 'c1' when 'confirmed-granted' then 'c5' end max_class, case when outcome <> 'confirmed-clean' and clean < checked_at then clean end unknown_from, case when outcome <> 'confirmed-clean' and clean < checked_at then checked_at end unknown_to from u)
+"""
+
+
+@query(UNKNOWN + "select * from unknown", "permission_checks")
+def o49_unknown_intervals(v):
+    return population.unknown_intervals(v("permission_checks"))
+
+
+def scoped_days(v) -> DataFrame:
+    return v("permission_checks").select("scope", F.date_trunc("day", "checked_at").alias("window_start")).distinct().withColumn("window_end", F.expr("window_start + interval 1 day"))
+
+
+@query(UNKNOWN + """, w as (select distinct scope, date_trunc('day', checked_at) window_start, date_trunc('day', checked_at) + interval '1' day window_end from permission_checks)
+select distinct w.scope, window_start, window_end from w join unknown u on u.scope = w.scope and unknown_from < window_end and window_start < unknown_to""", "permission_checks")
+def o50_windows_to_revisit(v):
+    return population.to_revisit(scoped_days(v), population.unknown_intervals(v("permission_checks")))
+
+
+@query("""with a as (select *, case when k % 13 <> 0 then concat('u', cast(k % 50 as string)) end actor from (select *, cast(substr(destination_record_id, 2) as bigint) k from population_items))
+select population_ref, count(*) n, count(*) filter (where actor is null) n_unattributed, count(*) filter (where actor in ('u7', 'u8')) n_shared, case when count(*) filter (where actor is null or actor in ('u7', 'u8')) > 0 then 'c5' else 'c1' end max_class from a group by 1""", "population_items")
+def o51_isolation_profile(v):
+    k = F.substring("destination_record_id", 2, 20).cast("long")
+    a = v("population_items").withColumn("actor", F.when(k % 13 != 0, F.concat(F.lit("u"), (k % 50).cast("string"))))
+    people = a.where("actor in ('u7', 'u8')").select("actor").distinct()
+    return population.isolation_profile(a, people).drop("tenant_id", "boundary_ref")
+
+
+def required_of(v) -> DataFrame:
+    return v("population_items").join(v("populations").select("population_ref", "window_start", "window_end"), "population_ref").select(
+        "tenant_id", "boundary_ref", F.col("population_ref").alias("window_ref"), F.concat(F.lit("a"), F.substring("destination_record_id", 2, 20)).alias("action_id"), "window_start", "window_end"
+    )
+
+
+OVERSIGHT = """with e as (select *, case when action_state_at_review = 'committed' then 'review_after_commitment' when action_state_at_review = 'irreversible' then 'review_after_irreversibility' when evidence_shown_provenance = 'server_reconstructed' then 'server_reconstructed_evidence'
+ when evidence_shown_provenance is not null and evidence_shown_provenance <> 'client_rendered' then 'unverified_evidence_provenance' else 'effective' end reason from human_reviews),
+o as (select i.tenant_id, i.population_ref window_ref, concat('a', substr(i.destination_record_id, 2)) a, bool_or(decided_at >= window_start and decided_at < window_end) rv, bool_or(decided_at >= window_start and decided_at < window_end and reason = 'effective') ef, bool_or(decided_at < window_start or decided_at >= window_end) ou
+ from population_items i join populations p using (population_ref) left join e on e.tenant_id = i.tenant_id and e.action_id = concat('a', substr(i.destination_record_id, 2)) group by all)
+"""
+
+
+@query(OVERSIGHT + "select window_ref, count(*) n_required, count(*) filter (where rv) n_reviewed, count(*) filter (where ef) n_effective, count(*) filter (where rv is not true) n_missing, count(*) filter (where ou) n_outside from o group by 1", "human_reviews", "populations")
+def o112_oversight(v):
+    return attest.oversight(required_of(v), v("human_reviews")).drop("tenant_id", "boundary_ref")
+
+
+@query(OVERSIGHT + "select record_id, reason from e", "human_reviews", "populations")
+def o110_review_evaluation(v):
+    return attest.evaluate_reviews(v("human_reviews")).select("record_id", "reason")
+
+
+@query("select record_id subject, count(*) n from human_reviews, (select distinct n_regionkey r from nation where n_regionkey < 2) where r = 0 or cast(substr(record_id, 2) as bigint) % 100 = 0 group by 1 having count(*) > 1", "human_reviews")
+def o113_review_guards(v):
+    r = v("human_reviews")
+    twice = r.unionByName(r.where(F.substring("record_id", 2, 20).cast("long") % 100 == 0))
+    return attest.review_guards(required_of(v), twice).where("code = 'review_id_repeated'").select("subject", "n")
+
+
+@query("select distinct p.action_id from proposals p join outcomes o using (tenant_id, boundary_ref, action_id) where authoritative_source = 'erp' and not disputed", "proposals", "outcomes")
+def o120_confirmed_outcomes(v):
+    return attest.confirmed_outcomes(v("proposals"), v("outcomes"), "erp").select("action_id")
+
+
+def outcome_counts(v) -> DataFrame:
+    done = attest.confirmed_outcomes(v("proposals"), v("outcomes"), "erp")
+    item = v("population_items").select("tenant_id", "population_ref", F.concat(F.lit("a"), F.substring("destination_record_id", 2, 20)).alias("action_id"))
+    return item.join(done, ["tenant_id", "action_id"]).groupBy("tenant_id", "population_ref").agg(F.count(F.lit(1)).alias("n_confirmed"))
+
+
+@query()
+def o121_assertions(v):
+    return attest.assertions(report_of(v), attest.oversight(required_of(v), v("human_reviews")), outcome_counts(v))
+
+
+@query()
+def o122_exclusions(v):
+    return attest.exclusions(report_of(v), attest.oversight(required_of(v), v("human_reviews")), v("populations"))
+
+
+AS_OF = "1998-08-01 00:00:00"
+
+
+@query(f"""with l as (select attestation_id, arg_max(coalesce(superseding_attestation_id, '-'), (effective_at, sequence)) s, count(*) n from revocations where effective_at <= timestamp '{AS_OF}' group by 1)
+select a.attestation_id, case when s <> '-' then 'superseded' when n > 0 then 'revoked' when timestamp '{AS_OF}' < validity_from then 'not_yet_valid' when timestamp '{AS_OF}' >= validity_until then 'expired' else 'valid' end status, nullif(s, '-') superseding from attestations a left join l using (attestation_id)""", "attestations", "revocations")
+def o124_lifecycle(v):
+    return attest.lifecycle(v("attestations"), v("revocations"), AS_OF).drop("tenant_id")
+
+
+@query("""select revocation_id, codes from (select revocation_id, concat_ws(',', case when count(*) over (partition by attestation_id) > 1 then 'more_than_one_transition' end, case when (superseding_attestation_id is not null) <> (reason = 'late_evidence') then 'supersession_without_late_evidence' end) codes from revocations) where codes <> ''""", "revocations")
+def o125_transition_audit(v):
+    return attest.transition_audit(v("attestations"), v("revocations")).drop("tenant_id")
+
+
+LIVE = f"""with live as (select * from attestations a where validity_until + interval '0' month > timestamp '{AS_OF}' and attestation_id not in (select attestation_id from revocations where effective_at <= timestamp '{AS_OF}'))
+"""
+
+
+@query(LIVE + "select destination_record_id from population_items i where exists (select 1 from live l where l.tenant_id = i.tenant_id and l.boundary_ref = i.boundary_ref and authoritative_time >= window_start and authoritative_time < window_end)", "attestations", "revocations")
+def o127_protected_evidence(v):
+    return attest.protected(v("population_items"), v("attestations"), v("revocations"), AS_OF).select("destination_record_id")
+
+
+@query(LIVE.replace("'0' month", "'12' month") + "select destination_record_id from population_items i where not exists (select 1 from live l where l.tenant_id = i.tenant_id and l.boundary_ref = i.boundary_ref and authoritative_time >= window_start and authoritative_time < window_end)", "attestations", "revocations")
+def o127a_deletable_evidence(v):
+    return attest.deletable(v("population_items"), v("attestations"), v("revocations"), AS_OF).select("destination_record_id")
+
+
+@query("""select attestation_id, count(*) n_late, min(authoritative_time + cast(k % 40 as int) * interval '1' day) first_late from (select *, cast(substr(destination_record_id, 2) as bigint) k from population_items) i join attestations a using (tenant_id, boundary_ref, population_ref)
+where authoritative_time >= window_start and authoritative_time < window_end and authoritative_time + cast(k % 40 as int) * interval '1' day > issued_at group by 1""", "attestations")
+def o128_late_evidence(v):
+    k = F.substring("destination_record_id", 2, 20).cast("long")
+    late = v("population_items").withColumn("ingest_time", F.col("authoritative_time") + F.make_dt_interval(days=(k % 40).cast("int")))
+    return attest.late_evidence(late, v("attestations")).drop("tenant_id")
+
+
+def bundles_of(v) -> DataFrame:
+    """Attestations as their issuer states them, with some claims made wrong."""
+    n = F.col("signed_count")
+    counts = v("populations").join(reconcile.counts(results_of(v), "population_ref"), "population_ref")
+    a = v("attestations").select("attestation_id", "population_ref", "claimed_class", "validity_from", "validity_until")
+    own = coverage.four_places(F.col("matched"), n - F.col("out_of_scope"))
+    return counts.join(a, "population_ref").withColumns({
+        "matched": F.col("matched") + F.when(n % 19 == 0, 1).otherwise(0), "coverage_ratio": F.when(n % 17 == 0, "0.99999").when(F.col("claimed_class").isin("c1", "c2", "c3") | (n % 23 == 0), own),
+        "claimed_level": F.when(n % 2 == 0, "reconciled").otherwise("observed"), "capped_by_class": n % 4 == 1, "as_of": F.lit(AS_OF).cast("timestamp"), "bundle_id": F.col("attestation_id"),
+    })
+
+
+BUNDLES = RESULTS + f""", k as (select population_ref, {COUNTS} from results group by 1),
+b as (select a.attestation_id bundle_id, p.signed_count n, k.matched + case when p.signed_count % 19 = 0 then 1 else 0 end matched, k.matched m0, out_of_scope oos, k.n - k.matched rest, claimed_class cc, validity_from vf, validity_until vu, case when p.signed_count % 2 = 0 then 3 else 1 end cl, p.signed_count % 4 = 1 cap
+ from populations p join k using (population_ref) join attestations a using (population_ref)),
+q as (select *, concat(cast(m0 * 10000 // nullif(n - oos, 0) // 10000 as string), '.', lpad(cast(m0 * 10000 // nullif(n - oos, 0) % 10000 as string), 4, '0')) own0, concat(cast(matched * 10000 // nullif(n - oos, 0) // 10000 as string), '.', lpad(cast(matched * 10000 // nullif(n - oos, 0) % 10000 as string), 4, '0')) own,
+ case when cc in ('c1', 'c2') then 3 when cc = 'c3' then 2 else 1 end ce from b),
+r as (select *, case when n % 17 = 0 then '0.99999' when (cc in ('c1', 'c2', 'c3') or n % 23 = 0) and n > oos then own0 end ra from q),
+f as (select bundle_id, 31 o, 'counts_do_not_sum' code from r where matched + rest <> n union all select bundle_id, 40, 'ratio_withheld_class_states_ratio' from r where ra is not null and cc not in ('c1', 'c2', 'c3')
+ union all select bundle_id, 41, 'ratio_malformed' from r where ra = '0.99999' union all select bundle_id, 42, 'ratio_mismatch' from r where ra <> '0.99999' and ra is distinct from case when n > oos then own end
+ union all select bundle_id, 50, 'level_above_ceiling' from r where cl > ce union all select bundle_id, 51, 'capped_below_ceiling' from r where cl < ce and cap
+ union all select bundle_id, 71, 'not_yet_valid' from r where timestamp '{AS_OF}' < vf union all select bundle_id, 72, 'expired' from r where timestamp '{AS_OF}' >= vu),
+g as (select bundle_id, arg_min(code, o) code, count(*) n_findings, string_agg(distinct code, ',' order by code) codes from f group by 1)
+select bundle_id, case when code is null then 'verified' when code in ('expired', 'not_yet_valid') then code else 'refused' end verdict, code, coalesce(n_findings, 0) n_findings, coalesce(codes, '') codes from r left join g using (bundle_id)
+"""
+
+
+@query(BUNDLES, *R_VIEWS, "populations", "attestations")
+def o136_bundle_verdicts(v):
+    return verify.verdicts(bundles_of(v))
+
+
+@query("""select attestation_id, case when h = 404 then 'valid' when h <> 200 or not coalesce(ok, false) then 'unchecked' when effective_at > timestamp '1998-08-01' then 'pending' else st end revocation from
+(select attestation_id, effective_at, case when length(revocation_id) % 2 = 0 and sequence = 1 then 404 when reason = 'error' and sequence = 2 then 500 else 200 end h, reason <> 'x' ok, case when superseding_attestation_id is null then 'revoked' else 'superseded' end st from revocations)""", "revocations")
+def o135_revocation_state(v):
+    r = v("revocations").withColumns({"http_status": F.expr("case when length(revocation_id) % 2 = 0 and sequence = 1 then 404 when reason = 'error' and sequence = 2 then 500 else 200 end"), "subject": F.col("attestation_id"), "sig_ok": F.lit(True), "state": F.expr("case when superseding_attestation_id is null then 'revoked' else 'superseded' end")})
+    return verify.revocation_state(r, AS_OF)
+
+
+@query("select a.attestation_id bundle_id, 'population_count' code from attestations a join populations p using (population_ref) where signed_count % 5 = 0 union all select attestation_id, 'population_missing' from attestations a join populations p using (population_ref) where signed_count % 7 = 0", "attestations", "populations")
+def o129_population_refs(v):
+    p = v("populations")
+    refs = v("attestations").join(p.select("population_ref", "signed_count"), "population_ref").withColumn("stated_count", F.col("signed_count") + F.when(F.col("signed_count") % 5 == 0, 1).otherwise(0)).withColumnRenamed("attestation_id", "bundle_id")
+    more = refs.where("signed_count % 7 = 0").withColumn("population_ref", F.lit("t9:000000"))
+    return verify.population_refs(refs.unionByName(more).drop("signed_count"), p).select("bundle_id", "code")
+
+
+@query("select concat('b', cast(user_id as string)) bundle_id, concat('[', string_agg(concat('{\"e\":', cast(event_id as string), '}'), ',' order by concat('{\"e\":', cast(event_id as string), '}') collate binary), ']') document from events group by 1".replace(" collate binary", ""))
+def o09_bundle_export(v):
+    s = v("stream_base").select(F.concat(F.lit("b"), F.expr("substr(stream_id, 2)")).alias("bundle_id"), F.concat(F.lit('{"e":'), F.col("event_id").cast("string"), F.lit("}")).alias("wire"))
+    return verify.export(s)
+
+
+@query("select record_id, n from (select tenant_id, record_id, count(*) n from filed_records group by all) where n > 1", "filed_records")
+def o17_uniqueness(v):
+    return validate.repeated(v("filed_records"), ["tenant_id", "record_id"]).select("record_id", "n")
+
+
+@query("""with k as (select tenant_id, key_id, min(namespace) ns from keys group by all), r as (select record_id, tenant_id, key_id, case event_type when 'click' then 'ActionProposal' when 'view' then 'ExecutionReceipt' when 'error' then 'Unknown' when 'signup' then 'PopulationRecord' else 'ExternalConfirmation' end t from stream_records)
+select record_id, case when t = 'Unknown' then 'record_type_unknown' when ns is null then 'key_unknown' else 'wrong_namespace' end reason from r left join k using (tenant_id, key_id) where t = 'Unknown' or ns is null or ns <> case when t in ('ActionProposal', 'ExecutionReceipt') then 'evidence' else 'issuer' end""", "stream_records", "keys")
+def o18_signer_namespace(v):
+    kind = F.expr("case event_type when 'click' then 'ActionProposal' when 'view' then 'ExecutionReceipt' when 'error' then 'Unknown' when 'signup' then 'PopulationRecord' else 'ExternalConfirmation' end")
+    return validate.signer_namespace(v("stream_records").withColumn("record_type", kind), v("keys")).select("record_id", "reason")
+
+
+def wires(v) -> DataFrame:
+    """Records as JSON text; some with faults."""
+    e, k = F.col("event_id"), F.col("event_id").cast("string")
+    rid = F.concat(F.lit("0190a000-0000-7000-8000-"), F.lpad(F.lower(F.hex(e)), 12, "0"))
+    body = F.expr("""concat('{"action_family":"order.create","action_id":"a', cast(event_id as string), '"', case when event_id % 9 = 0 then '' else ',"proposed_at":"2024-01-01T00:00:00.000Z"' end, case when event_id % 14 = 0 then ',"amount":1.5' else '' end, '}')""")
+    text = F.concat(
+        F.lit('{"body":'), body, F.lit(',"boundary_ref":"b","clocks":{"source_time":"'), F.when(e % 12 == 0, "2024-01-01").otherwise(F.date_format("source_time", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")), F.lit('"},"prev_digest":null,"record_id":"'),
+        F.when(e % 10 == 0, k).otherwise(rid), F.lit('","record_type":"ActionProposal","schema_version":"1.0.0","sequence":'), F.col("sequence").cast("string"), F.lit(',"signature":{},"source":{},"stream_id":"'), F.col("stream_id"), F.lit('","tenant_id":"'), F.col("tenant_id"),
+        F.when(e % 11 == 0, '","extra":"x"}').otherwise('"}'),
+    )
+    return v("stream_base").select("event_id", rid.alias("record_id"), text.alias("wire"))
+
+
+@query("""select event_id, concat_ws(',', case when event_id % 11 = 0 then 'record.envelope.member_unknown' end, case when event_id % 10 = 0 then 'record.id.invalid' end, case when event_id % 12 = 0 then 'record.clocks.source_time.invalid' end,
+case when event_id % 14 = 0 then 'record.number.float' end, case when event_id % 9 = 0 then 'record.body.member_missing' end) errors from events""")
+def o10_validation_report(v):
+    return validate.report(wires(v)).select("event_id", F.array_join("errors", ",").alias("errors"))
+
+
+@query("select concat('a', cast(event_id as string)) action_id, sequence, stream_id from stream_base", "stream_base")
+def o12_projection(v):
+    return validate.project(wires(v)).select("action_id", "sequence", "stream_id")
+
+
+@query("select 'sequence' \"column\", cast(sequence + 1 as string) stored, cast(sequence as string) derived, event_id from stream_base where event_id % 16 = 0", "stream_base")
+def o13_projection_drift(v):
+    w = wires(v)
+    stored = w.select("event_id", *(c.alias(k) for k, c in validate.projection().items() if k != "record_id"), "record_id", "wire").withColumn("sequence", F.col("sequence") + F.when(F.col("event_id") % 16 == 0, 1).otherwise(0))
+    got = validate.drift(stored).where("column <> 'record_digest'")
+    return got.join(w.select("record_id", "event_id"), "record_id").select("column", "stored", "derived", "event_id")
+
+
+@query("select count(*) n, count(*) filter (where event_id % 14 <> 0) n_canonical from events")
+def o16_canonical_audit(v):
+    return validate.canonical_audit(wires(v)).agg(F.count(F.lit(1)).alias("n"), F.count_if("is_canonical").alias("n_canonical"))
+
+
+@query("select action_id, count(*) n from (select concat('a', cast(event_id as string)) action_id from stream_base) group by 1", "stream_base")
+def o02_typed_view(v):
+    return ledger.typed_view(wires(v), "ActionProposal").groupBy("action_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("select boundary_ref, '' codes from boundaries", "boundaries", "boundary_families")
+def o22_boundary_audit(v):
+    return validate.boundary_audit(v("boundaries"), v("boundary_families")).select("boundary_ref", F.array_join("codes", ",").alias("codes"))
+
+
+@query("""with s as (select s.*, coalesce(c.cad, 0) cad from (select *, lead(source_time) over (partition by tenant_id, collector_id order by source_time, record_id) nx from submissions where submission_id < 10000000) s
+join (select tenant_id, collector_id, max(expected_cadence_s) cad from collectors group by all) c on c.tenant_id = s.tenant_id and c.collector_id = s.collector_id)
+select tenant_id, collector_id, source_time gap_start, nx gap_end from s where nx is null or epoch_us(nx) - epoch_us(source_time) > cad * 1000000""", "submissions", "collectors")
+def o143_silences(v):
+    return streaming.silences(v("submissions").where("submission_id < 10000000"), v("collectors"))
+
+
+@query("""with m as (select *, coalesce(sum(cast(restored as int)) over (partition by tenant_id, collector_id order by refused_at, event_id rows between unbounded preceding and 1 preceding), 0) k from refusals)
+select tenant_id, collector_id, cast(k as bigint) episode, min(refused_at) filter (where not restored) gap_start, max(refused_at) filter (where restored) gap_end, count(*) filter (where not restored) n_refused, count(*) filter (where not restored and fail_open) actions_during_gap from m group by all having count(*) filter (where not restored) > 0""", "refusals")
+def o144_outage_episodes(v):
+    return streaming.outage_episodes(v("refusals"))
+
+
+def _folder(spark: SparkSession, kind: str) -> str:
+    """A new folder that all executors share; a temporary one only in a local session without such a setting."""
+    root = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or (tempfile.mkdtemp(prefix="spark-") if spark.sparkContext.master.startswith("local") else spark.conf.get("spark.sql.warehouse.dir"))
+    return f"{root}/{kind}-{uuid.uuid4().hex}"
+
+
+def _stream_of(v, name: str, kind: str) -> DataFrame:
+    df = v(name)
+    df.write.parquet(path := f"{_folder(df.sparkSession, kind)}/in")
+    return streaming.parquet_stream(df.sparkSession, path, df.schema)
+
+
+def _drained(stream: DataFrame, kind: str) -> DataFrame:
+    spark, at = stream.sparkSession, _folder(stream.sparkSession, kind)
+    streaming.drain(stream, f"{at}/out", f"{at}/checkpoint")
+    return spark.read.parquet(f"{at}/out")
+
+
+@query("select tenant_id, stream_id, count(*) n_accepted from (select *, row_number() over (partition by tenant_id, stream_id, sequence order by submission_id) np, row_number() over (partition by tenant_id, record_id order by submission_id) ni from submissions) where np = 1 and ni = 1 group by all", "submissions")
+def o140_ingest_stream(v):
+    spark, at = v("submissions").sparkSession, _folder(v("submissions").sparkSession, "ingest")
+    streaming.ingest_stream(_stream_of(v, "submissions", "submissions"), f"{at}/ledger", f"{at}/events", f"{at}/checkpoint")
+    return spark.read.parquet(f"{at}/ledger").groupBy("tenant_id", "stream_id").agg(F.count(F.lit(1)).alias("n_accepted"))
+
+
+@query("select tenant_id, stream_id, count(*) n_accepted from stream_records group by all", "stream_records")
+def o141_stream_memory(v):
+    got = _drained(streaming.stream_memory(_stream_of(v, "filed_records", "filed")), "memory")
+    return got.where("outcome like 'accept%'").groupBy("tenant_id", "stream_id").agg(F.count(F.lit(1)).alias("n_accepted"))
+
+
+@query()
+def o147_alert_counts(v):
+    return _drained(streaming.alert_counts(_stream_of(v, "stream_base", "alerts").withColumnRenamed("source_time", "ts")), "alerts")
+
+
+@query()
+def o148_correlation(v):
+    return _drained(streaming.correlate(_stream_of(v, "receipts", "receipts"), _stream_of(v, "confirmations", "confirmations")), "correlated")
