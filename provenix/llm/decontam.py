@@ -90,7 +90,10 @@ class Template:
         capital = (lead >= 65) & (lead <= 90)
         wide = np.flatnonzero((lead == 0xC3) & (s + 1 < len(data)))
         capital[wide] = second[s[wide] + 1]
-        name = capital & ~starts_sentence & ~number
+        # a single letter or a word in capitals is no name
+        after = np.minimum(s + 1, max(0, len(data) - 1))
+        shouted = (e - s < 2) | ((data[after] >= 65) & (data[after] <= 90)) if len(s) else np.zeros(0, bool)
+        name = capital & ~shouted & ~starts_sentence & ~number
         self.code = np.where(number, NUMBER, np.where(unit, UNIT, np.where(name, NAME, plain)))
         self.raw, self.source = low.tobytes(), data
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provenix.llm.common import pieces
+from provenix.llm.common import pieces, settle, width
 from provenix.llm.words import U, Words, mix, runs
 
 LEAST = 5  # words a line must have to be judged
@@ -28,6 +28,7 @@ NUM, DEN = 4, 5  # Jaccard of 0.8
 TABLE = 1 << 18  # entries of the count table
 SLICES = 64
 TOP = (1 << 16) - 1
+SENT = 1 << 20  # word sets a task remembers, to send each once
 NO_ID = -(1 << 63)
 
 
@@ -98,9 +99,12 @@ def _prefixes(docs: DataFrame, table) -> DataFrame:
     """(tok, sig, info): the prefix words of every distinct word set; info packs bitmap, size and position."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent = np.zeros(0, U)
         for batch in pieces(batches, most=8 << 20):
             s = LineSets(batch.column(0), table.value)
             _, one = np.unique(s.sig, return_index=True)
+            one = one[~np.isin(s.sig[one], sent)]
+            sent = np.concatenate([sent, s.sig[one]]) if len(sent) < SENT else s.sig[one]
             n = s.n[one]
             size = n - -(-NUM * n // DEN) + 1
             at = runs(s.at[one], size)
@@ -108,7 +112,9 @@ def _prefixes(docs: DataFrame, table) -> DataFrame:
             info = (np.repeat(s.sketch[one], size) << U(32)) | (np.repeat(np.minimum(n, TOP), size).astype(U) << U(16)) | np.minimum(pos, TOP).astype(U)
             yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (s.tokens[at], np.repeat(s.sig[one], size), info)], ["tok", "sig", "info"])
 
-    return docs.select("text").mapInArrow(run, "tok long, sig long, info long").groupBy("tok", "sig").agg(F.min("info").alias("info"))
+    rows = docs.select("text").mapInArrow(run, "tok long, sig long, info long")
+    # dealt by word, so that neither the aggregate nor the join that follows moves the rows again
+    return rows.repartition(width(docs.sparkSession), "tok").groupBy("tok", "sig").agg(F.min("info").alias("info"))
 
 
 def _candidates(prefixes: DataFrame) -> DataFrame:
@@ -137,7 +143,7 @@ def _lines(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", "mark").mapInArrow(run, "sig long, doc_id long, mark long, line int")
 
 
-def _word_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+def _word_sets(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
     """wanted(sig, doc_id, mark, line) -> (sig, words): the word set of each wanted line."""
     asked = wanted.groupBy("doc_id", "mark").agg(F.collect_set("line").alias("lines"))  # lines of one document
 
@@ -151,29 +157,36 @@ def _word_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 [pa.array(s.sig.view(np.int64)[hit]), pa.array([tokens[s.at[i] : s.at[i] + s.n[i]] for i in hit], pa.list_(pa.int64()))], ["sig", "words"]
             )
 
-    found = docs.join(asked, ["doc_id", "mark"]).select("text", "lines").mapInArrow(run, "sig long, words array<long>")
+    found = keyed.join(asked, ["doc_id", "mark"]).select("text", "lines", "_row").mapInArrow(run, "sig long, words array<long>")
     return found.groupBy("sig").agg(F.first("words").alias("words"))  # equal sets, whichever copy is read
 
 
-def removed_lines(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, mark, text) -> (doc_id, mark, lines): the numbers of the lines that go, from 0."""
-    table = docs.sparkSession.sparkContext.broadcast(_counts(docs))  # 256 KB whatever the corpus
-    lines = _lines(docs)
+def removed_lines(keyed: DataFrame) -> DataFrame:
+    """keyed(doc_id, mark, text, _row), dealt by document -> (doc_id, mark, lines): the numbers of the lines that go, from 0."""
+    read = keyed.select("doc_id", "mark", "text")
+    table = keyed.sparkSession.sparkContext.broadcast(_counts(read))  # 256 KB whatever the corpus
+    lines = settle(_lines(read))
+    pairs = settle(_candidates(_prefixes(read, table)))
     place = F.struct("doc_id", "mark", "line")
     first = lines.groupBy("sig").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
-    pairs = _candidates(_prefixes(docs, table))
     ends = pairs.select(F.col("sig_a").alias("sig")).unionByName(pairs.select(F.col("sig_b").alias("sig"))).distinct()
-    sets = _word_sets(docs, first.join(ends, "sig").select("sig", "first.doc_id", "first.mark", "first.line"))
-    a, b = (sets.select(F.col("sig").alias(f"sig_{x}"), F.col("words").alias(f"words_{x}")) for x in "ab")
-    common = F.size(F.array_intersect("words_a", "words_b"))
-    match = pairs.join(a, "sig_a").join(b, "sig_b").where(DEN * common >= NUM * (F.size("words_a") + F.size("words_b") - common)).select("sig_a", "sig_b")
-    both = match.select(F.col("sig_a").alias("sig"), F.col("sig_b").alias("other")).unionByName(match.select(F.col("sig_b").alias("sig"), F.col("sig_a").alias("other")))
+    sets = _word_sets(_by_document(keyed), first.join(ends, "sig").select("sig", "first.doc_id", "first.mark", "first.line"))
+    sides = pairs.select("sig_a", "sig_b", F.explode(F.array("sig_a", "sig_b")).alias("sig")).join(sets, "sig")
+    two = sides.groupBy("sig_a", "sig_b").agg(F.collect_list("words").alias("w"))  # the two sets of a pair
+    common = F.size(F.array_intersect(F.col("w")[0], F.col("w")[1]))
+    match = two.where(DEN * common >= NUM * (F.size(F.col("w")[0]) + F.size(F.col("w")[1]) - common)).select("sig_a", "sig_b")
+    both = match.select(F.explode(F.array(F.struct(F.col("sig_a").alias("sig"), F.col("sig_b").alias("other")), F.struct(F.col("sig_b").alias("sig"), F.col("sig_a").alias("other")))).alias("m")).select("m.*")
     other = both.join(first.select(F.col("sig").alias("other"), F.col("first").alias("theirs")), "other").groupBy("sig").agg(F.min("theirs").alias("theirs"))
     since = first.join(other, "sig", "left").where("n > 1 or theirs is not null").select("sig", F.least("first", "theirs").alias("since"))
     gone = lines.join(since, "sig").where(place > F.col("since")).select("doc_id", "mark", "line")
     return gone.groupBy("doc_id", "mark").agg(F.collect_set("line").alias("lines"))  # lines of one document
 
 
+def _by_document(keyed: DataFrame) -> DataFrame:
+    """The texts dealt by document: read by the verification and the removal, moved once."""
+    return keyed.repartition(width(keyed.sparkSession), "doc_id", "mark")
+
+
 def dedup(docs: DataFrame) -> DataFrame:
     """All rows and columns of docs, ``text`` without the lines that go, and n_lines, n_removed (and n_chars, if docs has it) to match.
 
@@ -181,10 +194,12 @@ def dedup(docs: DataFrame) -> DataFrame:
     null. Rows of the same doc_id and text are one place: neither goes for the other. A null doc_id comes before all others.
     """
     own = docs.columns
-    keyed = docs.select(F.struct(*own).alias("_row"), F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
-    gone = removed_lines(keyed.select("doc_id", "mark", "text"))
+    rest = [c for c in own if c != "text"]
+    keyed = docs.select(F.struct(*rest).alias("_row"), F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
+    gone = removed_lines(keyed)
     cut = F.split("text", "\n")
     kept = F.expr("array_join(transform(array_except(sequence(0, size(_cut) - 1), lines), i -> _cut[i]), '\n')")
-    out = keyed.join(gone, ["doc_id", "mark"], "left").withColumn("_cut", F.when(F.col("lines").isNotNull(), cut)).withColumn("_text", F.when(F.col("lines").isNull(), F.col("text")).otherwise(kept))
+    out = _by_document(keyed).join(gone, ["doc_id", "mark"], "left").withColumn("_cut", F.when(F.col("lines").isNotNull(), cut)).withColumn("_text", F.when(F.col("lines").isNull(), F.col("text")).otherwise(kept))
     values = [F.col("_text").alias(c) if c == "text" else F.when(F.col("lines").isNull(), F.col(f"_row.{c}")).otherwise(F.length("_text").cast("long")).alias(c) if c == "n_chars" else F.col(f"_row.{c}").alias(c) for c in own]
-    return out.select(*values, F.coalesce(F.size(cut), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.when(F.col("lines").isNotNull(), F.size("lines")), F.lit(0)).cast("long").alias("n_removed"))
+    breaks = F.length("text") - F.length(F.translate("text", "\n", "")) + 1
+    return out.select(*values, F.coalesce(breaks, F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.when(F.col("lines").isNotNull(), F.size("lines")), F.lit(0)).cast("long").alias("n_removed"))

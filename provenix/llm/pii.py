@@ -22,7 +22,7 @@ from provenix.llm.common import pieces
 KINDS = ("email", "ip", "card", "phone")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")  # a match always begins where its digits do; looking behind keeps it linear
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 # Letters of other scripts that look like ASCII ones, in the order of the ASCII letters beside them.
@@ -42,8 +42,9 @@ SPELLED_RUN = re.compile(rf"(?<!\w)(?:(?:plus[\s,-]+)?{_NUMBER}|\+?[0-9]+)(?:[\s
 SPELLED_ONE = re.compile(rf"{_NUMBER}|plus|[0-9]", re.I)
 AT = re.compile(r"\s*(?:[\[({<]\s*(?:at|@)\s*[\])}>])\s*|\s+(?:_at_|-at-)\s+", re.I)
 DOT = re.compile(r"\s*(?:[\[({<]\s*(?:dot|punkt|punto|point|\.)\s*[\])}>])\s*", re.I)
-# words on both sides: name at host dot domain
-WORDY = re.compile(r"(?<![\w.%+-])([A-Za-z0-9](?:[A-Za-z0-9._%+-]|\s+dot\s+(?=[A-Za-z0-9])){0,63})\s+at\s+((?:[A-Za-z0-9-]+\s+dot\s+){1,4}[A-Za-z]{2,24})(?![\w-])", re.I)
+# words on both sides: name at host dot domain, with a common top-level domain, since "at" and "dot" are words too
+TOP_LEVEL = "com|org|net|edu|gov|info|biz|dev|app|io|co|eu|uk|de|fr|es|it|nl|ch|at|be|pl|us|ca|au|jp|in|br|mx"
+WORDY = re.compile(r"(?<![\w.%+-])([A-Za-z0-9](?:[A-Za-z0-9._%+-]|\s+dot\s+(?=[A-Za-z0-9])){0,63})\s+at\s+((?:[A-Za-z0-9-]+\s+dot\s+){1,4}(?:" + TOP_LEVEL + r"))(?![\w-])", re.I)
 
 
 def luhn(digits: str) -> bool:

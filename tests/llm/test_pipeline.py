@@ -1,0 +1,33 @@
+"""The corpus pipeline on a small table: every stage's decisions against brute force, and the whole run."""
+
+from __future__ import annotations
+
+import corpus_pipeline
+from provenix.llm import quality
+
+DIR = "/root/testdata/sf0.001"
+
+
+def test_stages_keep_columns_and_decide(spark):
+    docs = spark.read.parquet(f"{DIR}/documents.parquet")
+    bench = {r.item_id: r.text for r in spark.read.parquet(f"{DIR}/benchmark.parquet").collect()}
+    verdict = {r.doc_id: r.kept for r in quality.judged(docs).collect()}
+    at = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = {r.doc_id: r.text for r in at.collect()}
+        at = stage(spark, at, DIR)
+        assert at.columns == docs.columns, name
+        after = {r.doc_id: r.text for r in at.collect()}
+        assert set(after) <= set(before)
+        if name == "quality rules":
+            assert set(after) == {d for d in before if verdict[d]}
+        if name == "line dedup":
+            assert set(after) == set(before) and all(set((after[d] or "").split("\n")) <= set(before[d].split("\n")) | {""} for d in after)
+        if name == "benchmark decontamination":
+            assert set(after) == {d for d, t in before.items() if not any(x in t for x in bench.values())}
+        at = spark.createDataFrame(at.collect(), at.schema)
+
+
+def test_run(spark):
+    got = corpus_pipeline.run(spark, DIR)
+    assert got.count() > 0 and {"doc_id", "piece", "sequence_id", "offset", "length"} <= set(got.columns)
