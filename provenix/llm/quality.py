@@ -157,7 +157,8 @@ def keep_good(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     names = [f"_v_{k}" for k in votes]
     own = docs.columns
     boxed = docs.select(F.struct(*own).alias("_row"), F.col("text"))
-    read = with_measures(boxed).select("_row", base_failed().alias("_failed"), *(c.alias(f"_v_{k}") for k, c in votes.items()))
+    # generated, so that the filter below is not pushed into the measures, which would repeat them once for each mention
+    read = with_measures(boxed).select("_row", F.inline(F.array(F.struct(base_failed().alias("_failed"), *(c.alias(f"_v_{k}") for k, c in votes.items())))))
     seen = read.groupBy(*names).agg(F.count(F.lit(1)).alias("n")).collect()
     if not seen:
         return docs
