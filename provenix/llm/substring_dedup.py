@@ -264,12 +264,12 @@ def kept_sha256(text: str) -> str:
 
 
 ORACLE = r"""
-with w as (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') w from documents),
+with w as (select doc_id, [x for x in regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+') if x <> ''] w from documents),
 k as (select doc_id, i, array_to_string(w[i:i + 34], ' ') s from w, unnest(range(1, len(w) - 33)) r(i) where len(w) >= 35),
 r as (select s from k group by s having count(*) > 1),
 g as (select distinct doc_id, i + j p from k join r using (s), unnest(range(35)) u(j)),
 n as (select doc_id, list(p) g from g group by doc_id)
 select doc_id, cast(len(w) as bigint) n_words, cast(len(coalesce(g, [])) as bigint) n_removed,
-  sha256(coalesce(array_to_string(list_filter(w, (x, i) -> not list_contains(coalesce(g, []), i)), ' '), '')) kept_sha256
+  sha256(coalesce(array_to_string([w[i] for i in range(1, len(w) + 1) if not list_contains(coalesce(g, []), i)], ' '), '')) kept_sha256
 from w left join n using (doc_id)
 """
