@@ -43,6 +43,18 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["o66_status_counts"](spark, sf_dir)
 
 
+def _folder(spark: SparkSession, kind: str) -> str:
+    """A new folder that all executors share; a temporary one only in a local session without such a setting."""
+    root = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or (tempfile.mkdtemp(prefix="spark-") if spark.sparkContext.master.startswith("local") else spark.conf.get("spark.sql.warehouse.dir"))
+    return f"{root}/{kind}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, kind: str) -> DataFrame:
+    """A derived table, written once to the shared folder and read by all that follows from it."""
+    df.write.parquet(path := f"{_folder(df.sparkSession, kind)}/table")
+    return df.sparkSession.read.parquet(path)
+
+
 def results_of(v) -> DataFrame:
     return reconcile.classify(v("population_items"), v("receipts"), v("confirmations"), v("proposals"))
 
@@ -117,9 +129,9 @@ def o66_roll_up(v):
 
 @query(RESULTS + "select population_ref, destination_record_id, case when substr(destination_record_id, -1) = '3' then 'changed' else status end status, 'stored' side from results where substr(destination_record_id, -1) = '3' union all select population_ref, destination_record_id, status, 'rebuilt' from results where substr(destination_record_id, -1) = '3'", *R_VIEWS)
 def o67_replay_difference(v):
-    rebuilt = results_of(v).select("population_ref", "destination_record_id", "status")
-    stored = rebuilt.withColumn("status", F.when(F.col("destination_record_id").endswith("3"), "changed").otherwise(F.col("status")))
-    return reconcile.replay_difference(stored, rebuilt)
+    rebuilt = stored(results_of(v).select("population_ref", "destination_record_id", "status"), "results")
+    kept = rebuilt.withColumn("status", F.when(F.col("destination_record_id").endswith("3"), "changed").otherwise(F.col("status")))
+    return reconcile.replay_difference(kept, rebuilt)
 
 
 @query(RESULTS + """, c as (select tenant_id, population_ref, 10000 * count(*) filter (where status like 'unmatched%') // count(*) rate from results group by all)
@@ -152,7 +164,7 @@ def o94_covered(v):
 left join (select tenant_id, window_ref, cast(sum(epoch_us(gap_end) - epoch_us(gap_start)) as bigint) g from merged group by all) using (tenant_id, window_ref)
 left join (select tenant_id, window_ref, cast(sum(epoch_us(covered_end) - epoch_us(covered_start)) as bigint) c from covered group by all) using (tenant_id, window_ref)""", "gaps", "windows")
 def o95_partition_audit(v):
-    merged = intervals.merge(v("gaps"), WINDOW)
+    merged = stored(intervals.merge(v("gaps"), WINDOW), "merged")
     return intervals.partition_audit(v("windows"), merged, intervals.complement(v("windows"), merged, WINDOW), WINDOW)
 
 
@@ -303,8 +315,8 @@ def gaps_by_population(v) -> DataFrame:
 
 
 def report_of(v) -> DataFrame:
-    results = results_of(v)
-    return coverage.report(results, facts_of(v, results), v("populations"), qualify.in_force(windows_of(v), v("qualifications")), gaps_by_population(v))
+    results = stored(results_of(v), "results")
+    return coverage.report(results, stored(facts_of(v, results), "facts"), v("populations"), qualify.in_force(windows_of(v), v("qualifications")), gaps_by_population(v))
 
 
 REPORT = FACTS + ", " + CLEAN[5:] + """, pg as (select population_ref, window_start + interval '3' day gs, window_start + interval '6' day ge from populations where signed_count % 2 = 0),
@@ -548,12 +560,12 @@ def outcome_counts(v) -> DataFrame:
 
 @query()
 def o121_assertions(v):
-    return attest.assertions(report_of(v), attest.oversight(required_of(v), v("human_reviews")), outcome_counts(v))
+    return attest.assertions(stored(report_of(v), "report"), stored(attest.oversight(required_of(v), v("human_reviews")), "oversight"), outcome_counts(v))
 
 
 @query()
 def o122_exclusions(v):
-    return attest.exclusions(report_of(v), attest.oversight(required_of(v), v("human_reviews")), v("populations"))
+    return attest.exclusions(stored(report_of(v), "report"), stored(attest.oversight(required_of(v), v("human_reviews")), "oversight"), v("populations"))
 
 
 AS_OF = "1998-08-01 00:00:00"
@@ -621,7 +633,7 @@ select bundle_id, case when code is null then 'verified' when code in ('expired'
 
 @query(BUNDLES, *R_VIEWS, "populations", "attestations")
 def o136_bundle_verdicts(v):
-    return verify.verdicts(bundles_of(v))
+    return verify.verdicts(stored(bundles_of(v), "bundles"))
 
 
 @query("""select attestation_id, case when h = 404 then 'valid' when h <> 200 or not coalesce(ok, false) then 'unchecked' when effective_at > timestamp '1998-08-01' then 'pending' else st end revocation from
@@ -717,12 +729,6 @@ def o144_outage_episodes(v):
     return streaming.outage_episodes(v("refusals"))
 
 
-def _folder(spark: SparkSession, kind: str) -> str:
-    """A new folder that all executors share; a temporary one only in a local session without such a setting."""
-    root = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or (tempfile.mkdtemp(prefix="spark-") if spark.sparkContext.master.startswith("local") else spark.conf.get("spark.sql.warehouse.dir"))
-    return f"{root}/{kind}-{uuid.uuid4().hex}"
-
-
 def _stream_of(v, name: str, kind: str) -> DataFrame:
     df = v(name)
     df.write.parquet(path := f"{_folder(df.sparkSession, kind)}/in")
