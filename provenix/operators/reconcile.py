@@ -6,7 +6,7 @@ many receipts is reduced on the map side.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 STATUSES = ("matched", "unmatched_with_evidence", "unmatched_without_evidence", "duplicate", "ambiguous", "out_of_scope")
@@ -46,32 +46,47 @@ def duplicate_records(items: DataFrame, confirmations: DataFrame) -> DataFrame:
     return single.join(twins, [*SCOPE, "population_ref", "content"]).select(*ITEM, "content", "n_twins")
 
 
+def evidence_by_action(items: DataFrame, receipts: DataFrame, confirmations: DataFrame) -> DataFrame:
+    """By enumerated record and action: how many receipts and confirmations, and what the confirmations say. Both sides are
+    one table here, counted by record and action before it meets the populations."""
+    key = [*SCOPE, "destination_record_id", "action_id"]
+    none = F.lit(None).cast("string")
+    r = receipts.select(*key, F.lit(1).alias("r"), none.alias("record_id"), none.alias("destination_record_digest"), none.alias("destination_system"))
+    c = confirmations.select(*key, F.lit(0).alias("r"), "record_id", "destination_record_digest", "destination_system")
+    each = r.unionByName(c).groupBy(*key).agg(
+        F.sum("r").alias("n_r"), (F.count(F.lit(1)) - F.sum("r")).alias("n_c"), F.min("record_id").alias("confirmation_record"), F.min("destination_record_digest").alias("content"),
+        F.min("destination_system").alias("low_system"), F.max("destination_system").alias("high_system"),
+    )
+    own = items.select(*ITEM, "action_family", F.col("destination_system").alias("own_system"))
+    return each.join(own, [*SCOPE, "destination_record_id"]).withColumn("other_system", (F.col("low_system") != F.col("own_system")) | (F.col("high_system") != F.col("own_system"))).drop("low_system", "high_system", "own_system")
+
+
 def classify(items: DataFrame, receipts: DataFrame, confirmations: DataFrame, proposals: DataFrame) -> DataFrame:
     """One row for each enumerated record: status, action_id, confirmation_record_id.
 
     Order of decision: out of scope, ambiguous, duplicate, matched, unmatched with evidence, unmatched without. The action is
     kept only where exactly one receipt names it and the record is not ambiguous; the confirmation only for duplicates and matches.
+
+    The rows are dealt by action once (proposals, and records one action spans), by record once, by content once.
     """
-    facts = items.join(receipt_facts(items, receipts), ITEM, "left").join(confirmation_facts(items, confirmations), ITEM, "left")
     by_action = proposals.groupBy(*SCOPE, "action_id").agg(F.count(F.lit(1)).alias("n_proposals"), F.min("action_family").alias("low"), F.max("action_family").alias("high"))
-    links = (
-        in_scope_receipts(items, receipts).select(*ITEM, "action_id")
-        .unionByName(confirmations.join(items.select(*ITEM), [*SCOPE, "destination_record_id"]).select(*ITEM, "action_id")).distinct()
-    )
-    spans = spanning_actions(items, receipts).select(*SCOPE, "population_ref", "action_id", F.lit(True).alias("spans"))
-    linked = (
-        links.join(by_action, [*SCOPE, "action_id"], "left").join(spans, [*SCOPE, "population_ref", "action_id"], "left")
-        .groupBy(*ITEM).agg(F.min("low").alias("low"), F.max("high").alias("high"), F.max("n_proposals").alias("most_proposals"), F.sum("n_proposals").alias("all_proposals"), F.bool_or(F.coalesce("spans", F.lit(False))).alias("spans"))
+    named = evidence_by_action(items, receipts, confirmations).join(by_action, [*SCOPE, "action_id"], "left")
+    same = Window.partitionBy(*SCOPE, "population_ref", "action_id")
+    got = F.col("n_r") > 0
+    spans = F.sum(got.cast("int")).over(same) > 1
+    facts = named.withColumn("spans", spans).groupBy(*ITEM).agg(
+        F.sum("n_r").alias("nr"), F.sum("n_c").alias("nc"), F.min(F.when(got, F.col("action_id"))).alias("receipt_action"), F.min(F.when(F.col("n_c") > 0, F.col("action_id"))).alias("confirmation_action"),
+        F.min("confirmation_record").alias("confirmation_record"), F.min("content").alias("content"), F.coalesce(F.bool_or("other_system"), F.lit(False)).alias("other_system"),
+        F.coalesce(F.bool_or((F.col("low") != F.col("action_family")) | (F.col("high") != F.col("action_family"))), F.lit(False)).alias("other_family"),
+        F.coalesce(F.max("n_proposals"), F.lit(0)).alias("most_proposals"), F.bool_or("spans").alias("spans"), F.max(F.when(got, F.col("n_proposals"))).alias("own_proposals"), F.max(F.when(got, F.col("low"))).alias("own_family"),
     )
-    twins = duplicate_records(items, confirmations).select(*ITEM, F.lit(True).alias("twin"))
-    own = by_action.select(*SCOPE, F.col("action_id").alias("receipt_action"), F.col("n_proposals").alias("own_proposals"), F.col("low").alias("own_family"))
-    every = facts.join(linked, ITEM, "left").join(twins, ITEM, "left").join(own, [*SCOPE, "receipt_action"], "left")
-    outside = F.coalesce(F.col("other_system"), F.lit(False)) | F.coalesce((F.col("low") != F.col("action_family")) | (F.col("high") != F.col("action_family")), F.lit(False))
-    nr, nc = F.coalesce("n_receipts", F.lit(0)), F.coalesce("n_confirmations", F.lit(0))
-    ambiguous = (nr > 1) | (nc > 1) | (F.coalesce("most_proposals", F.lit(0)) > 1) | F.coalesce("spans", F.lit(False))
+    single = (F.col("nc") == 1) & ~F.col("other_system")
+    twins = F.count_if(single).over(Window.partitionBy(*SCOPE, "population_ref", F.when(single, F.col("content")).otherwise(F.col("destination_record_id"))))
+    every = items.join(facts.withColumn("twin", single & (twins > 1)), ITEM, "left")
+    nr, nc = F.coalesce("nr", F.lit(0)), F.coalesce("nc", F.lit(0))
     matched = (nr == 1) & (nc == 1) & (F.col("receipt_action") == F.col("confirmation_action")) & (F.col("own_proposals") == 1) & (F.col("own_family") == F.col("action_family"))
     status = (
-        F.when(outside, "out_of_scope").when(ambiguous, "ambiguous").when(F.coalesce("twin", F.lit(False)), "duplicate")
+        F.when(F.col("other_system") | F.col("other_family"), "out_of_scope").when((nr > 1) | (nc > 1) | (F.col("most_proposals") > 1) | F.col("spans"), "ambiguous").when(F.col("twin"), "duplicate")
         .when(F.coalesce(matched, F.lit(False)), "matched").when(nr > 0, "unmatched_with_evidence").otherwise("unmatched_without_evidence")
     )
     return every.withColumn("status", status).select(
@@ -105,8 +120,6 @@ def replay_difference(stored: DataFrame, rebuilt: DataFrame) -> DataFrame:
 
 def unmatched_rate(results: DataFrame, populations: DataFrame, trailing: int = 6) -> DataFrame:
     """Share of unmatched records in ten-thousandths, and its mean over the tenant's ``trailing`` earlier windows (whole numbers, truncated)."""
-    from pyspark.sql import Window
-
     rate = counts(results, *SCOPE, "population_ref").withColumn("rate", F.expr("10000 * (unmatched_with_evidence + unmatched_without_evidence) div n"))
     before = Window.partitionBy(*SCOPE).orderBy("window_start", "population_ref").rowsBetween(-trailing, -1)
     joined = rate.join(populations.select(*SCOPE, "population_ref", "window_start"), [*SCOPE, "population_ref"])
