@@ -762,3 +762,90 @@ def o147_alert_counts(v):
 @query()
 def o148_correlation(v):
     return _drained(streaming.correlate(_stream_of(v, "receipts", "receipts"), _stream_of(v, "confirmations", "confirmations")), "correlated")
+
+
+@query("""with f as (select *, first_value(record_id) over (partition by tenant_id, stream_id, sequence order by submission_id) pr, first_value(wire_digest) over (partition by tenant_id, record_id order by submission_id) iw,
+row_number() over (partition by tenant_id, stream_id, sequence order by submission_id) np, row_number() over (partition by tenant_id, record_id order by submission_id) ni from submissions)
+select tenant_id, outcome, count(*) n from (select tenant_id, case when np = 1 and ni = 1 then 'accept' when pr <> record_id then 'fork' when iw = wire_digest then 'replay' else 'content_substitution' end outcome from f) where outcome in ('fork', 'content_substitution') group by all""", "submissions")
+def o05_integrity_events(v):
+    done = ingest.classify_in_order(v("submissions"))
+    ledger.append_events(done, path := f"{_folder(done.sparkSession, 'events')}/table")
+    return done.sparkSession.read.parquet(path).groupBy("tenant_id", "outcome").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("select tenant_id, count(*) n, max(sequence) top from stream_base group by 1", "stream_base")
+def o03_ledger_write(v):
+    rows = validate.project(wires(v))
+    ledger.append(rows, path := f"{_folder(rows.sparkSession, 'ledger')}/table")
+    return ledger.ledger(rows.sparkSession, path).groupBy("tenant_id").agg(F.count(F.lit(1)).alias("n"), F.max("sequence").alias("top"))
+
+
+@query("select event_id, concat('a', cast(event_id as string)) action_id, sequence + 1 sequence from stream_base", "stream_base")
+def o14_projection_rebuild(v):
+    w = wires(v)
+    stored_ = w.select("event_id", *(c.alias(k) for k, c in validate.projection().items() if k != "record_id"), "record_id", "wire").withColumn("action_id", F.lit("lost")).withColumn("sequence", F.col("sequence") + 1)
+    return validate.rebuild(stored_).select("event_id", "action_id", "sequence")
+
+
+@query("select event_id from stream_base where event_id % 20 = 0", "stream_base")
+def o15_digest_audit(v):
+    right = F.concat(F.lit("sha256:"), F.sha2(F.col("wire").cast("binary"), 256))
+    w = wires(v).withColumn("record_digest", F.when(F.col("event_id") % 20 == 0, "sha256:0").otherwise(right))
+    return validate.digest_audit(w, "wire", "record_digest").select("event_id")
+
+
+@query("select event_id, concat(cast(event_id % 3 as string), '.0.0') schema_version from stream_base where event_id % 3 <> 1", "stream_base")
+def o19_published_versions(v):
+    r = v("stream_base").withColumn("schema_version", F.concat((F.col("event_id") % 3).cast("string"), F.lit(".0.0")))
+    registry = r.select("schema_version").distinct().withColumn("status", F.when(F.col("schema_version") == "1.0.0", "published").otherwise("reserved"))
+    return validate.published(r, registry).select("event_id", "schema_version")
+
+
+@query("select event_id, case when event_id % 3 = 0 then 'parameters_in_cleartext' else 'never_captured_field' end reason from stream_base where event_id % 3 = 0 or event_id % 5 = 0", "stream_base")
+def o23a_cleartext(v):
+    e = F.col("event_id")
+    body = F.concat(F.lit('{"body":{"action_family":"order.create"'), F.when(e % 3 == 0, ',"parameters":{"x":1}').otherwise(""), F.when(e % 5 == 0, ',"password":"y"').otherwise(""), F.lit("}}"))
+    r = v("stream_base").withColumn("wire", body)
+    return validate.cleartext(r, v("populations").select("action_family").distinct(), ("password", "secret")).select("event_id", "reason")
+
+
+@query("""select population_ref, concat_ws(',', case when signed_count % 3 = 0 then 'retrieved_at_differs' end, case when signed_count % 4 = 0 then 'before_settlement' end, case when signed_count % 6 = 5 then 'after_observation' end) codes from populations""", "populations")
+def o42_observation_audit(v):
+    n, end = F.col("signed_count"), F.col("window_end")
+    p = v("populations").withColumn("eligible_at", end).withColumn("source_time", F.when(n % 4 == 0, end - F.expr("interval 1 hour")).otherwise(end + F.expr("interval 1 hour")))
+    p = p.withColumn("retrieved_at", F.when(n % 3 == 0, end).otherwise(F.col("source_time"))).withColumn("observed_at", F.when(n % 6 == 5, F.col("source_time") - F.expr("interval 1 minute")).otherwise(F.col("source_time")))
+    return population.observation_audit(p).select("population_ref", F.array_join("codes", ",").alias("codes"))
+
+
+@query("""select population_ref, case when p.signed_count % 10 = 0 then 'boundary_missing' when p.signed_count % 7 = 0 then 'window_outside_boundary' when p.signed_count % 3 = 0 then 'family_undeclared' when exists (select 1 from qualifications q where q.tenant_id = p.tenant_id) then 'bound' else 'unqualified' end state from populations p""", "populations", "qualifications")
+def o40_binding(v):
+    n = F.col("signed_count")
+    p = v("populations").withColumn("boundary_ref", F.col("population_ref"))
+    b = p.where(n % 10 != 0).select("tenant_id", "boundary_ref", "window_start", F.when(n % 7 == 0, F.expr("window_end - interval 1 day")).otherwise(F.col("window_end")).alias("window_end"))
+    return population.binding(p, b, p.where(n % 3 != 0), v("qualifications")).select("population_ref", "state")
+
+
+@query("select gap_id from gaps where gap_id % 4 = 0", "gaps")
+def o133_gap_omission(v):
+    g = v("gaps").withColumn("bundle_id", F.col("gap_id").cast("string"))
+    return verify.gap_omission(g.where("gap_id % 4 <> 0"), g).select(F.col("bundle_id").cast("long").alias("gap_id"))
+
+
+@query("select attestation_id bundle_id from attestations join populations using (population_ref) where signed_count % 13 > 9", "attestations", "populations")
+def o134_assertion_catalogue(v):
+    n = F.col("signed_count") % 13 + 1
+    a = v("attestations").join(v("populations").select("population_ref", "signed_count"), "population_ref").select(F.col("attestation_id").alias("bundle_id"), F.concat(F.lit("A-"), F.lpad(n.cast("string"), 2, "0")).alias("assertion_id"))
+    return verify.assertion_check(a).select("bundle_id")
+
+
+@query("""select attestation_id, arg_max(case when s = 1 then 'pending' when s % 2 = 0 then 'delivered' else 'failed' end, s) status, max(s) sequence from revocations, (select distinct r_regionkey + 1 s from region) t where s <= length(attestation_id) % 5 + 1 group by 1""".replace("from revocations,", "from (select distinct attestation_id from revocations) q,"), "revocations")
+def o126_latest_notification(v):
+    r = v("revocations").select("tenant_id", F.col("attestation_id").alias("notification_id")).distinct()
+    log = r.withColumn("sequence", F.explode(F.sequence(F.lit(1), F.length("notification_id") % 5 + 1))).withColumn("status", F.when(F.col("sequence") == 1, "pending").when(F.col("sequence") % 2 == 0, "delivered").otherwise("failed"))
+    return attest.latest_notification(log).select(F.col("notification_id").alias("attestation_id"), "status", "sequence")
+
+
+@query("select boundary_ref, claimed_class, case when claimed_class in ('c1', 'c2') then 'reconciled' when claimed_class = 'c3' then 'enforced' else 'observed' end level, count(*) n from attestations group by all", "attestations")
+def o75_lattice(v):
+    a = v("attestations")
+    return a.withColumn("level", qualify.admissible_level(F.col("claimed_class"))).groupBy("boundary_ref", "claimed_class", "level").agg(F.count(F.lit(1)).alias("n"))
