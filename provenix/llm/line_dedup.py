@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 from provenix.llm.common import pieces, settle, width
 from provenix.llm.words import U, Words, mix, runs
 
-LEAST = 5  # words a line must have to be judged
+LEAST = 5  # words a line must have to be judged, if the caller names no other number
 NUM, DEN = 4, 5  # Jaccard of 0.8
+ALONE = 4  # sets of fewer words match equal sets only: 3 of 4 is under 0.8, but 4 of 5 is not
 TABLE = 1 << 18  # entries of the count table
 SLICES = 64
 TOP = (1 << 16) - 1
@@ -95,13 +96,13 @@ class LineSets:
         assert n_rows >= 0
 
 
-def _prefixes(docs: DataFrame, table) -> DataFrame:
-    """(tok, sig, info): the prefix words of every distinct word set; info packs bitmap, size and position."""
+def _prefixes(docs: DataFrame, table, least: int) -> DataFrame:
+    """(tok, sig, info): the prefix words of every distinct word set that can match another; info packs bitmap, size and position."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent = np.zeros(0, U)
         for batch in pieces(batches, most=8 << 20):
-            s = LineSets(batch.column(0), table.value)
+            s = LineSets(batch.column(0), table.value, max(least, ALONE))
             _, one = np.unique(s.sig, return_index=True)
             one = one[~np.isin(s.sig[one], sent)]
             sent = np.concatenate([sent, s.sig[one]]) if len(sent) < SENT else s.sig[one]
@@ -131,25 +132,25 @@ def _candidates(prefixes: DataFrame) -> DataFrame:
     return a.join(b, "tok").where(fits).select("sig_a", "sig_b").distinct()
 
 
-def _lines(docs: DataFrame) -> DataFrame:
+def _lines(docs: DataFrame, least: int) -> DataFrame:
     """(sig, doc_id, mark, line) of every line that is judged."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, most=8 << 20):
-            s = LineSets(batch.column(1), None)
+            s = LineSets(batch.column(1), None, least)
             rows = pa.array(s.row)
             yield pa.RecordBatch.from_arrays([pa.array(s.sig.view(np.int64)), batch.column(0).take(rows), batch.column(2).take(rows), pa.array(s.line, pa.int32())], ["sig", "doc_id", "mark", "line"])
 
     return docs.select("doc_id", "text", "mark").mapInArrow(run, "sig long, doc_id long, mark long, line int")
 
 
-def _word_sets(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
+def _word_sets(keyed: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
     """wanted(sig, doc_id, mark, line) -> (sig, words): the word set of each wanted line."""
     asked = wanted.groupBy("doc_id", "mark").agg(F.collect_set("line").alias("lines"))  # lines of one document
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text", most=8 << 20):
-            s = LineSets(batch.column(0), None)
+            s = LineSets(batch.column(0), None, least)
             asked_of = [set(x) for x in batch.column(1).to_pylist()]
             hit = [i for i, (r, k) in enumerate(zip(s.row.tolist(), s.line.tolist())) if k in asked_of[r]]
             tokens = s.tokens.view(np.int64)
@@ -161,16 +162,16 @@ def _word_sets(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.groupBy("sig").agg(F.first("words").alias("words"))  # equal sets, whichever copy is read
 
 
-def removed_lines(keyed: DataFrame) -> DataFrame:
+def removed_lines(keyed: DataFrame, least: int = LEAST) -> DataFrame:
     """keyed(doc_id, mark, text, _row), dealt by document -> (doc_id, mark, lines): the numbers of the lines that go, from 0."""
     read = keyed.select("doc_id", "mark", "text")
     table = keyed.sparkSession.sparkContext.broadcast(_counts(read))  # 256 KB whatever the corpus
-    lines = settle(_lines(read))
-    pairs = settle(_candidates(_prefixes(read, table)))
+    lines = settle(_lines(read, least))
+    pairs = settle(_candidates(_prefixes(read, table, least)))
     place = F.struct("doc_id", "mark", "line")
     first = lines.groupBy("sig").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
     ends = pairs.select(F.col("sig_a").alias("sig")).unionByName(pairs.select(F.col("sig_b").alias("sig"))).distinct()
-    sets = _word_sets(_by_document(keyed), first.join(ends, "sig").select("sig", "first.doc_id", "first.mark", "first.line"))
+    sets = _word_sets(_by_document(keyed), first.join(ends, "sig").select("sig", "first.doc_id", "first.mark", "first.line"), least)
     sides = pairs.select("sig_a", "sig_b", F.explode(F.array("sig_a", "sig_b")).alias("sig")).join(sets, "sig")
     two = sides.groupBy("sig_a", "sig_b").agg(F.collect_list("words").alias("w"))  # the two sets of a pair
     common = F.size(F.array_intersect(F.col("w")[0], F.col("w")[1]))
@@ -187,16 +188,16 @@ def _by_document(keyed: DataFrame) -> DataFrame:
     return keyed.repartition(width(keyed.sparkSession), "doc_id", "mark")
 
 
-def dedup(docs: DataFrame) -> DataFrame:
+def dedup(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """All rows and columns of docs, ``text`` without the lines that go, and n_lines, n_removed (and n_chars, if docs has it) to match.
 
-    Lines of under five different words are not judged and stay. Lines are cut at \\n; what is kept is joined by \\n. A null text stays
+    Lines of under ``least`` different words are not judged and stay; with 1, every line that has a word is judged. Lines are cut at \\n; what is kept is joined by \\n. A null text stays
     null. Rows of the same doc_id and text are one place: neither goes for the other. A null doc_id comes before all others.
     """
     own = docs.columns
     rest = [c for c in own if c != "text"]
     keyed = docs.select(F.struct(*rest).alias("_row"), F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
-    gone = removed_lines(keyed)
+    gone = removed_lines(keyed, least)
     cut = F.split("text", "\n")
     kept = F.expr("array_join(transform(array_except(sequence(0, size(_cut) - 1), lines), i -> _cut[i]), '\n')")
     out = _by_document(keyed).join(gone, ["doc_id", "mark"], "left").withColumn("_cut", F.when(F.col("lines").isNotNull(), cut)).withColumn("_text", F.when(F.col("lines").isNull(), F.col("text")).otherwise(kept))

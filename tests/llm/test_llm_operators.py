@@ -13,6 +13,7 @@ from collections import Counter, defaultdict
 import pytest
 import xxhash
 
+import corpus_pipeline
 from provenix.llm import components, decontam, html_text, line_dedup, packing, pii, quality, simhash, substring_dedup, url_filter, warc
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -162,6 +163,26 @@ def test_line_dedup(spark):
     assert line_dedup.dedup(empty(spark)).count() == 0
 
 
+def test_line_dedup_judges_short_lines(spark):
+    r = random.Random(12)
+    some = ["\n".join(" ".join(r.choice("abcdefghij") for _ in range(r.randint(0, 7))) for _ in range(8)) for _ in range(30)]
+    values = ["All rights reserved.\none two three four\n\nx", "intro of a text\nAll rights reserved.\nx", "one two three four five\nx y", *some]
+    lines, gone = [], set()
+    for i, t in enumerate(values):
+        for k, x in enumerate(t.split("\n")):
+            if w := frozenset(words(x)):
+                if any(5 * len(w & v) >= 4 * len(w | v) for v in lines):
+                    gone.add((i, k))
+                lines.append(w)
+    df = spark.createDataFrame(list(enumerate(values)), "doc_id long, text string").repartition(3)
+    want = {i: "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in gone) for i, t in enumerate(values)}
+    assert {r.doc_id: r.text for r in line_dedup.dedup(df, least=1).collect()} == want
+    assert {(1, 1), (1, 2), (2, 0)} <= gone  # equal short lines, and four words of five
+    own = spark.createDataFrame([(1, "Home\nAbout us"), (2, "About us\nNews")], "doc_id long, text string")
+    _, stage = next(s for s in corpus_pipeline.STAGES if s[0] == "line dedup")
+    assert {r.doc_id: r.text for r in stage(spark, own, "").collect()} == {1: "Home\nAbout us", 2: "News"}
+
+
 def test_decontamination(spark):
     bench = spark.createDataFrame(
         [(1, "Today Alice has 12 apples and gives Bob 5 apples in 3 days. How many apples does Alice keep now?"), (2, "la maison est très grande et le jardin aussi est très beau"), (3, None), (4, ""), (5, "too short")], "item_id long, text string"
