@@ -91,7 +91,8 @@ def majority(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprints_of(column: pa.Array, shingle: int) -> np.ndarray:
+def shingles_of(column: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the word shingles of all texts, one text after another, and how many each has; a shorter text is one shingle."""
     words = Words(column)
     data, starts, ends = words.joined(lower=True)
     n = np.diff(words.first)
@@ -100,7 +101,11 @@ def fingerprints_of(column: pa.Array, shingle: int) -> np.ndarray:
     owner = np.repeat(np.arange(len(n)), count)
     at = first[owner] + np.arange(len(owner)) - np.repeat(np.concatenate(([0], np.cumsum(count)[:-1])) if len(count) else count, count)
     last = at + np.minimum(n[owner], shingle) - 1
-    return majority(xxh64_spans(data, starts[at], ends[last]), count)
+    return xxh64_spans(data, starts[at], ends[last]), count
+
+
+def fingerprints_of(column: pa.Array, shingle: int) -> np.ndarray:
+    return majority(*shingles_of(column, shingle))
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:

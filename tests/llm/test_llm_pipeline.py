@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import random
+
 import corpus_pipeline
-from provenix.llm import quality
+from provenix.llm import near_copies, quality
 
 DIR = "/root/testdata/sf0.001"
 
@@ -31,3 +33,42 @@ def test_stages_keep_columns_and_decide(spark):
 def test_run(spark):
     got = corpus_pipeline.run(spark, DIR)
     assert got.count() > 0 and {"doc_id", "piece", "sequence_id", "offset", "length"} <= set(got.columns)
+
+
+def test_near_dedup_finds_planted_near_copies(spark):
+    r = random.Random(5)
+    vocab = [f"v{i}" for i in range(3000)]
+    draw = lambda n: [r.choice(vocab) for _ in range(n)]
+
+    def edited(words: list[str], n: int) -> list[str]:
+        words = list(words)
+        for at in r.sample(range(len(words)), n):
+            words[at] = r.choice(vocab)
+        return words
+
+    values = [draw(r.randint(20, 300)) for _ in range(40)]
+    values += [edited(w, max(1, round(len(w) * share))) for w in values for share in (0.005, 0.02, 0.025, 0.08)]
+    hot = draw(200)
+    values += [edited(hot, r.randint(0, 8)) for _ in range(90)]  # more than a set is compared with in one band
+    rows = [(i, " ".join(w)) for i, w in enumerate(values)] + [(900, None), (901, ""), (902, "one two"), (903, "One  two"), (902, "one two")]
+    sets = [frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if (w := (t or "").lower().split()) else frozenset() for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    near = 0
+    for i in range(len(rows)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                near += sets[i] != sets[j]
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    want = sorted({rows[find(i)][0] for i in range(len(rows))})
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    _, stage = next(s for s in corpus_pipeline.STAGES if s[0] == "SimHash near-dedup")
+    got = stage(spark, df, DIR)
+    assert sorted(x.doc_id for x in got.collect()) == want and near > 500
+    assert near_copies.keep_one(df.limit(0)).count() == 0
