@@ -41,10 +41,20 @@ _NUMBER = "(?:" + "|".join(sorted(SPELLED, key=len, reverse=True)) + ")"
 SPELLED_RUN = re.compile(rf"(?<!\w)(?:(?:plus[\s,-]+)?{_NUMBER}|\+?[0-9]+)(?:[\s,-]+(?:{_NUMBER}|[0-9]+)){{6,}}(?!\w)", re.I)
 SPELLED_ONE = re.compile(rf"{_NUMBER}|plus|[0-9]", re.I)
 AT = re.compile(r"\s*(?:[\[({<]\s*(?:at|@)\s*[\])}>])\s*|\s+(?:_at_|-at-)\s+", re.I)
-DOT = re.compile(r"\s*(?:[\[({<]\s*(?:dot|punkt|punto|point|\.)\s*[\])}>])\s*", re.I)
-# words on both sides: name at host dot domain, with a common top-level domain, since "at" and "dot" are words too
-TOP_LEVEL = "com|org|net|edu|gov|info|biz|dev|app|io|co|eu|uk|de|fr|es|it|nl|ch|at|be|pl|us|ca|au|jp|in|br|mx"
-WORDY = re.compile(r"(?<![\w.%+-])([A-Za-z0-9](?:[A-Za-z0-9._%+-]|\s+dot\s+(?=[A-Za-z0-9])){0,63})\s+at\s+((?:[A-Za-z0-9-]+\s+dot\s+){1,4}(?:" + TOP_LEVEL + r"))(?![\w-])", re.I)
+DOT = re.compile(r"\s*(?:[\[({<]\s*(?:dot|punkt|punto|point|\.)\s*[\])}>])\s*|\s+(?:_dot_|-dot-)\s+", re.I)
+# what is still a word after those: "at", "dot" or both. They are words too, so a known top-level domain or a clear context must confirm
+# the dot, and a dot in disguise or a clear context the "at".
+TOP_LEVEL = frozenset(
+    "ac ad ae af ag ai al am ao aq ar as at au aw ax az ba bb bd be bf bg bh bi bj bm bn bo br bs bt bv bw by bz ca cc cd cf cg ch ci ck cl cm cn co cr cu cv cw cx cy cz de dj dk dm do dz"
+    " ec ee eg er es et eu fi fj fk fm fo fr ga gb gd ge gf gg gh gi gl gm gn gp gq gr gs gt gu gw gy hk hm hn hr ht hu id ie il im in io iq ir is it je jm jo jp ke kg kh ki km kn kp kr kw ky kz"
+    " la lb lc li lk lr ls lt lu lv ly ma mc md me mg mh mk ml mm mn mo mp mq mr ms mt mu mv mw mx my mz na nc ne nf ng ni nl no np nr nu nz om pa pe pf pg ph pk pl pm pn pr ps pt pw py qa re ro rs ru rw"
+    " sa sb sc sd se sg sh si sj sk sl sm sn so sr ss st su sv sx sy sz tc td tf tg th tj tk tl tm tn to tr tt tv tw tz ua ug uk us uy uz va vc ve vg vi vn vu wf ws ye yt za zm zw"
+    " com org net edu gov mil int arpa info biz name pro aero coop museum jobs mobi tel cat asia travel post dev app xyz online site shop store tech cloud blog club live email agency systems solutions academy".split()
+)
+NO_HOST = frozenset("the a an this that these those his her its our your my their each every any some one no which what".split())
+WORDY = re.compile(r"(?<![\w.%+-])([A-Za-z0-9](?:[A-Za-z0-9._%+-]|\s+dot\s+(?=[A-Za-z0-9])){0,63})(\s+at\s+|@)((?:[A-Za-z0-9-]+(?:\s+dot\s+|\.)){1,6}([A-Za-z]{2,24}))(?![\w-])", re.I)
+CUE = re.compile(r"(?:\b(?:e-?mail|mail|address|contact|write|reach)(?:\s+(?:me|us|him|her|them|to|is|at|address))*\s*[:=]?|^[^\w\n]*|\n[^\w\n]*)\s*\Z", re.I)
+ALONE = re.compile(r"[^\w\n]*(?:\n|\Z)")
 
 
 def luhn(digits: str) -> bool:
@@ -131,8 +141,25 @@ def _plain(c: str) -> str:
     return x if x.isascii() and x.strip() else c
 
 
-def _at_dot(m: re.Match) -> list[tuple[str, int, int]]:
-    out, text = [], m.string
+def _at_dot(m: re.Match, tape: Tape) -> list[tuple[str, int, int]] | None:
+    text, (local, at, host, top) = m.string, m.groups()
+    words = re.findall(r"\s(dot)\s", host, re.I)
+    if at == "@" and not words and not re.search(r"\s", local):
+        return None  # plain
+    head = text[max(0, m.start() - 60) : m.start()]
+    cue = CUE.search(head if len(head) == m.start() else "x" + head)
+    # an address by its context: after a word like "mail", alone on its line, or with a name no plain word has
+    clear = bool(cue and (cue[0].strip(" \t\n:=").isascii() and re.search("[a-z]", cue[0], re.I) or ALONE.match(text, m.end()))) or bool(re.search(r"[0-9_%+.-]|\sdot\s", local, re.I))
+    if words:
+        if at != "@" and re.match(r"[A-Za-z0-9-]+", host)[0].lower() in NO_HOST:
+            return None
+        if top.lower() not in TOP_LEVEL and not clear:
+            return None
+    elif at != "@" and not clear:
+        dots = [i for i in range(m.start(3), m.end(3)) if text[i] == "."]
+        if not any(tape.ends[i] - tape.starts[i] > 1 for i in dots):
+            return None  # "see us at example.com"
+    out = []
     for piece in re.finditer(r"\s+(at|dot)\s+|.", text[m.start() : m.end()], re.I | re.S):
         s, e = m.start() + piece.start(), m.start() + piece.end()
         out.append((piece[0] if not piece[1] else "@" if piece[1].lower() == "at" else ".", s, e))
@@ -147,16 +174,13 @@ def _digits(m: re.Match) -> list[tuple[str, int, int]] | None:
 
 
 ODD = re.compile(r"[Ͱ-ԯ٠-٩۰-۹०-९！-～​-‍⁠﻿­\U0001d400-\U0001d7ff①-⑳]")
-HINT = re.compile(r"(?i)[\[({<]\s*(?:at|@|dot|punkt|punto|point|\.)\s*[\])}>]|\s(?:_at_|-at-)\s|\sdot\s")
-HINT_DIGITS = re.compile(rf"(?i)(?<!\w){_NUMBER}[\s,-]+(?:{_NUMBER}|[0-9]+)[\s,-]+(?:{_NUMBER}|[0-9]+)(?!\w)")
+HINT = re.compile(r"(?i)[\[({<]\s*(?:at|@|dot|punkt|punto|point|\.)\s*[\])}>]|\s(?:_at_|-at-|_dot_|-dot-|dot)\s|\sat\s+[A-Za-z0-9-]+\.[A-Za-z0-9]")
+HINT_DIGITS = re.compile(rf"(?i)(?<!\w)(?:{_NUMBER}[\s,-]+(?:{_NUMBER}|[0-9]+)|[0-9]+[\s,-]+{_NUMBER})(?!\w)")
 
 
 def deobfuscated(text: str) -> Tape | None:
     """The normalised copy, or None if no transducer finds work."""
-    odd, signs, digits = bool(ODD.search(text)), bool(HINT.search(text)), False
-    low = text.lower()
-    if any(w in low for w in ("five", "three", "seven", "nine", "four", "eight", "vier", "zwei", "drei", "neun", "acht", "sieben", "deux", "trois", "quatre", "cinq", "huit", "neuf", "cuatro", "cinco", "siete", "ocho", "nueve", "dos", "tres")):
-        digits = bool(HINT_DIGITS.search(text))
+    odd, signs, digits = bool(ODD.search(text)), bool(HINT.search(text)), bool(HINT_DIGITS.search(text))
     if not (odd or signs or digits):
         return None
     tape = Tape(text)
@@ -166,7 +190,7 @@ def deobfuscated(text: str) -> Tape | None:
     if signs:
         tape.rewrite(AT, lambda m: "@")
         tape.rewrite(DOT, lambda m: ".")
-        tape.rewrite(WORDY, _at_dot)
+        tape.rewrite(WORDY, lambda m: _at_dot(m, tape))
     if digits:
         tape.rewrite(SPELLED_RUN, _digits)
     return tape if tape.text != text else None

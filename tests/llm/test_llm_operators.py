@@ -375,6 +375,24 @@ def test_deobfuscation(text, want):
     assert [(pii.KINDS[k], text[s:e]) for s, e, k in pii.all_spans(text, pii.base_spans(text))] == want
 
 
+@pytest.mark.parametrize("text", ["john(at)example dot com", "john at example (dot) com", "john _at_ example _dot_ com", "john -at- example -dot- com", "john@example dot com", "john at example.com", "john at example dot ru", "john dot doe [at] example dot co dot tv", "john at example dot se", "j.doe at example.cn"])
+@pytest.mark.parametrize("around", ["{}", "write to {} today", "x\n{}\ny"])
+def test_mixed_disguises(text, around):
+    whole = around.format(text)
+    assert [(pii.KINDS[k], whole[s:e]) for s, e, k in pii.all_spans(whole, pii.base_spans(whole))] == [("email", text)]
+
+
+@pytest.mark.parametrize("text", ["call one two six zero one two six zero one", "call 1 2 6 0 1 2 6 0 one", "plus six six one two zero zero one one two"])
+def test_spelled_digits_of_few_words(text):
+    tape = pii.deobfuscated(text)
+    assert tape is not None and re.search("[0-9]{9}", tape.text)
+
+
+@pytest.mark.parametrize("text", ["you can see more about us at example.com today", "look at the dot in the middle", "he was at home dot and dash", "one or two of them were at school. Then"])
+def test_plain_speech_is_no_address(text):
+    assert pii.all_spans(text, []) == []
+
+
 def test_pii_query(spark):
     df = table(spark, ["x a@b.cc, +1 (017) 555-7713", None, "é 4539148803436467", "at [dot] x", ""])
     for r in pii.find(df).collect():
