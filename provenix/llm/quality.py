@@ -81,7 +81,8 @@ def rules() -> dict[str, Column]:
         "capitals": vote("10 * _upper > 3 * word_chars"),
         "repeats": vote("10 * n_repeat_words > 3 * n_words"),
         "lines": vote("_lines > 3 and 10 * n_dup_lines > 3 * _lines"),
-        "variety": vote("20 * _kinds < n_words and n_words < 4000", "5 * _kinds >= n_words"),
+        # the words of prose grow at least with the root of its length; both bounds meet at 4000 words, so none of them switches the rule off
+        "variety": vote("20 * _kinds < n_words and _kinds * _kinds < 10 * n_words", "5 * _kinds >= n_words"),
         "punctuation": vote("500 * _stops < n_words", "40 * _stops >= n_words"),
     }
 

@@ -329,6 +329,17 @@ def test_quality(spark):
     assert quality.judged(empty(spark)).count() == 0 and quality.keep_good(empty(spark)).count() == 0
 
 
+def test_low_variety_votes_bad_at_every_length(spark):
+    r = random.Random(8)
+    few = [f"w{i}" for i in range(190)]
+    rows = [(n, " ".join(r.choice(few) for _ in range(n))) for n in (3999, 4001, 5000, 40_000)]
+    rows += [(-n, " ".join(f"p{int(r.random() ** 2 * 12 * i**0.5)}" for i in range(n))) for n in (3000, 5000, 40_000)]  # words grow with the root of the length
+    df = quality.with_measures(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {x.doc_id: x.v for x in df.select("doc_id", quality.rules()["variety"].alias("v")).collect()}
+    assert {d: v for d, v in got.items() if d > 0} == dict.fromkeys((3999, 4001, 5000, 40_000), -1)
+    assert all(v >= 0 for d, v in got.items() if d < 0)
+
+
 def test_estimation_finds_unreliable_rules():
     r = random.Random(1)
     votes = Counter()
