@@ -8,6 +8,11 @@ full word sets. Of two matching lines the later one goes, by (doc_id, line numbe
 The order need not be exact to be right, only the same everywhere: word counts are kept in a table of fixed size, filled from
 the whole corpus by a distributed sum. Equal word sets are one entry of the join, so a line that a third of all documents
 share is one row there.
+
+A line goes as soon as one earlier match is known, so not all matching pairs are formed. In the group of a word, rows stand by size and each meets
+the REACH after it; of those that pass, the BEST nearest by bitmap are candidates. Most groups are smaller than that and thereby done. Lines of larger groups
+that have no earlier match yet are *open*: their groups are cut into blocks, and the open lines meet the earlier rows of more blocks and more candidates each
+round, until they have a match or have met all. So a large group of near copies costs rows in proportion, and nothing is left out.
 """
 
 from __future__ import annotations
@@ -28,9 +33,15 @@ NUM, DEN = 4, 5  # Jaccard of 0.8
 ALONE = 4  # sets of fewer words match equal sets only: 3 of 4 is under 0.8, but 4 of 5 is not
 TABLE = 1 << 18  # entries of the count table
 SLICES = 64
-TOP = (1 << 16) - 1
+TOP = (1 << 15) - 1  # sizes and positions from here on are not told apart
 SENT = 1 << 20  # word sets a task remembers, to send each once
 NO_ID = -(1 << 63)
+REACH = 256  # rows of a word's group that a row meets at once
+BEST = 12  # candidates of a row in one group at once
+BLOCK = 4096  # rows in a block of a larger group
+HELD = 1 << 19  # rows that a task joins at a time
+BLOOM_BITS = 1 << 27  # largest Bloom filter that is broadcast: 16 MB; beyond, it passes more rows than need be, and loses none
+CANDIDATE = "a long, b long, far int, tok long, info long, bits long"  # b is null: a is a row in a group of tok that is not done, far tells whether it is open
 
 
 def _counts(docs: DataFrame) -> np.ndarray:
@@ -64,15 +75,12 @@ class LineSets:
 
     def __init__(self, column: pa.Array, rank: np.ndarray | None, least: int = LEAST):
         w = Words(column)
-        n_rows = len(w.offsets) - 1
         breaks = np.sort(np.concatenate([np.flatnonzero(w.data == 10) + 1, w.offsets[:-1]]))
         line = np.searchsorted(breaks, w.starts, "right")  # counts doc starts and line ends, over the whole column
         h = w.hashes()
-        if rank is not None:
-            key = (rank[(h >> U(40)).astype(np.int64) & (TABLE - 1)].astype(U) << U(32)) | (h & U(0xFFFFFFFF))
-        else:
-            key = h & U(0xFFFFFFFF)
-        order = np.argsort((line.astype(U) << U(40)) | key)
+        # two stable sorts keep the line number whole, however many lines a text has
+        order = np.argsort(h & U(0xFFFFFFFF) if rank is None else (rank[(h >> U(40)).astype(np.int64) & (TABLE - 1)].astype(U) << U(32)) | (h & U(0xFFFFFFFF)))
+        order = order[np.argsort(line[order], kind="stable")]
         line, h = line[order], h[order]
         new = np.ones(len(h), bool)
         new[1:] = (line[1:] != line[:-1]) | (h[1:] != h[:-1])
@@ -90,14 +98,49 @@ class LineSets:
         self.at = np.concatenate(([0], np.cumsum(self.n)))[:-1] if len(self.n) else np.zeros(0, np.int64)
         if len(self.n):
             self.sig = mix(np.add.reduceat(mix(self.tokens ^ U(0x5851F42D4C957F2D)), self.at) + self.n.astype(U))
-            self.sketch = np.bitwise_xor.reduceat(U(1) << ((self.tokens >> U(7)) & U(31)), self.at)
         else:
-            self.sig = self.sketch = np.zeros(0, U)
-        assert n_rows >= 0
+            self.sig = np.zeros(0, U)
+
+    def bitmaps(self) -> tuple[np.ndarray, np.ndarray]:
+        """Parity bitmaps of 32 and of 64 bits: every word flips one of 96 bits."""
+        if not len(self.n):
+            return np.zeros(0, U), np.zeros(0, U)
+        bit = ((self.tokens >> U(7)) & U(0xFFFFFFFF)) * U(96) >> U(32)
+        low = np.where(bit < U(32), U(1) << bit, U(0))
+        high = np.where(bit < U(32), U(0), U(1) << (bit - U(32)))
+        return np.bitwise_xor.reduceat(low, self.at), np.bitwise_xor.reduceat(high, self.at)
+
+
+class Bloom:
+    """Which hashes may be among those it was filled with: two bits each, by their highest and their lowest bits."""
+
+    def __init__(self, bits: np.ndarray):
+        self.bits = bits
+
+    @staticmethod
+    def of(longs: DataFrame, column: str) -> Bloom:
+        """Filled by Spark; at most BLOOM_BITS / 64 numbers come to the driver."""
+        n = longs.count()
+        size = 1 << max(12, min(BLOOM_BITS.bit_length() - 1, (16 * n).bit_length()))
+        slot = longs.select(F.explode(F.expr(f"array(shiftrightunsigned({column}, {65 - size.bit_length()}), {column} & {size - 1}L)")).alias("s"))
+        words = slot.groupBy(F.expr("s div 64").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 64 as int))")).alias("bits")).toPandas()
+        out = np.zeros(size // 64, np.int64)
+        out[words["w"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+        return Bloom(out.view(U))
+
+    def has(self, x: np.ndarray) -> np.ndarray:
+        x, size = x.view(U), 64 * len(self.bits)
+        found = np.ones(len(x), bool)
+        for s in (x >> U(65 - size.bit_length()), x & U(size - 1)):
+            found &= (self.bits[(s >> U(6)).astype(np.int64)] >> (s & U(63))) & U(1) == U(1)
+        return found
 
 
 def _prefixes(docs: DataFrame, table, least: int) -> DataFrame:
-    """(tok, sig, info): the prefix words of every distinct word set that can match another; info packs bitmap, size and position."""
+    """(tok, sig, info, bits): the prefix words of every distinct word set that can match another; info packs size, position and 32 bits of the bitmap.
+
+    A set that several tasks hold comes from each of them.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent = np.zeros(0, U)
@@ -110,26 +153,175 @@ def _prefixes(docs: DataFrame, table, least: int) -> DataFrame:
             size = n - -(-NUM * n // DEN) + 1
             at = runs(s.at[one], size)
             pos = at - np.repeat(s.at[one], size)
-            info = (np.repeat(s.sketch[one], size) << U(32)) | (np.repeat(np.minimum(n, TOP), size).astype(U) << U(16)) | np.minimum(pos, TOP).astype(U)
-            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (s.tokens[at], np.repeat(s.sig[one], size), info)], ["tok", "sig", "info"])
+            low, high = (x[one] for x in s.bitmaps())
+            info = (np.repeat(np.minimum(n, TOP), size).astype(U) << U(48)) | (np.minimum(pos, TOP).astype(U) << U(32)) | np.repeat(low, size)
+            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (s.tokens[at], np.repeat(s.sig[one], size), info, np.repeat(high, size))], ["tok", "sig", "info", "bits"])
+
+    return docs.select("text").mapInArrow(run, "tok long, sig long, info long, bits long")
+
+
+class Rows:
+    """Prefix rows as arrays."""
+
+    def __init__(self, tok: np.ndarray, sig: np.ndarray, info: np.ndarray, bits: np.ndarray):
+        self.tok, self.sig, self.info, self.bits = tok, sig, info, bits
+        self.n = info >> 48
+        self.pos = (info >> 32) & TOP
+        self.low = (info & 0xFFFFFFFF).astype(np.uint32)
+
+    def cut(self, a: int | np.ndarray, b: int | None = None) -> Rows:
+        k = slice(a, b) if b is not None else a
+        return Rows(self.tok[k], self.sig[k], self.info[k], self.bits[k])
+
+    def far(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(self.low[i] ^ self.low[j]).astype(np.int32) + np.bitwise_count((self.bits[i] ^ self.bits[j]).view(U))
+
+    def may_match(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Length, positional and bitmap filter for rows of one word."""
+        n, m = self.n[i], self.n[j]
+        need = -(-NUM * (n + m) // (NUM + DEN))  # least common words
+        open_end = (n >= TOP) | (m >= TOP)
+        placed = np.minimum(self.pos[i], self.pos[j]) + np.minimum(n - self.pos[i], m - self.pos[j]) >= need
+        ok = (DEN * np.minimum(n, m) >= NUM * np.maximum(n, m)) & (placed | open_end) & (self.sig[i] != self.sig[j])
+        near = np.flatnonzero(ok)
+        ok[near] = open_end[near] | (self.far(i[near], j[near]) <= n[near] + m[near] - 2 * need[near])
+        return ok
+
+
+def _chosen(rows: Rows, i: np.ndarray, j: np.ndarray, best: int, first_only: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of pairs that may match: those that are among the ``best`` nearest of either end (or of the first), with their distance, and the ends that had more."""
+    far = rows.far(i, j)
+    own, other = (i, j) if first_only else (np.concatenate([i, j]), np.concatenate([j, i]))
+    pair = np.concatenate([np.arange(len(i))] * (1 if first_only else 2))
+    order = np.lexsort((other, far[pair], own))
+    own, pair = own[order], pair[order]
+    lead = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if len(own) else np.zeros(0, np.int64)
+    n = np.diff(np.append(lead, len(own)))
+    rank = np.arange(len(own)) - np.repeat(lead, n)
+    kept = np.unique(pair[rank < best])
+    return i[kept], j[kept], far[kept], own[lead][n > best]
+
+
+def _told(rows: Rows, i: np.ndarray, j: np.ndarray, far: np.ndarray, listed: np.ndarray, opened: np.ndarray) -> pa.RecordBatch:
+    """Candidates, each once, and the listed rows."""
+    a, b = np.minimum(rows.sig[i], rows.sig[j]), np.maximum(rows.sig[i], rows.sig[j])
+    _, one = np.unique(np.stack([a, b], 1), axis=0, return_index=True) if len(a) else (None, np.zeros(0, np.int64))
+    k, z = len(one), len(listed)
+    pad = np.zeros(k, np.int64)
+    cols = [
+        pa.array(np.concatenate([a[one], rows.sig[listed]])), pa.array(np.concatenate([b[one], np.zeros(z, np.int64)]), mask=np.arange(k + z) >= k),
+        pa.array(np.concatenate([far[one], opened[listed]]).astype(np.int32)), *(pa.array(np.concatenate([pad, x[listed]])) for x in (rows.tok, rows.info, rows.bits)),
+    ]
+    return pa.RecordBatch.from_arrays(cols, ["a", "b", "far", "tok", "info", "bits"])
+
+
+def _met(rows: Rows, old: int, cut: bool, reach: int, best: int) -> pa.RecordBatch:
+    """Each row and up to ``reach`` after it in its group; pairs of the first ``old`` rows are known. cut: the last group goes on."""
+    lead = np.flatnonzero(np.append(True, rows.tok[1:] != rows.tok[:-1]))
+    size = np.diff(np.append(lead, len(rows.tok)))
+    end_of = np.repeat(lead + size, size)
+    opened = np.zeros(len(rows.tok), bool)
+    if cut:
+        opened[lead[-1] :] = True
+    if old:  # the first group has come in parts
+        opened[: size[0]] = True
+    i = np.arange(len(rows.tok))
+    left, right = [], []
+    for k in range(1, reach + 2):
+        i = i[i + k < end_of[i]]
+        i = i[DEN * rows.n[i] >= NUM * rows.n[i + k]]  # sizes rise, so what is too long stays too long
+        if not len(i):
+            break
+        if k > reach:
+            opened |= np.isin(rows.tok, rows.tok[i])
+            break
+        fresh = i[i + k >= old]
+        fresh = fresh[rows.may_match(fresh, fresh + k)]
+        left.append(fresh), right.append(fresh + k)
+    none = np.zeros(0, np.int64)
+    a, b, far, crowded = _chosen(rows, np.concatenate([none, *left]), np.concatenate([none, *right]), best)
+    opened[crowded] = True
+    listed = np.flatnonzero(np.repeat(np.logical_or.reduceat(opened, lead), size))
+    return _told(rows, a, b, far, listed, opened)
+
+
+def _candidates(prefixes: DataFrame, reach: int = REACH, best: int = BEST, held: int = HELD) -> DataFrame:
+    """prefixes -> CANDIDATE rows. A task holds ``held`` rows and the reach of one group, whatever the groups' sizes."""
 
-    rows = docs.select("text").mapInArrow(run, "tok long, sig long, info long")
-    # dealt by word, so that neither the aggregate nor the join that follows moves the rows again
-    return rows.repartition(width(docs.sparkSession), "tok").groupBy("tok", "sig").agg(F.min("info").alias("info"))
-
-
-def _candidates(prefixes: DataFrame) -> DataFrame:
-    a, b = (prefixes.select("tok", F.col("sig").alias(f"sig_{x}"), F.col("info").alias(f"i_{x}")) for x in "ab")
-    size = lambda x: f"(shiftrightunsigned(i_{x}, 16) & {TOP})"
-    pos = lambda x: f"(i_{x} & {TOP})"
-    need = f"(({NUM} * ({size('a')} + {size('b')}) + {NUM + DEN - 1}) div {NUM + DEN})"  # least common words
-    fits = F.expr(
-        f"sig_a < sig_b and {DEN} * least({size('a')}, {size('b')}) >= {NUM} * greatest({size('a')}, {size('b')})"
-        f" and ({size('a')} >= {TOP} or {size('b')} >= {TOP} or ("
-        f" least({pos('a')}, {pos('b')}) + least({size('a')} - {pos('a')}, {size('b')} - {pos('b')}) >= {need}"
-        f" and bit_count(shiftrightunsigned(i_a ^ i_b, 32)) <= {size('a')} + {size('b')} - 2 * {need}))"
-    )
-    return a.join(b, "tok").where(fits).select("sig_a", "sig_b").distinct()
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[list[np.ndarray]] = []
+        old = size = 0
+        for batch in batches:
+            parts.append([c.to_numpy() for c in batch.columns])
+            size += batch.num_rows
+            if size < held:
+                continue
+            rows = _distinct(parts)
+            lead = int(np.searchsorted(rows.tok, rows.tok[-1]))  # the last group may go on
+            if lead:
+                yield _met(rows.cut(0, lead), min(old, lead), False, reach, best)
+                rest, old = rows.cut(lead, len(rows.tok)), max(0, old - lead)
+            else:
+                yield _met(rows, old, True, reach, best)
+                rest = rows.cut(max(0, len(rows.tok) - reach), len(rows.tok))
+                old = len(rest.tok)
+            parts, size = [[rest.tok, rest.sig, rest.info, rest.bits]], len(rest.tok)
+        if size > old:
+            rows = _distinct(parts)
+            yield _met(rows, old, bool(old), reach, best)
+
+    dealt = prefixes.repartition(width(prefixes.sparkSession), "tok").sortWithinPartitions("tok", "info", "sig")
+    return dealt.mapInArrow(run, CANDIDATE)
+
+
+def _distinct(parts: list[list[np.ndarray]]) -> Rows:
+    cols = [np.concatenate(c) for c in zip(*parts)]
+    new = np.append(True, (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])) if len(cols[0]) else np.zeros(0, bool)
+    return Rows(*(c[new] for c in cols))
+
+
+def _candidates_of_open(rows: DataFrame, opened: DataFrame, turn: int, block: int = BLOCK, best: int = BEST) -> DataFrame:
+    """rows(tok, sig, info, bits, place) of the groups that are not done, opened(tok, sig) without an earlier match -> CANDIDATE rows.
+
+    A group is cut into blocks of about ``block`` rows by a hash; an open row meets the earlier rows up to 4 ** turn blocks away. Two blocks meet in a task of their own.
+    """
+    rows = rows.join(opened.select("tok").distinct(), "tok", "left_semi").join(opened.withColumn("asked", F.lit(True)), ["tok", "sig"], "left")
+    sizes = rows.groupBy("tok").agg(F.count(F.lit(1)).alias("size"))
+    rows = rows.join(sizes, "tok").withColumn("blocks", F.expr(f"cast((size + {block - 1}) div {block} as int)")).withColumn("own", F.expr("cast(pmod(xxhash64(sig), blocks) as int)"))
+    # a row goes to the pair of its block and the one that many after it, and to that of the one before it and its own
+    there = F.expr(f"explode(flatten(transform(sequence(0, least(blocks div 2, {4**turn - 1})), d -> array_distinct(array(named_struct('at', own, 'away', d), named_struct('at', pmod(own - d, blocks), 'away', d))))))")
+    sent = rows.withColumn("m", there).select(
+        "tok", "m.at", "m.away", "sig", "info", "bits", F.col("place.doc_id").alias("doc_id"), F.col("place.mark").alias("mark"), F.col("place.line").alias("line"),
+        F.coalesce("asked", F.lit(False)).alias("asked"), (F.col("own") == F.col("m.at")).alias("here"), F.expr(f"blocks div 2 >= {4**turn}").alias("on")
+    )
+    most = best * 16 ** (turn + 1)
+
+    def run(group: pa.Table) -> pa.Table:
+        cols = {k: group.column(k).to_numpy() for k in ("tok", "sig", "info", "bits", "doc_id", "mark", "line", "asked", "here", "on")}
+        order = np.lexsort((cols["sig"], cols["info"]))
+        cols = {k: v[order] for k, v in cols.items()}
+        rows = Rows(*(cols[k] for k in ("tok", "sig", "info", "bits")))
+        turn_of = np.empty(len(order), np.int64)
+        turn_of[np.lexsort((cols["line"], cols["mark"], cols["doc_id"]))] = np.arange(len(order))
+        asked, here = cols["asked"].astype(bool), cols["here"].astype(bool)
+        inside = group.column("away")[0].as_py() == 0
+        low, high = np.searchsorted(rows.n, -(-NUM * rows.n // DEN)), np.searchsorted(rows.n, rows.n * DEN // NUM, "right")
+        low[rows.n >= TOP] = np.searchsorted(rows.n, NUM * TOP // DEN)
+        ends: list[tuple[np.ndarray, np.ndarray]] = []
+        for k in np.flatnonzero(asked).tolist():
+            j = np.arange(low[k], high[k])
+            j = j[(turn_of[j] < turn_of[k]) & (inside | (here[j] != here[k]))]
+            i = np.full(len(j), k)
+            ok = rows.may_match(i, j)
+            ends.append((i[ok], j[ok]))
+        none = np.zeros(0, np.int64)
+        i, j = (np.concatenate([none, *(e[x] for e in ends)]) for x in (0, 1))
+        a, b, far, crowded = _chosen(rows, i, j, most, first_only=True)
+        opened = asked & bool(cols["on"][0])
+        opened[crowded] = True
+        return pa.Table.from_batches([_told(rows, a, b, far, np.flatnonzero(opened), opened)])
+
+    return sent.groupBy("tok", "at", "away").applyInArrow(run, CANDIDATE)
 
 
 def _lines(docs: DataFrame, least: int) -> DataFrame:
@@ -144,63 +336,102 @@ def _lines(docs: DataFrame, least: int) -> DataFrame:
     return docs.select("doc_id", "text", "mark").mapInArrow(run, "sig long, doc_id long, mark long, line int")
 
 
-def _word_sets(keyed: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
-    """wanted(sig, doc_id, mark, line) -> (sig, words): the word set of each wanted line."""
-    asked = wanted.groupBy("doc_id", "mark").agg(F.collect_set("line").alias("lines"))  # lines of one document
+def _touched(docs: DataFrame, keys: DataFrame) -> F.Column:
+    """Whether a row of docs(doc_id, mark) may be among keys(doc_id, mark): all that are, and few others."""
+    bloom = docs.sparkSession.sparkContext.broadcast(Bloom.of(keys.select(F.xxhash64("doc_id", "mark").alias("h")), "h"))
+
+    @F.pandas_udf("boolean")
+    def may_be(h: pd.Series) -> pd.Series:
+        return pd.Series(bloom.value.has(h.to_numpy(np.int64)))
+
+    return may_be(F.xxhash64("doc_id", "mark"))
+
+
+def _word_sets(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted(sig, doc_id, mark, line) -> (sig, words): the word set of each wanted line. Only documents that hold one are moved."""
+    asked = settle(wanted.groupBy("doc_id", "mark").agg(F.collect_set(F.struct("line", "sig")).alias("lines")))  # lines of one document
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text", most=8 << 20):
-            s = LineSets(batch.column(0), None, least)
-            asked_of = [set(x) for x in batch.column(1).to_pylist()]
-            hit = [i for i, (r, k) in enumerate(zip(s.row.tolist(), s.line.tolist())) if k in asked_of[r]]
-            tokens = s.tokens.view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(s.sig.view(np.int64)[hit]), pa.array([tokens[s.at[i] : s.at[i] + s.n[i]] for i in hit], pa.list_(pa.int64()))], ["sig", "words"]
-            )
+            texts, sigs = [], []
+            for text, lines in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                cut = text.split("\n")
+                for x in lines:
+                    texts.append(cut[x["line"]]), sigs.append(x["sig"])
+            w = Words(pa.array(texts, pa.string()))
+            h = w.hashes().view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(sigs, pa.int64()), pa.array([np.unique(h[a:b]) for a, b in zip(w.first, w.first[1:])], pa.list_(pa.int64()))], ["sig", "words"])
 
-    found = keyed.join(asked, ["doc_id", "mark"]).select("text", "lines", "_row").mapInArrow(run, "sig long, words array<long>")
-    return found.groupBy("sig").agg(F.first("words").alias("words"))  # equal sets, whichever copy is read
+    found = keyed.where(_touched(keyed, asked)).join(asked, ["doc_id", "mark"]).select("text", "lines").mapInArrow(run, "sig long, words array<long>")
+    return found.groupBy("sig").agg(F.first("words").alias("words"))  # repeated rows
 
 
-def removed_lines(keyed: DataFrame, least: int = LEAST) -> DataFrame:
-    """keyed(doc_id, mark, text, _row), dealt by document -> (doc_id, mark, lines): the numbers of the lines that go, from 0."""
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """pairs(sig, other) that reach the threshold on their whole sets."""
+    both = pairs.join(sets, "sig").join(sets.select(F.col("sig").alias("other"), F.col("words").alias("theirs")), "other")
+    common = F.size(F.array_intersect("words", "theirs"))
+    return both.where(DEN * common >= NUM * (F.size("words") + F.size("theirs") - common)).select("sig", "other")
+
+
+def removed_lines(keyed: DataFrame, least: int = LEAST, reach: int = REACH, best: int = BEST, block: int = BLOCK) -> DataFrame:
+    """keyed(doc_id, mark, text) -> (doc_id, mark, lines): the numbers of the lines that go, from 0."""
     read = keyed.select("doc_id", "mark", "text")
     table = keyed.sparkSession.sparkContext.broadcast(_counts(read))  # 256 KB whatever the corpus
     lines = settle(_lines(read, least))
-    pairs = settle(_candidates(_prefixes(read, table, least)))
     place = F.struct("doc_id", "mark", "line")
     first = lines.groupBy("sig").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
-    ends = pairs.select(F.col("sig_a").alias("sig")).unionByName(pairs.select(F.col("sig_b").alias("sig"))).distinct()
-    sets = _word_sets(_by_document(keyed), first.join(ends, "sig").select("sig", "first.doc_id", "first.mark", "first.line"), least)
-    sides = pairs.select("sig_a", "sig_b", F.explode(F.array("sig_a", "sig_b")).alias("sig")).join(sets, "sig")
-    two = sides.groupBy("sig_a", "sig_b").agg(F.collect_list("words").alias("w"))  # the two sets of a pair
-    common = F.size(F.array_intersect(F.col("w")[0], F.col("w")[1]))
-    match = two.where(DEN * common >= NUM * (F.size(F.col("w")[0]) + F.size(F.col("w")[1]) - common)).select("sig_a", "sig_b")
-    both = match.select(F.explode(F.array(F.struct(F.col("sig_a").alias("sig"), F.col("sig_b").alias("other")), F.struct(F.col("sig_b").alias("sig"), F.col("sig_a").alias("other")))).alias("m")).select("m.*")
-    other = both.join(first.select(F.col("sig").alias("other"), F.col("first").alias("theirs")), "other").groupBy("sig").agg(F.min("theirs").alias("theirs"))
-    since = first.join(other, "sig", "left").where("n > 1 or theirs is not null").select("sig", F.least("first", "theirs").alias("since"))
-    gone = lines.join(since, "sig").where(place > F.col("since")).select("doc_id", "mark", "line")
+    met = settle(_candidates(_prefixes(read, table, least), reach, best))
+    matched = None  # sets with an earlier match
+    rows = None
+    turn = 0
+    while True:
+        pairs = met.where("b is not null").groupBy("a", "b").agg(F.min("far").alias("far"))
+        at = first.select("sig", "first")
+        placed = pairs.join(at.select(F.col("sig").alias("a"), F.col("first").alias("first_a")), "a").join(at.select(F.col("sig").alias("b"), F.col("first").alias("first_b")), "b")
+        later = F.col("first_a") > F.col("first_b")
+        aimed = placed.select(F.when(later, F.col("a")).otherwise(F.col("b")).alias("sig"), F.when(later, F.col("b")).otherwise(F.col("a")).alias("other"), "far")
+        if matched is not None:
+            aimed = aimed.join(matched, "sig", "left_anti")
+        aimed = settle(aimed)
+        ends = aimed.select("sig").unionByName(aimed.select(F.col("other").alias("sig"))).distinct()
+        sets = settle(_word_sets(read, first.join(ends, "sig").select("sig", "first.doc_id", "first.mark", "first.line")))
+        # the nearest first: most lines are settled by it, and their other pairs never move
+        nearest = aimed.groupBy("sig").agg(F.min_by("other", F.struct("far", "other")).alias("other"))
+        found = settle(_verified(nearest, sets).select("sig"))
+        rest = aimed.join(nearest, ["sig", "other"], "left_anti").join(found, "sig", "left_anti")
+        matched = settle(found.unionByName(_verified(rest.select("sig", "other"), sets).select("sig").distinct()).unionByName(matched if matched is not None else found.limit(0)))
+        opened = settle(met.where("b is null and far = 1").select(F.col("a").alias("sig"), "tok").distinct().join(matched, "sig", "left_anti"))
+        if opened.isEmpty():
+            break
+        if not turn:
+            rows = met.where("b is null").groupBy("tok", F.col("a").alias("sig")).agg(F.first("info").alias("info"), F.first("bits").alias("bits"))
+            rows = settle(rows.join(opened.select("tok").distinct(), "tok", "left_semi").join(first.select("sig", F.col("first").alias("place")), "sig"))
+        met = settle(_candidates_of_open(rows, opened, turn, block, best))
+        turn += 1
+    # the first line of a matched set goes, and every other line of any set
+    since = first.join(matched.withColumn("also", F.lit(True)), "sig", "left").where("n > 1 or also").select("sig", "first", "also")
+    gone = lines.join(since, "sig").where(F.col("also") | (place > F.col("first"))).select("doc_id", "mark", "line")
     return gone.groupBy("doc_id", "mark").agg(F.collect_set("line").alias("lines"))  # lines of one document
 
 
-def _by_document(keyed: DataFrame) -> DataFrame:
-    """The texts dealt by document: read by the verification and the removal, moved once."""
-    return keyed.repartition(width(keyed.sparkSession), "doc_id", "mark")
-
-
-def dedup(docs: DataFrame, least: int = LEAST) -> DataFrame:
+def dedup(docs: DataFrame, least: int = LEAST, **limits: int) -> DataFrame:
     """All rows and columns of docs, ``text`` without the lines that go, and n_lines, n_removed (and n_chars, if docs has it) to match.
 
     Lines of under ``least`` different words are not judged and stay; with 1, every line that has a word is judged. Lines are cut at \\n; what is kept is joined by \\n. A null text stays
-    null. Rows of the same doc_id and text are one place: neither goes for the other. A null doc_id comes before all others.
+    null. Rows of the same doc_id and text are one place: neither goes for the other. A null doc_id comes before all others. Columns of docs
+    that are named n_lines or n_removed are replaced by those of this operator.
     """
-    own = docs.columns
+    own = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     rest = [c for c in own if c != "text"]
     keyed = docs.select(F.struct(*rest).alias("_row"), F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
-    gone = removed_lines(keyed, least)
-    cut = F.split("text", "\n")
+    gone = settle(removed_lines(keyed, least, **limits))
+    touched = _touched(keyed, gone)
+    # only documents that lose a line are moved
+    moved = keyed.where(touched).join(gone, ["doc_id", "mark"], "left").withColumn("_cut", F.when(F.col("lines").isNotNull(), F.split("text", "\n")))
     kept = F.expr("array_join(transform(array_except(sequence(0, size(_cut) - 1), lines), i -> _cut[i]), '\n')")
-    out = _by_document(keyed).join(gone, ["doc_id", "mark"], "left").withColumn("_cut", F.when(F.col("lines").isNotNull(), cut)).withColumn("_text", F.when(F.col("lines").isNull(), F.col("text")).otherwise(kept))
-    values = [F.col("_text").alias(c) if c == "text" else F.when(F.col("lines").isNull(), F.col(f"_row.{c}")).otherwise(F.length("_text").cast("long")).alias(c) if c == "n_chars" else F.col(f"_row.{c}").alias(c) for c in own]
-    breaks = F.length("text") - F.length(F.translate("text", "\n", "")) + 1
-    return out.select(*values, F.coalesce(breaks, F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.when(F.col("lines").isNotNull(), F.size("lines")), F.lit(0)).cast("long").alias("n_removed"))
+    moved = moved.withColumn("_text", F.when(F.col("lines").isNull(), F.col("text")).otherwise(kept))
+    breaks = F.coalesce(F.length("text") - F.length(F.translate("text", "\n", "")) + 1, F.lit(0)).cast("long").alias("n_lines")
+    cut = [F.col("_text").alias(c) if c == "text" else F.when(F.col("lines").isNull(), F.col(f"_row.{c}")).otherwise(F.length("_text").cast("long")).alias(c) if c == "n_chars" else F.col(f"_row.{c}").alias(c) for c in own]
+    out = moved.select(*cut, breaks, F.coalesce(F.when(F.col("lines").isNotNull(), F.size("lines")), F.lit(0)).cast("long").alias("n_removed"))
+    whole = keyed.where(~touched).select(*(F.col("text") if c == "text" else F.col(f"_row.{c}").alias(c) for c in own), breaks, F.lit(0).cast("long").alias("n_removed"))
+    return whole.unionByName(out)
