@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -33,6 +34,25 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Store:
+    """Tables of one run in the shared folder: written once, read by all that follows, deleted when done with."""
+
+    def __init__(self, spark: SparkSession, kind: str):
+        self.spark, self.folder, self.n = spark, run_folder(spark, kind), 0
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.n += 1
+        df.write.option("compression", "zstd").parquet(path := f"{self.folder}/{self.n}")
+        del df
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()  # Spark deletes the shuffle files of plans that nobody holds any more
+        return self.spark.read.parquet(path)
+
+    def drop(self) -> None:
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.folder)
+        at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def run_folder(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provenix.llm.common import pieces, settle, width
+from provenix.llm.common import Store, pieces, width
 from provenix.llm.words import U, Words, mix, runs
 
 LEAST = 5  # words a line must have to be judged, if the caller names no other number
@@ -37,7 +37,7 @@ TOP = (1 << 15) - 1  # sizes and positions from here on are not told apart
 SENT = 1 << 20  # word sets a task remembers, to send each once
 NO_ID = -(1 << 63)
 REACH = 256  # rows of a word's group that a row meets at once
-BEST = 12  # candidates of a row in one group at once
+BEST = 24  # candidates of a row in one group at once
 BLOCK = 4096  # rows in a block of a larger group
 HELD = 1 << 19  # rows that a task joins at a time
 BLOOM_BITS = 1 << 27  # largest Bloom filter that is broadcast: 16 MB; beyond, it passes more rows than need be, and loses none
@@ -324,16 +324,25 @@ def _candidates_of_open(rows: DataFrame, opened: DataFrame, turn: int, block: in
     return sent.groupBy("tok", "at", "away").applyInArrow(run, CANDIDATE)
 
 
-def _lines(docs: DataFrame, least: int) -> DataFrame:
-    """(sig, doc_id, mark, line) of every line that is judged."""
+def _lines(docs: DataFrame, least: int, wanted: Bloom) -> DataFrame:
+    """(sig, doc_id, mark, line, words) of every line that is judged; words, once in a task, of the sets that may be compared."""
+    bloom = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[int] = set()
         for batch in pieces(batches, most=8 << 20):
             s = LineSets(batch.column(1), None, least)
-            rows = pa.array(s.row)
-            yield pa.RecordBatch.from_arrays([pa.array(s.sig.view(np.int64)), batch.column(0).take(rows), batch.column(2).take(rows), pa.array(s.line, pa.int32())], ["sig", "doc_id", "mark", "line"])
+            rows, sig, tokens = pa.array(s.row), s.sig.view(np.int64), s.tokens.view(np.int64)
+            words: list[np.ndarray | None] = [None] * len(sig)
+            for k in np.flatnonzero(bloom.value.has(sig)).tolist():
+                if int(sig[k]) not in sent:
+                    words[k] = tokens[s.at[k] : s.at[k] + s.n[k]]
+                    sent.add(int(sig[k]))
+            if len(sent) > SENT:
+                sent.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(sig), batch.column(0).take(rows), batch.column(2).take(rows), pa.array(s.line, pa.int32()), pa.array(words, pa.list_(pa.int64()))], ["sig", "doc_id", "mark", "line", "words"])
 
-    return docs.select("doc_id", "text", "mark").mapInArrow(run, "sig long, doc_id long, mark long, line int")
+    return docs.select("doc_id", "text", "mark").mapInArrow(run, "sig long, doc_id long, mark long, line int, words array<long>")
 
 
 def _touched(docs: DataFrame, keys: DataFrame) -> F.Column:
@@ -347,25 +356,6 @@ def _touched(docs: DataFrame, keys: DataFrame) -> F.Column:
     return may_be(F.xxhash64("doc_id", "mark"))
 
 
-def _word_sets(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
-    """wanted(sig, doc_id, mark, line) -> (sig, words): the word set of each wanted line. Only documents that hold one are moved."""
-    asked = settle(wanted.groupBy("doc_id", "mark").agg(F.collect_set(F.struct("line", "sig")).alias("lines")))  # lines of one document
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text", most=8 << 20):
-            texts, sigs = [], []
-            for text, lines in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                cut = text.split("\n")
-                for x in lines:
-                    texts.append(cut[x["line"]]), sigs.append(x["sig"])
-            w = Words(pa.array(texts, pa.string()))
-            h = w.hashes().view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(sigs, pa.int64()), pa.array([np.unique(h[a:b]) for a, b in zip(w.first, w.first[1:])], pa.list_(pa.int64()))], ["sig", "words"])
-
-    found = keyed.where(_touched(keyed, asked)).join(asked, ["doc_id", "mark"]).select("text", "lines").mapInArrow(run, "sig long, words array<long>")
-    return found.groupBy("sig").agg(F.first("words").alias("words"))  # repeated rows
-
-
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """pairs(sig, other) that reach the threshold on their whole sets."""
     both = pairs.join(sets, "sig").join(sets.select(F.col("sig").alias("other"), F.col("words").alias("theirs")), "other")
@@ -373,44 +363,52 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(DEN * common >= NUM * (F.size("words") + F.size("theirs") - common)).select("sig", "other")
 
 
-def removed_lines(keyed: DataFrame, least: int = LEAST, reach: int = REACH, best: int = BEST, block: int = BLOCK) -> DataFrame:
-    """keyed(doc_id, mark, text) -> (doc_id, mark, lines): the numbers of the lines that go, from 0."""
+def removed_lines(keyed: DataFrame, store: Store, least: int = LEAST, reach: int = REACH, best: int = BEST, block: int = BLOCK) -> DataFrame:
+    """keyed(doc_id, mark, text) -> (doc_id, mark, lines): the numbers of the lines that go, from 0. What it needs on the way stands in store."""
     read = keyed.select("doc_id", "mark", "text")
     table = keyed.sparkSession.sparkContext.broadcast(_counts(read))  # 256 KB whatever the corpus
-    lines = settle(_lines(read, least))
+    met = store.keep(_candidates(_prefixes(read, table, least), reach, best))
+    # ends of pairs, and the rows that later rounds may pair
+    ends = met.select("a").unionByName(met.where("b is not null").select(F.col("b").alias("a"))).distinct()
+    lines = store.keep(_lines(read, least, Bloom.of(ends, "a")))
     place = F.struct("doc_id", "mark", "line")
-    first = lines.groupBy("sig").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
-    met = settle(_candidates(_prefixes(read, table, least), reach, best))
-    matched = None  # sets with an earlier match
+    first = lines.groupBy("sig").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"), F.first("words", ignorenulls=True).alias("words"))
+    first = store.keep(first.where("n > 1 or words is not null"))  # other lines stay
+    sets = first.where("words is not null")
+    at = sets.select("sig", "first")
+    found: list[DataFrame] = []  # sets with an earlier match
     rows = None
     turn = 0
     while True:
         pairs = met.where("b is not null").groupBy("a", "b").agg(F.min("far").alias("far"))
-        at = first.select("sig", "first")
         placed = pairs.join(at.select(F.col("sig").alias("a"), F.col("first").alias("first_a")), "a").join(at.select(F.col("sig").alias("b"), F.col("first").alias("first_b")), "b")
         later = F.col("first_a") > F.col("first_b")
         aimed = placed.select(F.when(later, F.col("a")).otherwise(F.col("b")).alias("sig"), F.when(later, F.col("b")).otherwise(F.col("a")).alias("other"), "far")
-        if matched is not None:
-            aimed = aimed.join(matched, "sig", "left_anti")
-        aimed = settle(aimed)
-        ends = aimed.select("sig").unionByName(aimed.select(F.col("other").alias("sig"))).distinct()
-        sets = settle(_word_sets(read, first.join(ends, "sig").select("sig", "first.doc_id", "first.mark", "first.line")))
+        for x in found:
+            aimed = aimed.join(x, "sig", "left_anti")
+        aimed = store.keep(aimed)
         # the nearest first: most lines are settled by it, and their other pairs never move
         nearest = aimed.groupBy("sig").agg(F.min_by("other", F.struct("far", "other")).alias("other"))
-        found = settle(_verified(nearest, sets).select("sig"))
-        rest = aimed.join(nearest, ["sig", "other"], "left_anti").join(found, "sig", "left_anti")
-        matched = settle(found.unionByName(_verified(rest.select("sig", "other"), sets).select("sig").distinct()).unionByName(matched if matched is not None else found.limit(0)))
-        opened = settle(met.where("b is null and far = 1").select(F.col("a").alias("sig"), "tok").distinct().join(matched, "sig", "left_anti"))
+        found.append(store.keep(_verified(nearest, sets).select("sig")))
+        rest = aimed.join(nearest, ["sig", "other"], "left_anti").join(found[-1], "sig", "left_anti")
+        found.append(store.keep(_verified(rest.select("sig", "other"), sets).select("sig").distinct()))
+        opened = met.where("b is null and far = 1").select(F.col("a").alias("sig"), "tok").distinct()
+        for x in found:
+            opened = opened.join(x, "sig", "left_anti")
+        opened = store.keep(opened)
         if opened.isEmpty():
             break
         if not turn:
             rows = met.where("b is null").groupBy("tok", F.col("a").alias("sig")).agg(F.first("info").alias("info"), F.first("bits").alias("bits"))
-            rows = settle(rows.join(opened.select("tok").distinct(), "tok", "left_semi").join(first.select("sig", F.col("first").alias("place")), "sig"))
-        met = settle(_candidates_of_open(rows, opened, turn, block, best))
+            rows = store.keep(rows.join(opened.select("tok").distinct(), "tok", "left_semi").join(at.withColumnRenamed("first", "place"), "sig"))
+        met = store.keep(_candidates_of_open(rows, opened, turn, block, best))
         turn += 1
     # the first line of a matched set goes, and every other line of any set
-    since = first.join(matched.withColumn("also", F.lit(True)), "sig", "left").where("n > 1 or also").select("sig", "first", "also")
-    gone = lines.join(since, "sig").where(F.col("also") | (place > F.col("first"))).select("doc_id", "mark", "line")
+    matched = found[0]
+    for x in found[1:]:
+        matched = matched.unionByName(x)
+    since = first.drop("words").join(matched.withColumn("also", F.lit(True)), "sig", "left").where("n > 1 or also").select("sig", "first", "also")
+    gone = lines.drop("words").join(since, "sig").where(F.col("also") | (place > F.col("first"))).select("doc_id", "mark", "line")
     return gone.groupBy("doc_id", "mark").agg(F.collect_set("line").alias("lines"))  # lines of one document
 
 
@@ -424,7 +422,10 @@ def dedup(docs: DataFrame, least: int = LEAST, **limits: int) -> DataFrame:
     own = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     rest = [c for c in own if c != "text"]
     keyed = docs.select(F.struct(*rest).alias("_row"), F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
-    gone = settle(removed_lines(keyed, least, **limits))
+    spark = docs.sparkSession
+    work = Store(spark, "lines")
+    gone = Store(spark, "lines").keep(removed_lines(keyed, work, least, **limits))
+    work.drop()
     touched = _touched(keyed, gone)
     # only documents that lose a line are moved
     moved = keyed.where(touched).join(gone, ["doc_id", "mark"], "left").withColumn("_cut", F.when(F.col("lines").isNotNull(), F.split("text", "\n")))

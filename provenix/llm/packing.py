@@ -39,20 +39,23 @@ def tokenizer_path() -> str:
 SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|"  # fixed value: the split of such byte-level BPE files
 
 
+LONG_RUN = r"\s{4096}"
+
+
 class Encoder:
     """The ids that ``tokenizers`` gives for a byte-level BPE file, found five times faster by ``tiktoken`` from the same file.
 
-    Where no two white-space characters stand together, the split needs no look-ahead, which is faster again.
+    Where no two white-space characters stand together, the split needs no look-ahead, which is faster again. The look-ahead steps back over
+    a run of white space and has a bounded stack, so a text with a very long run goes to ``tokenizers`` itself.
     """
 
     def __init__(self, path: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
+        self.path, self.plain = path, None
         spec = json.load(open(path, encoding="utf-8"))
         if spec["normalizer"] is not None or spec["pre_tokenizer"]["type"] != "ByteLevel" or spec["pre_tokenizer"]["add_prefix_space"]:
-            tok = Tokenizer.from_file(path)
-            self.encode = self.encode_spaced = lambda t: tok.encode(t, add_special_tokens=False).ids
+            self.encode = self.encode_spaced = self.encode_plainly
             return
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]  # the bytes that stand for themselves in such files
         letters = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(sorted({*range(256)} - {*printable}))}
@@ -67,7 +70,14 @@ class Encoder:
         """The ids of a text, then id 0."""
         if not text:
             return np.zeros(1, "<u4")
-        return np.array([*(self.encode_spaced if re.search(r"\s\s", text) else self.encode)(text), 0], "<u4")
+        how = self.encode if not re.search(r"\s\s", text) else self.encode_plainly if re.search(LONG_RUN, text) else self.encode_spaced
+        return np.array([*how(text), 0], "<u4")
+
+    def encode_plainly(self, text: str) -> list[int]:
+        from tokenizers import Tokenizer
+
+        self.plain = self.plain or Tokenizer.from_file(self.path)
+        return self.plain.encode(text, add_special_tokens=False).ids
 
 
 _loaded: dict = {}

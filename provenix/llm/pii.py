@@ -9,6 +9,7 @@ transducer changes (nearly all) are searched once.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 import unicodedata
@@ -40,8 +41,9 @@ SPELLED = {
 _NUMBER = "(?:" + "|".join(sorted(SPELLED, key=len, reverse=True)) + ")"
 SPELLED_RUN = re.compile(rf"(?<!\w)(?:(?:plus[\s,-]+)?{_NUMBER}|\+?[0-9]+)(?:[\s,-]+(?:{_NUMBER}|[0-9]+)){{6,}}(?!\w)", re.I)
 SPELLED_ONE = re.compile(rf"{_NUMBER}|plus|[0-9]", re.I)
-AT = re.compile(r"\s*(?:[\[({<]\s*(?:at|@)\s*[\])}>])\s*|\s+(?:_at_|-at-)\s+", re.I)
-DOT = re.compile(r"\s*(?:[\[({<]\s*(?:dot|punkt|punto|point|\.)\s*[\])}>])\s*|\s+(?:_dot_|-dot-)\s+", re.I)
+# a run of white space is entered at its beginning only, which keeps a long one linear
+AT = re.compile(r"(?<!\s)\s*(?:[\[({<]\s*(?:at|@)\s*[\])}>])\s*|(?<!\s)\s+(?:_at_|-at-)\s+", re.I)
+DOT = re.compile(r"(?<!\s)\s*(?:[\[({<]\s*(?:dot|punkt|punto|point|\.)\s*[\])}>])\s*|(?<!\s)\s+(?:_dot_|-dot-)\s+", re.I)
 # what is still a word after those: "at", "dot" or both. They are words too, so a known top-level domain or a clear context must confirm
 # the dot, and a dot in disguise or a clear context the "at".
 TOP_LEVEL = frozenset(
@@ -202,9 +204,11 @@ def all_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, in
     if tape is None:
         return base
     out = list(base)
+    own = [[s for s in base if s[2] == kind] for kind in range(len(KINDS))]  # spans of one kind stand apart and in order
     for a, b, kind in base_spans(tape.text):
         s, e = tape.starts[a], tape.ends[b - 1]
-        if e > s and not any(k == kind and s < y and x < e for x, y, k in base):
+        before = bisect.bisect_left(own[kind], (e,)) - 1  # the last one that begins before e
+        if e > s and (before < 0 or own[kind][before][1] <= s):
             out.append((s, e, kind))
     return sorted(set(out), key=lambda s: (s[0], s[2], s[1]))
 
