@@ -1,19 +1,18 @@
 """Quality rules as weak supervision, in native DataFrame operations only.
 
 Each rule votes good (1), bad (-1) or abstains (0) on a document. No rule is trusted outright:
-expectation-maximisation over the counts of vote patterns estimates how often each rule gives each vote on good and on
-bad documents, and a document is kept when its posterior probability of being good reaches a threshold.
+expectation-maximisation over the counts of vote patterns estimates how often each rule gives each vote on good documents and on each
+kind of junk, and a document is kept when its posterior probability of being good reaches a threshold.
 There are at most 3**rules patterns however many documents, so the counts fit on the driver, and they cover all rows.
 """
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from provenix.llm.common import settle
+from provenix.llm.common import Store, settle
 
 BLANK = "\t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -68,69 +67,82 @@ def base_failed() -> Column:
 
 
 def rules() -> dict[str, Column]:
-    """Votes by measure, in whole numbers. Six detectors of junk vote bad or abstain: that a text is not shouted says nothing
-    for it. Two rules know prose and vote both ways."""
+    """Votes by measure, in whole numbers: bad (-1), good (1), or abstaining between the two. No rule is trusted by itself."""
 
-    def vote(bad: str, good: str = "false") -> Column:
+    def vote(bad: str, good: str) -> Column:
         return F.expr(f"case when {bad} then -1 when {good} then 1 else 0 end")
 
     return {
-        "symbols": vote("5 * (n_symbols - _pipes) > n_words"),
-        "bars": vote("10 * _pipes > n_words"),
-        "shouting": vote("10 * _bangs > n_words"),
-        "capitals": vote("10 * _upper > 3 * word_chars"),
-        "repeats": vote("10 * n_repeat_words > 3 * n_words"),
-        "lines": vote("_lines > 3 and 10 * n_dup_lines > 3 * _lines"),
+        "symbols": vote("5 * (n_symbols - _pipes) > n_words", "25 * (n_symbols - _pipes) <= n_words"),
+        "bars": vote("10 * _pipes > n_words", "50 * _pipes <= n_words"),
+        "marks": vote("100 * n_symbols > 5 * word_chars", "100 * n_symbols <= word_chars"),
+        "shouting": vote("10 * _bangs > n_words", "50 * _bangs <= n_words"),
+        "capitals": vote("10 * _upper > 3 * word_chars", "20 * _upper <= 3 * word_chars"),
+        "repeats": vote("10 * n_repeat_words > 3 * n_words", "10 * n_repeat_words <= n_words"),
+        "lines": vote("_lines > 3 and 10 * n_dup_lines > 3 * _lines", "10 * n_dup_lines <= _lines"),
         # the words of prose grow at least with the root of its length; both bounds meet at 4000 words, so none of them switches the rule off
         "variety": vote("20 * _kinds < n_words and _kinds * _kinds < 10 * n_words", "5 * _kinds >= n_words"),
         "punctuation": vote("500 * _stops < n_words", "40 * _stops >= n_words"),
+        "length": vote("2 * word_chars < 5 * n_words or word_chars > 12 * n_words", "word_chars >= 3 * n_words and word_chars <= 9 * n_words"),
     }
 
 
-#: Prior belief about each rule: of good documents it calls at most this share bad, and at least a fourth of that. Marks of broken extraction are almost never
-#: found in prose; repeated lines are, in verse and lists. Without such bounds the two classes fit the commonest kind of junk only.
-FALSE_ALARMS = {"symbols": 0.001, "bars": 0.001, "shouting": 0.001, "capitals": 0.01, "repeats": 0.02, "lines": 0.05, "variety": 0.02, "punctuation": 0.02}
+#: Prior belief, the same for all rules, by vote (bad, abstaining, good): on good documents, of a kind of junk's own rule, of the other rules on it. It
+#: counts as many documents as WEIGHT of the corpus, so that estimates do not depend on the corpus's size.
+ON_GOOD, ON_OWN, ON_OTHER = (0.05, 0.15, 0.8), (0.8, 0.1, 0.1), (1 / 3, 1 / 3, 1 / 3)
+WEIGHT = 0.001
 
 
-def fit(counts: list[tuple[tuple[int, ...], int]], prior: float = 0.9, rounds: int = 40, smooth: float = 0.5, bounds: list[float] | None = None) -> tuple[float, list[dict[int, tuple[float, float]]]]:
-    """counts: (votes, documents). Returns the share of good documents and, by rule and vote, its log-probability given good and given bad.
+def fit(counts: list[tuple[tuple[int, ...], int]], prior: float = 0.9, rounds: int = 100) -> tuple[np.ndarray, np.ndarray]:
+    """counts: (votes, documents). Returns the share of each class and, by class, rule and vote (-1, 0, 1), its probability. Class 0 is good.
 
-    Starts from the belief that one bad vote makes a document doubtful; the share of good documents is held inside [0.5, 0.99],
-    so the two classes can't swap names. Deterministic: patterns are taken in order.
+    Junk is of several kinds that share no signs, which one bad class can't hold: there is a class for each rule, that of the documents its rule mostly
+    calls bad (in half of them at least; that is what the class means). How reliable a rule is, how its votes go with those of others, and how common each
+    kind of junk is, is all estimated. A bad vote that its kind's other votes don't bear out is outweighed by good ones. Deterministic: patterns are
+    taken in order, and the first round begins from how many bad votes a pattern has.
     """
     counts = sorted(counts)
-    total = sum(n for _, n in counts) or 1
-    width = len(counts[0][0]) if counts else 0
-    belief = {v: (0.02 if min(v) < 0 else 0.98) if v else prior for v, _ in counts}
-    table: list[dict[int, tuple[float, float]]] = []
+    votes = np.array([v for v, _ in counts], np.int64).reshape(len(counts), -1)
+    n = np.array([c for _, c in counts], float)
+    rules = votes.shape[1]
+    seen = np.stack([votes == k for k in (-1, 0, 1)], 2).astype(float)
+    base = np.full((rules + 1, rules, 3), ON_OTHER)
+    base[0] = ON_GOOD
+    base[np.arange(1, rules + 1), np.arange(rules)] = ON_OWN
+    weight = max(1.0, WEIGHT * n.sum())
+    shares = np.r_[prior, np.full(rules, (1 - prior) / max(1, rules))]
+    bad = (votes < 0).astype(float)
+    n_bad = bad.sum(1, keepdims=True)
+    good = np.where(n_bad > 0, 1 - prior, prior)
+    belief = np.hstack([good, np.where(n_bad > 0, bad / np.maximum(n_bad, 1), 1 / max(1, rules)) * (1 - good)])
+    mix, table = shares, base
     for _ in range(rounds):
-        good = sum(belief[v] * n for v, n in counts)
-        prior = min(0.99, max(0.5, good / total)) if counts else prior
-        table = []
-        for j in range(width):
-            sums = {k: [smooth, smooth] for k in (-1, 0, 1)}
-            for v, n in counts:
-                sums[v[j]][0] += belief[v] * n
-                sums[v[j]][1] += (1 - belief[v]) * n
-            a, b = (sum(s[i] for s in sums.values()) for i in (0, 1))
-            row = {k: (math.log(s[0] / a), math.log(s[1] / b)) for k, s in sums.items()}
-            # a rule says what its name says: a bad vote never speaks for good, nor a good vote for bad
-            bound = math.log((bounds or list(FALSE_ALARMS.values()))[j])
-            row[-1] = (min(max(row[-1][0], bound - math.log(4)), row[-1][1], bound), row[-1][1])
-            row[1] = (max(row[1][0], row[1][1]), row[1][1])
-            table.append(row)
-        for v, _ in counts:
-            x = math.log(prior / (1 - prior)) + sum(table[j][k][0] - table[j][k][1] for j, k in enumerate(v))
-            belief[v] = 1 / (1 + math.exp(-max(-500.0, min(500.0, x))))
-    return prior, table
-
-
-def _log_odds(prior: float, table: list[dict[int, tuple[float, float]]], names: list[str]) -> Column:
-    x = F.lit(math.log(prior / (1 - prior)))
-    for name, row in zip(names, table, strict=True):
-        w = {k: g - b for k, (g, b) in row.items()}
-        x = x + F.when(F.col(name) == -1, F.lit(w[-1])).when(F.col(name) == 1, F.lit(w[1])).otherwise(F.lit(w[0]))
-    return x
+        w = belief * n[:, None]
+        mix = (w.sum(0) + weight * shares) / (n.sum() + weight)
+        table = np.einsum("pk,pjv->kjv", w, seen) + weight * base
+        table /= table.sum(2, keepdims=True)
+        for j in range(rules):
+            own = table[j + 1, j]
+            if own[0] < 0.5:
+                own[1:] *= 0.5 / own[1:].sum()
+                own[0] = 0.5
+        x = np.einsum("pjv,kjv->pk", seen, np.log(table)) + np.log(mix)
+        x = np.exp(x - x.max(1, keepdims=True))
+        belief = x / x.sum(1, keepdims=True)
+    return mix, table
+
+
+def posterior(mix: np.ndarray, table: np.ndarray, names: list[str]) -> Column:
+    """The probability of the good class given a row's votes."""
+
+    def fits(k: int) -> Column:
+        x = F.lit(float(np.log(mix[k])))
+        for name, p in zip(names, np.log(table[k]).tolist(), strict=True):
+            x = x + F.when(F.col(name) == -1, F.lit(p[0])).when(F.col(name) == 1, F.lit(p[2])).otherwise(F.lit(p[1]))
+        return x
+
+    good = fits(0)
+    return 1 / (1 + sum((F.exp(F.least(fits(k) - good, F.lit(700.0))) for k in range(1, len(mix))), F.lit(0.0)))
 
 
 def judged(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -144,25 +156,22 @@ def judged(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     read = with_measures(docs.select("doc_id", "text"))
     read = read.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"), *(c.alias(f"_v_{k}") for k, c in votes.items()))
     read = settle(read)
-    seen = read.groupBy(*names).agg(F.count(F.lit(1)).alias("n")).collect()  # at most 3**8 rows
-    prior, table = fit([(tuple(r[k] for k in names), r["n"]) for r in seen])
-    p = 1 / (1 + F.exp(-_log_odds(prior, table, names))) if table else F.lit(prior)
+    p = posterior(*_estimated(read, names), names)
     return read.withColumn("probability", p).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "probability", (~F.col("base_failed") & (F.col("probability") >= threshold)).alias("kept")
     )
 
 
+def _estimated(votes: DataFrame, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    seen = votes.groupBy(*names).agg(F.count(F.lit(1)).alias("n")).collect()  # at most 3**10 rows, whatever the corpus
+    return fit([(tuple(r[k] for k in names), r["n"]) for r in seen] or [((0,) * len(names), 1)])
+
+
 def keep_good(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The rows of docs that are kept, with their own columns: measured twice rather than shuffled."""
+    """The rows of docs that are kept, with their own columns. They are measured once: rows and votes are stored, then filtered by what the votes of all rows tell."""
     votes = rules()
     names = [f"_v_{k}" for k in votes]
     own = docs.columns
     boxed = docs.select(F.struct(*own).alias("_row"), F.col("text"))
-    # generated, so that the filter below is not pushed into the measures, which would repeat them once for each mention
-    read = with_measures(boxed).select("_row", F.inline(F.array(F.struct(base_failed().alias("_failed"), *(c.alias(f"_v_{k}") for k, c in votes.items())))))
-    seen = read.groupBy(*names).agg(F.count(F.lit(1)).alias("n")).collect()
-    if not seen:
-        return docs
-    prior, table = fit([(tuple(r[k] for k in names), r["n"]) for r in seen])
-    cut = math.log(threshold / (1 - threshold))
-    return read.where(~F.col("_failed") & (_log_odds(prior, table, names) >= cut)).select("_row.*")
+    read = Store(docs.sparkSession, "quality").keep(with_measures(boxed).select("_row", base_failed().alias("_failed"), *(c.alias(f"_v_{k}") for k, c in votes.items())))
+    return read.where(~F.col("_failed") & (posterior(*_estimated(read, names), names) >= threshold)).select("_row.*")

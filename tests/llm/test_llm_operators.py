@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -340,15 +341,52 @@ def test_low_variety_votes_bad_at_every_length(spark):
     assert all(v >= 0 for d, v in got.items() if d < 0)
 
 
-def test_estimation_finds_unreliable_rules():
+def slow_posterior(counts: dict, rounds: int = 100) -> dict:
+    """The estimation once more, document pattern by document pattern."""
+    rules, total = len(next(iter(counts))), sum(counts.values())
+    priors = [{j: quality.ON_GOOD for j in range(rules)}] + [{j: quality.ON_OWN if j == k else quality.ON_OTHER for j in range(rules)} for k in range(rules)]
+    shares = [0.9] + [0.1 / rules] * rules
+    belief = {}
+    for v in counts:
+        bad = [j for j in range(rules) if v[j] < 0]
+        good = 0.1 if bad else 0.9
+        belief[v] = [good] + [((j in bad) / len(bad) if bad else 1 / rules) * (1 - good) for j in range(rules)]
+    weight = max(1.0, total / 1000)
+    for _ in range(rounds):
+        sums = [sum(belief[v][k] * n for v, n in counts.items()) for k in range(rules + 1)]
+        mix = [(s + weight * p) / (total + weight) for s, p in zip(sums, shares)]
+        table = [[[(sum(belief[v][k] * n for v, n in counts.items() if v[j] == x) + weight * priors[k][j][x + 1]) / (sums[k] + weight) for x in (-1, 0, 1)] for j in range(rules)] for k in range(rules + 1)]
+        for j in range(rules):
+            own = table[j + 1][j]
+            if own[0] < 0.5:
+                rest = own[1] + own[2]
+                table[j + 1][j] = [0.5, own[1] * 0.5 / rest, own[2] * 0.5 / rest]
+        for v in counts:
+            x = [mix[k] * math.prod(table[k][j][v[j] + 1] for j in range(rules)) for k in range(rules + 1)]
+            belief[v] = [y / sum(x) for y in x]
+    return {v: b[0] for v, b in belief.items()}
+
+
+def test_estimation_decides(spark):
+    """Against the estimation written out plainly; a bad vote that nothing bears out is outweighed, one of a common kind of junk is not."""
     r = random.Random(1)
-    votes = Counter()
+    votes: Counter = Counter()
     for _ in range(4000):
-        bad = r.random() < 0.2
-        votes[tuple(-1 if r.random() < (0.7 if bad else 0.01) else 0 for _ in range(2)) + (-1 if r.random() < 0.2 else 0,)] += 1
-    _, t = quality.fit(list(votes.items()), bounds=[0.05, 0.05, 0.5])
-    weight = [row[-1][1] - row[-1][0] for row in t]
-    assert min(weight[:2]) > 2 > abs(weight[2])  # the third rule says nothing and gets little weight
+        kind = r.random()
+        if kind < 0.06:  # junk that rules 0 and 1 see
+            v = (-1 if r.random() < 0.95 else 0, -1 if r.random() < 0.9 else 1, 1, 1)
+        elif kind < 0.1:  # junk that rules 2 and 3 see
+            v = (1, 1, -1 if r.random() < 0.9 else 1, -1 if r.random() < 0.9 else 0)
+        else:
+            v = tuple(-1 if r.random() < 0.01 else 0 if r.random() < 0.05 else 1 for _ in range(4))
+        votes[v] += 1
+    want = slow_posterior(votes)
+    mix, t = quality.fit(list(votes.items()))
+    df = spark.createDataFrame([(*v,) for v in votes], "a int, b int, c int, d int")
+    got = {tuple(x)[:4]: x.p for x in df.withColumn("p", quality.posterior(mix, t, ["a", "b", "c", "d"])).collect()}
+    assert all(abs(got[v] - want[v]) < 1e-6 for v in votes)
+    assert want[-1, -1, 1, 1] < 0.01 and want[1, 1, -1, -1] < 0.01 and want[1, 1, 1, 1] > 0.99
+    assert any(min(v) < 0 and p >= 0.5 for v, p in want.items())  # not what "no rule votes bad" says
 
 
 def test_quality_agrees_with_labels(spark):
