@@ -36,7 +36,7 @@ SLICES = 64
 TOP = (1 << 15) - 1  # sizes and positions from here on are not told apart
 SENT = 1 << 20  # word sets a task remembers, to send each once
 NO_ID = -(1 << 63)
-REACH = 256  # rows of a word's group that a row meets at once
+REACH = 2048  # rows of a word's group that a row meets at once
 BEST = 24  # candidates of a row in one group at once
 BLOCK = 4096  # rows in a block of a larger group
 HELD = 1 << 19  # rows that a task joins at a time
@@ -78,9 +78,12 @@ class LineSets:
         breaks = np.sort(np.concatenate([np.flatnonzero(w.data == 10) + 1, w.offsets[:-1]]))
         line = np.searchsorted(breaks, w.starts, "right")  # counts doc starts and line ends, over the whole column
         h = w.hashes()
-        # two stable sorts keep the line number whole, however many lines a text has
-        order = np.argsort(h & U(0xFFFFFFFF) if rank is None else (rank[(h >> U(40)).astype(np.int64) & (TABLE - 1)].astype(U) << U(32)) | (h & U(0xFFFFFFFF)))
-        order = order[np.argsort(line[order], kind="stable")]
+        key = h & U(0xFFFFFFFF) if rank is None else (rank[(h >> U(40)).astype(np.int64) & (TABLE - 1)].astype(U) << U(32)) | (h & U(0xFFFFFFFF))
+        if len(breaks) < 1 << 24:
+            order = np.argsort((line.astype(U) << U(40)) | key)
+        else:  # a text of very many lines: two sorts keep the line number whole
+            order = np.argsort(key)
+            order = order[np.argsort(line[order], kind="stable")]
         line, h = line[order], h[order]
         new = np.ones(len(h), bool)
         new[1:] = (line[1:] != line[:-1]) | (h[1:] != h[:-1])
