@@ -36,12 +36,13 @@ SLICES = 64
 TOP = (1 << 15) - 1  # sizes and positions from here on are not told apart
 SENT = 1 << 20  # word sets a task remembers, to send each once
 NO_ID = -(1 << 63)
-REACH = 2048  # rows of a word's group that a row meets at once
+REACH = 512  # rows of a word's group that a row meets at once
 BEST = 24  # candidates of a row in one group at once
 BLOCK = 4096  # rows in a block of a larger group
 HELD = 1 << 19  # rows that a task joins at a time
 BLOOM_BITS = 1 << 27  # largest Bloom filter that is broadcast: 16 MB; beyond, it passes more rows than need be, and loses none
-CANDIDATE = "a long, b long, far int, tok long, info long, bits long"  # b is null: a is a row in a group of tok that is not done, far tells whether it is open
+WIDE = 144  # words from which a set has 256 more bits of bitmap; 96 say nothing of a long one
+CANDIDATE = "a long, b long, far int, tok long, info long, bits long, wide binary"  # b is null: a is a row in a group of tok that is not done, far tells whether it is open
 
 
 def _counts(docs: DataFrame) -> np.ndarray:
@@ -104,14 +105,23 @@ class LineSets:
         else:
             self.sig = np.zeros(0, U)
 
-    def bitmaps(self) -> tuple[np.ndarray, np.ndarray]:
-        """Parity bitmaps of 32 and of 64 bits: every word flips one of 96 bits."""
+    def bitmaps(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Parity bitmaps of 32, of 64 and of 256 bits (four columns): every word flips one of the first 96 bits and one of the 256."""
         if not len(self.n):
-            return np.zeros(0, U), np.zeros(0, U)
+            return np.zeros(0, U), np.zeros(0, U), np.zeros((0, 4), U)
         bit = ((self.tokens >> U(7)) & U(0xFFFFFFFF)) * U(96) >> U(32)
         low = np.where(bit < U(32), U(1) << bit, U(0))
         high = np.where(bit < U(32), U(0), U(1) << (bit - U(32)))
-        return np.bitwise_xor.reduceat(low, self.at), np.bitwise_xor.reduceat(high, self.at)
+        wide = np.zeros((len(self.n), 4), U)
+        long = np.flatnonzero(self.n >= WIDE)
+        at = runs(self.at[long], self.n[long])
+        if len(at):
+            lead = np.cumsum(self.n[long]) - self.n[long]
+            spot = (self.tokens[at] >> U(39)) & U(255)
+            flip = U(1) << (spot & U(63))
+            for k in range(4):
+                wide[long, k] = np.bitwise_xor.reduceat(np.where(spot >> U(6) == U(k), flip, U(0)), lead)
+        return np.bitwise_xor.reduceat(low, self.at), np.bitwise_xor.reduceat(high, self.at), wide
 
 
 class Bloom:
@@ -140,7 +150,7 @@ class Bloom:
 
 
 def _prefixes(docs: DataFrame, table, least: int) -> DataFrame:
-    """(tok, sig, info, bits): the prefix words of every distinct word set that can match another; info packs size, position and 32 bits of the bitmap.
+    """(tok, sig, info, bits, wide): the prefix words of every distinct word set that can match another; info packs size, position and 32 bits of the bitmap.
 
     A set that several tasks hold comes from each of them.
     """
@@ -156,28 +166,52 @@ def _prefixes(docs: DataFrame, table, least: int) -> DataFrame:
             size = n - -(-NUM * n // DEN) + 1
             at = runs(s.at[one], size)
             pos = at - np.repeat(s.at[one], size)
-            low, high = (x[one] for x in s.bitmaps())
+            low, high, wide = (x[one] for x in s.bitmaps())
             info = (np.repeat(np.minimum(n, TOP), size).astype(U) << U(48)) | (np.minimum(pos, TOP).astype(U) << U(32)) | np.repeat(low, size)
-            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (s.tokens[at], np.repeat(s.sig[one], size), info, np.repeat(high, size))], ["tok", "sig", "info", "bits"])
+            cols = [pa.array(x.view(np.int64)) for x in (s.tokens[at], np.repeat(s.sig[one], size), info, np.repeat(high, size))]
+            yield pa.RecordBatch.from_arrays([*cols, _packed(np.repeat(wide, size, axis=0), np.repeat(n >= WIDE, size))], ["tok", "sig", "info", "bits", "wide"])
 
-    return docs.select("text").mapInArrow(run, "tok long, sig long, info long, bits long")
+    return docs.select("text").mapInArrow(run, "tok long, sig long, info long, bits long, wide binary")
+
+
+def _packed(wide: np.ndarray, has: np.ndarray) -> pa.Array:
+    """Binary values of 32 bytes where there are any, else null."""
+    ends = np.concatenate(([0], np.cumsum(has * 32))).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(has), [pa.array(has).buffers()[1], pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(wide[has]))])
+
+
+def _unpacked(column: pa.Array) -> np.ndarray:
+    """The 256 bits as four columns; zeros where there are none."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    out = np.zeros((len(column), 4), U)
+    has = column.is_valid().to_numpy(zero_copy_only=False)
+    if has.any():
+        ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+        out[has] = np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(U).reshape(-1, 4)
+    return out
 
 
 class Rows:
     """Prefix rows as arrays."""
 
-    def __init__(self, tok: np.ndarray, sig: np.ndarray, info: np.ndarray, bits: np.ndarray):
-        self.tok, self.sig, self.info, self.bits = tok, sig, info, bits
+    def __init__(self, tok: np.ndarray, sig: np.ndarray, info: np.ndarray, bits: np.ndarray, wide: np.ndarray):
+        self.all = (tok, sig, info, bits, wide)
+        self.tok, self.sig, self.info, self.bits, self.wide = self.all
         self.n = info >> 48
         self.pos = (info >> 32) & TOP
         self.low = (info & 0xFFFFFFFF).astype(np.uint32)
 
-    def cut(self, a: int | np.ndarray, b: int | None = None) -> Rows:
-        k = slice(a, b) if b is not None else a
-        return Rows(self.tok[k], self.sig[k], self.info[k], self.bits[k])
+    def cut(self, k: slice | np.ndarray) -> Rows:
+        return Rows(*(c[k] for c in self.all))
 
     def far(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        return np.bitwise_count(self.low[i] ^ self.low[j]).astype(np.int32) + np.bitwise_count((self.bits[i] ^ self.bits[j]).view(U))
+        """Differing bits, of which a pair has at most as many as words that only one of its sets has: the larger count of the two bitmaps."""
+        out = np.bitwise_count(self.low[i] ^ self.low[j]).astype(np.int32) + np.bitwise_count((self.bits[i] ^ self.bits[j]).view(U))
+        both = np.flatnonzero((self.n[i] >= WIDE) & (self.n[j] >= WIDE))
+        if len(both):
+            out[both] = np.maximum(out[both], np.bitwise_count(self.wide[i[both]] ^ self.wide[j[both]]).sum(1, dtype=np.int32))
+        return out
 
     def may_match(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """Length, positional and bitmap filter for rows of one word."""
@@ -214,19 +248,20 @@ def _told(rows: Rows, i: np.ndarray, j: np.ndarray, far: np.ndarray, listed: np.
     cols = [
         pa.array(np.concatenate([a[one], rows.sig[listed]])), pa.array(np.concatenate([b[one], np.zeros(z, np.int64)]), mask=np.arange(k + z) >= k),
         pa.array(np.concatenate([far[one], opened[listed]]).astype(np.int32)), *(pa.array(np.concatenate([pad, x[listed]])) for x in (rows.tok, rows.info, rows.bits)),
+        _packed(np.concatenate([np.zeros((k, 4), U), rows.wide[listed]]), np.concatenate([pad > 0, rows.n[listed] >= WIDE])),
     ]
-    return pa.RecordBatch.from_arrays(cols, ["a", "b", "far", "tok", "info", "bits"])
+    return pa.RecordBatch.from_arrays(cols, ["a", "b", "far", "tok", "info", "bits", "wide"])
 
 
-def _met(rows: Rows, old: int, cut: bool, reach: int, best: int) -> pa.RecordBatch:
-    """Each row and up to ``reach`` after it in its group; pairs of the first ``old`` rows are known. cut: the last group goes on."""
+def _met(rows: Rows, going: bool, cut: bool, reach: int, best: int) -> pa.RecordBatch:
+    """Each row and up to ``reach`` after it in its group. going: the first group has begun before, cut: the last one goes on; all rows of such a group are open."""
     lead = np.flatnonzero(np.append(True, rows.tok[1:] != rows.tok[:-1]))
     size = np.diff(np.append(lead, len(rows.tok)))
     end_of = np.repeat(lead + size, size)
     opened = np.zeros(len(rows.tok), bool)
     if cut:
         opened[lead[-1] :] = True
-    if old:  # the first group has come in parts
+    if going:
         opened[: size[0]] = True
     i = np.arange(len(rows.tok))
     left, right = [], []
@@ -238,8 +273,7 @@ def _met(rows: Rows, old: int, cut: bool, reach: int, best: int) -> pa.RecordBat
         if k > reach:
             opened |= np.isin(rows.tok, rows.tok[i])
             break
-        fresh = i[i + k >= old]
-        fresh = fresh[rows.may_match(fresh, fresh + k)]
+        fresh = i[rows.may_match(i, i + k)]
         left.append(fresh), right.append(fresh + k)
     none = np.zeros(0, np.int64)
     a, b, far, crowded = _chosen(rows, np.concatenate([none, *left]), np.concatenate([none, *right]), best)
@@ -252,39 +286,41 @@ def _candidates(prefixes: DataFrame, reach: int = REACH, best: int = BEST, held:
     """prefixes -> CANDIDATE rows. A task holds ``held`` rows and the reach of one group, whatever the groups' sizes."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[list[np.ndarray]] = []
-        old = size = 0
+        parts: list[tuple[np.ndarray, ...]] = []
+        size = 0
+        going = False  # the first group here has begun in rows that are gone; all of it is open
         for batch in batches:
-            parts.append([c.to_numpy() for c in batch.columns])
+            parts.append((*(c.to_numpy() for c in batch.columns[:4]), _unpacked(batch.column(4))))
             size += batch.num_rows
             if size < held:
                 continue
-            rows = _distinct(parts)
+            rows = _sorted(parts)
             lead = int(np.searchsorted(rows.tok, rows.tok[-1]))  # the last group may go on
             if lead:
-                yield _met(rows.cut(0, lead), min(old, lead), False, reach, best)
-                rest, old = rows.cut(lead, len(rows.tok)), max(0, old - lead)
+                yield _met(rows.cut(slice(0, lead)), going, False, reach, best)
+                parts, going = [rows.cut(slice(lead, None)).all], False
             else:
-                yield _met(rows, old, True, reach, best)
-                rest = rows.cut(max(0, len(rows.tok) - reach), len(rows.tok))
-                old = len(rest.tok)
-            parts, size = [[rest.tok, rest.sig, rest.info, rest.bits]], len(rest.tok)
-        if size > old:
-            rows = _distinct(parts)
-            yield _met(rows, old, bool(old), reach, best)
-
-    dealt = prefixes.repartition(width(prefixes.sparkSession), "tok").sortWithinPartitions("tok", "info", "sig")
+                yield _met(rows, going, True, reach, best)
+                parts, going = [rows.cut(slice(len(rows.tok) - 1, None)).all], True
+            size = len(parts[0][0])
+        if size:
+            yield _met(_sorted(parts), going, False, reach, best)
+
+    dealt = prefixes.repartition(width(prefixes.sparkSession), "tok").sortWithinPartitions("tok")
     return dealt.mapInArrow(run, CANDIDATE)
 
 
-def _distinct(parts: list[list[np.ndarray]]) -> Rows:
+def _sorted(parts: list[tuple[np.ndarray, ...]]) -> Rows:
+    """Rows by word, size and position, each set once."""
     cols = [np.concatenate(c) for c in zip(*parts)]
-    new = np.append(True, (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])) if len(cols[0]) else np.zeros(0, bool)
+    order = np.lexsort((cols[1], cols[2], cols[0]))
+    cols = [c[order] for c in cols]
+    new = np.append(True, (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])) if len(order) else np.zeros(0, bool)
     return Rows(*(c[new] for c in cols))
 
 
 def _candidates_of_open(rows: DataFrame, opened: DataFrame, turn: int, block: int = BLOCK, best: int = BEST) -> DataFrame:
-    """rows(tok, sig, info, bits, place) of the groups that are not done, opened(tok, sig) without an earlier match -> CANDIDATE rows.
+    """rows(tok, sig, info, bits, wide, place) of the groups that are not done, opened(tok, sig) without an earlier match -> CANDIDATE rows.
 
     A group is cut into blocks of about ``block`` rows by a hash; an open row meets the earlier rows up to 4 ** turn blocks away. Two blocks meet in a task of their own.
     """
@@ -294,7 +330,7 @@ def _candidates_of_open(rows: DataFrame, opened: DataFrame, turn: int, block: in
     # a row goes to the pair of its block and the one that many after it, and to that of the one before it and its own
     there = F.expr(f"explode(flatten(transform(sequence(0, least(blocks div 2, {4**turn - 1})), d -> array_distinct(array(named_struct('at', own, 'away', d), named_struct('at', pmod(own - d, blocks), 'away', d))))))")
     sent = rows.withColumn("m", there).select(
-        "tok", "m.at", "m.away", "sig", "info", "bits", F.col("place.doc_id").alias("doc_id"), F.col("place.mark").alias("mark"), F.col("place.line").alias("line"),
+        "tok", "m.at", "m.away", "sig", "info", "bits", "wide", F.col("place.doc_id").alias("doc_id"), F.col("place.mark").alias("mark"), F.col("place.line").alias("line"),
         F.coalesce("asked", F.lit(False)).alias("asked"), (F.col("own") == F.col("m.at")).alias("here"), F.expr(f"blocks div 2 >= {4**turn}").alias("on")
     )
     most = best * 16 ** (turn + 1)
@@ -303,7 +339,7 @@ def _candidates_of_open(rows: DataFrame, opened: DataFrame, turn: int, block: in
         cols = {k: group.column(k).to_numpy() for k in ("tok", "sig", "info", "bits", "doc_id", "mark", "line", "asked", "here", "on")}
         order = np.lexsort((cols["sig"], cols["info"]))
         cols = {k: v[order] for k, v in cols.items()}
-        rows = Rows(*(cols[k] for k in ("tok", "sig", "info", "bits")))
+        rows = Rows(*(cols[k] for k in ("tok", "sig", "info", "bits")), _unpacked(group.column("wide"))[order])
         turn_of = np.empty(len(order), np.int64)
         turn_of[np.lexsort((cols["line"], cols["mark"], cols["doc_id"]))] = np.arange(len(order))
         asked, here = cols["asked"].astype(bool), cols["here"].astype(bool)
@@ -402,7 +438,7 @@ def removed_lines(keyed: DataFrame, store: Store, least: int = LEAST, reach: int
         if opened.isEmpty():
             break
         if not turn:
-            rows = met.where("b is null").groupBy("tok", F.col("a").alias("sig")).agg(F.first("info").alias("info"), F.first("bits").alias("bits"))
+            rows = met.where("b is null").groupBy("tok", F.col("a").alias("sig")).agg(F.first("info").alias("info"), F.first("bits").alias("bits"), F.first("wide").alias("wide"))
             rows = store.keep(rows.join(opened.select("tok").distinct(), "tok", "left_semi").join(at.withColumnRenamed("first", "place"), "sig"))
         met = store.keep(_candidates_of_open(rows, opened, turn, block, best))
         turn += 1
