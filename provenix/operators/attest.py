@@ -160,3 +160,15 @@ def late_evidence(evidence: DataFrame, attested: DataFrame) -> DataFrame:
     """By attestation: how much evidence of its window arrived after it was issued, and since when."""
     late = evidence.join(attested.select("tenant_id", "boundary_ref", "attestation_id", "population_ref", "window_start", "window_end", "issued_at"), ["tenant_id", "boundary_ref", "population_ref"])
     return late.where("authoritative_time >= window_start and authoritative_time < window_end and ingest_time > issued_at").groupBy("tenant_id", "attestation_id").agg(F.count(F.lit(1)).alias("n_late"), F.min("ingest_time").alias("first_late"))
+
+
+def rows(records: DataFrame, wire: str = "wire") -> DataFrame:
+    """Attestation rows as they are stored, projected from signed attestation windows. The class is in lower case; a ratio that is withheld is null; the ratio is an exact decimal."""
+    x = lambda path: F.get_json_object(wire, f"$.{path}")
+    plain = {k: x(k) for k in ("tenant_id", "boundary_ref", "stream_id")} | {k: x(f"body.{k}") for k in ("methodology_version", "coverage_level", "verification_status", "counts", "assertions", "exclusions", "relying_parties", "purpose", "liability_ref")}
+    times = {k: x(f"body.{k}").try_cast("timestamp") for k in ("window_start", "window_end", "validity_from", "validity_until", "issued_at")}
+    return records.select(
+        x("record_id").alias("attestation_id"), x("sequence").try_cast("long").alias("sequence"), F.lower(x("body.denominator_class")).alias("denominator_class"), x("body.coverage_ratio").try_cast("decimal(5,4)").alias("coverage_ratio"),
+        (x("body.capped_by_class") == "true").alias("capped_by_class"), F.from_json(x("body.population_record_refs"), "array<string>").alias("population_record_refs"), x("signature.customer.key_id").alias("evidence_key_id"),
+        x("signature.customer.issuer.key_id").alias("issuer_key_id"), *(c.alias(k) for k, c in (plain | times).items()), F.col(wire).alias("wire"), F.lit(None).cast("string").alias("bundle_digest"),
+    )

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from provenix.sources.shared import stored
+
 POSITION = ["tenant_id", "stream_id", "sequence"]
 IDENTITY = ["tenant_id", "record_id"]
 
@@ -23,44 +24,51 @@ def classify_against_ledger(submitted: DataFrame, ledger: DataFrame) -> DataFram
 
 
 def classify_in_order(submitted: DataFrame, arrival: str = "submission_id") -> DataFrame:
-    """A whole batch as if one arrived after the other: an accepted submission is in the ledger for those after it.
+    """A whole batch as if one arrived after the other: an accepted submission is in the ledger for those after it. Ids are unique in a tenant, whatever the stream.
 
-    A submission that is first both at its position and under its id is accepted. Where the holders of all positions and ids
-    are such firsts, which is nearly always, the rest follows from them by windows. Otherwise (a first at its position that was
-    itself refused because of its id) the submissions of that stream are replayed in arrival order, one stream at a time.
+    A submission that is first both at its position and under its id is accepted, and nearly all others follow from such firsts by windows. What is left
+    (a first at its position that is itself refused because of its id, and what depends on it) is decided in rounds of joins: each round decides all whose
+    earlier rivals are decided, so their number is that of the longest chain of such dependences.
     """
     by_position = Window.partitionBy(*POSITION).orderBy(arrival)
     by_id = Window.partitionBy(*IDENTITY).orderBy(arrival)
-    first = F.struct("record_id", "wire_digest", "stream_id", "sequence")
-    seen = submitted.withColumn("_p", F.first(first).over(by_position)).withColumn("_i", F.first(first).over(by_id)).withColumn("_np", F.row_number().over(by_position)).withColumn("_ni", F.row_number().over(by_id))
-    # the holder of a position is certain if it is first under its own id, and the other way round
-    lead = seen.withColumn("_sure", (F.col("_np") == 1) & (F.col("_ni") == 1)).withColumn("_doubt", (F.col("_np") == 1) != (F.col("_ni") == 1))
-    odd = lead.where("_doubt").select("tenant_id", "stream_id").distinct().withColumn("_odd", F.lit(True))
-    marked = lead.join(odd, ["tenant_id", "stream_id"], "left")
+    cols = submitted.columns
+    first = submitted.withColumn("_np", F.row_number().over(by_position)).withColumn("_ni", F.row_number().over(by_id)).withColumn("_sure", (F.col("_np") == 1) & (F.col("_ni") == 1))
+    seen = first.withColumn("_p", F.first(F.struct("record_id", "_sure")).over(by_position)).withColumn("_i", F.first(F.struct("wire_digest", "_sure")).over(by_id))
+    again = F.when(F.col("_i.wire_digest") == F.col("wire_digest"), "replay").otherwise("content_substitution")
     outcome = (
-        F.when(F.col("_sure"), "accept").when(F.col("_p.record_id") != F.col("record_id"), "fork")
-        .when(F.col("_i.wire_digest") == F.col("wire_digest"), "replay").otherwise("content_substitution")
+        F.when(F.col("_sure"), "accept").when(F.col("_p._sure") & (F.col("_p.record_id") != F.col("record_id")), "fork")
+        .when(F.col("_i._sure") & (F.col("_p._sure") | (F.col("_np") == 1)), again)
     )
-    cols = submitted.columns
-    plain = marked.where("_odd is null").withColumn("outcome", outcome).select(*cols, "outcome")
-    schema = marked.where("_odd").select(*cols).schema.add("outcome", "string")
-
-    def replay(rows: pd.DataFrame) -> pd.DataFrame:
-        held, known, out = {}, {}, []
-        rows = rows.sort_values(arrival)
-        for r in rows.itertuples():
-            holder, stored = held.get(r.sequence), known.get(r.record_id)
-            if holder is not None and holder != r.record_id:
-                out.append("fork")
-            elif stored is not None:
-                out.append("replay" if stored == r.wire_digest else "content_substitution")
-            else:
-                out.append("accept")
-                held[r.sequence], known[r.record_id] = r.record_id, r.wire_digest
-        return rows.assign(outcome=out)
-
-    slow = marked.where("_odd").select(*cols).groupBy("tenant_id", "stream_id").applyInPandas(replay, schema)
-    return plain.unionByName(slow)
+    decided = stored(seen.withColumn("outcome", outcome).select(*cols, "outcome"), "submissions")
+    parts = [decided.where("outcome is not null")]
+    left = decided.where("outcome is null").drop("outcome")
+    if left.isEmpty():
+        return parts[0]
+    taken = decided.where("outcome = 'accept'")
+    at_position = taken.join(left.select(*POSITION).distinct(), POSITION, "left_semi").select(*POSITION, F.col("record_id").alias("_holder"))
+    under_id = taken.join(left.select(*IDENTITY).distinct(), IDENTITY, "left_semi").select(*IDENTITY, F.col("wire_digest").alias("_known"))
+    while True:
+        x = left.join(at_position, POSITION, "left").join(under_id, IDENTITY, "left").withColumn("_may", F.col("_holder").isNull() & F.col("_known").isNull())
+        before = lambda keys: F.min(F.when(F.col("_may"), F.col(arrival))).over(Window.partitionBy(*keys))
+        x = x.withColumn("_fp", before(POSITION)).withColumn("_fi", before(IDENTITY))
+        outcome = (
+            F.when(F.col("_holder") != F.col("record_id"), "fork")
+            .when(F.col("_known").isNotNull() & (F.col("_holder").isNotNull() | F.col("_fp").isNull() | (F.col("_fp") > F.col(arrival))), F.when(F.col("_known") == F.col("wire_digest"), "replay").otherwise("content_substitution"))
+            .when(F.col("_may") & (F.col("_fp") == F.col(arrival)) & (F.col("_fi") == F.col(arrival)), "accept")
+        )
+        decided = stored(x.withColumn("outcome", outcome).select(*cols, "outcome"), "submissions")
+        parts.append(decided.where("outcome is not null"))
+        left = decided.where("outcome is null").drop("outcome")
+        if left.isEmpty():
+            break
+        taken = decided.where("outcome = 'accept'")
+        at_position = at_position.unionByName(taken.select(*POSITION, F.col("record_id").alias("_holder")))
+        under_id = under_id.unionByName(taken.select(*IDENTITY, F.col("wire_digest").alias("_known")))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def position_domain(records: DataFrame) -> DataFrame:

@@ -114,3 +114,16 @@ def binding(populations: DataFrame, boundaries: DataFrame, families: DataFrame,
         .when(F.col("declared").isNull(), "family_undeclared").when(F.col("n_qualifications").isNull(), "unqualified").otherwise("bound")
     )
     return got.withColumn("state", reason).drop("b_start", "b_end", "declared", "n_qualifications")
+
+
+def write(populations: DataFrame, path: str) -> DataFrame:
+    """Files populations that stand up to ``integrity`` as two tables below path: their headers, and one row for each identifier, in order; returns what was refused.
+
+    Both are partitioned by tenant and dealt by population, so that a reconciliation of some tenants reads those only. Writing the same populations again replaces their tenants' files.
+    """
+    good, refused = integrity(populations)
+    put = lambda df: df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("tenant_id")
+    put(good.drop("record_identifiers")).parquet(f"{path}/populations")
+    items = good.select(*SCOPE, F.posexplode("record_identifiers").alias("pos", "destination_record_id"))
+    put(items.repartition("tenant_id", "population_ref", F.pmod("pos", F.lit(64)))).parquet(f"{path}/population_items")
+    return refused

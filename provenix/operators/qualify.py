@@ -101,3 +101,16 @@ def constraint_audit(history: DataFrame) -> DataFrame:
         F.when(F.col("deletion_traceless_possible") & c.isin("c1", "c2"), "traceless_deletion_caps_at_c3"),
     ))
     return history.select("qualification_ref", "tenant_id", codes.alias("codes")).where(F.size("codes") > 0)
+
+
+def project(records: DataFrame, wire: str = "wire") -> DataFrame:
+    """Columns of qualification records that follow from their signed bodies; nothing comes from beside them. Deletion is traceless if it is possible and leaves no trace."""
+    x = lambda path: F.get_json_object(wire, f"$.body.{path}")
+    flag = lambda path: x(path) == "true"
+    return records.select(
+        F.get_json_object(wire, "$.record_id").alias("record_id"), x("action_family").alias("action_family"), x("destination_system").alias("destination_system"), F.lower(x("assigned_class")).alias("assigned_class"),
+        flag("enumeration.capable").alias("enumeration_capable"), flag("confirmation.capable").alias("confirmation_capable"), x("identity_isolation.attribute").alias("identity_isolation_attribute"),
+        flag("identity_isolation.vendor_settable").alias("identity_vendor_settable"), x("temporal.authoritative_timestamp_source").isNotNull().alias("authoritative_time_available"),
+        x("temporal.measured_settlement_lag_s").try_cast("long").alias("settlement_lag_s"), F.regexp_extract(x("retention_period"), r"^P(\d+)D$", 1).try_cast("int").alias("source_retention_days"),
+        (flag("mutability.deletion_possible") & ~flag("mutability.trace_available")).alias("deletion_traceless_possible"),
+    )

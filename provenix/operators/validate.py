@@ -13,12 +13,29 @@ from pyspark.sql import functions as F
 ENVELOPE = ("record_id", "record_type", "schema_version", "tenant_id", "boundary_ref", "stream_id", "sequence", "prev_digest", "source", "clocks", "body", "signature")
 SIGNERS = {
     "AssuranceBoundary": "evidence", "QualificationRecord": "evidence", "PopulationRecord": "issuer", "AgentIdentity": "evidence", "ActionProposal": "evidence", "AuthorityDecision": "evidence", "HumanReview": "evidence",
-    "ExecutionReceipt": "evidence", "ExternalConfirmation": "issuer", "FinalityRecord": "evidence", "OutcomeRecord": "evidence", "CoverageGap": "evidence", "AttestationWindow": "issuer", "RevocationRecord": "issuer",
+    "ExecutionReceipt": "evidence", "ExternalConfirmation": "issuer", "FinalityRecord": "evidence", "OutcomeRecord": "evidence", "CoverageGap": "evidence", "AttestationWindow": "evidence", "RevocationRecord": "issuer",
 }
-REQUIRED = {"ActionProposal": ("action_id", "action_family", "proposed_at"), "ExecutionReceipt": ("action_id", "destination_record_ref"), "PopulationRecord": ("action_family", "count", "window_start", "window_end")}
+# The members of each type's body by kind. s string, t instant, d digest, n whole number from 0, p from 1, b boolean, o object, l list, j any
+# value; "?" may be null; words are the values allowed.
+BODIES = {
+    "AssuranceBoundary": "boundary_version:s tenant:s deployment:s agent_identities:l action_families:l destination_systems:l enforcement_points:l policy_refs:l window_start:t window_end:t collection_modes:l fail_behaviour:o qualification_refs:l",
+    "QualificationRecord": "action_family:s destination_system:s enumeration:o identity_isolation:o confirmation:o temporal:o retention_period:s mutability:o assigned_class:C1|C2|C3|C4|C5 class_evidence:j trial:o qualified_at:t revalidation_cadence:s",
+    "PopulationRecord": "action_family:s destination_system:s window_start:t window_end:t enumeration_query:o count:n pagination_complete:b result_cap_hit:b retrieved_at:t authoritative_timestamps:o",
+    "AgentIdentity": "agent_id:s deployment:s runtime:s tenant_scope:s service_identity:s model_versions:l tool_versions:l credential_ref:s",
+    "ActionProposal": "action_family:s action_id:s tool:s parameters_digest:d purpose:s target_ref:s risk_class:s proposed_at:t",
+    "AuthorityDecision": "action_id:s decision:grant|deny|review_required policy_ref:s policy_version:s constraints:l decided_by:s decided_at:t",
+    "HumanReview": "action_id:s reviewer_identity:s reviewer_authority:o surface:o evidence_shown:d evidence_shown_refs:l options_offered:l time_available_ms:n time_taken_ms:n decision:s modifications:j action_state_at_review:proposed|dispatched|accepted|committed|reversible|irreversible decided_at:t",
+    "ExecutionReceipt": "action_id:s dispatch_attempt:p connector_identity:s connector_version:s destination_response_digest:d destination_record_ref:s status:s dispatched_at:t responded_at:t",
+    "ExternalConfirmation": "action_id:s destination_system:s destination_record_id:s destination_record_digest:d authoritative_timestamp:t reconciliation_status:matched|unmatched_with_evidence|unmatched_without_evidence|duplicate|ambiguous|out_of_scope retrieved_at:t",
+    "FinalityRecord": "action_id:s state:s reversible_until:t? compensation_ref:s? settled_at:t",
+    "OutcomeRecord": "action_id:s outcome_contract_ref:s authoritative_source:s result:j finalised_at:t disputed:b reversal_ref:s?",
+    "CoverageGap": "gap_start:t gap_end:t affected_scope:o cause:collector_unreachable|fail_open|sequence_break|denominator_unavailable|clock_skew|key_discontinuity detection_source:s exposure:known|estimated_bounds|unknown actions_during_gap:n?",
+    "AttestationWindow": "boundary_ref:s window_start:t window_end:t methodology_version:s denominator_class:C1|C2|C3|C4|C5 population_record_refs:l coverage_level:s verification_status:self_computed|independently_reproduced coverage_ratio:s? counts:o gaps:l assertions:l exclusions:l relying_parties:l validity_from:t validity_until:t liability_ref:s issued_at:t issuer:j verifier_version:s",
+    "RevocationRecord": "attestation_ref:s reason:s issuer:j effective_at:t superseding_ref:s? relying_party_notification_status:s",
+}
 UUID7 = r"^[0-9a-f]{8}-[0-9a-f]{4}-7[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$"
 DIGEST = r"^sha256:[0-9a-f]{64}$"
-SEMVER = r"^(0|[1-9]\d*)\.(0|[1-9]\d*)\.(0|[1-9]\d*)$"
+SEMVER = r"^(?:0|[1-9]\d*)\.(?:0|[1-9]\d*)\.(?:0|[1-9]\d*)(?:-[0-9A-Za-z-]+(?:\.[0-9A-Za-z-]+)*)?(?:\+[0-9A-Za-z-]+(?:\.[0-9A-Za-z-]+)*)?$"
 INSTANT = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d{3,9}(Z|[+-]\d{2}:\d{2})$"
 SAFE = (1 << 53) - 1
 
@@ -27,29 +44,73 @@ def _get(wire: Column, path: str) -> Column:
     return F.get_json_object(wire, f"$.{path}")
 
 
+def members_of(kind: str) -> list[tuple[str, str, bool, list[str]]]:
+    """(name, kind, whether null is allowed, allowed values) of a type's body members."""
+    out = []
+    for x in BODIES[kind].split():
+        name, k = x.split(":")
+        words = k.split("|") if len(k.rstrip("?")) > 1 else []
+        out.append((name, "e" if words else k[0], k.endswith("?"), words))
+    return out
+
+
+def _body_members() -> Column:
+    """record type -> its members, as a literal map."""
+    one = lambda m: F.struct(F.lit(m[0]).alias("name"), F.lit(m[1]).alias("kind"), F.lit(m[2]).alias("nullable"), F.array(*(F.lit(w) for w in m[3])).cast("array<string>").alias("words"))
+    return F.create_map(*(c for k in BODIES for c in (F.lit(k), F.array(*(one(m) for m in members_of(k))))))
+
+
+def _fits(value: Column, kind: Column, words: Column) -> Column:
+    """Whether a body value is of its kind."""
+    is_, text = F.schema_of_variant(value), F.try_variant_get(value, "$", "string")
+    number = F.try_variant_get(value, "$", "bigint")
+    ok = (
+        F.when(kind == "s", is_ == "STRING").when(kind == "t", (is_ == "STRING") & text.rlike(INSTANT)).when(kind == "d", (is_ == "STRING") & text.rlike(DIGEST))
+        .when(kind == "n", (is_ == "BIGINT") & (number >= 0) & (number <= SAFE)).when(kind == "p", (is_ == "BIGINT") & (number >= 1) & (number <= SAFE)).when(kind == "b", is_ == "BOOLEAN")
+        .when(kind == "o", is_.startswith("OBJECT")).when(kind == "l", is_.startswith("ARRAY")).when(kind == "e", (is_ == "STRING") & F.array_contains(words, text)).otherwise(is_.isNotNull())
+    )
+    return F.coalesce(ok, F.lit(False))
+
+
 def codes(wire: Column) -> Column:
-    """Dotted codes of what is wrong with a record's JSON text; empty if nothing is."""
-    names = F.json_object_keys(wire)
-    kind, body = _get(wire, "record_type"), _get(wire, "body")
-    needs = F.lit(None)
-    for k, members in REQUIRED.items():
-        missing = F.size(F.array_except(F.array(*(F.lit(m) for m in members)), F.coalesce(F.json_object_keys(body), F.array().cast("array<string>")))) > 0
-        needs = F.when((kind == k) & missing, "record.body.member_missing").otherwise(needs)
-    sequence = _get(wire, "sequence")
-    population = (kind == "PopulationRecord") & (F.array_contains(F.json_object_keys(body), "record_identifiers") == F.array_contains(F.json_object_keys(body), "identifier_digest"))
+    """Dotted codes of what is wrong with a record's JSON text; empty if nothing is. A member given twice makes the text malformed.
+
+    Every test asks whether a value is right, so that a missing value, a null or a value of another type is wrong.
+    """
+    value = F.try_parse_json(wire)
+    names = F.when(value.isNotNull(), F.json_object_keys(wire))
+    at = lambda path: F.try_variant_get(value, f"$.{path}", "variant")
+    is_ = lambda path: F.coalesce(F.schema_of_variant(at(path)), F.lit(""))
+    text = lambda path: F.try_variant_get(value, f"$.{path}", "string")
+    right = lambda path, pattern: (is_(path) == "STRING") & F.coalesce(text(path).rlike(pattern), F.lit(False))
+    kind = F.when(is_("record_type") == "STRING", text("record_type"))
+    known = F.coalesce(kind.isin(*SIGNERS), F.lit(False))
+    body = F.coalesce(F.try_variant_get(value, "$.body", "map<string,variant>"), F.create_map().cast("map<string,variant>"))
+    members = F.when(known, F.element_at(_body_members(), kind))
+    missing = F.exists(members, lambda m: ~F.map_contains_key(body, m["name"]))
+    wrong = F.exists(members, lambda m: F.map_contains_key(body, m["name"]) & ~(_fits(F.try_element_at(body, m["name"]), m["kind"], m["words"]) | (m["nullable"] & F.coalesce(F.schema_of_variant(F.try_element_at(body, m["name"])) == "VOID", F.lit(False)))))
+    sequence = F.try_variant_get(value, "$.sequence", "bigint")
+    clocks = F.coalesce(F.json_object_keys(_get(wire, "clocks")), F.array().cast("array<string>"))
+    hosted = F.array(F.lit("ingest_time"), F.lit("clock_skew_ms"))
+    both = F.map_contains_key(body, F.lit("record_identifiers")) == F.map_contains_key(body, F.lit("identifier_digest"))
+    outside_strings = F.regexp_replace(wire, r'"(?:[^"\\]++|\\.)*+"', '""')
+    sound = F.coalesce(names.isNotNull(), F.lit(False))
     return F.array_compact(F.array(
-        F.when(names.isNull(), "record.json.malformed"),
+        F.when(~sound, "record.json.malformed"),
         F.when(F.size(F.array_except(names, F.array(*(F.lit(x) for x in ENVELOPE)))) > 0, "record.envelope.member_unknown"),
         F.when(F.size(F.array_except(F.array(*(F.lit(x) for x in ENVELOPE)), names)) > 0, "record.envelope.member_missing"),
-        F.when(~_get(wire, "record_id").rlike(UUID7), "record.id.invalid"),
-        F.when(~kind.isin(*SIGNERS), "record.type.unknown"),
-        F.when(~_get(wire, "schema_version").rlike(SEMVER), "record.schema_version.invalid"),
-        F.when(~sequence.rlike(r"^-?\d+$") | (F.try_to_number(F.when(sequence.rlike(r"^\d{1,18}$"), sequence), F.lit("9" * 18)) > SAFE) | sequence.startswith("-") | (sequence == "0"), "record.sequence.range"),
-        F.when(_get(wire, "prev_digest").isNotNull() & ~_get(wire, "prev_digest").rlike(DIGEST), "record.prev_digest.invalid"),
-        F.when(~_get(wire, "clocks.source_time").rlike(INSTANT), "record.clocks.source_time.invalid"),
-        F.when(F.size(F.array_intersect(F.json_object_keys(_get(wire, "clocks")), F.array(F.lit("ingest_time"), F.lit("clock_skew_ms")))) > 0, "record.clocks.hosted_member"),
-        F.when(body.rlike(r"[:\[,]\s*-?\d+(\.\d+([eE][+-]?\d+)?|[eE][+-]?\d+)\s*[,}\]]"), "record.number.float"),
-        needs, F.when(population, "record.body.identifiers_exclusive"),
+        F.when(sound & ~right("record_id", UUID7), "record.id.invalid"),
+        F.when(sound & ~known, "record.type.unknown"),
+        F.when(sound & ~right("schema_version", SEMVER), "record.schema_version.invalid"),
+        F.when(sound & ~F.coalesce((is_("sequence") == "BIGINT") & (sequence >= 1) & (sequence <= SAFE), F.lit(False)), "record.sequence.range"),
+        F.when(sound & ~((is_("prev_digest") == "VOID") | right("prev_digest", DIGEST)), "record.prev_digest.invalid"),
+        F.when(sound & ~right("clocks.source_time", INSTANT), "record.clocks.source_time.invalid"),
+        F.when(sound & (F.size(F.array_intersect(clocks, hosted)) > 0), "record.clocks.hosted_member"),
+        F.when(sound & (F.size(F.array_except(clocks, F.concat(hosted, F.array(F.lit("source_time"), F.lit("authoritative_time"))))) > 0), "record.clocks.member_unknown"),
+        F.when(sound & outside_strings.rlike(r"[0-9](\.[0-9]|[eE])"), "record.number.float"),
+        F.when(sound & ~(is_("body").startswith("OBJECT") & is_("source").startswith("OBJECT") & is_("signature").startswith("OBJECT") & (is_("tenant_id") == "STRING") & (is_("stream_id") == "STRING")), "record.envelope.member_invalid"),
+        F.when(missing, "record.body.member_missing"), F.when(wrong, "record.body.member_invalid"),
+        F.when((kind == "PopulationRecord") & both, "record.body.identifiers_exclusive"),
     ))
 
 
@@ -101,11 +162,16 @@ def repeated(records: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def signer_namespace(records: DataFrame, keys: DataFrame) -> DataFrame:
-    """Records signed from the wrong namespace, or by a key nobody registered."""
+    """Records signed from the wrong namespace, or by a key nobody registered. An attestation window is signed by its evidence key and countersigned by an issuer's (counter_key_id)."""
     wanted = F.create_map(*(F.lit(x) for kv in SIGNERS.items() for x in kv))
     known = keys.groupBy("tenant_id", "key_id").agg(F.min("namespace").alias("namespace"))
     got = records.join(known, ["tenant_id", "key_id"], "left").withColumn("expected", F.element_at(wanted, F.col("record_type")))
     reason = F.when(F.col("expected").isNull(), "record_type_unknown").when(F.col("namespace").isNull(), "key_unknown").when(F.col("namespace") != F.col("expected"), "wrong_namespace")
+    if "counter_key_id" in records.columns:
+        counter = known.select("tenant_id", F.col("key_id").alias("counter_key_id"), F.col("namespace").alias("counter_namespace"))
+        got = got.join(counter, ["tenant_id", "counter_key_id"], "left")
+        countersigned = F.coalesce(F.col("counter_namespace") == "issuer", F.lit(False))
+        reason = reason.when((F.col("record_type") == "AttestationWindow") & ~countersigned, "no_issuer_counter_key")
     return got.withColumn("reason", reason).where("reason is not null")
 
 

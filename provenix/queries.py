@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provenix.functions import intervals
-from provenix.operators import attest, chain, coverage, ingest, population, qualify, reconcile, validate
+from provenix.operators import attest, binding, chain, coverage, ingest, population, qualify, reconcile, validate
 from provenix.plans import verify
 from provenix.sources import ledger
 from provenix.sources.evidence import oracle, view
+from provenix.sources.shared import folder as _folder
+from provenix.sources.shared import stored
 from provenix.streaming import evidence as streaming
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,18 +43,6 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["o66_status_counts"](spark, sf_dir)
 
 
-def _folder(spark: SparkSession, kind: str) -> str:
-    """A new folder that all executors share; a temporary one only in a local session without such a setting."""
-    root = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or (tempfile.mkdtemp(prefix="spark-") if spark.sparkContext.master.startswith("local") else spark.conf.get("spark.sql.warehouse.dir"))
-    return f"{root}/{kind}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, kind: str) -> DataFrame:
-    """A derived table, written once to the shared folder and read by all that follows from it."""
-    df.write.parquet(path := f"{_folder(df.sparkSession, kind)}/table")
-    return df.sparkSession.read.parquet(path)
-
-
 def results_of(v) -> DataFrame:
     return reconcile.classify(v("population_items"), v("receipts"), v("confirmations"), v("proposals"))
 
@@ -342,9 +330,9 @@ def o104_coverage_report(v):
 
 
 @query("""select tenant_id, collector_id, record_id, case when o and support is not null then 'observed' else support end support from (select s.tenant_id, s.collector_id, record_id, case when submission_id % 3 = 0 then 'reconciled' when submission_id % 3 = 1 then 'enforced' end support, coalesce(bool_or(observation_only), false) o
-from submissions s left join collectors c on c.tenant_id = s.tenant_id and c.collector_id = s.collector_id where submission_id < 10000000 group by all)""", "submissions", "collectors")
+from submissions s left join collectors c on c.tenant_id = s.tenant_id and c.collector_id = s.collector_id where sent = 0 group by all)""", "submissions", "collectors")
 def o105_observation_only(v):
-    facts = v("submissions").where("submission_id < 10000000").select("tenant_id", "collector_id", "record_id", F.when(F.col("submission_id") % 3 == 0, "reconciled").when(F.col("submission_id") % 3 == 1, "enforced").alias("support"))
+    facts = v("submissions").where("sent = 0").select("tenant_id", "collector_id", "record_id", F.when(F.col("submission_id") % 3 == 0, "reconciled").when(F.col("submission_id") % 3 == 1, "enforced").alias("support"))
     return coverage.observation_only(facts, v("collectors")).drop("observation_only")
 
 
@@ -405,24 +393,29 @@ def o34_stream_namespaces(v):
     return chain.namespaces(v("stream_records").withColumn("namespace", F.when(F.col("event_type") == "error", "issuer").otherwise("evidence")))
 
 
-@query("""with l as (select * from submissions where submission_id < 10000000 and submission_id % 2 = 0)
+@query("""with l as (select * from submissions where sent = 0 and submission_id % 16 = 0)
 select s.submission_id, case when p.record_id is not null and p.record_id <> s.record_id then 'fork' when i.wire_digest = s.wire_digest then 'replay' when i.wire_digest is not null then 'content_substitution' else 'accept' end outcome
 from submissions s left join l p on p.tenant_id = s.tenant_id and p.stream_id = s.stream_id and p.sequence = s.sequence left join l i on i.tenant_id = s.tenant_id and i.record_id = s.record_id""", "submissions")
 def o24_against_ledger(v):
     s = v("submissions")
-    return ingest.classify_against_ledger(s, s.where("submission_id < 10000000 and submission_id % 2 = 0")).select("submission_id", "outcome")
+    return ingest.classify_against_ledger(s, s.where("sent = 0 and submission_id % 16 = 0")).select("submission_id", "outcome")
+
+
+#: What each sending of a record is, by what was sent before it: the record itself; the same again; the same id and place with other content; another id at
+#: the place; the same record in another stream; its id with other content in a third; another id at the place that the one before last did not get.
+OUTCOME = "case sent when 0 then 'accept' when 1 then 'replay' when 2 then 'content_substitution' when 3 then 'fork' when 4 then 'replay' when 5 then 'content_substitution' when 6 then 'accept' end"
 
 
-@query("""with f as (select *, first_value(record_id) over (partition by tenant_id, stream_id, sequence order by submission_id) pr, first_value(wire_digest) over (partition by tenant_id, record_id order by submission_id) iw,
-row_number() over (partition by tenant_id, stream_id, sequence order by submission_id) np, row_number() over (partition by tenant_id, record_id order by submission_id) ni from submissions)
-select submission_id, case when np = 1 and ni = 1 then 'accept' when pr <> record_id then 'fork' when iw = wire_digest then 'replay' else 'content_substitution' end outcome from f""", "submissions")
+@query(f"select submission_id, {OUTCOME} outcome from submissions", "submissions")
 def o24_in_arrival_order(v):
     return ingest.classify_in_order(v("submissions")).select("submission_id", "outcome")
 
 
-@query("select tenant_id, stream_id, sequence from stream_records where (sequence = 1) <> (prev_digest is null)", "stream_records")
+@query("select tenant_id, stream_id, sequence from (select tenant_id, stream_id, sequence, event_id, case when event_id % 53 = 0 then null when sequence = 1 and event_id % 2 = 0 then 'sha256:x' else prev_digest end p from stream_records) where (sequence = 1) <> (p is null)", "stream_records")
 def o25_position_domain(v):
-    return ingest.position_domain(v("stream_records")).select(*STREAM, "sequence")
+    e = F.col("event_id")
+    r = v("stream_records").withColumn("prev_digest", F.when(e % 53 == 0, F.lit(None)).when((F.col("sequence") == 1) & (e % 2 == 0), "sha256:x").otherwise(F.col("prev_digest")))
+    return ingest.position_domain(r).select(*STREAM, "sequence")
 
 
 @query("""select submission_id, case when c.collector_id is null then 'collector_unknown' when source_time >= revoked_at then 'collector_revoked' when collector_version <> version then 'collector_version_mismatch' else 'ok' end auth
@@ -540,10 +533,10 @@ def o110_review_evaluation(v):
     return attest.evaluate_reviews(v("human_reviews")).select("record_id", "reason")
 
 
-@query("select record_id subject, count(*) n from human_reviews, (select distinct n_regionkey r from nation where n_regionkey < 2) where r = 0 or cast(substr(record_id, 2) as bigint) % 100 = 0 group by 1 having count(*) > 1", "human_reviews")
+@query("select record_id subject, cast(2 as bigint) n from human_reviews where cast(substr(record_id, 2) as bigint) % 25 = 1", "human_reviews")
 def o113_review_guards(v):
     r = v("human_reviews")
-    twice = r.unionByName(r.where(F.substring("record_id", 2, 20).cast("long") % 100 == 0))
+    twice = r.unionByName(r.where(F.substring("record_id", 2, 20).cast("long") % 25 == 1))
     return attest.review_guards(required_of(v), twice).where("code = 'review_id_repeated'").select("subject", "n")
 
 
@@ -577,9 +570,12 @@ def o124_lifecycle(v):
     return attest.lifecycle(v("attestations"), v("revocations"), AS_OF).drop("tenant_id")
 
 
-@query("""select revocation_id, codes from (select revocation_id, concat_ws(',', case when count(*) over (partition by attestation_id) > 1 then 'more_than_one_transition' end, case when (superseding_attestation_id is not null) <> (reason = 'late_evidence') then 'supersession_without_late_evidence' end) codes from revocations) where codes <> ''""", "revocations")
+@query("""with t as (select revocation_id, attestation_id, superseding_attestation_id, case when sequence = 2 then 'error' else reason end reason from revocations union all select concat(revocation_id, '-again'), attestation_id, null, 'error' from revocations where sequence = 1 and length(attestation_id) % 2 = 0)
+select revocation_id, codes from (select revocation_id, concat_ws(',', case when count(*) over (partition by attestation_id) > 1 then 'more_than_one_transition' end, case when (superseding_attestation_id is not null) <> (reason = 'late_evidence') then 'supersession_without_late_evidence' end) codes from t) where codes <> ''""", "revocations")
 def o125_transition_audit(v):
-    return attest.transition_audit(v("attestations"), v("revocations")).drop("tenant_id")
+    r = v("revocations").withColumn("reason", F.when(F.col("sequence") == 2, "error").otherwise(F.col("reason")))
+    again = r.where("sequence = 1 and length(attestation_id) % 2 = 0").withColumns({"revocation_id": F.concat("revocation_id", F.lit("-again")), "superseding_attestation_id": F.lit(None).cast("string"), "reason": F.lit("error")})
+    return attest.transition_audit(v("attestations"), r.unionByName(again)).drop("tenant_id")
 
 
 LIVE = f"""with live as (select * from attestations a where validity_until + interval '0' month > timestamp '{AS_OF}' and attestation_id not in (select attestation_id from revocations where effective_at <= timestamp '{AS_OF}'))
@@ -662,13 +658,6 @@ def o17_uniqueness(v):
     return validate.repeated(v("filed_records"), ["tenant_id", "record_id"]).select("record_id", "n")
 
 
-@query("""with k as (select tenant_id, key_id, min(namespace) ns from keys group by all), r as (select record_id, tenant_id, key_id, case event_type when 'click' then 'ActionProposal' when 'view' then 'ExecutionReceipt' when 'error' then 'Unknown' when 'signup' then 'PopulationRecord' else 'ExternalConfirmation' end t from stream_records)
-select record_id, case when t = 'Unknown' then 'record_type_unknown' when ns is null then 'key_unknown' else 'wrong_namespace' end reason from r left join k using (tenant_id, key_id) where t = 'Unknown' or ns is null or ns <> case when t in ('ActionProposal', 'ExecutionReceipt') then 'evidence' else 'issuer' end""", "stream_records", "keys")
-def o18_signer_namespace(v):
-    kind = F.expr("case event_type when 'click' then 'ActionProposal' when 'view' then 'ExecutionReceipt' when 'error' then 'Unknown' when 'signup' then 'PopulationRecord' else 'ExternalConfirmation' end")
-    return validate.signer_namespace(v("stream_records").withColumn("record_type", kind), v("keys")).select("record_id", "reason")
-
-
 def wires(v) -> DataFrame:
     """Records as JSON text; some with faults."""
     e, k = F.col("event_id"), F.col("event_id").cast("string")
@@ -682,10 +671,53 @@ def wires(v) -> DataFrame:
     return v("stream_base").select("event_id", rid.alias("record_id"), text.alias("wire"))
 
 
-@query("""select event_id, concat_ws(',', case when event_id % 11 = 0 then 'record.envelope.member_unknown' end, case when event_id % 10 = 0 then 'record.id.invalid' end, case when event_id % 12 = 0 then 'record.clocks.source_time.invalid' end,
-case when event_id % 14 = 0 then 'record.number.float' end, case when event_id % 9 = 0 then 'record.body.member_missing' end) errors from events""")
+SAMPLES = {"s": '"x"', "t": '"2024-01-01T00:00:00.000Z"', "d": '"sha256:' + "0" * 64 + '"', "n": "0", "p": "1", "b": "true", "o": "{}", "l": "[]", "j": "[1]"}
+#: Faults by event_id % 61: what replaces what in a sound record's text, and the code that follows.
+FAULTS = [
+    ('"stream_id"', '"extra":"x","stream_id"', "record.envelope.member_unknown"), ('"record_id":"0190a000', '"record_id":"x190a000', "record.id.invalid"), ('"source_time":"2024-01-01T00:00:00.000Z"}', '"source_time":"2024-01-01"}', "record.clocks.source_time.invalid"),
+    ('"source":{}', '"source":{"x":1.5}', "record.number.float"), ('"source":{}', '"source":{"x":"1.5"}', ""), ('"sequence":', '"sequence":9007199254740', "record.sequence.range"), ('"record_type":"', '"record_type":"No', "record.type.unknown"),
+    ('"schema_version":"1.0.0"', '"schema_version":"1.0"', "record.schema_version.invalid"), ('"schema_version":"1.0.0"', '"schema_version":"1.0.0-rc.1+b5"', ""), ('"prev_digest":null', '"prev_digest":"sha256:x"', "record.prev_digest.invalid"),
+    ('"clocks":{', '"clocks":{"ingest_time":"x",', "record.clocks.hosted_member"), ('"clocks":{', '"clocks":{"other":1,', "record.clocks.member_unknown"), ('"source":{}', '"source":[]', "record.envelope.member_invalid"), ('"boundary_ref":"b",', "", "record.envelope.member_missing"),
+    ('"tenant_id"', '"tenant_id":"t","tenant_id"', "record.json.malformed"), ('"schema_version":"1.0.0"', '"schema_version":null', "record.schema_version.invalid"), ('"sequence":', '"sequence":-', "record.sequence.range"), ('{"body"', '"body"', "record.json.malformed"),
+    ('"clocks":{', '"clocks":{"clock_skew_ms":2.5,', "record.clocks.hosted_member,record.number.float"),
+]
+N_FAULTS = len(FAULTS)
+
+
+def records_of_all_types(v) -> DataFrame:
+    """Records as JSON text, of the fourteen types in turn, with faults by turns: those of FAULTS, a body member left out, null, or of another kind."""
+    bodies = {}
+    for kind in validate.BODIES:
+        one = {name: f'"{words[0]}"' if words else SAMPLES[k] for name, k, _, words in validate.members_of(kind)}
+        if kind == "PopulationRecord":
+            one["record_identifiers"] = '["x"]'
+        text = lambda x: "{" + ",".join(f'"{k}":{y}' for k, y in x.items()) + "}"
+        lead = next(iter(one))
+        bodies[kind] = [text(one), text({k: y for k, y in one.items() if k != lead}), text(one | {lead: "null"}), text(one | {lead: "7"})]
+    e = F.col("event_id")
+    of = F.create_map(*(c for k, x in enumerate(bodies) for c in (F.lit(k), F.struct(F.lit(x).alias("kind"), F.array(*(F.lit(b) for b in bodies[x])).alias("bodies")))))
+    r = v("stream_base").withColumn("t", F.element_at(of, (e % 14).cast("int")))
+    fault = (e % 61).cast("int")
+    body = F.element_at("t.bodies", F.when(fault.between(N_FAULTS, N_FAULTS + 2), fault - N_FAULTS + 2).otherwise(1))
+    body = F.when(fault == N_FAULTS + 3, F.lit('"x"')).otherwise(body)
+    text = F.concat(
+        F.lit('{"body":'), body, F.lit(',"boundary_ref":"b","clocks":{"source_time":"2024-01-01T00:00:00.000Z"},"prev_digest":null,"record_id":"0190a000-0000-7000-8000-'), F.lpad(F.lower(F.hex(e)), 12, "0"),
+        F.lit('","record_type":"'), F.col("t.kind"), F.lit('","schema_version":"1.0.0","sequence":'), (F.col("sequence") + 1000).cast("string"), F.lit(',"signature":{},"source":{},"stream_id":"'), F.col("stream_id"), F.lit('","tenant_id":"'), F.col("tenant_id"), F.lit('"}'),
+    )
+    pairs = F.create_map(*(c for k, (old, new, _) in enumerate(FAULTS) for c in (F.lit(k), F.struct(F.lit(old).alias("old"), F.lit(new).alias("new")))))
+    swap = F.element_at(pairs, fault)
+    whole = r.select("event_id", F.col("t.kind").alias("kind"), text.alias("text"), swap.alias("swap"))
+    return whole.select("event_id", "kind", F.when(F.col("swap").isNotNull(), F.replace("text", "swap.old", "swap.new")).otherwise(F.col("text")).alias("wire"))
+
+
+_KINDS = "case event_id % 14 " + " ".join(f"when {k} then '{x}'" for k, x in enumerate(validate.BODIES)) + " end"
+_CODES = " ".join(f"when {k} then '{c}'" for k, (_, _, c) in enumerate(FAULTS))
+
+
+@query(f"""select event_id, case event_id % 61 {_CODES} when {N_FAULTS} then 'record.body.member_missing' when {N_FAULTS + 1} then 'record.body.member_invalid' when {N_FAULTS + 2} then 'record.body.member_invalid'
+when {N_FAULTS + 3} then case when event_id % 14 = 2 then 'record.envelope.member_invalid,record.body.member_missing,record.body.identifiers_exclusive' else 'record.envelope.member_invalid,record.body.member_missing' end else '' end errors from events""")
 def o10_validation_report(v):
-    return validate.report(wires(v)).select("event_id", F.array_join("errors", ",").alias("errors"))
+    return validate.report(records_of_all_types(v)).select("event_id", F.array_join("errors", ",").alias("errors"))
 
 
 @query("select concat('a', cast(event_id as string)) action_id, sequence, stream_id from stream_base", "stream_base")
@@ -706,21 +738,43 @@ def o16_canonical_audit(v):
     return validate.canonical_audit(wires(v)).agg(F.count(F.lit(1)).alias("n"), F.count_if("is_canonical").alias("n_canonical"))
 
 
-@query("select action_id, count(*) n from (select concat('a', cast(event_id as string)) action_id from stream_base) group by 1", "stream_base")
+@query(f"""with k as (select tenant_id, key_id, min(namespace) ns from keys group by all), r as (select record_id, tenant_id, key_id, concat('k', cast(event_id % 11 as string)) ck, case when event_id % 97 = 3 then 'Unknown' else {_KINDS} end t from stream_records),
+e as (select *, case when t = 'Unknown' then null when t in ('PopulationRecord', 'ExternalConfirmation', 'RevocationRecord') then 'issuer' else 'evidence' end want from r)
+select record_id, case when want is null then 'record_type_unknown' when k.ns is null then 'key_unknown' when k.ns <> want then 'wrong_namespace' else 'no_issuer_counter_key' end reason
+from e left join k on k.tenant_id = e.tenant_id and k.key_id = e.key_id left join k c on c.tenant_id = e.tenant_id and c.key_id = ck
+where want is null or k.ns is null or k.ns <> want or (t = 'AttestationWindow' and c.ns is distinct from 'issuer')""", "stream_records", "keys")
+def o18_signer_namespace(v):
+    e = F.col("event_id")
+    r = v("stream_records").withColumn("record_type", F.when(e % 97 == 3, "Unknown").otherwise(F.expr(_KINDS))).withColumn("counter_key_id", F.concat(F.lit("k"), (e % 11).cast("string")))
+    return validate.signer_namespace(r, v("keys")).select("record_id", "reason")
+
+
+@query(f"select {_KINDS} record_type, count(*) n from events where event_id % 61 >= {N_FAULTS} group by 1")
 def o02_typed_view(v):
-    return ledger.typed_view(wires(v), "ActionProposal").groupBy("action_id").agg(F.count(F.lit(1)).alias("n"))
+    sound = stored(records_of_all_types(v).where(f"event_id % 61 >= {N_FAULTS}"), "records")
+    views = [ledger.typed_view(sound, kind).groupBy().agg(F.lit(kind).alias("record_type"), F.count(F.lit(1)).alias("n")) for kind in validate.BODIES]
+    out = views[0]
+    for x in views[1:]:
+        out = out.unionByName(x)
+    return out
 
 
-@query("select boundary_ref, '' codes from boundaries", "boundaries", "boundary_families")
+@query("""with f as (select boundary_ref, version, count(*) n from boundary_families group by all)
+select b.boundary_ref, concat_ws(',', case when n is null then 'no_family' end, case when b.version % 3 = 0 then 'family_repeated' end, case when b.version % 4 = 1 then 'destination_missing' end, case when b.version % 5 = 2 then 'fail_behaviour_unknown' end,
+case when name = 'b3' then 'ref_does_not_compose' end) codes from boundaries b left join f using (boundary_ref)""", "boundaries", "boundary_families")
 def o22_boundary_audit(v):
-    return validate.boundary_audit(v("boundaries"), v("boundary_families")).select("boundary_ref", F.array_join("codes", ",").alias("codes"))
+    k = F.col("version")
+    families = v("boundary_families").withColumns({"destination_system": F.when(k % 4 != 1, F.col("destination_system")), "fail_behaviour": F.when(k % 5 == 2, "fail_loud").otherwise(F.col("fail_behaviour"))})
+    families = families.unionByName(families.where(k % 3 == 0))
+    declared = v("boundaries").withColumn("name", F.when(F.col("name") == "b3", "b9").otherwise(F.col("name")))
+    return validate.boundary_audit(declared, families).select("boundary_ref", F.array_join("codes", ",").alias("codes"))
 
 
-@query("""with s as (select s.*, coalesce(c.cad, 0) cad from (select *, lead(source_time) over (partition by tenant_id, collector_id order by source_time, record_id) nx from submissions where submission_id < 10000000) s
+@query("""with s as (select s.*, coalesce(c.cad, 0) cad from (select *, lead(source_time) over (partition by tenant_id, collector_id order by source_time, record_id) nx from submissions where sent = 0) s
 join (select tenant_id, collector_id, max(expected_cadence_s) cad from collectors group by all) c on c.tenant_id = s.tenant_id and c.collector_id = s.collector_id)
 select tenant_id, collector_id, source_time gap_start, nx gap_end from s where nx is null or epoch_us(nx) - epoch_us(source_time) > cad * 1000000""", "submissions", "collectors")
 def o143_silences(v):
-    return streaming.silences(v("submissions").where("submission_id < 10000000"), v("collectors"))
+    return streaming.silences(v("submissions").where("sent = 0"), v("collectors"))
 
 
 @query("""with m as (select *, coalesce(sum(cast(restored as int)) over (partition by tenant_id, collector_id order by refused_at, event_id rows between unbounded preceding and 1 preceding), 0) k from refusals)
@@ -741,17 +795,23 @@ def _drained(stream: DataFrame, kind: str) -> DataFrame:
     return spark.read.parquet(f"{at}/out")
 
 
-@query("select tenant_id, stream_id, count(*) n_accepted from (select *, row_number() over (partition by tenant_id, stream_id, sequence order by submission_id) np, row_number() over (partition by tenant_id, record_id order by submission_id) ni from submissions) where np = 1 and ni = 1 group by all", "submissions")
+@query(f"select submission_id, {OUTCOME} outcome from submissions", "submissions")
 def o140_ingest_stream(v):
     spark, at = v("submissions").sparkSession, _folder(v("submissions").sparkSession, "ingest")
     streaming.ingest_stream(_stream_of(v, "submissions", "submissions"), f"{at}/ledger", f"{at}/events", f"{at}/checkpoint")
-    return spark.read.parquet(f"{at}/ledger").groupBy("tenant_id", "stream_id").agg(F.count(F.lit(1)).alias("n_accepted"))
+    taken = spark.read.parquet(f"{at}/ledger").select("submission_id", F.lit("accept").alias("outcome"))
+    return taken.unionByName(spark.read.parquet(f"{at}/events").select("submission_id", "outcome"))
 
 
-@query("select tenant_id, stream_id, count(*) n_accepted from stream_records group by all", "stream_records")
+@query("""with o as (select *, row_number() over (partition by tenant_id, stream_id, sequence order by record_id, record_digest) n, first_value(record_digest) over (partition by tenant_id, stream_id, sequence order by record_id, record_digest) d,
+first_value(record_id) over (partition by tenant_id, stream_id, sequence order by record_id, record_digest) i from filed_records),
+h as (select tenant_id, stream_id, sequence, lag(sequence) over (partition by tenant_id, stream_id order by sequence) before from o where n = 1)
+select tenant_id, stream_id, sequence, record_id, case when n = 1 then case when sequence = coalesce(before, 0) + 1 then 'accept' else 'accept_after_hole' end when record_id = i and record_digest = d then 'replay' else 'fork' end outcome
+from o left join h using (tenant_id, stream_id, sequence)""", "filed_records")
 def o141_stream_memory(v):
-    got = _drained(streaming.stream_memory(_stream_of(v, "filed_records", "filed")), "memory")
-    return got.where("outcome like 'accept%'").groupBy("tenant_id", "stream_id").agg(F.count(F.lit(1)).alias("n_accepted"))
+    spark, at = v("filed_records").sparkSession, _folder(v("filed_records").sparkSession, "memory")
+    streaming.positions_stream(_stream_of(v, "filed_records", "filed"), f"{at}/ledger", f"{at}/out", f"{at}/checkpoint")
+    return spark.read.parquet(f"{at}/out").where("outcome <> 'gap'").select("tenant_id", "stream_id", "sequence", "record_id", "outcome")
 
 
 @query()
@@ -764,9 +824,7 @@ def o148_correlation(v):
     return _drained(streaming.correlate(_stream_of(v, "receipts", "receipts"), _stream_of(v, "confirmations", "confirmations")), "correlated")
 
 
-@query("""with f as (select *, first_value(record_id) over (partition by tenant_id, stream_id, sequence order by submission_id) pr, first_value(wire_digest) over (partition by tenant_id, record_id order by submission_id) iw,
-row_number() over (partition by tenant_id, stream_id, sequence order by submission_id) np, row_number() over (partition by tenant_id, record_id order by submission_id) ni from submissions)
-select tenant_id, outcome, count(*) n from (select tenant_id, case when np = 1 and ni = 1 then 'accept' when pr <> record_id then 'fork' when iw = wire_digest then 'replay' else 'content_substitution' end outcome from f) where outcome in ('fork', 'content_substitution') group by all""", "submissions")
+@query(f"select tenant_id, outcome, count(*) n from (select tenant_id, {OUTCOME} outcome from submissions) where outcome in ('fork', 'content_substitution') group by all", "submissions")
 def o05_integrity_events(v):
     done = ingest.classify_in_order(v("submissions"))
     ledger.append_events(done, path := f"{_folder(done.sparkSession, 'events')}/table")
@@ -849,3 +907,114 @@ def o126_latest_notification(v):
 def o75_lattice(v):
     a = v("attestations")
     return a.withColumn("level", qualify.admissible_level(F.col("claimed_class"))).groupBy("boundary_ref", "claimed_class", "level").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""select s_suppkey connector, concat_ws(',', case when s_suppkey % 11 = 0 then 'settlement_lag_negative' end, case when s_suppkey % 3 = 0 and s_suppkey % 2 = 0 then 'settlement_lag_without_enumeration' end,
+case when s_suppkey % 7 = 0 then 'attribution_surface_contradicts_enumeration' end, case when s_suppkey % 13 = 0 then 'confirmation_access_contradicts_confirmation' end,
+case when s_suppkey % 17 = 0 and s_suppkey % 3 = 0 then 'confirmation_shared_without_enumeration' end) codes,
+s_suppkey % 3 <> 0 and s_suppkey % 5 <> 0 and s_suppkey % 11 <> 0 and s_suppkey % 7 <> 0 and s_suppkey % 13 <> 0 supports_window_claim from (select cast(substr(qualification_ref, 2) as bigint) s_suppkey from qualifications) q""", "qualifications")
+def o48_capability(v):
+    k = F.substring("qualification_ref", 2, 20).cast("long")
+    confirms = k % 4 != 0
+    said = F.when(k % 13 == 0, ~confirms).otherwise(confirms)
+    c = v("qualifications").select(k.alias("connector"), (k % 3 != 0).alias("enumeration"), confirms.alias("confirmation"), (k % 5 != 0).alias("authoritative_time"),
+        F.when(k % 11 == 0, -1).when((k % 3 != 0) | (k % 2 == 0), 60).alias("settlement_lag_s"), F.when((k % 3 == 0) != (k % 7 == 0), "enumeration_unavailable").otherwise("enumerated").alias("attribution_surface"),
+        F.when(k % 17 == 0, "shared_with_enumeration").when(said, "own").otherwise("not_available").alias("confirmation_access"))
+    return binding.capability_audit(c).select("connector", F.array_join("codes", ",").alias("codes"), "supports_window_claim")
+
+
+@query("""select population_ref, case when n % 23 = 0 then 'unanswered' else concat_ws(',', case when n % 3 = 0 then 'action_family_differs' end, case when n % 5 = 0 then 'window_start_differs' end, case when n % 7 = 0 then 'echoed_parameters_differs' end, case when n % 4 = 0 then 'count_differs' end,
+case when n % 9 = 0 then 'range_outside_window' end, case when n % 9 <> 0 and n % 8 = 0 then 'time_is_not_the_newest_record' end, case when result_cap_hit then 'result_cap_hit' end, case when not pagination_complete then 'pagination_incomplete' end, case when n % 6 = 1 then 'settlement_lag_exceeded' end) end codes
+from (select *, signed_count n from populations) p""", "populations")
+def o44_response_binding(v):
+    n = F.col("signed_count")
+    asked = v("populations").select(F.col("population_ref").alias("request_id"), "action_family", "destination_system", "window_start", "window_end", F.col("boundary_ref").alias("parameters"), F.lit(3600).alias("settlement_lag_s"))
+    got = v("populations").where(n % 23 != 0).select(
+        F.col("population_ref").alias("request_id"), F.when(n % 3 == 0, "other").otherwise(F.col("action_family")).alias("action_family"), "destination_system", F.when(n % 5 == 0, F.col("window_end")).otherwise(F.col("window_start")).alias("window_start"), "window_end",
+        F.when(n % 7 == 0, "x").otherwise(F.col("boundary_ref")).alias("echoed_parameters"), F.col("window_start").alias("echoed_start"), F.col("window_end").alias("echoed_end"), n.alias("count"), F.when(n % 4 == 0, n + 1).otherwise(n).alias("n_identifiers"),
+        F.when(n % 9 == 0, F.lit(None)).otherwise(F.col("ts_min")).alias("ts_min"), "ts_max", F.when(n % 8 == 0, F.col("window_end")).otherwise(F.col("ts_max")).alias("authoritative_time"), "result_cap_hit", "pagination_complete", F.when(n % 6 == 1, 3_600_001).otherwise(5).alias("observed_lag_ms"),
+    )
+    return binding.response_binding(asked, got).select(F.col("request_id").alias("population_ref"), F.array_join("codes", ",").alias("codes"))
+
+
+@query("""select population_ref, case when n % 7 = 0 then 'boundary_differs' when n % 5 = 0 then 'window_differs' when n % 11 = 0 then 'no_qualification' when n % 3 = 0 then 'tenant_differs' when n % 4 = 0 then 'action_family_differs' when n % 13 = 0 then 'destination_differs' end reason from (select *, signed_count n from populations) p""", "populations")
+def o90_scope_validation(v):
+    n = F.col("signed_count")
+    p = v("populations").withColumn("boundary_ref", F.col("population_ref"))
+    b = p.where(n % 7 != 0).withColumn("window_end", F.when(n % 5 == 0, F.col("window_start")).otherwise(F.col("window_end")))
+    q = p.where(n % 11 != 0).withColumns({"tenant_id": F.when(n % 3 == 0, "other").otherwise(F.col("tenant_id")), "action_family": F.when(n % 4 == 0, "other").otherwise(F.col("action_family")), "destination_system": F.when(n % 13 == 0, "other").otherwise(F.col("destination_system"))})
+    return binding.scope_validation(p, b, q.unionByName(p.where(n % 11 != 0)))
+
+
+@query("""select attestation_id bundle_id, case when n % 5 = 0 then 'boundary_unchecked' else 'boundary_mismatch' end code, boundary_ref detail from (select a.*, signed_count n from attestations a join populations p using (population_ref)) x where n % 5 = 0 or n % 7 = 0
+union all select attestation_id, 'qualification_undeclared', concat('q', cast(n as string)) from (select a.*, signed_count n from attestations a join populations p using (population_ref)) x where n % 5 <> 0 and n % 7 <> 0 and n % 3 = 0""", "attestations", "populations")
+def o85_boundary_binding(v):
+    n = F.col("signed_count")
+    a = v("attestations").join(v("populations").select("population_ref", "signed_count"), "population_ref").withColumn("bundle_id", F.col("attestation_id"))
+    own = F.concat(F.lit("q"), n.cast("string"))
+    carried = a.where(n % 5 != 0).select("bundle_id", F.concat(F.lit("rec-"), F.col("bundle_id")).alias("record_id"), F.when(n % 7 == 0, "elsewhere").otherwise(F.col("boundary_ref")).alias("boundary_ref"), F.array(F.lit("q"), F.when(n % 3 == 0, "q").otherwise(own)).alias("qualification_refs"))
+    return binding.boundary_binding(a.withColumn("claimed_boundary_ref", F.col("boundary_ref")), carried, a.select("bundle_id", own.alias("record_id")).unionByName(a.select("bundle_id", F.lit("q").alias("record_id"))))
+
+
+@query("""with h as (select a.attestation_id, claimed_class, window_start, window_end, qualification_ref, assigned_class, qualified_at, signed_count % 9 = 0 gap from attestations a join populations using (tenant_id, population_ref, window_start, window_end) join qualifications q using (tenant_id)),
+f as (select attestation_id, claimed_class, bool_or(gap) gap, (select arg_max(assigned_class, (qualified_at, qualification_ref)) from h g where g.attestation_id = h.attestation_id and qualified_at < window_start) gov,
+max(assigned_class) filter (where qualified_at >= window_start and qualified_at < window_end) ins, coalesce(bool_or(qualified_at >= window_start and assigned_class <= claimed_class), false) later from h group by all)
+select a.attestation_id bundle_id, case when f.attestation_id is null or gap then 'unchecked' when gov is null then 'postdates_window' when a.claimed_class < greatest(gov, coalesce(ins, gov)) then case when later then 'postdates_window' else 'class_unsupported' end else 'supported' end verdict
+from attestations a left join f using (attestation_id)""", "attestations", "qualifications")
+def o76_bundle_class_check(v):
+    n = F.col("signed_count")
+    a = v("attestations").join(v("populations").select("population_ref", "signed_count"), "population_ref").withColumn("bundle_id", F.col("attestation_id"))
+    history = a.select("bundle_id", "tenant_id", "signed_count").join(v("qualifications").select("tenant_id", "qualification_ref", "action_family", "destination_system", "assigned_class", "qualified_at"), "tenant_id").drop("tenant_id")
+    refs = history.select("bundle_id", "qualification_ref").unionByName(history.where(n % 9 == 0).select("bundle_id", F.lit("undisclosed").alias("qualification_ref")))
+    return binding.bundle_class_check(a, refs, history.drop("signed_count"))
+
+
+@query("""select concat('rec-', qualification_ref) record_id, assigned_class, enumeration_capable, not enumeration_capable confirmation_capable, identity_isolation_attribute, identity_vendor_settable, authoritative_time_available, cast(settlement_lag_s as bigint) settlement_lag_s, source_retention_days,
+deletion_traceless_possible from qualifications""", "qualifications")
+def o20_qualification_projection(v):
+    said = lambda c: F.when(F.col(c), "true").otherwise("false")
+    body = F.concat(
+        F.lit('{"body":{"action_family":"order.create","assigned_class":"'), F.upper("assigned_class"), F.lit('","confirmation":{"capable":'), F.when(F.col("enumeration_capable"), "false").otherwise("true"), F.lit('},"destination_system":"erp","enumeration":{"capable":'), said("enumeration_capable"),
+        F.lit('},"identity_isolation":{"attribute":'), F.when(F.col("identity_isolation_attribute").isNull(), "null").otherwise('"actor"'), F.lit(',"vendor_settable":'), said("identity_vendor_settable"), F.lit('},"mutability":{"deletion_possible":true,"trace_available":'),
+        F.when(F.col("deletion_traceless_possible"), "false").otherwise("true"), F.lit('},"retention_period":"P'), F.col("source_retention_days").cast("string"), F.lit('D","temporal":{"authoritative_timestamp_source":'), F.when(F.col("authoritative_time_available"), '"x"').otherwise("null"),
+        F.lit(',"measured_settlement_lag_s":'), F.col("settlement_lag_s").cast("string"), F.lit('}},"record_id":"rec-'), F.col("qualification_ref"), F.lit('"}'),
+    )
+    return qualify.project(v("qualifications").select(body.alias("wire"))).drop("action_family", "destination_system")
+
+
+@query("""select attestation_id, tenant_id, cast(signed_count as bigint) sequence, claimed_class denominator_class, case when claimed_class in ('c1', 'c2', 'c3') then '0.5000' end coverage_ratio, window_start, validity_until, concat('[', population_ref, ']') refs, case when signed_count % 2 = 0 then 'k1' end evidence_key_id
+from attestations join (select population_ref, signed_count from populations) p using (population_ref)""", "attestations", "populations")
+def o123_attestation_rows(v):
+    a = v("attestations").join(v("populations").select("population_ref", "signed_count"), "population_ref")
+    at = lambda c: F.concat(F.lit('"'), F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"), F.lit('"'))
+    text = F.concat(
+        F.lit('{"body":{"coverage_ratio":'), F.when(F.col("claimed_class").isin("c1", "c2", "c3"), '"0.5000"').otherwise("null"), F.lit(',"denominator_class":"'), F.upper("claimed_class"), F.lit('","population_record_refs":["'), F.col("population_ref"), F.lit('"],"validity_until":'), at("validity_until"),
+        F.lit(',"window_start":'), at("window_start"), F.lit('},"record_id":"'), F.col("attestation_id"), F.lit('","sequence":'), F.col("signed_count").cast("string"), F.lit(',"signature":{'), F.when(F.col("signed_count") % 2 == 0, '"customer":{"key_id":"k1"}').otherwise(""), F.lit('},"tenant_id":"'), F.col("tenant_id"), F.lit('"}'),
+    )
+    got = attest.rows(a.select(text.alias("wire")))
+    return got.select("attestation_id", "tenant_id", "sequence", "denominator_class", F.col("coverage_ratio").cast("string").alias("coverage_ratio"), "window_start", "validity_until", F.concat(F.lit("["), F.array_join("population_record_refs", ","), F.lit("]")).alias("refs"), "evidence_key_id")
+
+
+@query("""with p as (select population_ref, count(*) n, min(destination_record_id) lo, max(destination_record_id) hi from population_items group by 1) select population_ref, n, lo, hi from p where n % 6 <> 0""", "population_items")
+def o04_population_write(v):
+    filed = population.enumerate_window(v("population_items"))
+    filed = filed.withColumn("signed_count", F.when(F.col("count") % 6 == 0, F.col("count") + 1).otherwise(F.col("count"))).drop("count")
+    population.write(filed, path := _folder(filed.sparkSession, "populations"))
+    return filed.sparkSession.read.parquet(f"{path}/population_items").groupBy("population_ref").agg(F.count(F.lit(1)).alias("n"), F.min("destination_record_id").alias("lo"), F.max("destination_record_id").alias("hi"))
+
+
+@query("""select attestation_id, destination_record_id record_id from population_items i join attestations a using (tenant_id, boundary_ref, population_ref)
+where authoritative_time >= window_start and authoritative_time < window_end and authoritative_time + cast(cast(substr(destination_record_id, 2) as bigint) % 40 as int) * interval '1' day > issued_at""", "attestations", "population_items")
+def o145_late_data(v):
+    k = F.substring("destination_record_id", 2, 20).cast("long")
+    spark, at = v("attestations").sparkSession, _folder(v("attestations").sparkSession, "late")
+    items = v("population_items").select("tenant_id", "boundary_ref", F.col("destination_record_id").alias("record_id"), "authoritative_time", (F.col("authoritative_time") + F.make_dt_interval(days=(k % 40).cast("int"))).alias("ingest_time"))
+    items.write.parquet(path := f"{at}/in")
+    streaming.late_records(streaming.parquet_stream(spark, path, items.schema), v("attestations"), f"{at}/out", f"{at}/checkpoint")
+    return spark.read.parquet(f"{at}/out").select("attestation_id", "record_id")
+
+
+@query("""with d as (select tenant_id, date_trunc('day', source_time) window_start, count(*) n from stream_base group by all), t as (select max(source_time) top from stream_base)
+select tenant_id, window_start, window_start + interval '1' day window_end, n from d, t where window_start + interval '1' day <= top - interval '2' day""", "stream_base")
+def o146_settlement_gate(v):
+    return _drained(streaming.settled_windows(_stream_of(v, "stream_base", "settled").withColumnRenamed("source_time", "authoritative_time"), "1 day", "2 days"), "settled")

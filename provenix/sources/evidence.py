@@ -21,9 +21,9 @@ VIEWS: dict[str, str] = {
         min(authoritative_time) ts_min, max(authoritative_time) ts_max,
         cast(substr(population_ref, 4) as bigint) % 7 = 0 result_cap_hit, cast(substr(population_ref, 4) as bigint) % 11 <> 0 pagination_complete
         from population_items group by tenant_id, boundary_ref, population_ref, action_family, destination_system""",
-    # missing for keys % 10 = 0; shared action for % 53; second attempt for % 41
+    # missing for keys % 10 = 0; shared action for % 53, one action of many records of a tenant for % 31; second attempt for % 41
     "receipts": """select tenant_id, boundary_ref, destination_record_id,
-        case when k % 53 = 0 then concat('a', cast(k - 1 as string)) else concat('a', cast(k as string)) end action_id,
+        case when k % 31 = 0 then concat('shared-', tenant_id) when k % 53 = 0 then concat('a', cast(k - 1 as string)) else concat('a', cast(k as string)) end action_id,
         concat('r', cast(k as string), '-', cast(dispatch_attempt as string)) record_id, dispatch_attempt, responded_at
         from (select p.*, o.o_orderkey k, l.l_linenumber dispatch_attempt, o.o_orderdate + interval '2' minute responded_at
               from orders o join lineitem l on l.l_orderkey = o.o_orderkey
@@ -49,7 +49,7 @@ VIEWS: dict[str, str] = {
         concat('sha256:', sha2(concat_ws('|', cast(event_id as string), cast(user_id as string), event_type), 256)) record_digest from events""",
     # holes % 97, tampered links % 89, key change every 25, unsigned % 211, no continuity % 83
     "stream_records": """select tenant_id, stream_id, sequence, concat('e', cast(event_id as string)) record_id, source_time, event_type, event_id, record_digest,
-        case when event_id % 89 = 0 then 'sha256:tampered' else prev end prev_digest, concat('k', cast((sequence - 1) div 25 as string)) key_id,
+        case when event_id % 89 = 0 then 'sha256:tampered' else prev end prev_digest, concat('k', cast((cast(substr(stream_id, 2) as bigint) + (sequence - 1) div 25) % (select greatest(1, count(*) div 12) from supplier) as string)) key_id,
         event_id % 83 <> 0 has_continuity, event_id % 211 <> 0 sig_ok
         from (select b.*, lag(record_digest) over (partition by tenant_id, stream_id order by sequence) prev from stream_base b) q where event_id % 97 <> 0""",
     # every 150th position is filed again under another id; every 130th exactly again
@@ -89,15 +89,18 @@ VIEWS: dict[str, str] = {
         case when event_id % 31 = 0 then 0 else (event_id % 13 - 4) * 1000 end clock_skew_ms, case when event_id % 43 = 0 then 'sha256:other' else record_digest end receipt_digest, record_digest, event_id % 211 <> 0 sig_ok,
         case when event_id % 101 = 0 then 'evidence' else 'issuer' end key_namespace from stream_base""",
     "collectors": """select concat('t', cast(s_suppkey % 3 as string)) tenant_id, concat('col', cast(s_suppkey as string)) collector_id, cast(s_suppkey % 3 as int) version,
-        case when s_suppkey % 4 = 0 then timestamp '2024-01-15 00:00:00' end revoked_at, s_suppkey % 5 = 0 observation_only, cast(600 + s_suppkey % 3 * 600 as int) expected_cadence_s from supplier where s_suppkey <= 60""",
-    "keys": """select concat('t', cast(s_suppkey % 3 as string)) tenant_id, concat('k', cast(s_suppkey % 8 as string)) key_id, concat('kr', cast(s_suppkey as string)) key_record,
+        case when s_suppkey % 4 = 0 then timestamp '2024-01-15 00:00:00' end revoked_at, s_suppkey % 5 = 0 observation_only, cast(600 + s_suppkey % 3 * 600 as int) expected_cadence_s from supplier""",
+    "keys": """select concat('t', cast(s_suppkey % 3 as string)) tenant_id, concat('k', cast(s_suppkey % (select greatest(1, count(*) div 12) from supplier) as string)) key_id, concat('kr', cast(s_suppkey as string)) key_record,
         case when s_suppkey % 2 = 0 then 'evidence' else 'issuer' end namespace, timestamp '2024-01-01 00:00:00' + cast(s_suppkey % 20 as int) * interval '1' day valid_from,
-        timestamp '2024-01-11 00:00:00' + cast(s_suppkey % 25 as int) * interval '1' day valid_until, case when s_suppkey % 7 = 0 then timestamp '2024-01-14 00:00:00' end compromised_from from supplier where s_suppkey <= 100""",
-    "submissions": """select b.tenant_id, b.stream_id, concat('e', cast(b.event_id as string)) record_id, cast(b.sequence as bigint) sequence, b.record_digest wire_digest, b.event_id submission_id, b.source_time,
-        concat('col', cast(1 + b.event_id % 70 as string)) collector_id, cast(b.event_id % 4 as int) collector_version from stream_base b
-        union all select tenant_id, stream_id, concat('e', cast(event_id as string)), sequence, record_digest, 10000000 + event_id, source_time, 'col1', 1 from stream_base where event_id % 23 = 0
-        union all select tenant_id, stream_id, concat('e', cast(event_id as string)), sequence, concat(record_digest, '-other'), 20000000 + event_id, source_time, 'col1', 1 from stream_base where event_id % 29 = 0
-        union all select tenant_id, stream_id, concat('z', cast(event_id as string)), sequence, record_digest, 30000000 + event_id, source_time, 'col1', 1 from stream_base where event_id % 37 = 0""",
+        timestamp '2024-01-11 00:00:00' + cast(s_suppkey % 25 as int) * interval '1' day valid_until, case when s_suppkey % 7 = 0 then timestamp '2024-01-14 00:00:00' end compromised_from from supplier""",
+    # every record; some are sent again (1), with other content (2), or their place is claimed by another id (3); some appear in other streams (4, 5), where
+    # another id then takes the place that was refused to them (6). submission_id is the order of arrival.
+    "submissions": """select tenant_id, case sent when 4 then concat(stream_id, 'b') when 5 then concat(stream_id, 'c') when 6 then concat(stream_id, 'b') else stream_id end stream_id,
+        concat(case sent when 3 then 'z' when 6 then 'y' else 'e' end, cast(event_id as string)) record_id, cast(sequence as bigint) sequence,
+        case when sent in (2, 5) then concat(record_digest, '-other') else record_digest end wire_digest, cast(event_id * 8 + sent as bigint) submission_id, source_time, cast(sent as int) sent,
+        concat('col', cast(1 + event_id % (select greatest(1, count(*) * 7 div 6) from supplier) as string)) collector_id, cast(event_id % 4 as int) collector_version
+        from stream_base, (select 0 sent union all select 1 union all select 2 union all select 3 union all select 4 union all select 5 union all select 6) again
+        where sent = 0 or (sent = 1 and event_id % 23 = 0) or (sent = 2 and event_id % 29 = 0) or (sent = 3 and event_id % 37 = 0) or (sent = 4 and event_id % 41 = 0) or (sent = 5 and event_id % 43 = 0) or (sent = 6 and event_id % 41 = 0)""",
     "page_log": """select o_custkey query_id, cast(row_number() over (partition by o_custkey order by o_orderkey) as int) page_no, case when o_orderkey % 97 = 0 then 11 else 10 end total_size,
         cast(1 + o_orderkey % 3 as bigint) n_records, o_orderkey % 101 = 0 failed,
         case when lead(o_orderkey) over (partition by o_custkey order by o_orderkey) is null then null when o_orderkey % 89 = 0 then 'page-again' else concat('page-', cast(o_orderkey as string)) end next_url from orders""",

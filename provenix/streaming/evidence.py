@@ -6,6 +6,7 @@ what is there and stop, so each stream's result can be compared with its batch f
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,9 +16,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from provenix.operators import ingest
 
-POSITIONS = "tenant_id string, stream_id string, sequence long, record_id string, outcome string, open_holes long"
-STATE = "top long, holes array<long>, recent array<string>"
-REMEMBERED = 512  # positions whose content a stream's state keeps; older ones are looked up in the ledger
+POSITIONS = "tenant_id string, stream_id string, sequence long, record_id string, record_digest string, outcome string, open_holes long"
+STATE = "top long, told long, begins array<long>, ends array<long>"
 
 
 def parquet_stream(spark: SparkSession, path: str, schema: str, only: str | None = None) -> DataFrame:
@@ -54,36 +54,38 @@ def ingest_stream(submissions: DataFrame, ledger_path: str, events_path: str, ch
 
 
 def stream_memory(records: DataFrame, silence: str = "1 hour") -> DataFrame:
-    """records(tenant_id, stream_id, sequence, record_id, record_digest, source_time): per stream, whether a record extends it, fills a hole,
-    repeats a position (replay) or contests it (fork). Holes still open when the watermark passes are reported as gaps once."""
+    """records(tenant_id, stream_id, sequence, record_id, record_digest, source_time): per stream, whether a record extends it (accept, accept_after_hole), fills a hole, or stands at
+    a position that has been taken (seen). The state is the highest position and the holes below it, as intervals, so a leap to a far position costs one. Holes still
+    open when the watermark passes are reported as gaps once, by their first position."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        top, holes, recent = state.get if state.exists else (0, [], [])
-        holes, known = set(holes), dict(x.split("\t", 1) for x in recent)
+        top, told, begins, ends = state.get if state.exists else (0, 0, [], [])
+        begins, ends = list(begins), list(ends)  # holes are begins[k] <= position < ends[k], in order
         if state.hasTimedOut:
-            rows = [(*key, h, None, "gap", 0) for h in sorted(holes)]
-            state.remove()
-            yield pd.DataFrame(rows, columns=POSITION_NAMES)
+            # positions stay known: a record that comes later still fills its hole or meets its rival
+            state.update((top, top, begins, ends))
+            yield pd.DataFrame([(*key, h, None, None, "gap", e - h) for h, e in zip(begins, ends) if h > told], columns=POSITION_NAMES)
             return
         out = []
-        for batch in batches:
-            for r in batch.sort_values(["sequence", "record_id"]).itertuples():
-                mark = f"{r.record_id}\t{r.record_digest}"
-                held = known.get(str(r.sequence))
-                if held is not None:
-                    outcome = "replay" if held == mark else "fork"
-                elif r.sequence > top:
-                    outcome = "accept" if r.sequence == top + 1 else "accept_after_hole"
-                    holes.update(range(top + 1, r.sequence))
-                    top = r.sequence
+        # a position's first record is the one of the smallest id in its batch, however the batch's rows are dealt
+        rows = pd.concat(list(batches)).sort_values(["sequence", "record_id", "record_digest"])
+        for r in rows.itertuples():
+            if r.sequence > top:
+                outcome = "accept" if r.sequence == top + 1 else "accept_after_hole"
+                if r.sequence > top + 1:
+                    begins.append(top + 1), ends.append(r.sequence)
+                top = r.sequence
+            else:
+                k = bisect.bisect_right(begins, r.sequence) - 1
+                if k >= 0 and r.sequence < ends[k]:
+                    outcome = "fills_hole"
+                    pieces = [(a, b) for a, b in ((begins[k], r.sequence), (r.sequence + 1, ends[k])) if a < b]
+                    begins[k : k + 1], ends[k : k + 1] = [a for a, _ in pieces], [b for _, b in pieces]
                 else:
-                    outcome = "fills_hole" if r.sequence in holes else "known_to_ledger"
-                    holes.discard(r.sequence)
-                known.setdefault(str(r.sequence), mark)
-                out.append((*key, r.sequence, r.record_id, outcome, len(holes)))
-        recent = [f"{k}\t{v}" for k, v in sorted(known.items(), key=lambda kv: int(kv[0]))[-REMEMBERED:]]
-        state.update((top, sorted(holes), recent))
-        if holes:
+                    outcome = "seen"
+            out.append((*key, r.sequence, r.record_id, r.record_digest, outcome, sum(e - h for h, e in zip(begins, ends)) if len(begins) < 100 else len(begins)))
+        state.update((top, told, begins, ends))
+        if begins and begins[-1] > told:
             state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), 0) + 3_600_000)
         yield pd.DataFrame(out, columns=POSITION_NAMES)
 
@@ -93,6 +95,29 @@ def stream_memory(records: DataFrame, silence: str = "1 hour") -> DataFrame:
 POSITION_NAMES = [c.split()[0] for c in POSITIONS.split(", ")]
 
 
+def positions_stream(records: DataFrame, ledger_path: str, out_path: str, checkpoint: str, silence: str = "1 hour") -> None:
+    """stream_memory, with what stands at a taken position told apart by the ledger of all earlier batches: the same record is a replay, any other a fork.
+    Accepted records go to the ledger; every record's outcome goes to out_path."""
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        own = batch.persist()  # one evaluation of the stateful step feeds both sinks
+        new = own.where("outcome like 'accept%' or outcome = 'fills_hole'").select(*HELD)
+        new.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("epoch").parquet(ledger_path)
+        seen = own.where("outcome = 'seen'")
+        # only the ledger's tenants of this batch are read, and only their positions are joined
+        at = spark.read.parquet(ledger_path).where(F.col("epoch") <= epoch).drop("epoch").withColumnsRenamed({"record_id": "held_id", "record_digest": "held_digest"})
+        told = seen.join(at, ["tenant_id", "stream_id", "sequence"], "left").withColumn("outcome", F.when((F.col("held_id") == F.col("record_id")) & (F.col("held_digest") == F.col("record_digest")), "replay").otherwise("fork"))
+        done = own.where("outcome <> 'seen'").unionByName(told.drop("held_id", "held_digest"))
+        done.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("epoch").parquet(out_path)
+        own.unpersist()
+
+    stream_memory(records, silence).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+HELD = ["tenant_id", "stream_id", "sequence", "record_id", "record_digest"]
+
+
 def alert_counts(events: DataFrame, window: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Operational counts by type and tumbling window."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", window).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("window_start"), "event_type", "n")
@@ -118,6 +143,25 @@ def silences(records: DataFrame, collectors: DataFrame) -> DataFrame:
     return timed.where(F.col("gap_end").isNull() | (wait > F.col("cadence_s") * 1_000_000)).select("tenant_id", "collector_id", F.col("source_time").alias("gap_start"), "gap_end")
 
 
+def late_records(records: DataFrame, issued: DataFrame, out_path: str, checkpoint: str) -> None:
+    """Records that reach the ledger after the attestation of their window was issued: none is amended, each is filed with the attestation that a successor must supersede.
+
+    records(tenant_id, boundary_ref, record_id, authoritative_time, ingest_time) is a stream; issued(attestation_id, tenant_id, boundary_ref, window_start, window_end, issued_at) is read anew
+    for each micro-batch. No watermark drops a record, however late.
+    """
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        hit = batch.join(issued, ["tenant_id", "boundary_ref"]).where("authoritative_time >= window_start and authoritative_time < window_end and ingest_time > issued_at")
+        hit.select("tenant_id", "attestation_id", "record_id", "ingest_time", F.lit(epoch).alias("epoch")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("epoch").parquet(out_path)
+
+    records.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def settled_windows(records: DataFrame, window: str, lag: str) -> DataFrame:
+    """Counts of windows whose settlement lag has passed: a window is out once, when the destination's own time is beyond its end by the lag, and never before."""
+    return records.withWatermark("authoritative_time", lag).groupBy("tenant_id", F.window("authoritative_time", window).alias("w")).agg(F.count(F.lit(1)).alias("n")).select("tenant_id", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "n")
+
+
 def outage_episodes(refusals: DataFrame) -> DataFrame:
     """Runs of refusals up to the next restored capacity: first refusal, number, how many actions went on unrecorded (fail-open)."""
     from pyspark.sql import Window
