@@ -333,7 +333,7 @@ def _candidates_of_open(rows: DataFrame, opened: DataFrame, turn: int, block: in
         "tok", "m.at", "m.away", "sig", "info", "bits", "wide", F.col("place.doc_id").alias("doc_id"), F.col("place.mark").alias("mark"), F.col("place.line").alias("line"),
         F.coalesce("asked", F.lit(False)).alias("asked"), (F.col("own") == F.col("m.at")).alias("here"), F.expr(f"blocks div 2 >= {4**turn}").alias("on")
     )
-    most = best * 16 ** (turn + 1)
+    most = best * 4**turn
 
     def run(group: pa.Table) -> pa.Table:
         cols = {k: group.column(k).to_numpy() for k in ("tok", "sig", "info", "bits", "doc_id", "mark", "line", "asked", "here", "on")}
