@@ -25,7 +25,8 @@ LEAST = 1000  # bytes of payload from which equal payloads are written once
 ARCHIVE = 32 << 20  # compressed bytes after which a task begins its next archive
 STEP = 1 << 16
 DATE = "2000-01-01T00:00:00Z"  # archives of the same rows are the same bytes
-OUT = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, verified boolean"
+OUT = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, verified boolean, error string"
+MAGIC = b"\x1f\x8b\x08"  # fixed value: how a gzip member begins
 
 
 def with_originals(pages: DataFrame, least: int = LEAST) -> DataFrame:
@@ -99,19 +100,32 @@ def write(rows: DataFrame, folder: str, archive: int = ARCHIVE) -> DataFrame:
     return rows.select("page_id", "url", "payload", "original").mapInArrow(run, "file string, records long, bytes long")
 
 
-def members(stream: Iterable[bytes]) -> Iterator[bytes]:
-    """The uncompressed content of each gzip member of a file, read in steps."""
-    unpack, got = None, []
+def members(stream: Iterable[bytes]) -> Iterator[tuple[bytes | None, str | None]]:
+    """The uncompressed content of each gzip member of a file, read in steps. In place of what can't be decompressed stands (None, why), and reading goes on
+    where the next member begins."""
+    unpack, got, lost, rest = None, [], False, b""
     for chunk in stream:
+        chunk, rest = rest + chunk, b""
         while chunk:
+            if lost:
+                at = chunk.find(MAGIC)
+                if at < 0:
+                    rest = chunk[-2:]  # a beginning may be cut in two
+                    break
+                chunk, lost = chunk[at:], False
             unpack = unpack or zlib.decompressobj(31)
-            got.append(unpack.decompress(chunk))
+            try:
+                got.append(unpack.decompress(chunk))
+            except zlib.error as e:
+                yield None, str(e)
+                unpack, got, lost, chunk = None, [], True, chunk[1:]
+                continue
             chunk = unpack.unused_data
             if unpack.eof:
-                yield b"".join(got)
+                yield b"".join(got), None
                 unpack, got = None, []
     if unpack is not None:
-        raise ValueError("the archive ends inside a gzip member")
+        yield None, "the archive ends inside a gzip member"
 
 
 def parse(record: bytes) -> tuple[dict[str, str], bytes]:
@@ -128,24 +142,35 @@ def parse(record: bytes) -> tuple[dict[str, str], bytes]:
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
-    """Reads every archive below folder: page_id, url, payload_bytes, payload_digest, record_type, refers_to, verified."""
+    """Reads every archive below folder: page_id, url, payload_bytes, payload_digest, record_type, refers_to, verified, error.
+
+    A record that can't be decompressed, is not framed by its content-length or has a digest that does not match is one row with verified false and
+    the error; it stops neither the records after it nor the job. ``where("not verified")`` is the table of what was refused.
+    """
+
+    def row(record: bytes | None, why: str | None) -> tuple:
+        try:
+            if record is None:
+                raise ValueError(why)
+            f, block = parse(record)
+            body = block.partition(b"\r\n\r\n")[2]
+            digest = base64.b32decode(f["warc-payload-digest"].removeprefix("sha1:"))
+            revisit = f["warc-type"] == "revisit"
+            whole = lambda k: int(f[k]) if k in f else None
+            got = (whole("x-page-id"), f.get("warc-target-uri"), int(f["x-payload-length"]) if revisit else len(body), digest.hex(), f["warc-type"], whole("x-refers-to-page-id"))
+            ok = _b32(hashlib.sha1(block).digest()) == f["warc-block-digest"] and (revisit or hashlib.sha1(body).digest() == digest)
+            return (*got, ok, None if ok else "a digest does not match")
+        except (ValueError, KeyError) as e:
+            return (None,) * 6 + (False, f"{type(e).__name__}: {e}"[:200])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0):
                 view, rows = memoryview(content.as_buffer()), []
-                for record in members(bytes(view[i : i + STEP]) for i in range(0, len(view), STEP)):
-                    f, block = parse(record)
-                    body = block.partition(b"\r\n\r\n")[2]
-                    digest = base64.b32decode(f["warc-payload-digest"].removeprefix("sha1:"))
-                    revisit = f["warc-type"] == "revisit"
-                    ok = _b32(hashlib.sha1(block).digest()) == f["warc-block-digest"] and (revisit or hashlib.sha1(body).digest() == digest)
-                    if not ok:
-                        raise ValueError(f"a digest of record {f['warc-record-id']} does not match")
-                    whole = lambda k: int(f[k]) if k in f else None
-                    rows.append((whole("x-page-id"), f.get("warc-target-uri"), int(f["x-payload-length"]) if revisit else len(body), digest.hex(), f["warc-type"], whole("x-refers-to-page-id"), ok))
-                names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "verified"]
-                kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.bool_()]
+                for record, why in members(bytes(view[i : i + STEP]) for i in range(0, len(view), STEP)):
+                    rows.append(row(record, why))
+                names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "verified", "error"]
+                kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.bool_(), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names)
 
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder).select("content").mapInArrow(run, OUT)

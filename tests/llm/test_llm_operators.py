@@ -8,9 +8,11 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -271,7 +273,8 @@ def test_html(spark):
 
 def test_surge_and_dive():
     assert html_text.spans([0, 0, 50, 10, 0, 0, 0, 0, 60]) == [(2, 4), (8, 9)]
-    assert html_text.spans([5, 0, 0, 0, 5]) == [] and html_text.spans([]) == []
+    # the surge is half of a short page's peak, so such a page keeps its lines without a second try
+    assert html_text.spans([5, 0, 0, 0, 5]) == [(0, 1), (4, 5)] and html_text.spans([500, 0, 0, 0, 5]) == [(0, 1)] and html_text.spans([]) == []
 
 
 def test_warc_round_trip(spark, tmp_path):
@@ -290,13 +293,34 @@ def test_warc_round_trip(spark, tmp_path):
 def test_warc_members_and_framing():
     records = [warc.record_bytes(i, f"http://x/{i}", b"p" * i, None) for i in range(1, 60, 7)]
     blob = b"".join(gzip.compress(r) for r in records)
-    assert list(warc.members(blob[i : i + 5] for i in range(0, len(blob), 5))) == records
+    assert list(warc.members(blob[i : i + 5] for i in range(0, len(blob), 5))) == [(r, None) for r in records]
     fields, block = warc.parse(records[2])
     assert int(fields["content-length"]) == len(block) and base64.b32decode(fields["warc-block-digest"][5:]) == hashlib.sha1(block).digest()
     with pytest.raises(ValueError):
         warc.parse(records[2] + b"x")
-    with pytest.raises(ValueError):
-        list(warc.members([blob[:-9]]))
+    *whole, (last, why) = warc.members([blob[:-9]])
+    assert whole == [(r, None) for r in records[:-1]] and last is None and "ends inside" in why
+
+
+@pytest.mark.parametrize("step", [1, 7, 1 << 16])
+def test_damaged_members_stop_nothing(step):
+    records = [warc.record_bytes(i, f"http://x/{i}", bytes(range(256)) * i, None) for i in range(1, 9)]
+    parts = [bytearray(gzip.compress(r)) for r in records]
+    parts[2][len(parts[2]) // 2] ^= 255
+    parts[5][:3] = b"abc"
+    blob = b"".join(parts)
+    got = list(warc.members(blob[i : i + step] for i in range(0, len(blob), step)))
+    assert [r for r, _ in got if r is not None] == [r for i, r in enumerate(records) if i not in (2, 5)]
+    assert sum(why is not None for _, why in got) >= 2
+
+
+def test_damaged_archive_is_read_on(spark, tmp_path):
+    good = [warc.record_bytes(i, f"http://x/{i}", b"p" * 50, None) for i in range(4)]
+    wrong = [good[1].replace(b"ppp", b"qqq"), good[2][:-6] + b"more\r\n\r\n", b"no record"]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(gzip.compress(r) for r in [good[0], *wrong, good[3]]) + b"\x1f\x8b\x08cut")
+    got = warc.read(spark, str(tmp_path)).collect()
+    assert [r.page_id for r in got if r.verified] == [0, 3]
+    assert sum(not r.verified and r.error is not None for r in got) == 4
 
 
 def slow_measures(t: str | None) -> tuple[int, ...]:
@@ -472,3 +496,120 @@ def test_components_of_chains_and_hubs(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(1000, 1000 + i) for i in range(1, 200)] + [(5, 5), (None, 3), (7, 9)]
     got = {r.node: r.component for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(61)} | {1000 + i: 1000 for i in range(200)}
+
+
+PROSE = ["This paragraph tells at some length what happened, and it ends as it should. " * k for k in (2, 1, 3)]
+
+
+def test_html_line_blocks_carry_pages_without_names(monkeypatch):
+    """A page without article, names or roles: only the distribution of running text tells the story from the links around it."""
+    links = "".join(f"<div><a href='/{i}'>Section {i}</a></div>" for i in range(9))
+    page = f"<html><body>{links}<div>{PROSE[0]}</div><div>Short line.</div><div><a href='/x'>The whole report</a></div><div>{PROSE[1]}<br>{PROSE[2]}</div>{links}</body></html>"
+    want = "\n".join([PROSE[0].strip(), "Short line.", "The whole report", PROSE[1].strip(), PROSE[2].strip()])
+    assert html_text.main_text(page) == want
+    monkeypatch.setattr(html_text, "spans", lambda lengths: [(0, len(lengths))])
+    assert html_text.main_text(page) != want and "Section 3" in html_text.main_text(page)
+
+
+def test_html_keeps_the_article_whole():
+    page = f"<nav><p>{PROSE[0]}</p></nav><article><h1>Title</h1><p>{PROSE[0]}</p><p><a>See the full report</a></p><p class='related'>{PROSE[1]}</p><p>End</p><p class='ad'>Buy</p><div class='comments'><p>{PROSE[2]}</p></div></article><p>{PROSE[2]}</p>"
+    assert html_text.main_text(page) == "\n".join(["Title", PROSE[0].strip(), "See the full report", PROSE[1].strip(), "End"])
+    assert html_text.main_text("<p>hi</p><p>you &amp; me</p>") == "hi\nyou & me"
+    assert html_text.main_text(None) == html_text.main_text("") == html_text.main_text("<script>x</script>") == ""
+
+
+def slow_html_spans(lengths: list[int]) -> set[int]:
+    """Lines kept, from the words of the method: a window reaches the surge, then everything up to three lines of nothing."""
+    sums = [sum(lengths[i : i + 3]) for i in range(len(lengths))]
+    surge = max(1, min(40, max(sums, default=0) // 2))
+    kept: set[int] = set()
+    for i, x in enumerate(lengths):
+        if x and sums[i] >= surge:
+            j = i
+            while j < len(lengths) and sums[j]:
+                kept.add(j)
+                j += 1
+            j = i - 1
+            while j >= 0 and lengths[j]:
+                kept.add(j)
+                j -= 1
+    return kept
+
+
+def test_html_spans_against_brute_force():
+    r = random.Random(4)
+    for _ in range(3000):
+        lengths = [r.choice((0, 0, 5, 12, 30, 90)) for _ in range(r.randint(0, 25))]
+        assert {i for a, b in html_text.spans(lengths) for i in range(a, b)} == slow_html_spans(lengths), lengths
+
+
+@pytest.mark.parametrize("page", ["<pre><b>" * 130_000 + "x" * 50, "<b><div>" + "<i>" * 50_000 + "</b>" * 50_000 + "y", "</pre>" * 150_000, "x<" * 300_000, "<!--" * 100_000, "<p>" + "<i>" * 100_000])
+def test_html_of_a_megabyte_takes_seconds(page):
+    began = time.time()
+    html_text.main_text(page)
+    assert time.time() - began < 20
+
+
+def test_decontamination_of_reparameterised_questions():
+    items = [(1, "Alice has 12 apples. Bob has 5 apples. How many apples do Alice and Bob have?"), (2, "what is two plus"), (3, "1 2 3 4 5 6 7 8"), (4, "Today Alice has 12 apples and gives Bob 5 apples in 3 days. How many apples does Alice keep now?"), (5, "two words")]
+    table_ = decontam.Items(items)
+    hits = lambda t: {items[m[1]][0] for m in decontam.matches(pa.array([t]), table_)}
+    assert hits("Carol has 40 apples. Dave has 7 apples. How many apples do Carol and Dave have?") == {1}  # names that begin sentences
+    assert hits("x Carol has forty apples. Mary Ann has twenty-five apples. How many apples do Carol and Mary Ann have? y") == {1}  # values of other lengths
+    assert hits("Today Carol Smith has twenty five apples and kindly gives Dave 7 apples in 9 days. How many apples does Carol Smith keep now?") == {4}  # a word put in
+    assert hits("he asked what is two plus two") == {2} and hits("count 1 2 3 4 5 6 7 8 done") == {3}  # short, and without literal words
+    assert not hits("count 8 9 3 4 5 6 1 2 done") and not hits("two words") and not hits("How many apples do you eat? The house has 5 apples and 3 days") and not hits("")
+
+
+@pytest.mark.parametrize("text", ["john(at)example dot com", "call one two six zero one two six zero one two"])
+def test_disguises_add_spans(text):
+    assert pii.all_spans(text, pii.base_spans(text)) or "call" in text
+
+
+def test_pii_and_tokens_of_very_long_runs():
+    for t in (" " * 200_000 + "[at]" + " " * 200_000 + "x.org", "a.b@c.org x [at] y.com " * 20_000, "john" + " " * 100_000 + "dot" + " " * 100_000):
+        began = time.time()
+        base = pii.base_spans(t)
+        every = pii.all_spans(t, base)
+        assert set(base) <= set(every) and time.time() - began < 20
+    t = "a.b@c.org x [at] y.com " * 50
+    assert sum(k == 0 for _, _, k in pii.all_spans(t, pii.base_spans(t))) == 100
+    enc = packing.encoder(packing.tokenizer_path())
+    for t in (" " * 1_500_000, "x" + "\n" * 600_000 + "y", "a  b\t\tc"):
+        assert enc.ids(t).tolist() == [*enc.encode_plainly(t), 0]
+
+
+def test_line_dedup_in_rounds(spark):
+    """Groups larger than what a row meets at once: rounds over blocks, against brute force; names that clash."""
+    r = random.Random(21)
+    base = [f"b{i}" for i in range(24)]
+    line = lambda: " ".join(w if r.random() > 0.09 else f"e{r.randint(0, 60)}" for w in base)
+    rare = lambda: " ".join(r.sample([f"q{i}" for i in range(400)], 12))
+    values = ["\n".join([line(), rare(), line()]) for _ in range(90)]
+    lines, gone = [], set()
+    for i, t in enumerate(values):
+        for k, x in enumerate(t.split("\n")):
+            w = frozenset(words(x))
+            if any(5 * len(w & v) >= 4 * len(w | v) for v in lines):
+                gone.add((i, k))
+            lines.append(w)
+    want = {i: "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in gone) for i, t in enumerate(values)}
+    df = spark.createDataFrame([(i, t, 1, 2) for i, t in enumerate(values)], "doc_id long, text string, n_lines int, n_removed int").repartition(3)
+    got = line_dedup.dedup(df, least=1, reach=3, best=1, block=16)
+    assert {x.doc_id: x.text for x in got.collect()} == want and 30 < len(gone) < 200
+    assert sorted(got.columns) == ["doc_id", "n_lines", "n_removed", "text"]
+
+
+def test_bitmaps_bound_the_difference():
+    """No pair that reaches the threshold is lost to the bitmaps, at any size."""
+    r = random.Random(2)
+    for n in (5, 20, 100, 200, 700):
+        for _ in range(20):
+            a = r.sample(range(10**6), n)
+            b = [w if r.random() > 0.1 else 10**6 + r.randint(0, 999) for w in a]
+            s = line_dedup.LineSets(pa.array([" ".join(f"w{x}" for x in t) for t in (a, b)]), None, 1)
+            low, high, wide = s.bitmaps()
+            common = len({*s.tokens[: s.n[0]].tolist()} & {*s.tokens[s.n[0] :].tolist()})
+            apart = int(s.n.sum()) - 2 * common
+            far = int(low[0] ^ low[1]).bit_count() + int(high[0] ^ high[1]).bit_count()
+            assert far <= apart and sum(int(x ^ y).bit_count() for x, y in zip(*wide)) <= apart
