@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from provenix.llm.common import Store, pieces, width
 from provenix.llm.words import U, Words, mix, runs
 
-LEAST = 5  # words a line must have to be judged, if the caller names no other number
+LEAST = 1  # different words a line must have to be judged, if the caller names no other number
 NUM, DEN = 4, 5  # Jaccard of 0.8
 ALONE = 4  # sets of fewer words match equal sets only: 3 of 4 is under 0.8, but 4 of 5 is not
 TABLE = 1 << 18  # entries of the count table
