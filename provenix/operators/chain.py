@@ -57,14 +57,29 @@ def break_gaps(records: DataFrame, linked: DataFrame) -> DataFrame:
     bad = linked.where(F.array_contains("codes", "sequence_gap") | F.array_contains("codes", "key_discontinuity")).select(
         *STREAM, F.col("sequence").alias("at"), F.col("source_time").alias("gap_end"), F.when(F.array_contains("codes", "sequence_gap"), "sequence_break").otherwise("key_discontinuity").alias("cause")
     )
-    below = bad.join(records.select(*STREAM, "sequence", "source_time"), STREAM).where("sequence < at").groupBy(*STREAM, "at", "gap_end", "cause").agg(F.max_by("source_time", "sequence").alias("gap_start"), F.max("sequence").alias("last_known"))
-    return below.select(*STREAM, "at", "last_known", "cause", "gap_start", "gap_end")
+    # the record below each position: inside its block of positions by a window, at a block's beginning from the last block that has records
+    at = records.groupBy(*STREAM, "sequence").agg(F.max("source_time").alias("source_time")).withColumn("block", _block())
+    held = F.struct("sequence", "source_time")
+    blocks = at.groupBy(*STREAM, "block").agg(F.max(held).alias("last")).withColumn("before", F.lag("last").over(Window.partitionBy(*STREAM).orderBy("block"))).drop("last")
+    inside = at.withColumn("below", F.lag(held).over(Window.partitionBy(*STREAM, "block").orderBy("sequence")))
+    below = inside.join(blocks, [*STREAM, "block"]).select(*STREAM, F.col("sequence").alias("at"), F.coalesce("below", "before").alias("below"))
+    return bad.join(below, [*STREAM, "at"]).where("below is not null").select(*STREAM, "at", F.col("below.sequence").alias("last_known"), "cause", F.col("below.source_time").alias("gap_start"), "gap_end")
+
+
+BLOCK = 1 << 16  # positions of a stream that one window orders; a longer stream is ordered by many tasks
+
+
+def _block() -> F.Column:
+    return F.floor(F.col("sequence") / BLOCK)
 
 
 def segments(linked: DataFrame) -> DataFrame:
-    """Runs of records between breaks: evidence after a break belongs to a new window."""
-    order = Window.partitionBy(*STREAM).orderBy("sequence")
-    cut = linked.withColumn("segment_id", F.sum(F.when(F.size("codes") > 0, 1).otherwise(0)).over(order))
+    """Runs of records between breaks: evidence after a break belongs to a new window. Breaks are counted by block of positions first, then inside each."""
+    broken = F.when(F.size("codes") > 0, 1).otherwise(0)
+    marked = linked.withColumn("block", _block())
+    ahead = Window.partitionBy(*STREAM).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = marked.groupBy(*STREAM, "block").agg(F.sum(broken).alias("own")).withColumn("before", F.coalesce(F.sum("own").over(ahead), F.lit(0))).drop("own")
+    cut = marked.join(blocks, [*STREAM, "block"]).withColumn("segment_id", F.col("before") + F.sum(broken).over(Window.partitionBy(*STREAM, "block").orderBy("sequence")))
     return cut.groupBy(*STREAM, "segment_id").agg(F.min("sequence").alias("first_sequence"), F.max("sequence").alias("last_sequence"), F.count(F.lit(1)).alias("n_records"), F.min("source_time").alias("start_time"), F.max("source_time").alias("end_time"))
 
 
