@@ -72,3 +72,29 @@ def test_near_dedup_finds_planted_near_copies(spark):
     got = stage(spark, df, DIR)
     assert sorted(x.doc_id for x in got.collect()) == want and near > 500
     assert near_copies.keep_one(df.limit(0)).count() == 0
+
+
+def test_stages_take_nulls_ties_repeats_and_extra_columns(spark):
+    r = random.Random(3)
+    prose = lambda n: " ".join(r.choice([f"word{i}" for i in range(900)]) for _ in range(n)) + "."
+    line = prose(30)
+    texts = [None, "", " \n\t", prose(120), f"{prose(80)}\n{line}", f"{line}\n{prose(90)}", prose(3000), "| " * 200 + prose(60)]
+    rows = [(i, t, "en", "s", 7, 1.5, 2) for i, t in enumerate(texts)]
+    rows += [rows[4], rows[4], (None, prose(70), None, None, None, None, None), (None, None, None, None, None, None, None), (50, texts[3], "en", "s", 7, 2.5, 3)]
+    # extra columns with names that stages use themselves
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, lines double, n_removed int").repartition(3)
+    for docs in (df, df.limit(0), df.where("text is null")):
+        at = docs
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, at, DIR)
+            assert out.columns == docs.columns, name
+            kept = [tuple(x) for x in out.collect()]
+            if name != "line dedup":
+                assert set(kept) <= {tuple(x) for x in at.collect()}, name
+            at = spark.createDataFrame(kept, docs.schema)
+        packed = corpus_pipeline.STAGES[-1][1](spark, at, DIR).collect()
+        assert {x.doc_id for x in packed} == {x[0] for x in kept}
+        if docs is df:
+            ids = sorted(x[0] for x in kept if x[0] is not None)
+            assert {3, 6} <= set(ids) and ids.count(4) <= 1 and not {0, 1, 2, 7} & set(ids)  # of equal rows one stays; empty texts fail the base, bars are junk
+            assert all(x[1] == "" for x in kept if x[0] == 50)  # the later copy of 3 lost its lines; at most one such empty text stays
