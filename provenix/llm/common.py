@@ -39,6 +39,7 @@ class Store:
 
     def __init__(self, spark: SparkSession, kind: str):
         self.spark, self.folder, self.n = spark, run_folder(spark, kind), 0
+        _stores.append(self)
 
     def keep(self, df: DataFrame) -> DataFrame:
         self.n += 1
@@ -53,6 +54,15 @@ class Store:
         at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+_stores: list[Store] = []
+
+
+def release() -> None:
+    """Deletes the tables of all runs so far. For a caller that has written down what it got from them."""
+    while _stores:
+        _stores.pop().drop()
+
+
 def run_folder(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
 

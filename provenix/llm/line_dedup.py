@@ -324,7 +324,9 @@ def _candidates_of_open(rows: DataFrame, opened: DataFrame, turn: int, block: in
 
     A group is cut into blocks of about ``block`` rows by a hash; an open row meets the earlier rows up to 4 ** turn blocks away. Two blocks meet in a task of their own.
     """
-    rows = rows.join(opened.select("tok").distinct(), "tok", "left_semi").join(opened.withColumn("asked", F.lit(True)), ["tok", "sig"], "left")
+    # of a group, only what stands before the last open row can be an earlier match
+    last = opened.join(rows.select("tok", "sig", F.col("place").alias("own_place")), ["tok", "sig"]).groupBy("tok").agg(F.max("own_place").alias("last"))
+    rows = rows.join(last, "tok").where("place <= last").drop("last").join(opened.withColumn("asked", F.lit(True)), ["tok", "sig"], "left")
     sizes = rows.groupBy("tok").agg(F.count(F.lit(1)).alias("size"))
     rows = rows.join(sizes, "tok").withColumn("blocks", F.expr(f"cast((size + {block - 1}) div {block} as int)")).withColumn("own", F.expr("cast(pmod(xxhash64(sig), blocks) as int)"))
     # a row goes to the pair of its block and the one that many after it, and to that of the one before it and its own
@@ -416,7 +418,7 @@ def removed_lines(keyed: DataFrame, store: Store, least: int = LEAST, reach: int
     sets = first.where("words is not null")
     at = sets.select("sig", "first")
     found: list[DataFrame] = []  # sets with an earlier match
-    rows = None
+    rows = all_open = None
     turn = 0
     while True:
         pairs = met.where("b is not null").groupBy("a", "b").agg(F.min("far").alias("far"))
@@ -431,17 +433,22 @@ def removed_lines(keyed: DataFrame, store: Store, least: int = LEAST, reach: int
         found.append(store.keep(_verified(nearest, sets).select("sig")))
         rest = aimed.join(nearest, ["sig", "other"], "left_anti").join(found[-1], "sig", "left_anti")
         found.append(store.keep(_verified(rest.select("sig", "other"), sets).select("sig").distinct()))
-        opened = met.where("b is null and far = 1").select(F.col("a").alias("sig"), "tok").distinct()
+        opened = all_open if all_open is not None and not turn else met.where("b is null and far = 1").select(F.col("a").alias("sig"), "tok").distinct()
         for x in found:
             opened = opened.join(x, "sig", "left_anti")
         opened = store.keep(opened)
         if opened.isEmpty():
             break
-        if not turn:
+        if rows is None:
             rows = met.where("b is null").groupBy("tok", F.col("a").alias("sig")).agg(F.first("info").alias("info"), F.first("bits").alias("bits"), F.first("wide").alias("wide"))
             rows = store.keep(rows.join(opened.select("tok").distinct(), "tok", "left_semi").join(at.withColumnRenamed("first", "place"), "sig"))
-        met = store.keep(_candidates_of_open(rows, opened, turn, block, best))
-        turn += 1
+        if all_open is None:
+            # near copies stand together in nearly all groups of their words: first each open set looks into one
+            all_open = opened
+            met = store.keep(_candidates_of_open(rows, opened.groupBy("sig").agg(F.min("tok").alias("tok")), 0, block, best).where("b is not null"))
+        else:
+            met = store.keep(_candidates_of_open(rows, opened, turn, block, best))
+            turn += 1
     # the first line of a matched set goes, and every other line of any set
     matched = found[0]
     for x in found[1:]:
