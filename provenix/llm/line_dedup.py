@@ -38,6 +38,7 @@ SENT = 1 << 20  # word sets a task remembers, to send each once
 NO_ID = -(1 << 63)
 REACH = 512  # rows of a word's group that a row meets at once
 BEST = 24  # candidates of a row in one group at once
+LOOK = 4  # candidates of an open row in the one group that it looks into first
 BLOCK = 4096  # rows in a block of a larger group
 HELD = 1 << 19  # rows that a task joins at a time
 BLOOM_BITS = 1 << 27  # largest Bloom filter that is broadcast: 16 MB; beyond, it passes more rows than need be, and loses none
@@ -445,7 +446,7 @@ def removed_lines(keyed: DataFrame, store: Store, least: int = LEAST, reach: int
         if all_open is None:
             # near copies stand together in nearly all groups of their words: first each open set looks into one
             all_open = opened
-            met = store.keep(_candidates_of_open(rows, opened.groupBy("sig").agg(F.min("tok").alias("tok")), 0, block, best).where("b is not null"))
+            met = store.keep(_candidates_of_open(rows, opened.groupBy("sig").agg(F.min("tok").alias("tok")), 0, block, min(best, LOOK)).where("b is not null"))
         else:
             met = store.keep(_candidates_of_open(rows, opened, turn, block, best))
             turn += 1
