@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from provenix.llm.common import Store, pieces
-from provenix.llm.words import LOWER, utf8
+from provenix.llm.words import LOWER, spans_of, utf8
 
 TERM = np.zeros(256, bool)
 TERM[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
@@ -28,13 +28,8 @@ CHUNK_TERMS, CHUNK_ROWS = 1024, 500_000
 def terms_of(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """All terms of all texts (runs of letters A-Z, a-z and characters from U+0080 on; A-Z in lower case) and the text that each is from."""
     data, offsets = utf8(column)
-    inside, edge = TERM[data], np.zeros(len(data) + 1, bool)
-    edge[offsets] = True
-    begins, ends = inside.copy(), inside.copy()
-    if len(data):
-        begins[1:] &= ~inside[:-1] | edge[1:-1]
-        ends[:-1] &= ~inside[1:] | edge[1:-1]
-    starts, ends = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+    inside = TERM[data]
+    starts, ends = spans_of(inside, offsets)
     at = np.concatenate(([0], np.cumsum(ends - starts))).astype(np.int64)
     terms = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(LOWER[data[inside]])))
     return terms, np.searchsorted(offsets, starts, side="right") - 1

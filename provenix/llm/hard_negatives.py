@@ -41,7 +41,8 @@ def packed_scores(anchors: np.ndarray, candidates: np.ndarray) -> np.ndarray:
         return np.zeros((n, m), np.int64)
     bias_a, bias_c = max(0, -int(anchors.min())), max(0, -int(candidates.min()))
     width = (d * (int(anchors.max()) + bias_a) * (int(candidates.max()) + bias_c)).bit_length() or 1
-    fields, kind = (DOUBLE // width, np.float64) if 2 * width <= DOUBLE else (LONG // width, np.int64) if 2 * width <= LONG else (WIDE, object)
+    most = (4 * d * (int(abs(anchors).max()) + bias_a) * (int(abs(candidates).max()) + bias_c)).bit_length()  # of anything computed below
+    fields, kind = (DOUBLE // width, np.float64) if max(2 * width, most - 10) <= DOUBLE else (LONG // width, np.int64) if max(2 * width, most) <= LONG else (WIDE, object)
     a, c = (x.astype(object if kind is object else np.int64) + bias for x, bias in ((anchors, bias_a), (candidates, bias_c)))
     groups = -(-m // fields)
     # field k of word j has candidate k * groups + j, so that unpacked fields stand side by side

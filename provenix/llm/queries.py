@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provenix.llm import decontam, divergence, hard_negatives, html_text, line_dedup, packing, pii, quality, simhash, substring_dedup, url_filter, warc
+from provenix.llm import decontam, divergence, hard_negatives, html_text, line_dedup, packing, pii, quality, simhash, substring_dedup, toxicity, url_filter, warc
 from provenix.llm.common import table
 
 
@@ -51,6 +51,10 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), url_filter.rules_table(spark)).drop("url")
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(table(spark, sf_dir, "embeddings"))
 
@@ -60,6 +64,6 @@ def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_html_text, op2_line_dedup, op3_decontam, op4_simhash, op5_substring_dedup, op6_warc, op7_quality_votes, op8_pii, op9_packing, op10_url_rules, op12_hard_negatives, op13_source_divergence)
+    f.__name__: f for f in (op1_html_text, op2_line_dedup, op3_decontam, op4_simhash, op5_substring_dedup, op6_warc, op7_quality_votes, op8_pii, op9_packing, op10_url_rules, op11_toxicity, op12_hard_negatives, op13_source_divergence)
 }
 ORACLES: dict[str, str] = {"op5_substring_dedup": substring_dedup.ORACLE, "op6_warc": warc.ORACLE, "op10_url_rules": url_filter.ORACLE, "op12_hard_negatives": hard_negatives.ORACLE, "op13_source_divergence": divergence.ORACLE}

@@ -67,6 +67,18 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
+def spans_of(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of bytes that are inside; a run ends with its text."""
+    n = len(inside)
+    edge = np.zeros(n + 1, bool)
+    edge[offsets] = True
+    begins, ends = inside.copy(), inside.copy()
+    if n:
+        begins[1:] &= ~inside[:-1] | edge[1:n]
+        ends[:-1] &= ~inside[1:] | edge[1:n]
+    return np.flatnonzero(begins), np.flatnonzero(ends) + 1
+
+
 class Words:
     """starts, ends: byte spans of words; first: index of each text's first word, and the number of words at the end."""
 
