@@ -15,6 +15,7 @@ from provenix.sources.evidence import oracle, view
 from provenix.sources.shared import folder as _folder
 from provenix.sources.shared import stored
 from provenix.streaming import evidence as streaming
+from provenix.streaming import ingestion
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -803,6 +804,48 @@ def o140_ingest_stream(v):
     return taken.unionByName(spark.read.parquet(f"{at}/events").select("submission_id", "outcome"))
 
 
+def claimed_wires(v) -> DataFrame:
+    """The sendings of the view ``claims`` as the texts that a collector would send."""
+    bodies = {}
+    for kind in ("AgentIdentity", "RevocationRecord"):
+        members = {name: f'"{words[0]}"' if words else SAMPLES[k] for name, k, _, words in validate.members_of(kind)}
+        bodies[kind] = "{" + ",".join(f'"{k}":{x}' for k, x in members.items()) + ',"note":"'
+    quoted = lambda c: F.coalesce(F.concat(F.lit('"'), c, F.lit('"')), F.lit("null"))
+    member = lambda name, c: F.when(c.isNotNull(), F.concat(F.lit(f',"{name}":"'), c, F.lit('"'))).otherwise("")
+    text = F.concat(
+        F.lit('{"body":'), F.when(F.col("record_type") == "AgentIdentity", bodies["AgentIdentity"]).otherwise(bodies["RevocationRecord"]), F.col("content"), F.lit('"},"boundary_ref":"b","clocks":{"source_time":"'),
+        F.when(F.col("bad_time"), "2024-01-01").otherwise(F.date_format("source_time", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")), F.lit('"},"prev_digest":'), F.when(F.col("first_of_stream"), "null").otherwise('"sha256:' + "1" * 64 + '"'),
+        F.lit(',"record_id":"'), F.col("record_id"), F.lit('","record_type":"'), F.col("record_type"), F.lit('","schema_version":"1.0.0","sequence":'), F.col("sequence").cast("string"), F.lit(',"signature":{"alg":"ed25519"'), member("key_id", F.col("key_id")),
+        F.lit('},"source":{"collector_id":'), quoted(F.col("collector_id")), member("implementation", F.col("implementation")), member("version", F.col("collector_version")), F.lit('},"stream_id":"'), F.col("stream_id"), F.lit('","tenant_id":"'), F.col("tenant_id"), F.lit('"}'),
+    )
+    return v("claims").select("submission_id", "sent", text.alias("wire"), "sig_ok")
+
+
+@query("""select submission_id, case when reason is not null or outcome = 'replay' then 'refusals' when outcome = 'accept' then 'ledger' else 'conflicts' end tab, coalesce(reason, outcome) reason,
+case when reason is null and outcome = 'fork' then concat('0190a000-0000-7000-8000', substr(record_id, 24)) when reason is null and outcome = 'content_substitution' then record_id end existing_record_id from (
+select l.*, case sent when 0 then 'accept' when 1 then 'replay' when 2 then 'content_substitution' when 3 then 'fork' when 4 then 'content_substitution' when 5 then 'content_substitution' when 6 then 'accept' end outcome,
+case when bad_time then 'record.clocks.source_time.invalid' when record_type = 'RevocationRecord' then 'not_customer_evidence' when c.collector_id is null then 'collector_unknown' when source_time >= revoked_at then 'collector_revoked'
+when collector_version <> version then 'collector_version_mismatch' when l.implementation <> c.implementation then 'collector_implementation_mismatch' when l.key_id is null then 'key_missing' when k.key_id is null then 'key_unknown'
+when not sig_ok or k.namespace <> 'evidence' then 'signature_invalid' when k.collector_id <> l.collector_id then 'key_of_other_collector' when source_time < valid_from then 'key_not_yet_valid' when source_time >= valid_until then 'key_expired'
+when source_time >= compromised_from then 'key_compromised' when (sequence = 1) <> first_of_stream then 'position_domain' end reason
+from claims l left join registered_collectors c on c.tenant_id = l.tenant_id and c.collector_id = l.collector_id left join collector_keys k on k.tenant_id = l.tenant_id and k.key_id = l.key_id) q""", "claims", "registered_collectors", "collector_keys")
+def o140_validated_ingest(v):
+    """First what is sent once or at once again, then the rest, which meets the ledger of the first run."""
+    wires = stored(claimed_wires(v), "claims")
+    spark, at = wires.sparkSession, _folder(wires.sparkSession, "validated")
+    collectors, keys = (stored(v(x), x) for x in ("registered_collectors", "collector_keys"))
+    for part in ("sent < 3", "sent >= 3"):
+        wires.where(part).drop("sent").write.mode("append").parquet(f"{at}/in")
+        ingestion.run(streaming.parquet_stream(spark, f"{at}/in", "submission_id bigint, wire string, sig_ok boolean"), collectors, keys, f"{at}/out", f"{at}/checkpoint")
+    none = F.lit(None).cast("string").alias("existing_record_id")
+    parts = [
+        ingestion.committed(spark, f"{at}/out", "ledger").select("submission_id", F.lit("ledger").alias("tab"), F.lit("accept").alias("reason"), none),
+        ingestion.committed(spark, f"{at}/out", "conflicts").select("submission_id", F.lit("conflicts").alias("tab"), F.col("outcome").alias("reason"), "existing_record_id"),
+        ingestion.committed(spark, f"{at}/out", "refusals").select("submission_id", F.lit("refusals").alias("tab"), "reason", none),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @query("""with o as (select *, row_number() over (partition by tenant_id, stream_id, sequence order by record_id, record_digest) n, first_value(record_digest) over (partition by tenant_id, stream_id, sequence order by record_id, record_digest) d,
 first_value(record_id) over (partition by tenant_id, stream_id, sequence order by record_id, record_digest) i from filed_records),
 h as (select tenant_id, stream_id, sequence, lag(sequence) over (partition by tenant_id, stream_id order by sequence) before from o where n = 1)

@@ -101,6 +101,17 @@ VIEWS: dict[str, str] = {
         concat('col', cast(1 + event_id % (select greatest(1, count(*) * 7 div 6) from supplier) as string)) collector_id, cast(event_id % 4 as int) collector_version
         from stream_base, (select 0 sent union all select 1 union all select 2 union all select 3 union all select 4 union all select 5 union all select 6) again
         where sent = 0 or (sent = 1 and event_id % 23 = 0) or (sent = 2 and event_id % 29 = 0) or (sent = 3 and event_id % 37 = 0) or (sent = 4 and event_id % 41 = 0) or (sent = 5 and event_id % 43 = 0) or (sent = 6 and event_id % 41 = 0)""",
+    # registries of the validated ingest: half of the collectors name an implementation; a key for each collector
+    "registered_collectors": """select tenant_id, collector_id, cast(version as string) version, revoked_at, case when cast(substr(collector_id, 4) as bigint) % 2 = 0 then 'sdk' end implementation from collectors""",
+    "collector_keys": """select concat('t', cast(s_suppkey % 3 as string)) tenant_id, concat('ck', cast(s_suppkey as string)) key_id, concat('col', cast(s_suppkey as string)) collector_id, case when s_suppkey % 10 = 0 then 'issuer' else 'evidence' end namespace,
+        timestamp '2024-01-01 00:00:00' + cast(s_suppkey % 6 as int) * interval '1' day valid_from, case when s_suppkey % 9 <> 0 then timestamp '2024-01-18 00:00:00' + cast(s_suppkey % 25 as int) * interval '1' day end valid_until,
+        case when s_suppkey % 7 = 0 then timestamp '2024-01-14 00:00:00' end compromised_from from supplier""",
+    # what the sendings of submissions say of themselves; faults are of an event, so that all its sendings share them
+    "claims": """select submission_id, sent, tenant_id, stream_id, sequence, source_time, wire_digest content, n,
+        concat('0190a000-0000-7000-8', case substr(record_id, 1, 1) when 'e' then '000' when 'z' then '001' else '002' end, '-', lpad(substr(record_id, 2), 12, '0')) record_id,
+        case when n % 31 = 0 then 'RevocationRecord' else 'AgentIdentity' end record_type, n % 27 = 5 bad_time, (sequence = 1) <> (n % 53 = 1) first_of_stream, concat('col', cast(c as string)) collector_id,
+        case when n % 17 = 0 then 'old' else cast(c % 3 as string) end collector_version, case when n % 5 = 0 then 'sdk' when n % 47 = 3 then 'other' end implementation, case when n % 59 <> 2 then concat('ck', cast(case when n % 23 = 7 then c + 3 else c end as string)) end key_id, n % 211 <> 0 sig_ok
+        from (select *, 3 * (n % (select count(*) div 3 + 1 from supplier)) + cast(substr(tenant_id, 2) as bigint) c from (select *, cast(substr(record_id, 2) as bigint) n from submissions) p) q""",
     "page_log": """select o_custkey query_id, cast(row_number() over (partition by o_custkey order by o_orderkey) as int) page_no, case when o_orderkey % 97 = 0 then 11 else 10 end total_size,
         cast(1 + o_orderkey % 3 as bigint) n_records, o_orderkey % 101 = 0 failed,
         case when lead(o_orderkey) over (partition by o_custkey order by o_orderkey) is null then null when o_orderkey % 89 = 0 then 'page-again' else concat('page-', cast(o_orderkey as string)) end next_url from orders""",

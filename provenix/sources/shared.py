@@ -18,3 +18,14 @@ def stored(df: DataFrame, kind: str) -> DataFrame:
     """A derived table, written once to the shared folder and read by all that follows from it."""
     df.write.parquet(path := f"{folder(df.sparkSession, kind)}/table")
     return df.sparkSession.read.parquet(path)
+
+
+def keep(df: DataFrame, path: str) -> DataFrame:
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of this module's when its owner is done with it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
