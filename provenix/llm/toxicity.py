@@ -29,8 +29,8 @@ STOP[[0x0A, 0x21, 0x2E, 0x3F]] = 1
 #: Stems are the first so many bytes of a longer word, endings the last.
 STEMS, ENDINGS = (3, 4, 5, 6, 7, 8), (3, 4)
 WORD, PREVIOUS, NEXT, SHAPE = 0, 20, 21, 22
-#: The sample that is collected to fit on: rows of each label, and the longest text; documents that the field itself is fitted on.
-TOXIC_ROWS, CLEAN_ROWS, LONGEST, FIT_ROWS = 1500, 3000, 20_000, 1500
+#: The sample that is collected to fit on: rows of each label, and the longest text (so 24 million characters at most); documents that the field itself is fitted on.
+TOXIC_ROWS, CLEAN_ROWS, LONGEST, FIT_ROWS = 1000, 2000, 8000, 1200
 CHANCE = 0.01  # that any of the words picked is picked by chance
 PIECES = 1024
 
@@ -42,28 +42,28 @@ class Tokens:
         self.data, self.offsets = utf8(column)
         self.starts, self.ends = spans_of(TOKEN[self.data], self.offsets)
         self.text = np.searchsorted(self.offsets, self.starts, side="right") - 1
-        self.first = np.searchsorted(self.starts, self.offsets)
+        self.size = np.diff(np.searchsorted(self.starts, self.offsets))
         codes = BYTE_CODES[LOWER[self.data]]
-        size = self.ends - self.starts
+        length = self.ends - self.starts
 
         def some(which: np.ndarray, kind: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-            out = np.zeros(len(size), U)
+            out = np.zeros(len(length), U)
             out[which] = mix(span_hashes(codes, starts[which], ends[which]) + U(kind + 1))
             return out
 
-        every = np.ones(len(size), bool)
+        every = np.ones(len(length), bool)
         self.hashes = {WORD: some(every, WORD, self.starts, self.ends)}
         for k in STEMS:
-            self.hashes[k] = some(size > k, k, self.starts, self.starts + k)
+            self.hashes[k] = some(length > k, k, self.starts, self.starts + k)
         if kinds:
             for k in ENDINGS:
-                self.hashes[k + 10] = some(size > k, k + 10, self.ends - k, self.ends)
+                self.hashes[k + 10] = some(length > k, k + 10, self.ends - k, self.ends)
             word, same = self.hashes[WORD], np.diff(self.text) == 0
             for kind, at, of in ((PREVIOUS, slice(1, None), slice(None, -1)), (NEXT, slice(None, -1), slice(1, None))):
-                out = np.zeros(len(size), U)
+                out = np.zeros(len(length), U)
                 out[at] = np.where(same, mix(word[of] + U(kind + 1)), U(0))
                 self.hashes[kind] = out
-            if len(size):
+            if len(length):
                 # capital or not, the first of a sentence or not, before a capital or not
                 head, second = self.data[self.starts], np.r_[self.data, 0][self.starts + 1]
                 capital = (head >= 0x41) & (head <= 0x5A) | (head == 0xC3) & (second >= 0x80) & (second <= 0x9E)
@@ -73,6 +73,16 @@ class Tokens:
                 self.hashes[SHAPE] = mix((capital + 2 * opens + 4 * follows + 8).astype(U) + U(SHAPE << 8))
 
 
+class Gathered:
+    """The tokens of many texts, read a few texts at a time: of each its text and its features, of each text its number of tokens."""
+
+    def __init__(self, column: pa.Array, at_once: int = 64):
+        parts = [Tokens(column.slice(i, at_once)) for i in range(0, len(column), at_once)] or [Tokens(column)]
+        self.hashes = {k: np.concatenate([p.hashes[k] for p in parts]) for k in parts[0].hashes}
+        self.text = np.concatenate([p.text + i * at_once for i, p in enumerate(parts)])
+        self.size = np.concatenate([p.size for p in parts])
+
+
 @dataclass
 class Model:
     """features: sorted hashes; weights: theirs; bias of "toxic"; odds of the steps clean-toxic, toxic-clean, toxic-toxic against clean-clean."""
@@ -94,8 +104,8 @@ class Model:
         known = self.features[place] == hashes[at]
         return at[known], place[known]
 
-    def energies(self, tokens: Tokens) -> np.ndarray:
-        out = np.full(len(tokens.starts), self.bias)
+    def energies(self, tokens: Tokens | Gathered) -> np.ndarray:
+        out = np.full(len(tokens.text), self.bias)
         if len(self.features):
             for hashes in tokens.hashes.values():
                 at, place = self.places(hashes)
@@ -131,10 +141,10 @@ def _scan(odds: np.ndarray, out_of: float, into: float, stay: float) -> np.ndarr
 class Chain:
     """Tokens in one chain, a clean one before each text and one at the end; at: the place of each token."""
 
-    def __init__(self, tokens: Tokens):
-        self.at = np.arange(len(tokens.starts)) + tokens.text + 1
-        self.n = len(tokens.starts) + len(tokens.offsets)
-        self.text, self.size = tokens.text, np.diff(tokens.first)
+    def __init__(self, tokens: Tokens | Gathered):
+        self.text, self.size = tokens.text, tokens.size
+        self.at = np.arange(len(self.text)) + self.text + 1
+        self.n = len(self.text) + len(self.size) + 1
 
     def run(self, energies: np.ndarray, steps: tuple[float, float, float]) -> None:
         into, out_of, stay = steps
@@ -179,14 +189,14 @@ def _distinct(code: np.ndarray, what: np.ndarray, size: int) -> np.ndarray:
     return np.bincount(code[np.r_[True, (np.diff(code) != 0) | (what[1:] != what[:-1])]] if len(code) else code, minlength=size)
 
 
-def indicators(tokens: Tokens, toxic: np.ndarray) -> set[int]:
+def indicators(tokens: Tokens | Gathered, toxic: np.ndarray) -> set[int]:
     """Hashes of words and stems that tell toxic texts.
 
     Chance must be out of the question even for the best of all features tried. First on all texts, most telling feature first, each on the words that
     those before it left over; a feature counts as often as it has neighbours of its own, so that copies of one text are no evidence. Then on the toxic texts that
     hold none of these.
     """
-    if not toxic.any() or toxic.all() or not len(tokens.starts):
+    if not toxic.any() or toxic.all() or not len(tokens.text):
         return set()
     found: dict[int, None] = {}
     names, codes, texts, at_tokens, clean, n_names = [], [], [], [], [], 0
@@ -248,7 +258,7 @@ def _curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0)
     return theta
 
 
-def _field(tokens: Tokens, tags: np.ndarray, telling: np.ndarray, rounds: int, penalty: float) -> Model:
+def _field(tokens: Tokens | Gathered, tags: np.ndarray, telling: np.ndarray, rounds: int, penalty: float) -> Model:
     """Maximises the penalised likelihood of the tags; features are those of telling words and what two or more toxic tokens have."""
     seen = [np.unique(h[(tags > 0) & (h != 0)], return_counts=True) for h in tokens.hashes.values()]
     features = np.unique(np.concatenate([x[n >= 2] for x, n in seen] + [telling]))
@@ -284,14 +294,14 @@ def fit(column: pa.Array, toxic: np.ndarray, share: float | None = None, rounds:
     Without toxic texts, or a word that tells them, the model calls every text clean, with the share as its score.
     """
     share = share if share is not None else float(toxic.mean()) if len(toxic) else 0.0
-    tokens = Tokens(column)
+    tokens = Gathered(column)
     telling = np.fromiter(indicators(tokens, toxic), U)
     if not len(telling):
         share = min(max(share, 1e-6), 0.499)
         return Model(np.zeros(0, U), np.zeros(0), -60.0, (1.0, 1.0, 1.0), np.array([np.log(share / (1 - share)), 0, 0, 0]))
 
-    def tagged(tokens: Tokens, toxic: np.ndarray) -> np.ndarray:
-        hit = np.zeros(len(tokens.starts), bool)
+    def tagged(tokens: Gathered, toxic: np.ndarray) -> np.ndarray:
+        hit = np.zeros(len(tokens.text), bool)
         for k, h in tokens.hashes.items():
             if k == WORD or k in STEMS:
                 hit |= np.isin(h, telling)
@@ -300,7 +310,7 @@ def fit(column: pa.Array, toxic: np.ndarray, share: float | None = None, rounds:
     explained = np.zeros(len(toxic), bool)
     explained[tokens.text[tagged(tokens, toxic)]] = True  # toxic texts that nothing explains have unknown tags
     some = np.sort(np.concatenate([np.flatnonzero(explained)[: FIT_ROWS // 3], np.flatnonzero(~toxic)[: FIT_ROWS - FIT_ROWS // 3]]))
-    part = Tokens(column.take(pa.array(some)))
+    part = Gathered(column.take(pa.array(some)))
     model = _field(part, tagged(part, toxic[some]).astype(float), telling, rounds, penalty)
     chain = Chain(tokens)
     chain.run(model.energies(tokens), model.steps)
