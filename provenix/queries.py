@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from provenix.sources.evidence import oracle, view
 from provenix.sources.shared import folder as _folder
 from provenix.sources.shared import stored
 from provenix.streaming import evidence as streaming
-from provenix.streaming import ingestion
+from provenix.streaming import ingestion, state
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -857,6 +858,51 @@ def o141_stream_memory(v):
     return spark.read.parquet(f"{at}/out").where("outcome <> 'gap'").select("tenant_id", "stream_id", "sequence", "record_id", "outcome")
 
 
+def _state_stream(v, name: str, cols: list[str], read: Callable[[DataFrame], DataFrame], parts: tuple[str, ...] = ("true",)) -> tuple[DataFrame, str]:
+    """What a stateful stream puts out over a view that comes in parts, one run each, and its checkpoint."""
+    df = stored(v(name), name)
+    spark, at = df.sparkSession, _folder(df.sparkSession, "state")
+    for part in parts:
+        df.where(part).select(*cols).write.mode("append").parquet(f"{at}/in")
+        state.drain(read(streaming.parquet_stream(spark, f"{at}/in", df.select(*cols).schema)), f"{at}/out", f"{at}/checkpoint")
+    return spark.read.parquet(f"{at}/out"), f"{at}/checkpoint"
+
+
+@query("""with o as (select *, row_number() over w n, first_value(stream_id) over w fs, first_value(sequence) over w fq, first_value(wire_digest) over w fd from submissions window w as (partition by tenant_id, record_id order by sent >= 4, submission_id))
+select tenant_id, record_id, submission_id arrival, case when n = 1 then 'first' when stream_id = fs and sequence = fq and wire_digest = fd then 'replay' else 'content_substitution' end outcome, case when n > 1 then fs end first_stream, case when n > 1 then fq end first_sequence from o""", "submissions")
+def o141_identity_memory(v):
+    named = lambda s: state.identity_memory(s.withColumnRenamed("submission_id", "arrival"), buckets=16)
+    return _state_stream(v, "submissions", ["tenant_id", "record_id", "stream_id", "sequence", "wire_digest", "submission_id"], named, ("sent < 4", "sent >= 4"))[0]
+
+
+@query("""select tenant_id, record_id, min_by(stream_id, (sent >= 4, submission_id)) stream_id, min_by(sequence, (sent >= 4, submission_id)) sequence from submissions group by all""", "submissions")
+def o141_identity_state(v):
+    """What the memory holds after both runs, read from its state: one entry an id, that of its first sighting."""
+    named = lambda s: state.identity_memory(s.withColumnRenamed("submission_id", "arrival"), buckets=16)
+    spark_checkpoint = _state_stream(v, "submissions", ["tenant_id", "record_id", "stream_id", "sequence", "wire_digest", "submission_id"], named, ("sent < 4", "sent >= 4"))[1]
+    entries = state.held(SparkSession.getActiveSession(), spark_checkpoint, "ids")
+    return entries.select("key.tenant_id", "user_map_key.record_id", "user_map_value.stream_id", "user_map_value.sequence")
+
+
+@query("""with s as (select * from submissions where sent = 0), w as (select date_trunc('milliseconds', max(source_time)) - interval '1' hour w from s),
+p as (select distinct s.tenant_id, s.collector_id, source_time, cad from s join (select tenant_id, collector_id, max(expected_cadence_s) cad from collectors group by all) c on c.tenant_id = s.tenant_id and c.collector_id = s.collector_id),
+n as (select *, lead(source_time) over (partition by tenant_id, collector_id order by source_time) nx from p)
+select tenant_id, collector_id, source_time gap_start, case when nx <= w then nx end gap_end from n, w where source_time <= w and epoch_us(case when nx <= w then nx else w end) - epoch_us(source_time) > cad * 1000000""", "submissions", "collectors")
+def o143_silence_stream(v):
+    collectors = stored(v("collectors"), "collectors")
+    read = lambda s: state.silence_stream(s, collectors, "1 hour")
+    return state.gaps_now(_state_stream(lambda name: v(name).where("sent = 0"), "submissions", ["tenant_id", "collector_id", "source_time"], read)[0])
+
+
+@query("""with r as (select *, time_bucket(interval '10' day, authoritative_time, timestamp '1970-01-01') ws from family_records), m as (select max(authoritative_time) m from r)
+select tenant_id, r.action_family, ws window_start, ws + interval '10' day window_end, count(*) n, 'settled' state from r join family_lags l on l.action_family = r.action_family, m
+where ws + interval '10' day + cast(lag_s as int) * interval '1' second <= m group by all""", "family_records", "family_lags")
+def o146_settlement_by_family(v):
+    lags = stored(v("family_lags"), "lags")
+    most = timedelta(seconds=lags.agg(F.max("lag_s")).first()[0])
+    return _state_stream(v, "family_records", ["tenant_id", "action_family", "authoritative_time"], lambda s: state.settlement_stream(s, lags, "10 days", most))[0]
+
+
 @query()
 def o147_alert_counts(v):
     return _drained(streaming.alert_counts(_stream_of(v, "stream_base", "alerts").withColumnRenamed("source_time", "ts")), "alerts")

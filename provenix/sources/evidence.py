@@ -112,6 +112,8 @@ VIEWS: dict[str, str] = {
         case when n % 31 = 0 then 'RevocationRecord' else 'AgentIdentity' end record_type, n % 27 = 5 bad_time, (sequence = 1) <> (n % 53 = 1) first_of_stream, concat('col', cast(c as string)) collector_id,
         case when n % 17 = 0 then 'old' else cast(c % 3 as string) end collector_version, case when n % 5 = 0 then 'sdk' when n % 47 = 3 then 'other' end implementation, case when n % 59 <> 2 then concat('ck', cast(case when n % 23 = 7 then c + 3 else c end as string)) end key_id, n % 211 <> 0 sig_ok
         from (select *, 3 * (n % (select count(*) div 3 + 1 from supplier)) + cast(substr(tenant_id, 2) as bigint) c from (select *, cast(substr(record_id, 2) as bigint) n from submissions) p) q""",
+    "family_records": """select concat('t', cast(o_custkey % 4 as string)) tenant_id, concat('f', substr(o_orderpriority, 1, 1)) action_family, o_orderdate authoritative_time, cast(o_orderkey as bigint) record_no from orders""",
+    "family_lags": """select concat('f', cast(r_regionkey + 1 as string)) action_family, cast(r_regionkey * r_regionkey * 8 * 86400 + 3600 as bigint) lag_s from region""",
     "page_log": """select o_custkey query_id, cast(row_number() over (partition by o_custkey order by o_orderkey) as int) page_no, case when o_orderkey % 97 = 0 then 11 else 10 end total_size,
         cast(1 + o_orderkey % 3 as bigint) n_records, o_orderkey % 101 = 0 failed,
         case when lead(o_orderkey) over (partition by o_custkey order by o_orderkey) is null then null when o_orderkey % 89 = 0 then 'page-again' else concat('page-', cast(o_orderkey as string)) end next_url from orders""",
