@@ -54,14 +54,54 @@ def partition_audit(windows: DataFrame, merged: DataFrame, covered: DataFrame, k
     )
 
 
-def inside(points: DataFrame, intervals: DataFrame, keys: list[str], at: str, start: str = "gap_start", end: str = "gap_end", bucket: str = "1 hour") -> DataFrame:
-    """Points that lie in an interval, each once. Equi-join on keys and time bucket, so one busy key is spread over its buckets."""
-    width = F.expr(f"interval {bucket}")
-    spread = intervals.select(*keys, F.col(start).alias("_s"), F.col(end).alias("_e")).withColumn("_bucket", F.explode(F.sequence(F.window("_s", bucket)["start"], F.col("_e"), width)))
-    p = points.withColumn("_bucket", F.window(at, bucket)["start"]).alias("p")
-    s = spread.where("_e > _s").alias("s")
-    on = [F.col(f"p.{k}") == F.col(f"s.{k}") for k in [*keys, "_bucket"]] + [F.col(f"p.{at}") >= F.col("s._s"), F.col(f"p.{at}") < F.col("s._e")]
-    cond = on[0]
-    for c in on[1:]:
-        cond = cond & c
-    return p.join(s, cond, "left_semi").drop("_bucket")
+#: The tree of time blocks: cells of a minute from year 0 on, blocks of 8**level cells.
+CELL, ZERO, LEVELS = 60_000_000, 62_167_219_200_000_000, 11
+FOREVER = "9999-12-31 23:59:59.999999"
+
+
+def _cell(at: F.Column) -> F.Column:
+    return F.call_function("div", F.unix_micros(at) + ZERO, F.lit(CELL))
+
+
+def blocks(intervals: DataFrame, start: str, end: str) -> DataFrame:
+    """Each interval once for each of the few blocks (_level, _block) that tile its cells: at most 14 a level, whatever its length; 15 minutes take a few, five years about 50. A null end lies in year 9999."""
+    last = F.coalesce(F.col(end), F.lit(FOREVER).cast("timestamp"))
+    cut = intervals.where(last > F.col(start)).withColumn("_a", _cell(F.col(start))).withColumn("_b", _cell(last - F.expr("interval 1 microsecond")) + 1)
+    # at level k whole blocks lie from ceil(a / 8^k) to floor(b / 8^k); those that make up whole blocks of the next level are left to it
+    tiles = F.expr(f"""flatten(transform(sequence(0, {LEVELS - 1}), k -> transform(
+        case when (_a + shiftleft(1L, 3 * k) - 1) div shiftleft(1L, 3 * k) >= _b div shiftleft(1L, 3 * k) then cast(array() as array<bigint>)
+             when k = {LEVELS - 1} or (_a + shiftleft(8L, 3 * k) - 1) div shiftleft(8L, 3 * k) >= _b div shiftleft(8L, 3 * k) then sequence((_a + shiftleft(1L, 3 * k) - 1) div shiftleft(1L, 3 * k), _b div shiftleft(1L, 3 * k) - 1)
+             else concat(slice(sequence((_a + shiftleft(1L, 3 * k) - 1) div shiftleft(1L, 3 * k), 8 * ((_a + shiftleft(8L, 3 * k) - 1) div shiftleft(8L, 3 * k))), 1, 8 * ((_a + shiftleft(8L, 3 * k) - 1) div shiftleft(8L, 3 * k)) - (_a + shiftleft(1L, 3 * k) - 1) div shiftleft(1L, 3 * k)),
+                         slice(sequence(8 * (_b div shiftleft(8L, 3 * k)), _b div shiftleft(1L, 3 * k)), 1, _b div shiftleft(1L, 3 * k) - 8 * (_b div shiftleft(8L, 3 * k)))) end,
+        x -> named_struct('_level', k, '_block', x))))""")
+    return cut.withColumn("_t", F.explode(tiles)).select(*intervals.columns, "_t._level", "_t._block")
+
+
+def probes(points: DataFrame, at: str, levels: list[int]) -> DataFrame:
+    """Each point once for each level: the block that it lies in."""
+    level = F.explode(F.array(*(F.lit(k) for k in levels)).cast("array<int>"))
+    return points.where(F.col(at).isNotNull()).withColumn("_level", level).withColumn("_block", F.expr(f"({_CELL_SQL.format(at=at)}) div shiftleft(1L, 3 * _level)"))
+
+
+_CELL_SQL = f"(unix_micros({{at}}) + {ZERO}) div {CELL}"
+
+
+def used_levels(tiles: DataFrame) -> list[int]:
+    """The levels that occur, LEVELS at most; points are looked up at these only."""
+    return sorted(r[0] for r in tiles.select("_level").distinct().collect())
+
+
+def inside(points: DataFrame, intervals: DataFrame, keys: list[str], at: str, start: str = "gap_start", end: str = "gap_end", merged: bool = True) -> DataFrame:
+    """Points that lie in an interval, each once. Intervals of a key must not overlap (``merged``), or are merged first; a null end is open.
+
+    Equi-join on keys and block of time: a busy key is spread over its blocks, and an interval costs a few rows however long it is.
+    """
+    own = intervals.select(*keys, F.col(start).alias("_s"), F.col(end).alias("_e"))
+    if not merged:
+        own = merge(own.withColumn("_e", F.coalesce("_e", F.lit(FOREVER).cast("timestamp"))), keys, "_s", "_e").drop("n_merged")
+    tiles = blocks(own, "_s", "_e")
+    p, s = probes(points, at, used_levels(tiles)).alias("p"), tiles.alias("s")
+    cond = (F.col(f"p.{at}") >= F.col("s._s")) & (F.col("s._e").isNull() | (F.col(f"p.{at}") < F.col("s._e")))
+    for k in [*keys, "_level", "_block"]:
+        cond = cond & (F.col(f"p.{k}") == F.col(f"s.{k}"))
+    return p.join(s, cond, "left_semi").drop("_level", "_block")  # of the tiles of one interval a point lies in one

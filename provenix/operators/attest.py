@@ -127,11 +127,16 @@ def lifecycle(attested: DataFrame, revocations: DataFrame, as_of: str) -> DataFr
 def transition_audit(attested: DataFrame, revocations: DataFrame) -> DataFrame:
     """Reasons why a transition is not valid: unknown subject, itself, more than one, a successor without late evidence or the reverse."""
     n = revocations.groupBy("tenant_id", "attestation_id").agg(F.count(F.lit(1)).alias("n_transitions"))
-    known = attested.select("tenant_id", "attestation_id", F.lit(True).alias("known"))
-    got = revocations.join(known, ["tenant_id", "attestation_id"], "left").join(n, ["tenant_id", "attestation_id"])
+    scope = ["tenant_id", "boundary_ref", "window_start", "window_end"]
+    own = attested.select("attestation_id", *(F.col(c).alias(f"_{c}") for c in scope), F.lit(True).alias("known"))
+    next_ = attested.select(F.col("attestation_id").alias("superseding_attestation_id"), *(F.col(c).alias(f"next_{c}") for c in scope), F.lit(True).alias("next_known"))
+    got = revocations.join(own.withColumnRenamed("_tenant_id", "tenant_id"), ["tenant_id", "attestation_id"], "left").join(n, ["tenant_id", "attestation_id"]).join(next_, "superseding_attestation_id", "left")
+    succeeds, differs = F.coalesce("next_known", F.lit(False)), lambda a, b: ~F.col(a).eqNullSafe(F.col(b))
     codes = F.array_compact(F.array(
         F.when(F.col("known").isNull(), "unknown_attestation"), F.when(F.col("superseding_attestation_id") == F.col("attestation_id"), "supersedes_itself"), F.when(F.col("n_transitions") > 1, "more_than_one_transition"),
         F.when(F.col("superseding_attestation_id").isNotNull() != (F.col("reason") == "late_evidence"), "supersession_without_late_evidence"),
+        F.when(succeeds & differs("next_tenant_id", "tenant_id"), "successor_of_other_tenant"), F.when(succeeds & differs("next_boundary_ref", "_boundary_ref"), "successor_of_other_boundary"),
+        F.when(succeeds & (differs("next_window_start", "_window_start") | differs("next_window_end", "_window_end")), "successor_of_other_window"),
     ))
     return got.select("tenant_id", "revocation_id", F.array_join(codes, ",").alias("codes")).where("codes <> ''")
 

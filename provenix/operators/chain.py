@@ -26,6 +26,38 @@ def settled(records: DataFrame) -> DataFrame:
     return got.select(*STREAM, "sequence", "r.*", "duplicate_count")
 
 
+#: The closed set of members of a continuity statement, but for its signature, whose truth is a column.
+STATEMENT = ("alg", "predecessor_key_id", "new_key_id", "new_public_key", "tenant_id", "stream_id")
+
+
+def continuity(records: DataFrame, statements: DataFrame, keys: DataFrame) -> DataFrame:
+    """(STREAM, sequence, record_id, codes): what is wrong with the statement by which a stream's key hands over to the next; records without fault have no row.
+
+    statements(tenant_id, record_id, the members of STATEMENT prefixed c_, c_extra: whether it has other members, c_sig_ok: whether the predecessor key signed it), one for a record at most; keys(tenant_id, key_id,
+    public_key). A statement stands exactly where the key changes: not on a stream's first record, not without a change. Behind a hole, or after a record that is missing, neither can be told: no row.
+    A record is joined with its predecessor and its statement by key, so that a long stream is spread over all tasks.
+    """
+    ahead = records.select(*STREAM, (F.col("sequence") + 1).alias("sequence"), F.col("key_id").alias("_before"), F.lit(True).alias("_has"))
+    public = keys.groupBy("tenant_id", "key_id").agg(F.min("public_key").alias("_public"))
+    said = statements.withColumn("_said", F.lit(True))
+    both = records.select(*STREAM, "sequence", "record_id", "key_id").join(ahead, [*STREAM, "sequence"], "left").join(said, ["tenant_id", "record_id"], "left").join(public, ["tenant_id", "key_id"], "left")
+    first, known, said_ = F.col("sequence") == 1, F.coalesce("_has", F.lit(False)), F.coalesce("_said", F.lit(False))
+    changed, differs = F.col("key_id") != F.col("_before"), lambda a, b: ~F.col(a).eqNullSafe(F.col(b))
+    judged = known & changed & said_
+    codes = F.array_compact(F.array(
+        F.when(first & said_, "continuity_on_first_record"), F.when(known & ~changed & said_, "continuity_without_rotation"), F.when(known & changed & ~said_, "rotation_without_continuity"),
+        F.when(judged & F.coalesce("c_extra", F.lit(True)), "members_unknown_or_missing"), F.when(judged & (F.coalesce("c_alg", F.lit("")) != "ed25519"), "algorithm_unsupported"),
+        F.when(judged & differs("c_predecessor_key_id", "_before"), "wrong_predecessor"), F.when(judged & differs("c_new_key_id", "key_id"), "wrong_new_key"), F.when(judged & differs("c_tenant_id", "tenant_id"), "wrong_tenant"),
+        F.when(judged & differs("c_stream_id", "stream_id"), "wrong_stream"), F.when(judged & (F.col("_public").isNull() | differs("c_new_public_key", "_public")), "wrong_public_key"), F.when(judged & ~F.coalesce("c_sig_ok", F.lit(False)), "not_signed_by_predecessor"),
+    ))
+    return both.select(*STREAM, "sequence", "record_id", codes.alias("codes")).where(F.size("codes") > 0)
+
+
+def with_continuity(records: DataFrame, faults: DataFrame) -> DataFrame:
+    """records with has_continuity as ``links`` reads it: a rotation is good if ``continuity`` found nothing against it."""
+    return records.drop("has_continuity").join(faults.select(*STREAM, "sequence", F.lit(False).alias("has_continuity")), [*STREAM, "sequence"], "left").fillna(True, ["has_continuity"])
+
+
 def links(records: DataFrame) -> DataFrame:
     """Each record beside its predecessor, with the codes of what does not hold, link before key."""
     ahead = records.select(*STREAM, (F.col("sequence") + 1).alias("sequence"), F.col("record_digest").alias("before_digest"), F.col("key_id").alias("before_key"), F.lit(True).alias("has_before"))

@@ -50,13 +50,13 @@ def four_places(numerator: F.Column, denominator: F.Column) -> F.Column:
 def report(results: DataFrame, facts: DataFrame, populations: DataFrame, classes: DataFrame, gaps: DataFrame | None = None) -> DataFrame:
     """One row for each population: six counts, level supported, admissible and claimed, numerator, ratio and its state.
 
-    facts comes from ``support``; classes from ``qualify.in_force`` with the population as window; gaps(keys, gap_start, gap_end).
+    A population that gives a digest of its identifiers in place of them (identifier_digest, where that column exists) has no ratio. facts comes from ``support``; classes from ``qualify.in_force`` with the population as window; gaps(keys, gap_start, gap_end).
     """
     windows = populations.select(*POPULATION, "window_start", "window_end")
     placed = facts.join(windows, POPULATION).withColumn("in_window", (F.col("occurred_at") >= F.col("window_start")) & (F.col("occurred_at") < F.col("window_end")))
     if gaps is not None:
         merged = intervals.merge(gaps, POPULATION)
-        hit = intervals.inside(placed.where("in_window").select(*POPULATION, "destination_record_id", "occurred_at"), merged, POPULATION, "occurred_at", bucket="1 day").select(*POPULATION, "destination_record_id", F.lit(True).alias("hit"))
+        hit = intervals.inside(placed.where("in_window").select(*POPULATION, "destination_record_id", "occurred_at"), merged, POPULATION, "occurred_at").select(*POPULATION, "destination_record_id", F.lit(True).alias("hit"))
         placed = placed.join(hit, [*POPULATION, "destination_record_id"], "left")
         any_gap = gaps.select(*POPULATION).distinct().withColumn("any_gap", F.lit(True))
         placed = placed.join(any_gap, POPULATION, "left")
@@ -79,7 +79,8 @@ def report(results: DataFrame, facts: DataFrame, populations: DataFrame, classes
     every = head.join(tally, POPULATION, "left").fillna(0, ["numerator", "actions_in_gaps", "reconciled_in_gaps", *STATUSES])
     truncated = F.col("result_cap_hit") | ~F.col("pagination_complete")
     emits, enumerable = F.coalesce("emits_ratio", F.lit(False)), F.coalesce("enumeration_capable", F.lit(False))
-    every = every.withColumn("ratio_state", ratio_state(emits, truncated, enumerable, F.lit(True), F.col("signed_count"), F.col("out_of_scope")))
+    inline = F.col("identifier_digest").isNull() if "identifier_digest" in populations.columns else F.lit(True)
+    every = every.withColumn("ratio_state", ratio_state(emits, truncated, enumerable, inline, F.col("signed_count"), F.col("out_of_scope")))
     return every.select(
         *POPULATION, "class_in_force", "evidence_level", "admissible_level", "claimed_level", (F.col("claimed_level") != F.col("evidence_level")).alias("capped_by_class"), "ratio_state", "numerator", "signed_count",
         F.when(F.col("ratio_state") == "available", four_places(F.col("numerator"), F.col("signed_count") - F.col("out_of_scope"))).alias("coverage_ratio"),
@@ -95,11 +96,11 @@ def gap_actions(points: DataFrame, gaps: DataFrame, keys: list[str]) -> DataFram
     return got.select(*keys, "action_id", F.when(F.col("is_matched") & ~F.col("is_skewed"), "reconciled").otherwise("unknown").alias("classification"))
 
 
-def located_counts(points: DataFrame, gaps: DataFrame, keys: list[str], bucket: str = "1 hour") -> DataFrame:
-    """How many actions lie in each gap as declared, before merging; a gap without actions counts 0."""
-    spread = gaps.select(*keys, "gap_id", "gap_start", "gap_end").withColumn("_b", F.explode(F.sequence(F.window("gap_start", bucket)["start"], F.col("gap_end"), F.expr(f"interval {bucket}"))))
-    p = points.select(*keys, "occurred_at").withColumn("_b", F.window("occurred_at", bucket)["start"])
-    found = p.join(spread, [*keys, "_b"]).where("occurred_at >= gap_start and occurred_at < gap_end").groupBy(*keys, "gap_id").agg(F.count(F.lit(1)).alias("n_located"))
+def located_counts(points: DataFrame, gaps: DataFrame, keys: list[str]) -> DataFrame:
+    """How many actions lie in each gap as declared, before merging; a gap without actions counts 0, one without an end is open."""
+    spread = intervals.blocks(gaps.select(*keys, "gap_id", "gap_start", "gap_end"), "gap_start", "gap_end")
+    p = intervals.probes(points.select(*keys, "occurred_at"), "occurred_at", intervals.used_levels(spread))
+    found = p.join(spread, [*keys, "_level", "_block"]).where("occurred_at >= gap_start and (gap_end is null or occurred_at < gap_end)").groupBy(*keys, "gap_id").agg(F.count(F.lit(1)).alias("n_located"))
     return gaps.select(*keys, "gap_id").join(found, [*keys, "gap_id"], "left").fillna(0, ["n_located"])
 
 

@@ -65,6 +65,25 @@ def integrity(populations: DataFrame) -> tuple[DataFrame, DataFrame]:
     return marked.where("reason is null").drop("reason"), marked.where("reason is not null")
 
 
+def identifier_digest(items: DataFrame) -> DataFrame:
+    """(SCOPE, count, identifier_digest) of items(SCOPE, destination_record_id): a digest of the set of identifiers, in whatever order they come.
+
+    Identifiers are ordered by their SHA-256 and cut into chunks by its first two bytes; a population's digest is that of its chunks' digests in order. A population of any size is spread over its
+    chunks, and what is gathered of it at the end is 65536 digests at most. Repeated identifiers count each.
+    """
+    keys, h = SCOPE, F.sha2("destination_record_id", 256)
+    chunks = items.select(*keys, h.alias("h")).groupBy(*keys, F.substring("h", 1, 4).alias("chunk")).agg(F.count(F.lit(1)).alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("d"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "d"))), lambda x: x["d"]), "")
+    return chunks.groupBy(*keys).agg(F.sum("n").alias("count"), F.concat(F.lit("sha256:"), F.sha2(whole, 256)).alias("identifier_digest"))
+
+
+def digest_audit(populations: DataFrame, items: DataFrame) -> DataFrame:
+    """Digest-only populations against the identifiers that the destination still enumerates: confirmed, count_differs, digest_differs, or not_enumerated."""
+    own = identifier_digest(items).select(*SCOPE, F.col("count").alias("_n"), F.col("identifier_digest").alias("_d"))
+    state = F.when(F.col("_n").isNull(), "not_enumerated").when(F.col("_n") != F.col("signed_count"), "count_differs").when(F.col("_d") != F.col("identifier_digest"), "digest_differs").otherwise("confirmed")
+    return populations.where("identifier_digest is not null").join(own, SCOPE, "left").withColumn("state", state).drop("_n", "_d")
+
+
 def observation_audit(populations: DataFrame) -> DataFrame:
     """Codes for retrieval times: equal to the source time, after settlement, not after it was observed."""
     codes = F.array_compact(F.array(

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from provenix.functions import durations
+
 KEY = ["tenant_id", "action_family", "destination_system"]
 # The highest level each class admits, and the classes that may state a ratio.
 ADMITS = {"c1": "reconciled", "c2": "reconciled", "c3": "enforced", "c4": "observed", "c5": "observed"}
@@ -78,14 +80,13 @@ def refused_upgrades(incoming: DataFrame, existing: DataFrame) -> DataFrame:
 
 def months_of(duration: Column) -> Column:
     """Whole months of an ISO-8601 calendar duration such as P1Y6M; null if it has other parts."""
-    y, m = F.regexp_extract(duration, r"^P(?:(\d+)Y)?(?:(\d+)M)?$", 1), F.regexp_extract(duration, r"^P(?:(\d+)Y)?(?:(\d+)M)?$", 2)
-    total = F.coalesce(F.try_to_number(F.when(y != "", y), F.lit("99999")), F.lit(0)) * 12 + F.coalesce(F.try_to_number(F.when(m != "", m), F.lit("99999")), F.lit(0))
-    return F.when(total > 0, total.cast("int"))
+    d = durations.parse(duration)
+    return F.when((d["micros"] == 0) & (d["months"] > 0), d["months"].cast("int"))
 
 
 def revalidation(history: DataFrame, as_of: str, cadence: str = "cadence") -> DataFrame:
-    """When each record must be looked at again, and whether that is past at ``as_of``; months clamp to their last day."""
-    due = F.col("qualified_at") + F.make_ym_interval(F.lit(0), months_of(F.col(cadence)))
+    """When each record must be looked at again, and whether that is past at ``as_of``; months clamp to their last day. A cadence that is no positive duration gives null."""
+    due = durations.add(F.col("qualified_at"), F.col(cadence))
     return history.select("qualification_ref", "tenant_id", due.alias("revalidate_after")).withColumn("overdue", F.lit(as_of).cast("timestamp") >= F.col("revalidate_after"))
 
 

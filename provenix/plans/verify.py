@@ -40,13 +40,16 @@ def counts_recheck(b: DataFrame) -> DataFrame:
 
 
 def ratio_recheck(b: DataFrame) -> DataFrame:
-    """The stated ratio against matched over the population less what is out of scope."""
+    """The stated ratio against matched over the population less what is out of scope; one that is withheld although there is a ratio (no truncated population, where that is told) is a finding too."""
     own = four_places(F.col("matched"), F.col("signed_count") - F.col("out_of_scope"))
+    cut = F.coalesce("truncated", F.lit(False)) if "truncated" in b.columns else F.lit(False)
+    due = emits_ratio(F.col("claimed_class")) & (F.col("signed_count") - F.col("out_of_scope") > 0) & ~cut
     shown = F.col("coverage_ratio").isNotNull()
     bad_form = shown & ~F.col("coverage_ratio").rlike(r"^[01]\.\d{4}$")
     return (
         _finding(b, 40, "ratio_withheld_class_states_ratio", shown & ~emits_ratio(F.col("claimed_class"))).unionByName(_finding(b, 41, "ratio_malformed", bad_form))
         .unionByName(_finding(b, 42, "ratio_mismatch", shown & ~bad_form & ~F.col("coverage_ratio").eqNullSafe(own)))
+        .unionByName(_finding(b, 43, "ratio_withheld", ~shown & F.coalesce(due, F.lit(False)))).unionByName(_finding(b, 44, "ratio_of_truncated_population", shown & cut))
     )
 
 
@@ -64,8 +67,13 @@ def validity_recheck(b: DataFrame) -> DataFrame:
 
 
 def gap_omission(announced: DataFrame, signed: DataFrame) -> DataFrame:
-    """Signed gaps (bundle_id, gap_start, gap_end, cause) that the attestation does not announce."""
-    return signed.join(announced, ["bundle_id", "gap_start", "gap_end", "cause"], "left_anti").select("bundle_id", F.lit(60).alias("ord"), F.lit("gap_omitted").alias("code"))
+    """Signed gaps (bundle_id, gap_start, gap_end, cause, affected_scope where there is one) that the attestation does not announce. Scopes are JSON texts, compared by what they say: the order of members and
+    white space do not count, the order of a list does. A scope that is no JSON equals only the same text."""
+    keys = ["bundle_id", "gap_start", "gap_end", "cause"]
+    if "affected_scope" in signed.columns:
+        said = F.coalesce(F.to_json(F.try_parse_json("affected_scope")), F.concat(F.lit("text:"), F.col("affected_scope")), F.lit("absent"))
+        announced, signed, keys = announced.withColumn("_scope", said), signed.withColumn("_scope", said), [*keys, "_scope"]
+    return signed.join(announced, keys, "left_anti").select("bundle_id", F.lit(60).alias("ord"), F.lit("gap_omitted").alias("code"))
 
 
 def assertion_check(assertions: DataFrame) -> DataFrame:

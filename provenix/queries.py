@@ -8,7 +8,7 @@ from datetime import timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provenix.functions import intervals
+from provenix.functions import instants, intervals
 from provenix.operators import attest, binding, chain, coverage, ingest, population, qualify, reconcile, validate
 from provenix.plans import verify
 from provenix.sources import ledger
@@ -998,18 +998,11 @@ def o75_lattice(v):
     return a.withColumn("level", qualify.admissible_level(F.col("claimed_class"))).groupBy("boundary_ref", "claimed_class", "level").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""select s_suppkey connector, concat_ws(',', case when s_suppkey % 11 = 0 then 'settlement_lag_negative' end, case when s_suppkey % 3 = 0 and s_suppkey % 2 = 0 then 'settlement_lag_without_enumeration' end,
-case when s_suppkey % 7 = 0 then 'attribution_surface_contradicts_enumeration' end, case when s_suppkey % 13 = 0 then 'confirmation_access_contradicts_confirmation' end,
-case when s_suppkey % 17 = 0 and s_suppkey % 3 = 0 then 'confirmation_shared_without_enumeration' end) codes,
-s_suppkey % 3 <> 0 and s_suppkey % 5 <> 0 and s_suppkey % 11 <> 0 and s_suppkey % 7 <> 0 and s_suppkey % 13 <> 0 supports_window_claim from (select cast(substr(qualification_ref, 2) as bigint) s_suppkey from qualifications) q""", "qualifications")
+@query("""with c as (select *, concat_ws(',', case when settlement_lag_s < 0 then 'settlement_lag_negative' end, case when not enumeration and settlement_lag_s is not null then 'settlement_lag_without_enumeration' end,
+case when enumeration = (attribution_surface = 'enumeration_unavailable') then 'attribution_surface_contradicts_enumeration' end, case when confirmation = (confirmation_access = 'not_available') then 'confirmation_access_contradicts_confirmation' end,
+case when confirmation_access = 'shared_with_enumeration' and not enumeration then 'confirmation_shared_without_enumeration' end) codes from connectors) select connector, codes, enumeration and authoritative_time and codes = '' supports_window_claim from c""", "connectors")
 def o48_capability(v):
-    k = F.substring("qualification_ref", 2, 20).cast("long")
-    confirms = k % 4 != 0
-    said = F.when(k % 13 == 0, ~confirms).otherwise(confirms)
-    c = v("qualifications").select(k.alias("connector"), (k % 3 != 0).alias("enumeration"), confirms.alias("confirmation"), (k % 5 != 0).alias("authoritative_time"),
-        F.when(k % 11 == 0, -1).when((k % 3 != 0) | (k % 2 == 0), 60).alias("settlement_lag_s"), F.when((k % 3 == 0) != (k % 7 == 0), "enumeration_unavailable").otherwise("enumerated").alias("attribution_surface"),
-        F.when(k % 17 == 0, "shared_with_enumeration").when(said, "own").otherwise("not_available").alias("confirmation_access"))
-    return binding.capability_audit(c).select("connector", F.array_join("codes", ",").alias("codes"), "supports_window_claim")
+    return binding.capability_audit(v("connectors")).select("connector", F.array_join("codes", ",").alias("codes"), "supports_window_claim")
 
 
 @query("""select population_ref, case when n % 23 = 0 then 'unanswered' else concat_ws(',', case when n % 3 = 0 then 'action_family_differs' end, case when n % 5 = 0 then 'window_start_differs' end, case when n % 7 = 0 then 'echoed_parameters_differs' end, case when n % 4 = 0 then 'count_differs' end,
@@ -1107,3 +1100,86 @@ def o145_late_data(v):
 select tenant_id, window_start, window_start + interval '1' day window_end, n from d, t where window_start + interval '1' day <= top - interval '2' day""", "stream_base")
 def o146_settlement_gate(v):
     return _drained(streaming.settled_windows(_stream_of(v, "stream_base", "settled").withColumnRenamed("source_time", "authoritative_time"), "1 day", "2 days"), "settled")
+
+
+@query("""with j as (select r.*, p.key_id pk, p.sequence is not null kn, k.public_key from rotations r left join rotations p on p.tenant_id = r.tenant_id and p.stream_id = r.stream_id and p.sequence = r.sequence - 1 left join rotation_keys k on k.tenant_id = r.tenant_id and k.key_id = r.key_id),
+m as (select *, kn and key_id <> pk and said judged from j),
+c as (select record_id, concat_ws(',', case when sequence = 1 and said then 'continuity_on_first_record' end, case when kn and key_id = pk and said then 'continuity_without_rotation' end, case when kn and key_id <> pk and not coalesce(said, false) then 'rotation_without_continuity' end,
+case when judged and c_extra then 'members_unknown_or_missing' end, case when judged and c_alg <> 'ed25519' then 'algorithm_unsupported' end, case when judged and c_predecessor_key_id <> pk then 'wrong_predecessor' end, case when judged and c_new_key_id <> key_id then 'wrong_new_key' end,
+case when judged and c_tenant_id <> tenant_id then 'wrong_tenant' end, case when judged and c_stream_id is distinct from stream_id then 'wrong_stream' end, case when judged and c_new_public_key is distinct from public_key or judged and public_key is null then 'wrong_public_key' end,
+case when judged and not c_sig_ok then 'not_signed_by_predecessor' end) codes from m) select record_id, codes from c where codes <> ''""", "rotations", "rotation_keys")
+def o33_continuity(v):
+    r = v("rotations")
+    said = r.where("said").select("tenant_id", "record_id", *(c for c in r.columns if c.startswith("c_")))
+    return chain.continuity(r, said, v("rotation_keys")).select("record_id", F.array_join("codes", ",").alias("codes"))
+
+
+@query(r"""with p as (select *, regexp_full_match(cadence, 'P([0-9]+Y)?([0-9]+M)?([0-9]+W)?([0-9]+D)?(T([0-9]+H)?([0-9]+M)?([0-9]+([.,][0-9]+)?S)?)?') ok, coalesce(position('T' in cadence), 0) tp from cadences),
+d as (select *, case when tp > 0 then substr(cadence, 1, tp - 1) else cadence end dp, case when tp > 0 then substr(cadence, tp) else '' end hp from p),
+x as (select *, regexp_extract(dp, '([0-9]+)Y', 1) y, regexp_extract(dp, '([0-9]+)M', 1) m, regexp_extract(dp, '([0-9]+)W', 1) w, regexp_extract(dp, '([0-9]+)D', 1) dd, regexp_extract(hp, '([0-9]+)H', 1) h, regexp_extract(hp, '([0-9]+)M', 1) mi, replace(regexp_extract(hp, '([0-9]+([.,][0-9]+)?)S', 1), ',', '.') s from d),
+n as (select *, case when ok and not (w <> '' and concat(y, m, dd, h, mi, s) <> '') and not (tp > 0 and concat(h, mi, s) = '') then coalesce(try_cast(y as bigint), 0) * 12 + coalesce(try_cast(m as bigint), 0) end mo,
+(coalesce(try_cast(w as bigint), 0) * 604800 + coalesce(try_cast(dd as bigint), 0) * 86400 + coalesce(try_cast(h as bigint), 0) * 3600 + coalesce(try_cast(mi as bigint), 0) * 60) * 1000000 + coalesce(cast(floor(try_cast(s as decimal(30, 10)) * 1000000) as bigint), 0) us from x),
+r as (select qualification_ref, case when mo + us > 0 then qualified_at + to_months(cast(mo as int)) + to_microseconds(us) end revalidate_after from n)
+select qualification_ref, revalidate_after, timestamp '1998-01-01' >= revalidate_after overdue from r""", "cadences")
+def o79_every_duration(v):
+    return qualify.revalidation(v("cadences").withColumn("tenant_id", F.lit("t")), "1998-01-01 00:00:00").drop("tenant_id")
+
+
+_NS = """case when regexp_full_match({c}, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}T[0-9]{{2}}:[0-9]{{2}}:[0-9]{{2}}[.][0-9]{{3,9}}(Z|[+-][0-9]{{2}}:[0-9]{{2}})') and substr({c}, 18, 2) <= '59' and substr({c}, 12, 2) <= '23' and coalesce(nullif(regexp_extract({c}, '[+-]([0-9]{{2}}):[0-9]{{2}}$', 1), ''), '00') <= '23' then
+cast(epoch_us(try_cast(substr({c}, 1, 19) as timestamp)) // 1000000 as hugeint) * 1000000000 + cast(rpad(regexp_extract({c}, '[.]([0-9]+)', 1), 9, '0') as bigint)
+- case when {c} like '%Z' then 0 else case when substr(right({c}, 6), 1, 1) = '+' then 1 else -1 end * (cast(substr(right({c}, 5), 1, 2) as hugeint) * 3600 + cast(right({c}, 2) as bigint) * 60) * 1000000000 end end"""
+
+
+@query(f"""with n as (select k, {_NS.format(c='a')} na, {_NS.format(c='b')} nb, 825638400::hugeint * 1000000000 + 1 now from instant_texts)
+select k, case when na is null or nb is null then 'unchecked' when nb <= na then 'empty_interval' when now < na then 'not_yet_valid' when now >= nb then 'expired' else 'current' end state, na < nb a_before_b from n""", "instant_texts")
+def o137_exact_validity(v):
+    """Validity at an instant a nanosecond after midnight."""
+    a, b = instants.instant(F.col("a")), instants.instant(F.col("b"))
+    return v("instant_texts").select("k", instants.validity(F.col("a"), F.col("b"), F.lit("1996-03-01T00:00:00.000000001Z")).alias("state"), (a < b).alias("a_before_b"))
+
+
+@query(f"""with n as (select k, a, {_NS.format(c='a')} na, {_NS.format(c='b')} nb, 825638400::hugeint * 1000000000 + 1 now from instant_texts), g as (select k // 3 id, count(*) filter (where na is null) odd, max_by(k % 2, (na, k)) filter (where na <= now) last, min(nb) filter (where k % 3 = 0) vu, bool_or(k % 3 = 0) own from n group by 1)
+select concat('x', cast(id as varchar)) attestation_id, case when last = 0 then 'superseded' when last = 1 then 'revoked' when odd > 0 then 'unchecked' when vu is null then 'unchecked' when 825638400::hugeint * 1000000000 + 1 >= vu then 'expired' else 'valid' end status from g where own""", "instant_texts")
+def o124_exact_lifecycle(v):
+    """Transitions and validity a nanosecond apart; three rows make an attestation and its transitions."""
+    t = v("instant_texts").withColumns({"tenant_id": F.lit("t"), "attestation_id": F.concat(F.lit("x"), F.expr("cast(k div 3 as string)"))})
+    attested = t.where("k % 3 = 0").select("tenant_id", "attestation_id", F.lit("1990-01-01T00:00:00.000Z").alias("validity_from"), F.col("b").alias("validity_until"))
+    moves = t.select("tenant_id", "attestation_id", F.col("k").alias("sequence"), F.col("a").alias("effective_at"), F.when(F.col("k") % 2 == 0, "next").alias("superseding_attestation_id"))
+    return instants.lifecycle(attested, moves, "1996-03-01T00:00:00.000000001Z").select("attestation_id", "status")
+
+
+@query(REPORT[: REPORT.index("select population_ref, class_in_force, [")] + """select z.population_ref, case when st in ('available', 'denominator_empty_after_exclusions') and d.identifier_digest is not null then 'digest_only_population' else st end ratio_state,
+coalesce(enumeration_capable, false) and coalesce(class_in_force in ('c1', 'c2', 'c3'), false) and not (z.result_cap_hit or not z.pagination_complete) independently_enumerable from z join digest_populations d on d.population_ref = z.population_ref""", *R_VIEWS, *Q_VIEWS, "digest_populations")
+def o101_ratio_states(v):
+    results = stored(results_of(v), "results")
+    got = coverage.report(results, stored(facts_of(v, results), "facts"), v("digest_populations"), qualify.in_force(windows_of(v), v("qualifications")), gaps_by_population(v))
+    return got.select("population_ref", "ratio_state", "independently_enumerable")
+
+
+@query("""with h as (select population_ref, sha256(destination_record_id) h, destination_record_id from population_items), c as (select population_ref, substr(h, 1, 4) chunk, sha256(string_agg(h, '' order by h)) d, count(*) n from h group by all),
+w as (select population_ref, concat('sha256:', sha256(string_agg(d, '' order by chunk))) identifier_digest, cast(sum(n) as bigint) n from c group by 1)
+select population_ref, identifier_digest, case when n % 7 = 0 then 'count_differs' when n % 4 = 0 then 'digest_differs' else 'confirmed' end state from w""", "population_items")
+def o46_identifier_digest(v):
+    """Digests of all populations, held against headers of which some have another count or another digest."""
+    items = v("population_items")
+    own = stored(population.identifier_digest(items), "digests")
+    n = F.col("count")
+    claimed = own.withColumns({"true_digest": F.col("identifier_digest"), "identifier_digest": F.when(n % 4 == 0, "sha256:0").otherwise(F.col("identifier_digest")), "signed_count": F.when(n % 7 == 0, n + 1).otherwise(n)}).drop("count")
+    return population.digest_audit(claimed, items).select("population_ref", F.col("true_digest").alias("identifier_digest"), "state")
+
+
+@query("select gap_id from scoped_gaps where kind = 0 or kind = 3", "scoped_gaps")
+def o133_scoped_gap_omission(v):
+    """Announced gaps of the same interval and cause: none, the same scope in another order of members, the same text, another scope."""
+    g = v("scoped_gaps")
+    turned = F.regexp_replace("signed_scope", r'^\{("families":.*),("tenant":.*)\}$', "{ $2, $1 }")
+    announced = g.where("kind <> 0").withColumn("affected_scope", F.when(F.col("kind") == 1, turned).when(F.col("kind") == 2, F.col("signed_scope")).otherwise(F.replace("signed_scope", F.lit('"g"'), F.lit('"h"'))))
+    return verify.gap_omission(announced, g.withColumn("affected_scope", F.col("signed_scope"))).select(F.col("bundle_id").cast("long").alias("gap_id"))
+
+
+@query("""with g as (select *, case when gap_id % 11 = 0 then null when gap_id % 5 = 0 then gap_start + interval '400' day when gap_id % 3 = 0 then gap_start + interval '3' hour else gap_end end e from gaps)
+select g.gap_id, count(o.action_id) n_located from g left join occurrences o on o.tenant_id = g.tenant_id and occurred_at >= gap_start and (e is null or occurred_at < e) group by 1""", "gaps", "occurrences")
+def o98_long_and_open_gaps(v):
+    """Gaps of minutes, hours, more than a year and without an end, over whole tenants."""
+    e = F.when(F.col("gap_id") % 11 == 0, F.lit(None)).when(F.col("gap_id") % 5 == 0, F.expr("gap_start + interval 400 days")).when(F.col("gap_id") % 3 == 0, F.expr("gap_start + interval 3 hours")).otherwise(F.col("gap_end"))
+    return coverage.located_counts(v("occurrences"), v("gaps").withColumn("gap_end", e), ["tenant_id"]).select("gap_id", "n_located")

@@ -112,6 +112,28 @@ VIEWS: dict[str, str] = {
         case when n % 31 = 0 then 'RevocationRecord' else 'AgentIdentity' end record_type, n % 27 = 5 bad_time, (sequence = 1) <> (n % 53 = 1) first_of_stream, concat('col', cast(c as string)) collector_id,
         case when n % 17 = 0 then 'old' else cast(c % 3 as string) end collector_version, case when n % 5 = 0 then 'sdk' when n % 47 = 3 then 'other' end implementation, case when n % 59 <> 2 then concat('ck', cast(case when n % 23 = 7 then c + 3 else c end as string)) end key_id, n % 211 <> 0 sig_ok
         from (select *, 3 * (n % (select count(*) div 3 + 1 from supplier)) + cast(substr(tenant_id, 2) as bigint) c from (select *, cast(substr(record_id, 2) as bigint) n from submissions) p) q""",
+    # every fifth population gives a digest in place of its identifiers
+    "digest_populations": """select *, case when cast(substr(population_ref, 4) as bigint) % 5 = 0 then 'sha256:0' end identifier_digest from populations""",
+    # connectors as they describe themselves; some contradict themselves
+    "connectors": """select s_suppkey connector, s_suppkey % 3 <> 0 enumeration, s_suppkey % 4 <> 0 confirmation, s_suppkey % 5 <> 0 authoritative_time, case when s_suppkey % 11 = 0 then -1 when s_suppkey % 3 <> 0 or s_suppkey % 2 = 0 then 60 end settlement_lag_s,
+        case when (s_suppkey % 3 = 0) <> (s_suppkey % 7 = 0) then 'enumeration_unavailable' else 'enumerated' end attribution_surface,
+        case when s_suppkey % 17 = 0 then 'shared_with_enumeration' when (s_suppkey % 4 <> 0) <> (s_suppkey % 13 = 0) then 'own' else 'not_available' end confirmation_access from supplier""",
+    # streams with the statements that came with their records, where one did; most are right
+    "rotation_keys": """select distinct tenant_id, key_id, concat('pk-', key_id) public_key from keys""",
+    "rotations": """select r.tenant_id, r.stream_id, r.sequence, r.record_id, r.key_id, (p.key_id <> r.key_id and r.event_id % 10 <> 0) or (p.key_id = r.key_id and r.event_id % 37 = 0) or (r.sequence = 1 and r.event_id % 3 = 0) said,
+        case when r.event_id % 11 = 1 then 'k999' else coalesce(p.key_id, r.key_id) end c_predecessor_key_id, case when r.event_id % 13 = 2 then 'k998' else r.key_id end c_new_key_id, case when r.event_id % 17 = 3 then 'other' else r.tenant_id end c_tenant_id,
+        case when r.event_id % 23 = 4 then null else r.stream_id end c_stream_id, case when r.event_id % 43 = 5 then 'rsa' else 'ed25519' end c_alg, case when r.event_id % 7 = 6 then 'pk-x' else concat('pk-', r.key_id) end c_new_public_key, r.event_id % 41 = 4 c_extra, r.event_id % 19 <> 6 c_sig_ok
+        from stream_records r left join stream_records p on p.tenant_id = r.tenant_id and p.stream_id = r.stream_id and p.sequence = r.sequence - 1""",
+    "cadences": """select qualification_ref, timestamp '1995-01-31 10:00:00' + cast(k % 700 as int) * interval '1' day qualified_at, case k % 19 when 0 then concat('P', cast(k % 5 as string), 'Y') when 1 then concat('P', cast(k % 13 as string), 'M') when 2 then concat('P', cast(k % 4 as string), 'W')
+        when 3 then concat('P', cast(k as string), 'D') when 4 then concat('PT', cast(k as string), 'H') when 5 then concat('P1DT2H30M', cast(k % 60 as string), '.5S') when 6 then concat('P1Y2M3DT4H5M6.', cast(k + 1000000 as string), '9S') when 7 then 'P1W1D' when 8 then 'PT' when 9 then 'P1DT' when 10 then 'P-1D'
+        when 11 then 'P' when 12 then '' when 13 then null when 14 then 'P1.5M' when 15 then '1H' when 16 then 'PT1,25S' when 17 then 'P2M1Y' when 18 then concat('P', cast(k % 3 as string), 'Y', cast(k % 14 as string), 'M', cast(k % 2 as string), 'D') end cadence
+        from (select qualification_ref, cast(substr(qualification_ref, 2) as bigint) k from qualifications) q""",
+    # instants a nanosecond apart, with offsets, leap seconds and impossible dates
+    "instant_texts": """select k, case k % 9 when 0 then '1996-03-01T00:00:00.000000001Z' when 1 then '1996-03-01T00:00:00.000000002Z' when 2 then '1996-03-01T00:00:00.000Z' when 3 then '1996-02-29T23:59:60.000Z' when 4 then '1996-03-01T05:30:00.000000001+05:30'
+        when 5 then '1996-02-29T18:00:00.000000002-06:00' when 6 then '1997-02-29T00:00:00.000Z' when 7 then '1996-03-01T00:00:00.0000000011Z' when 8 then '1996-03-01 00:00:00Z' end a, case k % 7 when 0 then '1996-03-01T00:00:00.000000001Z' when 1 then '1996-03-01T00:00:00.000000002Z'
+        when 2 then '1996-03-01T00:00:00.000000000Z' when 3 then '9999-12-31T23:59:59.999999999Z' when 4 then '1996-03-01T00:00:60.0000Z' when 5 then '1996-03-01T24:00:00.000Z' when 6 then '1996-03-01T00:00:00.000+24:00' end b
+        from (select cast(s_suppkey as bigint) k from supplier) q""",
+    "scoped_gaps": """select cast(gap_id as string) bundle_id, gap_id, gap_start, gap_end, cause, gap_id % 4 kind, concat(chr(123), '"families":["f', cast(gap_id % 3 as string), '","g"],"tenant":"', tenant_id, '"', chr(125)) signed_scope from gaps""",
     "family_records": """select concat('t', cast(o_custkey % 4 as string)) tenant_id, concat('f', substr(o_orderpriority, 1, 1)) action_family, o_orderdate authoritative_time, cast(o_orderkey as bigint) record_no from orders""",
     "family_lags": """select concat('f', cast(r_regionkey + 1 as string)) action_family, cast(r_regionkey * r_regionkey * 8 * 86400 + 3600 as bigint) lag_s from region""",
     "page_log": """select o_custkey query_id, cast(row_number() over (partition by o_custkey order by o_orderkey) as int) page_no, case when o_orderkey % 97 = 0 then 11 else 10 end total_size,

@@ -77,21 +77,23 @@ def stream_memory(records: DataFrame, silence: str = "1 hour") -> DataFrame:
         out = []
         # a position's first record is the one of the smallest id in its batch, however the batch's rows are dealt
         rows = pd.concat(list(batches)).sort_values(["sequence", "record_id", "record_digest"])
+        open_ = sum(e - h for h, e in zip(begins, ends))
         for r in rows.itertuples():
             if r.sequence > top:
                 outcome = "accept" if r.sequence == top + 1 else "accept_after_hole"
                 if r.sequence > top + 1:
                     begins.append(top + 1), ends.append(r.sequence)
+                    open_ += r.sequence - top - 1
                 top = r.sequence
             else:
                 k = bisect.bisect_right(begins, r.sequence) - 1
                 if k >= 0 and r.sequence < ends[k]:
-                    outcome = "fills_hole"
+                    outcome, open_ = "fills_hole", open_ - 1
                     pieces = [(a, b) for a, b in ((begins[k], r.sequence), (r.sequence + 1, ends[k])) if a < b]
                     begins[k : k + 1], ends[k : k + 1] = [a for a, _ in pieces], [b for _, b in pieces]
                 else:
                     outcome = "seen"
-            out.append((*key, r.sequence, r.record_id, r.record_digest, outcome, sum(e - h for h, e in zip(begins, ends)) if len(begins) < 100 else len(begins)))
+            out.append((*key, r.sequence, r.record_id, r.record_digest, outcome, open_))
         state.update((top, told, begins, ends))
         if begins and begins[-1] > told:
             state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), 0) + 3_600_000)
@@ -111,10 +113,13 @@ def positions_stream(records: DataFrame, ledger_path: str, out_path: str, checkp
         spark = batch.sparkSession
         own = batch.persist()  # one evaluation of the stateful step feeds both sinks
         new = own.where("outcome like 'accept%' or outcome = 'fills_hole'").select(*HELD)
-        new.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("epoch").parquet(ledger_path)
+        new.withColumn("epoch", F.lit(epoch)).sortWithinPartitions("tenant_id", "stream_id", "sequence").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("epoch").parquet(ledger_path)
         seen = own.where("outcome = 'seen'")
-        # only the ledger's tenants of this batch are read, and only their positions are joined
-        at = spark.read.parquet(ledger_path).where(F.col("epoch") <= epoch).drop("epoch").withColumnsRenamed({"record_id": "held_id", "record_digest": "held_digest"})
+        at = spark.read.parquet(ledger_path).where(F.col("epoch") <= epoch).drop("epoch")
+        tenants = [r[0] for r in seen.select("tenant_id").distinct().limit(TENANTS + 1).collect()]
+        if len(tenants) <= TENANTS:  # then only their rows are read: files are sorted by tenant, so that others are skipped
+            at = at.where(F.col("tenant_id").isin(tenants))
+        at = at.withColumnsRenamed({"record_id": "held_id", "record_digest": "held_digest"})
         told = seen.join(at, ["tenant_id", "stream_id", "sequence"], "left").withColumn("outcome", F.when((F.col("held_id") == F.col("record_id")) & (F.col("held_digest") == F.col("record_digest")), "replay").otherwise("fork"))
         done = own.where("outcome <> 'seen'").unionByName(told.drop("held_id", "held_digest"))
         done.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("epoch").parquet(out_path)
