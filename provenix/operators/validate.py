@@ -60,12 +60,21 @@ def _body_members() -> Column:
     return F.create_map(*(c for k in BODIES for c in (F.lit(k), F.array(*(one(m) for m in members_of(k))))))
 
 
+def is_instant(text: Column) -> Column:
+    """Whether a text is an RFC 3339 instant of three fraction digits or more that a calendar and a clock have; a sixtieth second is allowed. Null for null."""
+    zone = F.right(text, F.lit(6))
+    return (
+        text.rlike(INSTANT) & F.substring(text, 1, 10).try_cast("date").isNotNull() & (F.substring(text, 1, 4) != "0000") & (F.substring(text, 12, 2) <= "23") & (F.substring(text, 15, 2) <= "59") & (F.substring(text, 18, 2) <= "60")
+        & (text.endswith("Z") | ((F.substring(zone, 2, 2) <= "23") & (F.substring(zone, 5, 2) <= "59")))
+    )
+
+
 def _fits(value: Column, kind: Column, words: Column) -> Column:
     """Whether a body value is of its kind."""
     is_, text = F.schema_of_variant(value), F.try_variant_get(value, "$", "string")
     number = F.try_variant_get(value, "$", "bigint")
     ok = (
-        F.when(kind == "s", is_ == "STRING").when(kind == "t", (is_ == "STRING") & text.rlike(INSTANT)).when(kind == "d", (is_ == "STRING") & text.rlike(DIGEST))
+        F.when(kind == "s", is_ == "STRING").when(kind == "t", (is_ == "STRING") & is_instant(text)).when(kind == "d", (is_ == "STRING") & text.rlike(DIGEST))
         .when(kind == "n", (is_ == "BIGINT") & (number >= 0) & (number <= SAFE)).when(kind == "p", (is_ == "BIGINT") & (number >= 1) & (number <= SAFE)).when(kind == "b", is_ == "BOOLEAN")
         .when(kind == "o", is_.startswith("OBJECT")).when(kind == "l", is_.startswith("ARRAY")).when(kind == "e", (is_ == "STRING") & F.array_contains(words, text)).otherwise(is_.isNotNull())
     )
@@ -104,11 +113,12 @@ def codes(wire: Column) -> Column:
         F.when(sound & ~right("schema_version", SEMVER), "record.schema_version.invalid"),
         F.when(sound & ~F.coalesce((is_("sequence") == "BIGINT") & (sequence >= 1) & (sequence <= SAFE), F.lit(False)), "record.sequence.range"),
         F.when(sound & ~((is_("prev_digest") == "VOID") | right("prev_digest", DIGEST)), "record.prev_digest.invalid"),
-        F.when(sound & ~right("clocks.source_time", INSTANT), "record.clocks.source_time.invalid"),
+        F.when(sound & ~((is_("clocks.source_time") == "STRING") & F.coalesce(is_instant(text("clocks.source_time")), F.lit(False))), "record.clocks.source_time.invalid"),
+        F.when(sound & F.array_contains(clocks, "authoritative_time") & ~((is_("clocks.authoritative_time") == "STRING") & F.coalesce(is_instant(text("clocks.authoritative_time")), F.lit(False))), "record.clocks.authoritative_time.invalid"),
         F.when(sound & (F.size(F.array_intersect(clocks, hosted)) > 0), "record.clocks.hosted_member"),
         F.when(sound & (F.size(F.array_except(clocks, F.concat(hosted, F.array(F.lit("source_time"), F.lit("authoritative_time"))))) > 0), "record.clocks.member_unknown"),
         F.when(sound & outside_strings.rlike(r"[0-9](\.[0-9]|[eE])"), "record.number.float"),
-        F.when(sound & ~(is_("body").startswith("OBJECT") & is_("source").startswith("OBJECT") & is_("signature").startswith("OBJECT") & (is_("tenant_id") == "STRING") & (is_("stream_id") == "STRING")), "record.envelope.member_invalid"),
+        F.when(sound & ~(is_("body").startswith("OBJECT") & is_("source").startswith("OBJECT") & is_("signature").startswith("OBJECT") & (is_("tenant_id") == "STRING") & (is_("stream_id") == "STRING") & is_("boundary_ref").isin("STRING", "")), "record.envelope.member_invalid"),
         F.when(missing, "record.body.member_missing"), F.when(wrong, "record.body.member_invalid"),
         F.when((kind == "PopulationRecord") & both, "record.body.identifiers_exclusive"),
     ))

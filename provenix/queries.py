@@ -682,6 +682,8 @@ FAULTS = [
     ('"clocks":{', '"clocks":{"ingest_time":"x",', "record.clocks.hosted_member"), ('"clocks":{', '"clocks":{"other":1,', "record.clocks.member_unknown"), ('"source":{}', '"source":[]', "record.envelope.member_invalid"), ('"boundary_ref":"b",', "", "record.envelope.member_missing"),
     ('"tenant_id"', '"tenant_id":"t","tenant_id"', "record.json.malformed"), ('"schema_version":"1.0.0"', '"schema_version":null', "record.schema_version.invalid"), ('"sequence":', '"sequence":-', "record.sequence.range"), ('{"body"', '"body"', "record.json.malformed"),
     ('"clocks":{', '"clocks":{"clock_skew_ms":2.5,', "record.clocks.hosted_member,record.number.float"),
+    ('"boundary_ref":"b"', '"boundary_ref":7', "record.envelope.member_invalid"), ('"clocks":{', '"clocks":{"authoritative_time":5,', "record.clocks.authoritative_time.invalid"), ('"clocks":{', '"clocks":{"authoritative_time":null,', "record.clocks.authoritative_time.invalid"),
+    ('"clocks":{', '"clocks":{"authoritative_time":"2024-02-29T23:59:60.000+05:30",', ""), ('"source_time":"2024-01-01T00', '"source_time":"2023-02-29T00', "record.clocks.source_time.invalid"), ('"source_time":"2024-01-01T00', '"source_time":"2024-01-01T24', "record.clocks.source_time.invalid"),
 ]
 N_FAULTS = len(FAULTS)
 
@@ -761,6 +763,26 @@ def o02_typed_view(v):
     return out
 
 
+_MEMBERS = ", ".join(f"('{kind}', '{name}')" for kind in validate.BODIES for name, _, _, _ in validate.members_of(kind))
+
+
+@query(f"""with t as (select {_KINDS} record_type, count(*) n from events where event_id % 61 >= {N_FAULTS} + 4 group by 1), m(record_type, member) as (values {_MEMBERS}, ('PopulationRecord', 'record_identifiers'))
+select record_type, member, n from t join m using (record_type)""")
+def o02_body_columns(v):
+    """How many records of each type have each member of its body, read from the typed views."""
+    sound = stored(records_of_all_types(v).where(f"event_id % 61 >= {N_FAULTS} + 4"), "records")
+    parts = []
+    for kind in validate.BODIES:
+        view_ = ledger.typed_view(sound, kind)
+        own = [c for c in view_.columns if c not in ("tenant_id", "record_id", "stream_id", "sequence", "source_time")]
+        counted = view_.agg(*(F.count(c).alias(c) for c in own))
+        parts.append(counted.select(F.explode(F.array(*(F.struct(F.lit(kind).alias("record_type"), F.lit(c).alias("member"), F.col(c).alias("n")) for c in own))).alias("x")).select("x.*").where("n > 0"))
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out
+
+
 @query("""with f as (select boundary_ref, version, count(*) n from boundary_families group by all)
 select b.boundary_ref, concat_ws(',', case when n is null then 'no_family' end, case when b.version % 3 = 0 then 'family_repeated' end, case when b.version % 4 = 1 then 'destination_missing' end, case when b.version % 5 = 2 then 'fail_behaviour_unknown' end,
 case when name = 'b3' then 'ref_does_not_compose' end) codes from boundaries b left join f using (boundary_ref)""", "boundaries", "boundary_families")

@@ -4,25 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from provenix.operators import validate
 
-BODIES = {
-    "AssuranceBoundary": "name string, version int, window_start timestamp, window_end timestamp, families array<struct<action_family: string, destination_system: string, fail_behaviour: string>>",
-    "QualificationRecord": "action_family string, destination_system string, assigned_class string, enumeration_capable boolean, qualified_at timestamp",
-    "PopulationRecord": "action_family string, destination_system string, window_start timestamp, window_end timestamp, record_identifiers array<string>, identifier_digest string, count bigint, pagination_complete boolean, result_cap_hit boolean, retrieved_at timestamp",
-    "AgentIdentity": "agent_id string, model string, operator string",
-    "ActionProposal": "action_id string, action_family string, tool string, parameters_digest string, purpose string, target_ref string, risk_class string, proposed_at timestamp",
-    "AuthorityDecision": "action_id string, decision string, policy_ref string, decided_at timestamp",
-    "HumanReview": "action_id string, reviewer_identity string, action_state_at_review string, evidence_shown_provenance string, decision string, time_available_ms bigint, time_taken_ms bigint, decided_at timestamp",
-    "ExecutionReceipt": "action_id string, dispatch_attempt int, connector_identity string, destination_response_digest string, destination_record_ref string, status string, dispatched_at timestamp, responded_at timestamp",
-    "ExternalConfirmation": "action_id string, destination_system string, destination_record_id string, destination_record_digest string, authoritative_timestamp timestamp, retrieved_at timestamp, reconciliation_status string",
-    "FinalityRecord": "action_id string, final_at timestamp, reversible_until timestamp",
-    "OutcomeRecord": "action_id string, authoritative_source string, disputed boolean, finalised_at timestamp",
-    "CoverageGap": "gap_start timestamp, gap_end timestamp, affected_scope array<string>, cause string, detection_source string, exposure string, actions_during_gap bigint",
-    "AttestationWindow": "window_start timestamp, window_end timestamp, denominator_class string, coverage_level string, coverage_ratio string, capped_by_class boolean",
-    "RevocationRecord": "attestation_id string, effective_at timestamp, reason string, superseding_attestation_id string",
-}
+#: The column type of each kind of body member; objects and what may be anything stay JSON text.
+TYPES = {"s": "string", "e": "string", "d": "string", "t": "timestamp", "n": "bigint", "p": "bigint", "b": "boolean", "o": "string", "j": "string", "l": "array<string>"}
+LEDGER = ("tenant_id", "record_id", "stream_id", "sequence", "source_time")
+#: Members that a body may have beside those it must have.
+OPTIONAL = {"PopulationRecord": "record_identifiers array<string>, identifier_digest string", "ActionProposal": "parameters string"}
+
+
+def body_schema(record_type: str) -> str:
+    """The columns of a type's body, from the same table that validation reads."""
+    own = ", ".join(f"{name} {TYPES[kind]}" for name, kind, _, _ in validate.members_of(record_type))
+    return f"{own}, {OPTIONAL[record_type]}" if record_type in OPTIONAL else own
 
 
 def read_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -31,10 +27,10 @@ def read_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def typed_view(records: DataFrame, record_type: str, wire: str = "wire") -> DataFrame:
-    """Records of one type: ledger columns and the members of its body."""
-    body = F.from_json(F.get_json_object(wire, "$.body"), BODIES[record_type])
+    """Records of one type: ledger columns and the members of its body. Those that are named like a ledger column have the prefix body_."""
+    body = F.from_json(F.get_json_object(wire, "$.body"), body_schema(record_type))
     own = validate.projection(wire)
-    return records.where(F.get_json_object(wire, "$.record_type") == record_type).select(*(own[k].alias(k) for k in ("tenant_id", "record_id", "stream_id", "sequence", "source_time")), body.alias("b")).select("tenant_id", "record_id", "stream_id", "sequence", "source_time", "b.*")
+    return records.where(F.get_json_object(wire, "$.record_type") == record_type).select(*(own[k].alias(k) for k in ("tenant_id", "record_id", "stream_id", "sequence", "source_time")), body.alias("b")).select("tenant_id", "record_id", "stream_id", "sequence", "source_time", *(F.col(f"b.{f.name}").alias(f"body_{f.name}" if f.name in LEDGER else f.name) for f in StructType.fromDDL(body_schema(record_type))))
 
 
 def append(records: DataFrame, path: str) -> None:
