@@ -14,25 +14,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+PROVIDER, NO_DATA = "spark.sql.streaming.stateStore.providerClass", "spark.sql.streaming.noDataMicroBatches.enabled"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 EPOCH = datetime(1970, 1, 1, tzinfo=UTC)
 
 
 @contextmanager
-def keyed_state(spark: SparkSession) -> Iterator[None]:
-    """Queries started inside hold their state in RocksDB, as stateful processors need; the session's own choice stays for others."""
-    before = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKS)
+def keyed_state(spark: SparkSession, idle: bool = True) -> Iterator[None]:
+    """Queries started inside hold their state in RocksDB, as stateful processors need; the session's own choice stays for others.
+
+    idle: whether batches without new data run, which timers of event time need. State that lives by the machine's clock asks for such batches without end, so that
+    a run over what is there must do without.
+    """
+    own = {PROVIDER: ROCKS, NO_DATA: str(idle).lower()}
+    before = {k: spark.conf.get(k, None) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(PROVIDER, before) if before else spark.conf.unset(PROVIDER)
+        for k, v in before.items():
+            spark.conf.set(k, v) if v else spark.conf.unset(k)
 
 
-def drain(stream: DataFrame, path: str, checkpoint: str) -> dict | None:
-    """Runs over what the source holds now into Parquet files, exactly once; returns the measures of the last batch that had state (rows and bytes of it among them)."""
-    with keyed_state(stream.sparkSession):
+def drain(stream: DataFrame, path: str, checkpoint: str, idle: bool = True) -> dict | None:
+    """Runs over what the source holds now into Parquet files, exactly once; returns the measures of the last batch that had state (rows and bytes of it among them). idle: see ``keyed_state``."""
+    with keyed_state(stream.sparkSession, idle):
         query = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path)
     query.awaitTermination()
     told = [p["stateOperators"][0] for p in query.recentProgress if p["stateOperators"]]
@@ -90,7 +97,7 @@ def identity_memory(records: DataFrame, buckets: int = 1024, ttl: timedelta | No
     names other content or another place, in whatever stream (content_substitution, with the place first seen).
 
     State is a map by id in each of a tenant's buckets: an id costs one entry, and a busy tenant is spread over its buckets. Entries go ``ttl`` after they were written, where one is given;
-    older ids are then known to the ledger only. Rows without tenant, id, place or digest are not looked at. Start it inside ``keyed_state``.
+    older ids are then known to the ledger only, and a run over what is there takes ``idle=False``. Rows without tenant, id, place or digest are not looked at. Start it inside ``keyed_state``.
     """
     named = records.where("tenant_id is not null and record_id is not null and stream_id is not null and sequence is not null and wire_digest is not null")
     keyed = named.select("tenant_id", F.pmod(F.xxhash64("record_id"), F.lit(buckets)).alias("bucket"), "record_id", "stream_id", "sequence", "wire_digest", "arrival")
