@@ -98,16 +98,27 @@ def assertions(report: DataFrame, oversight_: DataFrame, outcomes: DataFrame) ->
     )
 
 
-def exclusions(report: DataFrame, oversight_: DataFrame, populations: DataFrame) -> DataFrame:
-    """What each population's attestation does not claim: the standing list, and what its own evidence leaves open."""
+def exclusions(report: DataFrame, oversight_: DataFrame, populations: DataFrame, uncovered_: DataFrame | None = None, asked: DataFrame | None = None, outcomes: DataFrame | None = None) -> DataFrame:
+    """What each population's attestation does not claim: the standing list, and what its own evidence leaves open.
+
+    uncovered_(tenant_id, population_ref): parts of windows in which no boundary was in force, each counted. asked(tenant_id, population_ref): populations for which outcomes of a named source were asked for; where
+    outcomes(tenant_id, population_ref, n_confirmed) confirms none, the assertion is withheld.
+    """
     standing = report.select("tenant_id", "population_ref", F.explode(F.array(*(F.lit(x) for x in STANDING_EXCLUSIONS))).alias("exclusion"), F.lit(0).cast("long").alias("n"))
     seen = oversight_.select("tenant_id", F.col("window_ref").alias("population_ref"), "n_missing", (F.col("n_reviewed") - F.col("n_effective")).alias("n_late"))
     pick = lambda d, cond, name, n: d.where(cond).select("tenant_id", "population_ref", F.lit(name).alias("exclusion"), F.col(n).cast("long").alias("n"))
     cut = populations.where("result_cap_hit or not pagination_complete")
-    return (
+    out = (
         standing.unionByName(pick(seen, "n_missing > 0", "human_review_missing", "n_missing")).unionByName(pick(seen, "n_late > 0", "human_review_ineffective", "n_late"))
         .unionByName(pick(report, "out_of_scope > 0", "outside_boundary", "out_of_scope")).unionByName(pick(cut, "true", "truncated_population", "signed_count"))
     )
+    if uncovered_ is not None:
+        parts = uncovered_.groupBy("tenant_id", "population_ref").agg(F.count(F.lit(1)).alias("n"))
+        out = out.unionByName(pick(parts, "true", "boundary_not_in_force_for_full_window", "n"))
+    if asked is not None:
+        none = asked.select("tenant_id", "population_ref").distinct().join(outcomes.where("n_confirmed > 0"), ["tenant_id", "population_ref"], "left_anti").withColumn("n", F.lit(0))
+        out = out.unionByName(pick(none, "true", "outcome_assertion_withheld", "n"))
+    return out
 
 
 def lifecycle(attested: DataFrame, revocations: DataFrame, as_of: str) -> DataFrame:

@@ -553,14 +553,29 @@ def outcome_counts(v) -> DataFrame:
     return item.join(done, ["tenant_id", "action_id"]).groupBy("tenant_id", "population_ref").agg(F.count(F.lit(1)).alias("n_confirmed"))
 
 
-@query()
+EVIDENCE = REPORT[: REPORT.index("select population_ref, class_in_force, [")] + ", " + OVERSIGHT[5:] + """, ov as (select tenant_id, window_ref population_ref, count(*) filter (where rv) n_reviewed, count(*) filter (where ef) n_effective, count(*) filter (where rv is not true) n_missing from o group by all),
+oc as (select i.tenant_id, population_ref, count(*) n_confirmed from population_items i join (select distinct p.tenant_id, p.boundary_ref, p.action_id from proposals p join outcomes u on u.tenant_id = p.tenant_id and u.boundary_ref = p.boundary_ref and u.action_id = p.action_id where authoritative_source = 'erp' and not disputed) d
+ on d.tenant_id = i.tenant_id and d.action_id = concat('a', substr(destination_record_id, 2)) group by all),
+zz as (select *, case when ar is not null then least(er, ar) end lv, coalesce(enumeration_capable, false) and coalesce(class_in_force in ('c1', 'c2', 'c3'), false) and not (result_cap_hit or not pagination_complete) ie from z)
+"""
+E_VIEWS = tuple(dict.fromkeys((*R_VIEWS, *Q_VIEWS, "human_reviews", "populations", "outcomes", "boundary_windows")))
+
+
+@query(EVIDENCE + """select tenant_id, population_ref, 'A-02' assertion_id, num n from zz where num > 0 union all select tenant_id, population_ref, 'A-03', num from zz where lv in (2, 3) union all select tenant_id, population_ref, 'A-04', num from zz where lv = 3
+union all select tenant_id, population_ref, 'A-05', signed_count from zz where st = 'available' union all select tenant_id, population_ref, 'A-06', signed_count from zz where ie union all select tenant_id, population_ref, 'A-07', n_reviewed from ov where n_reviewed > 0
+union all select tenant_id, population_ref, 'A-08', n_effective from ov where n_effective > 0 and n_effective = n_reviewed union all select tenant_id, population_ref, 'A-09', n_confirmed from oc where n_confirmed > 0""", *E_VIEWS)
 def o121_assertions(v):
     return attest.assertions(stored(report_of(v), "report"), stored(attest.oversight(required_of(v), v("human_reviews")), "oversight"), outcome_counts(v))
 
 
-@query()
+@query(EVIDENCE + """, bw as (select tenant_id, population_ref, count(*) n from (select * from boundary_windows where effective_start is null or empty union all select * from boundary_windows where not empty and effective_start > window_start union all select * from boundary_windows where not empty and effective_end < window_end) q group by all)
+select tenant_id, population_ref, exclusion, cast(0 as bigint) n from zz, (values """ + ", ".join(f"('{x}')" for x in attest.STANDING_EXCLUSIONS) + """) s(exclusion)
+union all select tenant_id, population_ref, 'human_review_missing', n_missing from ov where n_missing > 0 union all select tenant_id, population_ref, 'human_review_ineffective', n_reviewed - n_effective from ov where n_reviewed > n_effective
+union all select tenant_id, population_ref, 'outside_boundary', oos from zz where oos > 0 union all select tenant_id, population_ref, 'truncated_population', signed_count from populations where result_cap_hit or not pagination_complete
+union all select tenant_id, population_ref, 'boundary_not_in_force_for_full_window', n from bw union all select tenant_id, population_ref, 'outcome_assertion_withheld', 0 from populations where population_ref not in (select population_ref from oc)""", *E_VIEWS)
 def o122_exclusions(v):
-    return attest.exclusions(stored(report_of(v), "report"), stored(attest.oversight(required_of(v), v("human_reviews")), "oversight"), v("populations"))
+    parts = attest.uncovered(v("boundary_windows")).withColumnRenamed("boundary_ref", "population_ref")
+    return attest.exclusions(stored(report_of(v), "report"), stored(attest.oversight(required_of(v), v("human_reviews")), "oversight"), v("populations"), parts, v("populations"), outcome_counts(v))
 
 
 AS_OF = "1998-08-01 00:00:00"
@@ -925,12 +940,15 @@ def o146_settlement_by_family(v):
     return _state_stream(v, "family_records", ["tenant_id", "action_family", "authoritative_time"], lambda s: state.settlement_stream(s, lags, "10 days", most))[0]
 
 
-@query()
+@query("""with h as (select date_trunc('hour', source_time) window_start, event_type, count(*) n from stream_base group by 1, 2), t as (select date_trunc('milliseconds', max(source_time)) - interval '2' hour w from stream_base)
+select window_start, event_type, n from h, t where window_start + interval '1' hour <= w""", "stream_base")
 def o147_alert_counts(v):
     return _drained(streaming.alert_counts(_stream_of(v, "stream_base", "alerts").withColumnRenamed("source_time", "ts")), "alerts")
 
 
-@query()
+@query("""with t as (select least((select max(responded_at) from receipts), (select max(authoritative_time) from confirmations)) - interval '1' day w)
+select r.tenant_id, r.destination_record_id, r.record_id receipt_id, c.record_id confirmation_id from receipts r left join confirmations c on c.tenant_id = r.tenant_id and c.destination_record_id = r.destination_record_id and c.action_id = r.action_id
+and c.authoritative_time between r.responded_at - interval '1' day and r.responded_at + interval '1' day, t where c.record_id is not null or r.responded_at + interval '1' day < w""", "receipts", "confirmations")
 def o148_correlation(v):
     return _drained(streaming.correlate(_stream_of(v, "receipts", "receipts"), _stream_of(v, "confirmations", "confirmations")), "correlated")
 

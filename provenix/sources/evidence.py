@@ -134,6 +134,9 @@ VIEWS: dict[str, str] = {
         when 2 then '1996-03-01T00:00:00.000000000Z' when 3 then '9999-12-31T23:59:59.999999999Z' when 4 then '1996-03-01T00:00:60.0000Z' when 5 then '1996-03-01T24:00:00.000Z' when 6 then '1996-03-01T00:00:00.000+24:00' end b
         from (select cast(s_suppkey as bigint) k from supplier) q""",
     "scoped_gaps": """select cast(gap_id as string) bundle_id, gap_id, gap_start, gap_end, cause, gap_id % 4 kind, concat(chr(123), '"families":["f', cast(gap_id % 3 as string), '","g"],"tenant":"', tenant_id, '"', chr(125)) signed_scope from gaps""",
+    # in some windows the boundary came late, ended early, or was never in force
+    "boundary_windows": """select tenant_id, population_ref, population_ref boundary_ref, window_start, window_end, case when signed_count % 4 = 0 then window_start + interval '2' day else window_start end effective_start,
+        case when signed_count % 7 = 0 then window_end - interval '1' day else window_end end effective_end, signed_count % 11 = 0 empty from populations""",
     "family_records": """select concat('t', cast(o_custkey % 4 as string)) tenant_id, concat('f', substr(o_orderpriority, 1, 1)) action_family, o_orderdate authoritative_time, cast(o_orderkey as bigint) record_no from orders""",
     "family_lags": """select concat('f', cast(r_regionkey + 1 as string)) action_family, cast(r_regionkey * r_regionkey * 8 * 86400 + 3600 as bigint) lag_s from region""",
     "page_log": """select o_custkey query_id, cast(row_number() over (partition by o_custkey order by o_orderkey) as int) page_no, case when o_orderkey % 97 = 0 then 11 else 10 end total_size,
