@@ -104,6 +104,23 @@ def constraint_audit(history: DataFrame) -> DataFrame:
     return history.select("qualification_ref", "tenant_id", codes.alias("codes")).where(F.size("codes") > 0)
 
 
+def cap_audit(claims: DataFrame, history: DataFrame) -> DataFrame:
+    """(attestation_id, qualification_ref, codes): where the qualification that governs a claim's window can't carry it.
+
+    claims(attestation_id, KEY, window_start, claimed_class, validity_from, validity_until). A source from which records can be deleted without trace carries class c3 at most; it must keep its records as
+    long as the attestation is valid (source_retention_days; without one it does not). Claims without a governing qualification are not judged here.
+    """
+    facts = F.struct("qualification_ref", "deletion_traceless_possible", "source_retention_days")
+    past = claims.select("attestation_id", *KEY, "window_start").join(history, KEY).where("qualified_at < window_start")
+    governing = past.groupBy("attestation_id").agg(F.max_by(facts, F.struct("qualified_at", "qualification_ref")).alias("g"))
+    valid = F.unix_micros("validity_until") - F.unix_micros("validity_from")
+    codes = F.array_compact(F.array(
+        F.when(F.col("g.deletion_traceless_possible") & F.col("claimed_class").isin("c1", "c2"), "traceless_deletion_caps_at_c3"),
+        F.when(F.coalesce(F.col("g.source_retention_days"), F.lit(0)).cast("long") * 86_400_000_000 < valid, "retention_shorter_than_validity"),
+    ))
+    return claims.join(governing, "attestation_id").select("attestation_id", "g.qualification_ref", codes.alias("codes")).where(F.size("codes") > 0)
+
+
 def project(records: DataFrame, wire: str = "wire") -> DataFrame:
     """Columns of qualification records that follow from their signed bodies; nothing comes from beside them. Deletion is traceless if it is possible and leaves no trace."""
     x = lambda path: F.get_json_object(wire, f"$.body.{path}")

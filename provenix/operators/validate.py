@@ -192,14 +192,22 @@ def published(records: DataFrame, registry: DataFrame) -> DataFrame:
 
 
 def boundary_audit(boundaries: DataFrame, families: DataFrame) -> DataFrame:
-    """Codes for what a boundary's declaration lacks."""
+    """Codes for what a boundary's declaration lacks. Where boundaries have destination_systems and qualification_refs (lists) and families a qualification_ref, families must keep to them, and no
+    reference may be left without a family; an absent list is empty."""
     got = families.groupBy("boundary_ref").agg(
         (F.count(F.lit(1)) - F.count_distinct("action_family")).alias("repeated"), F.count_if(F.col("destination_system").isNull()).alias("unplaced"), F.count_if(~F.col("fail_behaviour").isin("fail_open", "fail_closed")).alias("odd")
     )
     own = F.split("boundary_ref", ":")
+    more, listed = [], lambda c: F.coalesce(c, F.array().cast("array<string>"))
+    if "destination_systems" in boundaries.columns:
+        got = got.join(families.groupBy("boundary_ref").agg(F.collect_set("destination_system").alias("_placed")), "boundary_ref")  # of the families of one boundary
+        more.append(F.when(F.size(F.array_except(listed("_placed"), listed("destination_systems"))) > 0, "destination_undeclared"))
+    if "qualification_refs" in boundaries.columns and "qualification_ref" in families.columns:
+        got = got.join(families.groupBy("boundary_ref").agg(F.collect_set("qualification_ref").alias("_refs")), "boundary_ref")
+        more += [F.when(F.size(F.array_except(listed("_refs"), listed("qualification_refs"))) > 0, "qualification_undeclared"), F.when(F.size(F.array_except(listed("qualification_refs"), listed("_refs"))) > 0, "qualification_without_family")]
     return boundaries.join(got, "boundary_ref", "left").select("tenant_id", "boundary_ref", F.array_compact(F.array(
         F.when(F.col("repeated").isNull(), "no_family"), F.when(F.col("repeated") > 0, "family_repeated"), F.when(F.col("unplaced") > 0, "destination_missing"), F.when(F.col("odd") > 0, "fail_behaviour_unknown"),
-        F.when((F.size(own) != 3) | (own[0] != F.col("tenant_id")) | (own[1] != F.col("name")) | (own[2] != F.col("version").cast("string")), "ref_does_not_compose"),
+        F.when((F.size(own) != 3) | (own[0] != F.col("tenant_id")) | (own[1] != F.col("name")) | (own[2] != F.col("version").cast("string")), "ref_does_not_compose"), *more,
     )).alias("codes"))
 
 

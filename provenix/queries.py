@@ -1223,3 +1223,40 @@ def o98_long_and_open_gaps(v):
     """Gaps of minutes, hours, more than a year and without an end, over whole tenants."""
     e = F.when(F.col("gap_id") % 11 == 0, F.lit(None)).when(F.col("gap_id") % 5 == 0, F.expr("gap_start + interval 400 days")).when(F.col("gap_id") % 3 == 0, F.expr("gap_start + interval 3 hours")).otherwise(F.col("gap_end"))
     return coverage.located_counts(v("occurrences"), v("gaps").withColumn("gap_end", e), ["tenant_id"]).select("gap_id", "n_located")
+
+
+@query(f"""with r as (select case event_id % 61 {_CODES} when {N_FAULTS} then 'record.body.member_missing' when {N_FAULTS + 1} then 'record.body.member_invalid' when {N_FAULTS + 2} then 'record.body.member_invalid'
+when {N_FAULTS + 3} then case when event_id % 14 = 2 then 'record.envelope.member_invalid,record.body.member_missing,record.body.identifiers_exclusive' else 'record.envelope.member_invalid,record.body.member_missing' end else '' end errors from events)
+select errors, count(*) n from r group by 1""")
+def o01_read_lines(v):
+    """JSON lines read back: how many are sound, and how many are in quarantine under which codes."""
+    records = records_of_all_types(v).select("wire")
+    spark, at = records.sparkSession, _folder(records.sparkSession, "lines")
+    records.write.text(f"{at}/in")
+    good, bad = ledger.read_lines(spark, f"{at}/in")
+    return good.select(F.lit("").alias("errors")).unionByName(bad.select(F.array_join("errors", ",").alias("errors"))).groupBy("errors").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""with o as (select *, lag(wire) over (partition by bundle_id order by pos) before from bundle_items),
+g as (select bundle_id, bool_and(coalesce(before < wire, true)) in_order, count(*) filter (where record_type = 'AttestationWindow') n_attestations, count(*) filter (where record_type = 'AssuranceBoundary') n_boundaries from o group by 1)
+select *, in_order and n_attestations = 1 and n_boundaries <= 1 well_formed from g""", "bundle_items")
+def o09_bundle_reader(v):
+    return verify.read_audit(v("bundle_items"))
+
+
+@query("""with f as (select boundary_ref, list(distinct destination_system) placed, list(distinct qualification_ref) used from declared_families group by 1)
+select b.boundary_ref, concat_ws(',', case when f.boundary_ref is null then 'no_family' end, case when len(list_filter(placed, lambda x: not list_contains(string_split(destinations, ','), x))) > 0 then 'destination_undeclared' end,
+case when len(list_filter(used, lambda x: not list_contains(string_split(refs, ','), x))) > 0 then 'qualification_undeclared' end, case when len(list_filter(string_split(refs, ','), lambda x: not list_contains(coalesce(used, []), x))) > 0 then 'qualification_without_family' end) codes
+from declared_boundaries b left join f using (boundary_ref)""", "declared_boundaries", "declared_families")
+def o22_declared_refs(v):
+    b = v("declared_boundaries").withColumns({"destination_systems": F.split("destinations", ","), "qualification_refs": F.split("refs", ",")})
+    return validate.boundary_audit(b, v("declared_families")).select("boundary_ref", F.array_join("codes", ",").alias("codes"))
+
+
+@query("""with h as (select attestation_id, claimed_class, validity_from, validity_until, arg_max(struct_pack(r := qualification_ref, d := deletion_traceless_possible, k := source_retention_days), (qualified_at, qualification_ref)) g
+from attestations a join qualifications q on q.tenant_id = a.tenant_id and q.action_family = 'order.create' and q.destination_system = 'erp' and qualified_at < window_start group by all),
+c as (select attestation_id, g.r qualification_ref, concat_ws(',', case when g.d and claimed_class in ('c1', 'c2') then 'traceless_deletion_caps_at_c3' end, case when g.k * interval '1' day < validity_until - validity_from then 'retention_shorter_than_validity' end) codes from h)
+select * from c where codes <> ''""", "attestations", "qualifications")
+def o79a_class_caps(v):
+    claims = v("attestations").withColumns({"action_family": F.lit("order.create"), "destination_system": F.lit("erp")})
+    return qualify.cap_audit(claims, v("qualifications")).withColumn("codes", F.array_join("codes", ","))

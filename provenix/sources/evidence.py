@@ -137,6 +137,13 @@ VIEWS: dict[str, str] = {
     # in some windows the boundary came late, ended early, or was never in force
     "boundary_windows": """select tenant_id, population_ref, population_ref boundary_ref, window_start, window_end, case when signed_count % 4 = 0 then window_start + interval '2' day else window_start end effective_start,
         case when signed_count % 7 = 0 then window_end - interval '1' day else window_end end effective_end, signed_count % 11 = 0 empty from populations""",
+    "declared_boundaries": """select *, case when version % 4 = 1 then 'crm' else 'crm,erp' end destinations, concat('q', cast(version % 3 as string), case when version % 2 = 0 then ',q9' else '' end) refs from boundaries""",
+    "declared_families": """select *, concat('q', cast(case when action_family = 'family.7' then 5 else version % 3 end as string)) qualification_ref from boundary_families""",
+    # the records of streams dealt into bundles; some out of order, some without an attestation or with two
+    "bundle_items": """select bundle_id, type record_type, concat('w', lpad(cast(n as string), 9, '0')) wire, case when bundle % 5 = 0 and pos = 2 then 1 when bundle % 5 = 0 and pos = 1 then 2 else pos end pos from (
+        select bundle, concat('b', cast(bundle as string)) bundle_id, event_id n, cast(row_number() over (partition by bundle order by event_id) as int) pos,
+        case when event_id % 10 = 0 and bundle % 7 <> 0 then 'AttestationWindow' when bundle % 11 = 0 and event_id % 10 = 1 then 'AttestationWindow' when event_id % 10 = 2 or (bundle % 3 = 0 and event_id % 10 = 3) then 'AssuranceBoundary' else 'ActionProposal' end type
+        from (select event_id, event_id div 10 bundle from events) e) q""",
     "family_records": """select concat('t', cast(o_custkey % 4 as string)) tenant_id, concat('f', substr(o_orderpriority, 1, 1)) action_family, o_orderdate authoritative_time, cast(o_orderkey as bigint) record_no from orders""",
     "family_lags": """select concat('f', cast(r_regionkey + 1 as string)) action_family, cast(r_regionkey * r_regionkey * 8 * 86400 + 3600 as bigint) lag_s from region""",
     "page_log": """select o_custkey query_id, cast(row_number() over (partition by o_custkey order by o_orderkey) as int) page_no, case when o_orderkey % 97 = 0 then 11 else 10 end total_size,
