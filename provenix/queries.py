@@ -996,20 +996,16 @@ def o23a_cleartext(v):
     return validate.cleartext(r, v("populations").select("action_family").distinct(), ("password", "secret")).select("event_id", "reason")
 
 
-@query("""select population_ref, concat_ws(',', case when signed_count % 3 = 0 then 'retrieved_at_differs' end, case when signed_count % 4 = 0 then 'before_settlement' end, case when signed_count % 6 = 5 then 'after_observation' end) codes from populations""", "populations")
+@query("""select population_ref, concat_ws(',', case when retrieved_at <> source_time then 'retrieved_at_differs' end, case when source_time < eligible_at then 'before_settlement' end, case when source_time > observed_at then 'after_observation' end) codes from observed_populations""", "observed_populations")
 def o42_observation_audit(v):
-    n, end = F.col("signed_count"), F.col("window_end")
-    p = v("populations").withColumn("eligible_at", end).withColumn("source_time", F.when(n % 4 == 0, end - F.expr("interval 1 hour")).otherwise(end + F.expr("interval 1 hour")))
-    p = p.withColumn("retrieved_at", F.when(n % 3 == 0, end).otherwise(F.col("source_time"))).withColumn("observed_at", F.when(n % 6 == 5, F.col("source_time") - F.expr("interval 1 minute")).otherwise(F.col("source_time")))
-    return population.observation_audit(p).select("population_ref", F.array_join("codes", ",").alias("codes"))
+    return population.observation_audit(v("observed_populations")).select("population_ref", F.array_join("codes", ",").alias("codes"))
 
 
-@query("""select population_ref, case when p.signed_count % 10 = 0 then 'boundary_missing' when p.signed_count % 7 = 0 then 'window_outside_boundary' when p.signed_count % 3 = 0 then 'family_undeclared' when exists (select 1 from qualifications q where q.tenant_id = p.tenant_id) then 'bound' else 'unqualified' end state from populations p""", "populations", "qualifications")
+@query("""select p.population_ref, case when b.boundary_ref is null then 'boundary_missing' when p.window_start < b.window_start or p.window_end > b.window_end then 'window_outside_boundary' when f.boundary_ref is null then 'family_undeclared'
+when exists (select 1 from qualifications q where q.tenant_id = p.tenant_id and q.action_family = p.action_family and q.destination_system = p.destination_system) then 'bound' else 'unqualified' end state
+from populations p left join bound_boundaries b on b.boundary_ref = p.population_ref and b.tenant_id = p.tenant_id left join bound_families f on f.boundary_ref = p.population_ref and f.action_family = p.action_family and f.destination_system = p.destination_system""", "populations", "qualifications", "bound_boundaries", "bound_families")
 def o40_binding(v):
-    n = F.col("signed_count")
-    p = v("populations").withColumn("boundary_ref", F.col("population_ref"))
-    b = p.where(n % 10 != 0).select("tenant_id", "boundary_ref", "window_start", F.when(n % 7 == 0, F.expr("window_end - interval 1 day")).otherwise(F.col("window_end")).alias("window_end"))
-    return population.binding(p, b, p.where(n % 3 != 0), v("qualifications")).select("population_ref", "state")
+    return population.binding(v("populations").withColumn("boundary_ref", F.col("population_ref")), v("bound_boundaries"), v("bound_families"), v("qualifications")).select("population_ref", "state")
 
 
 @query("select gap_id from gaps where gap_id % 4 = 0", "gaps")
@@ -1045,37 +1041,29 @@ def o48_capability(v):
     return binding.capability_audit(v("connectors")).select("connector", F.array_join("codes", ",").alias("codes"), "supports_window_claim")
 
 
-@query("""select population_ref, case when n % 23 = 0 then 'unanswered' else concat_ws(',', case when n % 3 = 0 then 'action_family_differs' end, case when n % 5 = 0 then 'window_start_differs' end, case when n % 7 = 0 then 'echoed_parameters_differs' end, case when n % 4 = 0 then 'count_differs' end,
-case when n % 9 = 0 then 'range_outside_window' end, case when n % 9 <> 0 and n % 8 = 0 then 'time_is_not_the_newest_record' end, case when result_cap_hit then 'result_cap_hit' end, case when not pagination_complete then 'pagination_incomplete' end, case when n % 6 = 1 then 'settlement_lag_exceeded' end) end codes
-from (select *, signed_count n from populations) p""", "populations")
+@query("""with j as (select p.population_ref, p.action_family qf, p.destination_system qd, p.window_start qs, p.window_end qe, p.boundary_ref qp, r.*, r.ts_min is null or r.ts_max is null or r.ts_min < p.window_start or r.ts_max >= p.window_end or r.ts_min > r.ts_max outside from populations p left join responses r on r.request_id = p.population_ref)
+select population_ref, case when request_id is null then 'unanswered' else concat_ws(',', case when action_family is distinct from qf then 'action_family_differs' end, case when destination_system is distinct from qd then 'destination_system_differs' end, case when window_start is distinct from qs then 'window_start_differs' end,
+case when window_end is distinct from qe then 'window_end_differs' end, case when echoed_parameters is distinct from qp then 'echoed_parameters_differs' end, case when echoed_start is distinct from qs then 'echoed_start_differs' end, case when echoed_end is distinct from qe then 'echoed_end_differs' end,
+case when n_identifiers <> count then 'count_differs' end, case when count = 0 and (ts_min is not null or ts_max is not null) then 'range_of_empty_population' end, case when count = 0 and authoritative_time is not null then 'time_of_empty_population' end, case when count <> 0 and outside then 'range_outside_window' end,
+case when count <> 0 and not outside and authoritative_time is distinct from ts_max then 'time_is_not_the_newest_record' end, case when result_cap_hit then 'result_cap_hit' end, case when not pagination_complete then 'pagination_incomplete' end, case when observed_lag_ms > 3600 * 1000 then 'settlement_lag_exceeded' end) end codes from j""", "populations", "responses")
 def o44_response_binding(v):
-    n = F.col("signed_count")
     asked = v("populations").select(F.col("population_ref").alias("request_id"), "action_family", "destination_system", "window_start", "window_end", F.col("boundary_ref").alias("parameters"), F.lit(3600).alias("settlement_lag_s"))
-    got = v("populations").where(n % 23 != 0).select(
-        F.col("population_ref").alias("request_id"), F.when(n % 3 == 0, "other").otherwise(F.col("action_family")).alias("action_family"), "destination_system", F.when(n % 5 == 0, F.col("window_end")).otherwise(F.col("window_start")).alias("window_start"), "window_end",
-        F.when(n % 7 == 0, "x").otherwise(F.col("boundary_ref")).alias("echoed_parameters"), F.col("window_start").alias("echoed_start"), F.col("window_end").alias("echoed_end"), n.alias("count"), F.when(n % 4 == 0, n + 1).otherwise(n).alias("n_identifiers"),
-        F.when(n % 9 == 0, F.lit(None)).otherwise(F.col("ts_min")).alias("ts_min"), "ts_max", F.when(n % 8 == 0, F.col("window_end")).otherwise(F.col("ts_max")).alias("authoritative_time"), "result_cap_hit", "pagination_complete", F.when(n % 6 == 1, 3_600_001).otherwise(5).alias("observed_lag_ms"),
-    )
-    return binding.response_binding(asked, got).select(F.col("request_id").alias("population_ref"), F.array_join("codes", ",").alias("codes"))
+    return binding.response_binding(asked, v("responses")).select(F.col("request_id").alias("population_ref"), F.array_join("codes", ",").alias("codes"))
 
 
-@query("""select population_ref, case when n % 7 = 0 then 'boundary_differs' when n % 5 = 0 then 'window_differs' when n % 11 = 0 then 'no_qualification' when n % 3 = 0 then 'tenant_differs' when n % 4 = 0 then 'action_family_differs' when n % 13 = 0 then 'destination_differs' end reason from (select *, signed_count n from populations) p""", "populations")
+@query("""with f as (select population_ref, bool_or(q.tenant_id <> p.tenant_id) t, bool_or(q.action_family <> p.action_family) a, bool_or(q.destination_system <> p.destination_system) d from populations p join scoped_qualifications q on q.boundary_ref = p.population_ref group by 1)
+select p.population_ref, case when b.boundary_ref is null then 'boundary_differs' when p.window_start <> b.window_start or p.window_end <> b.window_end then 'window_differs' when f.population_ref is null then 'no_qualification' when t then 'tenant_differs' when a then 'action_family_differs' when d then 'destination_differs' end reason
+from populations p left join scoped_boundaries b on b.boundary_ref = p.population_ref left join f on f.population_ref = p.population_ref""", "populations", "scoped_boundaries", "scoped_qualifications")
 def o90_scope_validation(v):
-    n = F.col("signed_count")
-    p = v("populations").withColumn("boundary_ref", F.col("population_ref"))
-    b = p.where(n % 7 != 0).withColumn("window_end", F.when(n % 5 == 0, F.col("window_start")).otherwise(F.col("window_end")))
-    q = p.where(n % 11 != 0).withColumns({"tenant_id": F.when(n % 3 == 0, "other").otherwise(F.col("tenant_id")), "action_family": F.when(n % 4 == 0, "other").otherwise(F.col("action_family")), "destination_system": F.when(n % 13 == 0, "other").otherwise(F.col("destination_system"))})
-    return binding.scope_validation(p, b, q.unionByName(p.where(n % 11 != 0)))
+    return binding.scope_validation(v("populations").withColumn("boundary_ref", F.col("population_ref")), v("scoped_boundaries"), v("scoped_qualifications"))
 
 
-@query("""select attestation_id bundle_id, case when n % 5 = 0 then 'boundary_unchecked' else 'boundary_mismatch' end code, boundary_ref detail from (select a.*, signed_count n from attestations a join populations p using (population_ref)) x where n % 5 = 0 or n % 7 = 0
-union all select attestation_id, 'qualification_undeclared', concat('q', cast(n as string)) from (select a.*, signed_count n from attestations a join populations p using (population_ref)) x where n % 5 <> 0 and n % 7 <> 0 and n % 3 = 0""", "attestations", "populations")
+@query("""with x as (select a.attestation_id bundle_id, a.boundary_ref claimed, c.record_id, c.boundary_ref carried, ref1, ref2 from attestations a left join carried_boundaries c on c.bundle_id = a.attestation_id)
+select bundle_id, case when record_id is null then 'boundary_unchecked' else 'boundary_mismatch' end code, claimed detail from x where record_id is null or (claimed <> record_id and claimed <> carried)
+union all select q.bundle_id, 'qualification_undeclared', q.record_id from carried_qualifications q join x on x.bundle_id = q.bundle_id where (claimed = x.record_id or claimed = carried) and q.record_id not in (ref1, ref2)""", "attestations", "carried_boundaries", "carried_qualifications")
 def o85_boundary_binding(v):
-    n = F.col("signed_count")
-    a = v("attestations").join(v("populations").select("population_ref", "signed_count"), "population_ref").withColumn("bundle_id", F.col("attestation_id"))
-    own = F.concat(F.lit("q"), n.cast("string"))
-    carried = a.where(n % 5 != 0).select("bundle_id", F.concat(F.lit("rec-"), F.col("bundle_id")).alias("record_id"), F.when(n % 7 == 0, "elsewhere").otherwise(F.col("boundary_ref")).alias("boundary_ref"), F.array(F.lit("q"), F.when(n % 3 == 0, "q").otherwise(own)).alias("qualification_refs"))
-    return binding.boundary_binding(a.withColumn("claimed_boundary_ref", F.col("boundary_ref")), carried, a.select("bundle_id", own.alias("record_id")).unionByName(a.select("bundle_id", F.lit("q").alias("record_id"))))
+    a = v("attestations").select(F.col("attestation_id").alias("bundle_id"), F.col("boundary_ref").alias("claimed_boundary_ref"))
+    return binding.boundary_binding(a, v("carried_boundaries").withColumn("qualification_refs", F.array("ref1", "ref2")), v("carried_qualifications"))
 
 
 @query("""with h as (select a.attestation_id, claimed_class, window_start, window_end, qualification_ref, assigned_class, qualified_at, signed_count % 9 = 0 gap from attestations a join populations using (tenant_id, population_ref, window_start, window_end) join qualifications q using (tenant_id)),

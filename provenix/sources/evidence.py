@@ -144,6 +144,20 @@ VIEWS: dict[str, str] = {
         select bundle, concat('b', cast(bundle as string)) bundle_id, event_id n, cast(row_number() over (partition by bundle order by event_id) as int) pos,
         case when event_id % 10 = 0 and bundle % 7 <> 0 then 'AttestationWindow' when bundle % 11 = 0 and event_id % 10 = 1 then 'AttestationWindow' when event_id % 10 = 2 or (bundle % 3 = 0 and event_id % 10 = 3) then 'AssuranceBoundary' else 'ActionProposal' end type
         from (select event_id, event_id div 10 bundle from events) e) q""",
+    # what came back for the populations' requests, some of it wrong
+    "responses": """select population_ref request_id, case when n % 3 = 0 then 'other' else action_family end action_family, destination_system, case when n % 5 = 0 then window_end else window_start end window_start, window_end,
+        case when n % 7 = 0 then 'x' else boundary_ref end echoed_parameters, window_start echoed_start, window_end echoed_end, n as count, case when n % 4 = 0 then n + 1 else n end n_identifiers, case when n % 9 <> 0 then ts_min end ts_min, ts_max,
+        case when n % 8 = 0 then window_end else ts_max end authoritative_time, result_cap_hit, pagination_complete, cast(case when n % 6 = 1 then 3600001 else 5 end as bigint) observed_lag_ms from (select *, signed_count n from populations) p where n % 23 <> 0""",
+    "scoped_boundaries": """select tenant_id, population_ref boundary_ref, window_start, case when signed_count % 5 = 0 then window_start else window_end end window_end from populations where signed_count % 7 <> 0""",
+    "scoped_qualifications": """select population_ref boundary_ref, case when signed_count % 3 = 0 and v = 1 then 'other' else tenant_id end tenant_id, case when signed_count % 4 = 0 and v = 1 then 'other' else action_family end action_family,
+        case when signed_count % 13 = 0 and v = 1 then 'other' else destination_system end destination_system from populations, (select distinct r_regionkey v from region where r_regionkey in (1, 2)) r where signed_count % 11 <> 0""",
+    "carried_boundaries": """select attestation_id bundle_id, concat('rec-', attestation_id) record_id, case when signed_count % 7 = 0 then 'elsewhere' else a.boundary_ref end boundary_ref, 'q' ref1, case when signed_count % 3 = 0 then 'q' else concat('q', cast(signed_count as string)) end ref2
+        from attestations a join (select population_ref, signed_count from populations) p on p.population_ref = a.population_ref where signed_count % 5 <> 0""",
+    "carried_qualifications": """select attestation_id bundle_id, case when v = 1 then concat('q', cast(signed_count as string)) else 'q' end record_id from attestations a join (select population_ref, signed_count from populations) p on p.population_ref = a.population_ref, (select distinct r_regionkey v from region where r_regionkey in (1, 2)) r""",
+    "observed_populations": """select population_ref, window_end eligible_at, s source_time, case when n % 3 = 0 then window_end else s end retrieved_at, case when n % 6 = 5 then s - interval '1' minute else s end observed_at
+        from (select *, signed_count n, case when signed_count % 4 = 0 then window_end - interval '1' hour else window_end + interval '1' hour end s from populations) p""",
+    "bound_boundaries": """select tenant_id, population_ref boundary_ref, window_start, case when signed_count % 7 = 0 then window_end - interval '1' day else window_end end window_end from populations where signed_count % 10 <> 0""",
+    "bound_families": """select population_ref boundary_ref, action_family, destination_system from populations where signed_count % 3 <> 0""",
     "family_records": """select concat('t', cast(o_custkey % 4 as string)) tenant_id, concat('f', substr(o_orderpriority, 1, 1)) action_family, o_orderdate authoritative_time, cast(o_orderkey as bigint) record_no from orders""",
     "family_lags": """select concat('f', cast(r_regionkey + 1 as string)) action_family, cast(r_regionkey * r_regionkey * 8 * 86400 + 3600 as bigint) lag_s from region""",
     "page_log": """select o_custkey query_id, cast(row_number() over (partition by o_custkey order by o_orderkey) as int) page_no, case when o_orderkey % 97 = 0 then 11 else 10 end total_size,
