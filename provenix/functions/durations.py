@@ -11,11 +11,12 @@ MOST_MONTHS, MOST_MICROS = 12 * 9999, 9999 * 366 * 86_400_000_000
 LAST = 253_402_300_799_999_999  # microseconds to the end of year 9999
 
 
-def parse(text: Column) -> Column:
+def parse(text: Column | str) -> Column:
     """struct(months long, micros long) of a positive duration; null for any other text.
 
     Weeks stand alone; a T needs a part after it; parts are whole but for seconds, whose digits after the sixth are cut off. A duration of more than 9999 years, or that is nothing, is none.
     """
+    text = F.col(text) if isinstance(text, str) else text
     part = [F.regexp_extract(text, PATTERN, k) for k in range(1, 9)]
     has = [p != "" for p in part]
     number = lambda p: F.coalesce(F.when(p != "", p).try_cast("decimal(38,0)"), F.when(p == "", F.lit(0).cast("decimal(38,0)")))

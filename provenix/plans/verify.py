@@ -40,10 +40,12 @@ def counts_recheck(b: DataFrame) -> DataFrame:
 
 
 def ratio_recheck(b: DataFrame) -> DataFrame:
-    """The stated ratio against matched over the population less what is out of scope; one that is withheld although there is a ratio (no truncated population, where that is told) is a finding too."""
+    """The stated ratio against matched over the population less what is out of scope. Where bundles tell whether a population of theirs was cut off (truncated), a ratio that is withheld without
+    such a reason is a finding too, and so is one that is stated in spite of it."""
     own = four_places(F.col("matched"), F.col("signed_count") - F.col("out_of_scope"))
-    cut = F.coalesce("truncated", F.lit(False)) if "truncated" in b.columns else F.lit(False)
-    due = emits_ratio(F.col("claimed_class")) & (F.col("signed_count") - F.col("out_of_scope") > 0) & ~cut
+    told = "truncated" in b.columns
+    cut = F.coalesce("truncated", F.lit(False)) if told else F.lit(False)
+    due = F.lit(told) & emits_ratio(F.col("claimed_class")) & (F.col("signed_count") - F.col("out_of_scope") > 0) & ~cut
     shown = F.col("coverage_ratio").isNotNull()
     bad_form = shown & ~F.col("coverage_ratio").rlike(r"^[01]\.\d{4}$")
     return (

@@ -1248,3 +1248,15 @@ select * from c where codes <> ''""", "attestations", "qualifications")
 def o79a_class_caps(v):
     claims = v("attestations").withColumns({"action_family": F.lit("order.create"), "destination_system": F.lit("erp")})
     return qualify.cap_audit(claims, v("qualifications")).withColumn("codes", F.array_join("codes", ","))
+
+
+@query(RESULTS + f""", k as (select population_ref, {COUNTS} from results group by 1),
+b as (select a.attestation_id bundle_id, p.signed_count n, k.matched m, out_of_scope oos, claimed_class in ('c1', 'c2', 'c3') emits, result_cap_hit or not pagination_complete cut, case when p.signed_count % 3 <> 0 then concat(cast(k.matched * 10000 // nullif(p.signed_count - out_of_scope, 0) // 10000 as string), '.', lpad(cast(k.matched * 10000 // nullif(p.signed_count - out_of_scope, 0) % 10000 as string), 4, '0')) end ratio
+ from populations p join k using (population_ref) join attestations a using (population_ref))
+select bundle_id, 'ratio_withheld_class_states_ratio' code from b where ratio is not null and not emits union all select bundle_id, 'ratio_withheld' from b where ratio is null and emits and n > oos and not cut union all select bundle_id, 'ratio_of_truncated_population' from b where ratio is not null and cut""", *R_VIEWS, "populations", "attestations")
+def o131_ratio_recheck(v):
+    """Ratios stated by two bundles of three, right by their counts: wrongly stated for their class or a truncated population, or wrongly withheld."""
+    counts = v("populations").join(reconcile.counts(results_of(v), "population_ref"), "population_ref").join(v("attestations").select("population_ref", "attestation_id", "claimed_class"), "population_ref")
+    own = coverage.four_places(F.col("matched"), F.col("signed_count") - F.col("out_of_scope"))
+    b = counts.select(F.col("attestation_id").alias("bundle_id"), "claimed_class", "matched", "signed_count", "out_of_scope", F.when(F.col("signed_count") % 3 != 0, own).alias("coverage_ratio"), (F.col("result_cap_hit") | ~F.col("pagination_complete")).alias("truncated"))
+    return verify.ratio_recheck(stored(b, "bundles")).select("bundle_id", "code")
