@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,9 +17,27 @@ def folder(spark: SparkSession, kind: str) -> str:
     return f"{root}/{kind}-{uuid.uuid4().hex}"
 
 
+_open = threading.local()
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that this thread's steps store inside are deleted at its end: a stream that runs for months leaves none behind. What is needed later must be written elsewhere by then."""
+    outer, _open.folders = getattr(_open, "folders", None), []
+    try:
+        yield
+    finally:
+        for path in _open.folders:
+            drop(spark, path)
+        _open.folders = outer
+
+
 def stored(df: DataFrame, kind: str) -> DataFrame:
     """A derived table, written once to the shared folder and read by all that follows from it."""
-    df.write.parquet(path := f"{folder(df.sparkSession, kind)}/table")
+    at = folder(df.sparkSession, kind)
+    if getattr(_open, "folders", None) is not None:
+        _open.folders.append(at)
+    df.write.parquet(path := f"{at}/table")
     return df.sparkSession.read.parquet(path)
 
 

@@ -16,6 +16,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from provenix.operators import ingest
+from provenix.sources import shared
 
 POSITIONS = "tenant_id string, stream_id string, sequence long, record_id string, record_digest string, outcome string, open_holes long"
 STATE = "top long, told long, begins array<long>, ends array<long>"
@@ -53,10 +54,12 @@ def ingest_stream(submissions: DataFrame, ledger_path: str, events_path: str, ch
             known = batch.withColumn("outcome", F.lit("accept"))
         else:
             known = ingest.classify_against_ledger(batch, stored)
-        fresh = ingest.classify_in_order(known.where("outcome = 'accept'").drop("outcome"))
-        done = fresh.unionByName(known.where("outcome <> 'accept'")).withColumn("epoch", F.lit(epoch))
-        done.where("outcome = 'accept'").drop("outcome").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("tenant_id", "epoch").parquet(ledger_path)
-        done.where("outcome <> 'accept'").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("epoch").parquet(events_path)
+        with shared.scratch(spark):
+            fresh = ingest.classify_in_order(known.where("outcome = 'accept'").drop("outcome"))
+            # both tables are written from one: the ledger that it was made from is about to change
+            done = shared.stored(fresh.unionByName(known.where("outcome <> 'accept'")).withColumn("epoch", F.lit(epoch)), "batch")
+            done.where("outcome = 'accept'").drop("outcome").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("tenant_id", "epoch").parquet(ledger_path)
+            done.where("outcome <> 'accept'").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("epoch").parquet(events_path)
 
     submissions.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 

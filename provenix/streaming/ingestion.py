@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from provenix.operators import ingest, validate
-from provenix.sources.shared import drop, folder, keep
+from provenix.sources.shared import drop, folder, keep, scratch
 
 #: What a record's text is read as; a text that isn't a record has nulls and is refused by its codes.
 ENVELOPE = (
@@ -84,7 +84,8 @@ def write_batch(batch: DataFrame, epoch: int, root: str) -> None:
     held = _held(spark, f"{root}/ledger", sound.schema, epoch, sound)
     against = ingest.classify_against_ledger(sound, held)
     fresh, known = against.where("outcome = 'accept'").drop("outcome"), against.where("outcome <> 'accept'")
-    done = keep(ingest.classify_in_order(fresh).unionByName(known), f"{at}/classified")
+    with scratch(spark):
+        done = keep(ingest.classify_in_order(fresh).unionByName(known), f"{at}/classified")
     accepted = done.where("outcome = 'accept'").drop("outcome")
     conflicts = _with_rival(done.where("outcome in ('fork', 'content_substitution')"), held.drop("epoch").unionByName(accepted))
     replays = done.where("outcome = 'replay'").drop("outcome").withColumns({"codes": F.array().cast("array<string>"), "stage": F.lit("replay"), "reason": F.lit("replay")})

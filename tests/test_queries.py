@@ -12,7 +12,7 @@ DIR = "/root/testdata/sf0.001"
 SOME = [
     "o64_reconcile", "o66_roll_up", "o68_unmatched_rate", "o93_gap_merge", "o95_partition_audit", "o97_actions_in_gaps", "o98_located_counts", "o71_class_in_force", "o74_class_claimability", "o79_revalidation", "o82_uncovered_parts", "o83_scope_changes",
     "o104_coverage_report", "o35_valid_prefix", "o36_break_gaps", "o37_segments", "o38_slice_links", "o24_in_arrival_order", "o26_authenticate", "o27_keys_valid_at", "o29_receipt_binding", "o07_page_completeness", "o45_disagreements", "o47_next_positions",
-    "o49_unknown_intervals", "o112_oversight", "o124_lifecycle", "o127_protected_evidence", "o128_late_evidence", "o136_bundle_verdicts", "o129_population_refs", "o10_validation_report", "o13_projection_drift", "o16_canonical_audit", "o140_ingest_stream", "o141_stream_memory", "o143_silences", "o144_outage_episodes",
+    "o49_unknown_intervals", "o112_oversight", "o124_lifecycle", "o127_protected_evidence", "o128_late_evidence", "o136_bundle_verdicts", "o129_population_refs", "o10_validation_report", "o13_projection_drift", "o16_canonical_audit", "o140_ingest_stream", "o141_stream_memory", "o143_silences", "o144_outage_episodes", "o33_continuity", "o79_every_duration", "o137_exact_validity", "o124_exact_lifecycle", "o46_identifier_digest", "o133_scoped_gap_omission", "o98_long_and_open_gaps", "o22_declared_refs", "o79a_class_caps", "o48_capability", "o131_ratio_recheck", "o140_validated_ingest", "o146_settlement_by_family",
 ]
 
 

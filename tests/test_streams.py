@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 import random
 from datetime import datetime, timedelta
 
@@ -77,10 +78,14 @@ def test_a_batch_that_runs_again_changes_nothing(spark, registries, tmp_path):
     checked = ingestion.checked(spark.createDataFrame(rows, "submission_id long, wire string, sig_ok boolean"), *registries)
     root = str(tmp_path)
     see = lambda: {t: sorted(r.submission_id for r in ingestion.committed(spark, root, t).collect()) for t in ingestion.TABLES}
+    shared = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(shared.removeprefix("file:")))
     ingestion.write_batch(checked, 0, root)
     once = see()
     ingestion.write_batch(checked, 0, root)
     assert see() == once == {"ledger": [1], "conflicts": [3], "refusals": [2, 4]}
+    left = [x for x in os.listdir(shared.removeprefix("file:")) if x.startswith(("batch-", "submissions-"))]
+    assert not set(left) - before  # what a batch worked with is gone
     # a batch whose commit is missing is not seen
     spark.read.parquet(f"{root}/ledger").where("false").withColumn("epoch", ingestion.F.lit(1)).write.mode("append").partitionBy("tenant_id", "epoch").parquet(f"{root}/ledger")
     ingestion.write_batch(ingestion.checked(spark.createDataFrame([(9, wire(2), True)], "submission_id long, wire string, sig_ok boolean"), *registries), 1, root)
