@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from provenix.sources.shared import stored
+
 # The closed envelope and the fourteen record types with the namespace that may sign each.
 ENVELOPE = ("record_id", "record_type", "schema_version", "tenant_id", "boundary_ref", "stream_id", "sequence", "prev_digest", "source", "clocks", "body", "signature")
 SIGNERS = {
@@ -69,13 +71,18 @@ def is_instant(text: Column) -> Column:
     )
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), where the value is computed once a row however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _fits(value: Column, kind: Column, words: Column) -> Column:
     """Whether a body value is of its kind."""
     is_, text = F.schema_of_variant(value), F.try_variant_get(value, "$", "string")
     number = F.try_variant_get(value, "$", "bigint")
     ok = (
-        F.when(kind == "s", is_ == "STRING").when(kind == "t", (is_ == "STRING") & is_instant(text)).when(kind == "d", (is_ == "STRING") & text.rlike(DIGEST))
-        .when(kind == "n", (is_ == "BIGINT") & (number >= 0) & (number <= SAFE)).when(kind == "p", (is_ == "BIGINT") & (number >= 1) & (number <= SAFE)).when(kind == "b", is_ == "BOOLEAN")
+        F.when(kind == "s", is_ == "STRING").when(kind == "t", (is_ == "STRING") & _let(text, is_instant)).when(kind == "d", (is_ == "STRING") & text.rlike(DIGEST))
+        .when(kind == "n", (is_ == "BIGINT") & _let(number, lambda n: (n >= 0) & (n <= SAFE))).when(kind == "p", (is_ == "BIGINT") & _let(number, lambda n: (n >= 1) & (n <= SAFE))).when(kind == "b", is_ == "BOOLEAN")
         .when(kind == "o", is_.startswith("OBJECT")).when(kind == "l", is_.startswith("ARRAY")).when(kind == "e", (is_ == "STRING") & F.array_contains(words, text)).otherwise(is_.isNotNull())
     )
     return F.coalesce(ok, F.lit(False))
@@ -84,22 +91,33 @@ def _fits(value: Column, kind: Column, words: Column) -> Column:
 def codes(wire: Column) -> Column:
     """Dotted codes of what is wrong with a record's JSON text; empty if nothing is. A member given twice makes the text malformed.
 
-    Every test asks whether a value is right, so that a missing value, a null or a value of another type is wrong.
+    Every test asks whether a value is right, so that a missing value, a null or a value of another type is wrong. The text is parsed once, and what several tests need is taken from it once.
     """
-    value = F.try_parse_json(wire)
-    names = F.when(value.isNotNull(), F.json_object_keys(wire))
+    return _let(wire, lambda text: _let(F.try_parse_json(text), lambda value: _let(_parts(text, value), lambda r: _codes(text, value, r))))
+
+
+def _parts(wire: Column, value: Column) -> Column:
+    """What several tests need: the members' names, the record's type, its body as a map, and the clocks' names."""
+    kind = F.try_variant_get(value, "$.record_type", "variant")
+    return F.struct(
+        F.when(value.isNotNull(), F.json_object_keys(wire)).alias("names"), F.when(F.schema_of_variant(kind) == "STRING", F.try_variant_get(value, "$.record_type", "string")).alias("kind"),
+        F.coalesce(F.try_variant_get(value, "$.body", "map<string,variant>"), F.create_map().cast("map<string,variant>")).alias("body"),
+        F.coalesce(F.json_object_keys(_get(wire, "clocks")), F.array().cast("array<string>")).alias("clocks"),
+    )
+
+
+def _codes(wire: Column, value: Column, parts: Column) -> Column:
+    names, kind, body, clocks = (parts[k] for k in ("names", "kind", "body", "clocks"))
     at = lambda path: F.try_variant_get(value, f"$.{path}", "variant")
     is_ = lambda path: F.coalesce(F.schema_of_variant(at(path)), F.lit(""))
     text = lambda path: F.try_variant_get(value, f"$.{path}", "string")
     right = lambda path, pattern: (is_(path) == "STRING") & F.coalesce(text(path).rlike(pattern), F.lit(False))
-    kind = F.when(is_("record_type") == "STRING", text("record_type"))
     known = F.coalesce(kind.isin(*SIGNERS), F.lit(False))
-    body = F.coalesce(F.try_variant_get(value, "$.body", "map<string,variant>"), F.create_map().cast("map<string,variant>"))
     members = F.when(known, F.element_at(_body_members(), kind))
     missing = F.exists(members, lambda m: ~F.map_contains_key(body, m["name"]))
-    wrong = F.exists(members, lambda m: F.map_contains_key(body, m["name"]) & ~(_fits(F.try_element_at(body, m["name"]), m["kind"], m["words"]) | (m["nullable"] & F.coalesce(F.schema_of_variant(F.try_element_at(body, m["name"])) == "VOID", F.lit(False)))))
+    void = lambda x: F.coalesce(F.schema_of_variant(x) == "VOID", F.lit(False))
+    wrong = F.exists(members, lambda m: F.map_contains_key(body, m["name"]) & _let(F.try_element_at(body, m["name"]), lambda x: ~(_fits(x, m["kind"], m["words"]) | (m["nullable"] & void(x)))))
     sequence = F.try_variant_get(value, "$.sequence", "bigint")
-    clocks = F.coalesce(F.json_object_keys(_get(wire, "clocks")), F.array().cast("array<string>"))
     hosted = F.array(F.lit("ingest_time"), F.lit("clock_skew_ms"))
     both = F.map_contains_key(body, F.lit("record_identifiers")) == F.map_contains_key(body, F.lit("identifier_digest"))
     outside_strings = F.regexp_replace(wire, r'"(?:[^"\\]++|\\.)*+"', '""')
@@ -111,10 +129,10 @@ def codes(wire: Column) -> Column:
         F.when(sound & ~right("record_id", UUID7), "record.id.invalid"),
         F.when(sound & ~known, "record.type.unknown"),
         F.when(sound & ~right("schema_version", SEMVER), "record.schema_version.invalid"),
-        F.when(sound & ~F.coalesce((is_("sequence") == "BIGINT") & (sequence >= 1) & (sequence <= SAFE), F.lit(False)), "record.sequence.range"),
+        F.when(sound & ~F.coalesce((is_("sequence") == "BIGINT") & _let(sequence, lambda n: (n >= 1) & (n <= SAFE)), F.lit(False)), "record.sequence.range"),
         F.when(sound & ~((is_("prev_digest") == "VOID") | right("prev_digest", DIGEST)), "record.prev_digest.invalid"),
-        F.when(sound & ~((is_("clocks.source_time") == "STRING") & F.coalesce(is_instant(text("clocks.source_time")), F.lit(False))), "record.clocks.source_time.invalid"),
-        F.when(sound & F.array_contains(clocks, "authoritative_time") & ~((is_("clocks.authoritative_time") == "STRING") & F.coalesce(is_instant(text("clocks.authoritative_time")), F.lit(False))), "record.clocks.authoritative_time.invalid"),
+        F.when(sound & ~((is_("clocks.source_time") == "STRING") & F.coalesce(_let(text("clocks.source_time"), is_instant), F.lit(False))), "record.clocks.source_time.invalid"),
+        F.when(sound & F.array_contains(clocks, "authoritative_time") & ~((is_("clocks.authoritative_time") == "STRING") & F.coalesce(_let(text("clocks.authoritative_time"), is_instant), F.lit(False))), "record.clocks.authoritative_time.invalid"),
         F.when(sound & (F.size(F.array_intersect(clocks, hosted)) > 0), "record.clocks.hosted_member"),
         F.when(sound & (F.size(F.array_except(clocks, F.concat(hosted, F.array(F.lit("source_time"), F.lit("authoritative_time"))))) > 0), "record.clocks.member_unknown"),
         F.when(sound & outside_strings.rlike(r"[0-9](\.[0-9]|[eE])"), "record.number.float"),
@@ -129,8 +147,8 @@ def report(records: DataFrame, wire: str = "wire") -> DataFrame:
 
 
 def split(records: DataFrame, wire: str = "wire") -> tuple[DataFrame, DataFrame]:
-    """(good, quarantined): one bad record stops no other."""
-    marked = report(records, wire)
+    """(good, quarantined): one bad record stops no other. The report is stored once, so that neither side judges the texts again."""
+    marked = stored(report(records, wire), "judged")
     return marked.where(F.size("errors") == 0).drop("errors"), marked.where(F.size("errors") > 0)
 
 

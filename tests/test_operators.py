@@ -196,3 +196,43 @@ def test_stream_positions(spark, tmp_path):
     assert got == sorted([
         (1, "a", "d", "accept"), (2, "b", "d", "accept"), (5, "e", "d", "accept_after_hole"), (1, "a", "d", "replay"), (2, "other", "d", "fork"), (3, "c", "d", "fills_hole"), (3, "c", "d", "replay"), (far, "z", "d", "accept_after_hole"), (1, "a", "changed", "fork"),
     ])
+
+
+def test_a_text_is_parsed_once_however_many_checks_read_it(spark):
+    plan = validate.report(spark.createDataFrame([("{}",)], "wire string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson") == 1, plan.count("parseJson")
+
+
+def test_split_judges_each_text_once(spark):
+    good, bad = validate.split(spark.createDataFrame([("{}",), (None,), ("x",)], "wire string"))
+    assert good.count() == 0 and bad.count() == 3
+    assert all("parseJson" not in df._jdf.queryExecution().optimizedPlan().toString() for df in (good, bad))
+
+
+def test_located_counts_meet_no_action_with_a_gap(spark):
+    r = random.Random(8)
+    t = lambda: r.choice([T0, datetime(1960, 1, 1)]) + timedelta(minutes=r.randint(0, 600), microseconds=r.randint(0, 1))
+    acts = [(r.choice("ab"), t()) for _ in range(400)] + [("a", None), (None, T0), ("b", datetime(9999, 12, 31, 23, 59, 59, 999999))]
+    gaps = [(r.choice("abc"), i, t(), r.choice([None, t(), T0 + timedelta(days=900)])) for i in range(300)] + [("a", 900, None, T0), (None, 901, T0, None), ("a", 902, acts[0][1], acts[0][1])]
+    df = coverage.located_counts(spark.createDataFrame(acts, "k string, occurred_at timestamp"), spark.createDataFrame(gaps, "k string, gap_id long, gap_start timestamp, gap_end timestamp"), ["k"])
+    want = {g: sum(k is not None and s is not None and k == a and o is not None and o >= s and (e is None or o < e) for a, o in acts) for k, g, s, e in gaps}
+    assert {x.gap_id: x.n_located for x in df.collect()} == want and max(want.values()) > 100
+    # a join of actions with gaps puts out a row for each pair
+    assert "occurred_at < gap_end" not in (plan := df._jdf.queryExecution().optimizedPlan().toString()).replace("#", " #") and "_block" not in plan
+
+
+def test_backdated_upgrades_by_running_minima(spark):
+    r = random.Random(9)
+    day = lambda: r.choice([None, *(T0 + timedelta(days=d) for d in range(6))])
+    rows = [(r.choice(["t", "u", None]), "f", "erp", r.choice([None, *(f"q{k}" for k in range(40))]), r.choice(["c1", "c2", "c3", "c9", None]), day(), day(), i) for i in range(150)]
+    df = qualify.without_backdated_upgrades(spark.createDataFrame(rows, "tenant_id string, action_family string, destination_system string, qualification_ref string, assigned_class string, qualified_at timestamp, recorded_at timestamp, i int"))
+
+    def beats(a, b):
+        return None not in (*a[:7], *b[:7]) and a[:3] == b[:3] and a[4] < b[4] and b[5] >= a[5] and b[6] < a[6] and b[3] != a[3]
+
+    want = {a[7] for a in rows if not any(beats(a, b) for b in rows)}
+    assert {x.i for x in df.collect()} == want and 0 < len(want) < len(rows)
+    assert df.columns[-1] == "i"
+    # rows of a key are not compared pair by pair: only a repeated reference's are
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" in plan
