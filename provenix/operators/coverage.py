@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from provenix.functions import intervals
@@ -10,6 +10,7 @@ from provenix.operators.qualify import LEVELS, level_rank
 from provenix.operators.reconcile import SCOPE, STATUSES
 
 POPULATION = [*SCOPE, "population_ref"]
+HOUR, LAST = 3_600_000_000, (1 << 63) - 1  # microseconds; the hour of an end that has not come
 
 
 def support(results: DataFrame, confirmations: DataFrame, receipts: DataFrame, skew_ms: int = 5000) -> DataFrame:
@@ -97,10 +98,21 @@ def gap_actions(points: DataFrame, gaps: DataFrame, keys: list[str]) -> DataFram
 
 
 def located_counts(points: DataFrame, gaps: DataFrame, keys: list[str]) -> DataFrame:
-    """How many actions lie in each gap as declared, before merging; a gap without actions counts 0, one without an end is open."""
-    spread = intervals.blocks(gaps.select(*keys, "gap_id", "gap_start", "gap_end"), "gap_start", "gap_end")
-    p = intervals.probes(points.select(*keys, "occurred_at"), "occurred_at", intervals.used_levels(spread))
-    found = p.join(spread, [*keys, "_level", "_block"]).where("occurred_at >= gap_start and (gap_end is null or occurred_at < gap_end)").groupBy(*keys, "gap_id").agg(F.count(F.lit(1)).alias("n_located"))
+    """How many actions lie in each gap as declared, before merging; a gap without actions counts 0, one without an end is open.
+
+    The actions before a gap's end less those before its beginning, whatever its length: each edge is counted among the actions of its own hour, and hours are summed up by key.
+    """
+    hour = lambda at: F.call_function("div", F.unix_micros(at) - F.pmod(F.unix_micros(at), F.lit(HOUR)), F.lit(HOUR))
+    real = gaps.where("gap_start is not null and (gap_end is null or gap_end > gap_start)")
+    edge = lambda at, sign: F.struct(F.col(at).alias("at"), F.coalesce(hour(at), F.lit(LAST)).alias("hour"), F.lit(sign).alias("sign"))
+    edges = real.select(*keys, "gap_id", F.explode(F.array(edge("gap_start", -1), edge("gap_end", 1))).alias("e")).select(*keys, "gap_id", "e.at", "e.hour", "e.sign")
+    acts = points.where("occurred_at is not null").select(*keys, F.lit(None).cast(gaps.schema["gap_id"].dataType).alias("gap_id"), F.col("occurred_at").alias("at"), hour("occurred_at").alias("hour"), F.lit(0).alias("sign"))
+    marks, act = edges.unionByName(acts), F.when(F.col("sign") == 0, 1).otherwise(0)
+    within = Window.partitionBy(*keys, "hour").orderBy("at", F.col("sign") == 0).rowsBetween(Window.unboundedPreceding, Window.currentRow)  # an action at an edge's own instant comes after it
+    before = Window.partitionBy(*keys).orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = marks.groupBy(*keys, "hour").agg(F.sum(act).alias("n")).withColumn("earlier", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    placed = marks.withColumn("n", F.sum(act).over(within)).where("sign <> 0").join(earlier, [*keys, "hour"])
+    found = placed.groupBy(*keys, "gap_id").agg(F.sum(F.col("sign") * (F.col("earlier") + F.col("n"))).alias("n_located"))
     return gaps.select(*keys, "gap_id").join(found, [*keys, "gap_id"], "left").fillna(0, ["n_located"])
 
 
