@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from provenix.functions import durations
@@ -27,10 +27,24 @@ def emits_ratio(c: Column) -> Column:
 
 
 def without_backdated_upgrades(history: DataFrame) -> DataFrame:
-    """Drops a record if a weaker one, effective no earlier, had been recorded before it. Class names sort from strong to weak."""
-    a, b = history.alias("a"), history.select(*KEY, F.col("qualification_ref").alias("o_ref"), F.col("assigned_class").alias("o_class"), F.col("qualified_at").alias("o_at"), F.col("recorded_at").alias("o_recorded")).alias("b")
-    on = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in KEY]
-    return a.join(b, on[0] & on[1] & on[2] & (F.col("a.assigned_class") < F.col("b.o_class")) & (F.col("b.o_at") >= F.col("a.qualified_at")) & (F.col("b.o_recorded") < F.col("a.recorded_at")) & (F.col("b.o_ref") != F.col("a.qualification_ref")), "left_anti")
+    """Drops a record if a weaker one, effective no earlier, had been recorded before it. Class names sort from strong to weak.
+
+    A record asks once of each weaker class of its key, and a running minimum answers: of those effective no earlier, which was recorded first. Only where that is another row of the
+    record's own reference are its rivals looked at one by one.
+    """
+    facts = ["assigned_class", "qualified_at", "recorded_at", "qualification_ref"]
+    own = [*KEY, *facts]
+    rows = history.select(*own).where(" and ".join(f"{k} is not null" for k in own)).distinct()
+    classes = rows.select(*KEY, F.col("assigned_class").alias("weaker")).distinct()
+    told = rows.select(*own, F.col("assigned_class").alias("weaker"), F.struct("recorded_at", "qualification_ref").alias("_first"))
+    asked = rows.join(classes, KEY).where("assigned_class < weaker").withColumn("_first", F.lit(None).cast(told.schema["_first"].dataType))
+    later = Window.partitionBy(*KEY, "weaker").orderBy(F.col("qualified_at").desc(), F.col("_is_asked")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    marks = told.withColumn("_is_asked", F.lit(False)).unionByName(asked.withColumn("_is_asked", F.lit(True)))
+    beaten = marks.withColumn("_first", F.min("_first").over(later)).where("_is_asked and _first.recorded_at < recorded_at")
+    b = rows.select(*KEY, *(F.col(k).alias(f"_o_{k}") for k in facts))
+    by_others = beaten.where("_first.qualification_ref = qualification_ref").join(b, KEY).where("assigned_class < _o_assigned_class and _o_qualified_at >= qualified_at and _o_recorded_at < recorded_at and _o_qualification_ref <> qualification_ref")
+    dropped = beaten.where("_first.qualification_ref <> qualification_ref").select(*own).unionByName(by_others.select(*own)).distinct()
+    return history.join(dropped, own, "left_anti").select(*history.columns)
 
 
 def in_force(windows: DataFrame, history: DataFrame) -> DataFrame:
@@ -42,6 +56,8 @@ def in_force(windows: DataFrame, history: DataFrame) -> DataFrame:
     kept = without_backdated_upgrades(history).withColumn("kept", F.lit(True))
     marked = history.join(kept.select("qualification_ref", "kept"), "qualification_ref", "left").withColumn("kept", F.coalesce("kept", F.lit(False)))
     keys = [*KEY, "window_ref", "window_start", "window_end"]
+    ends = windows.groupBy(*KEY).agg(F.max("window_end").alias("_end"))
+    marked = marked.join(ends, KEY).where("qualified_at is null or qualified_at < _end").drop("_end")  # what no window of the key can see does not meet them
     joined = windows.join(marked, KEY, "left").where("qualified_at is null or qualified_at < window_end")
     missing = windows.join(joined.select("window_ref").distinct(), "window_ref", "left_anti").select(*keys)
     before = F.col("kept") & (F.col("qualified_at") < F.col("window_start"))
