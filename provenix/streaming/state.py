@@ -74,10 +74,14 @@ class _Ids(StatefulProcessor):
         self.ids = handle.getMapState("ids", "record_id string", "stream_id string, sequence bigint, wire_digest string", self.ttl_ms or None)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        out = []
+        # the state is asked once for an id of the batch, and not at all while the bucket is empty
+        out, known, empty = [], {}, not self.ids.exists()
         for r in pd.concat(list(rows)).sort_values(["arrival", "record_id", "stream_id", "sequence", "wire_digest"]).itertuples():
             own, name = (r.stream_id, int(r.sequence), r.wire_digest), (r.record_id,)
-            first = self.ids.getValue(name)
+            first = known.get(r.record_id)
+            if first is None and not empty:
+                first = self.ids.getValue(name)
+            known[r.record_id] = first or own
             if first is None:
                 self.ids.updateValue(name, own)
                 out.append((key[0], r.record_id, int(r.arrival), "first", None, None))
@@ -119,31 +123,35 @@ class _Silences(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.now = handle.getValueState("now", "last bigint, open boolean, cadence bigint")
-        self.ahead = handle.getMapState("ahead", "at bigint", "n int")
+        self.waiting = handle.getListState("waiting", "at bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows))
         last, open_, _ = self.now.get() if self.now.exists() else (None, False, 0)
-        for at in _micros(batch["source_time"]):
-            if last is None or at > last:
-                self.ahead.updateValue((at,), (1,))
-        self.now.update((last, open_, int(batch["cadence_s"].max()) * 1_000_000))
-        yield from self._advance(key, timerValues)
+        came = {at for at in _micros(batch["source_time"]) if last is None or at > last}
+        yield from self._advance(key, timerValues, (last, open_, int(batch["cadence_s"].max()) * 1_000_000), came)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield from self._advance(key, timerValues)
+        yield from self._advance(key, timerValues, self.now.get(), set())
 
-    def _advance(self, key, timerValues) -> Iterator[pd.DataFrame]:
-        """Takes up the records that the watermark has passed, in order of time; then waits for the next of them, or the deadline."""
-        last, open_, cadence = self.now.get()
+    def _advance(self, key, timerValues, now: tuple, came: set[int]) -> Iterator[pd.DataFrame]:
+        """Takes up the records that the watermark has passed, in order of time; then waits for the next of them, or the deadline. Those that wait are added to the state, and written anew when some are taken up."""
+        last, open_, cadence = now
         clock = timerValues.getCurrentWatermarkInMs() * 1000
-        waiting, out = sorted(k[0] for k in self.ahead.keys()), []
+        held = {x[0] for x in self.waiting.get()}
+        waiting, out = sorted(held | came), []
         for at in [x for x in waiting if x <= clock]:
             if last is not None and at - last > cadence:
                 out.append((*key, last, at, "closed" if open_ else "whole"))
             last, open_ = at, False
-            self.ahead.removeKey((at,))
         left = [x for x in waiting if x > clock]
+        if held and len(left) < len(waiting):
+            if left:
+                self.waiting.put([(x,) for x in left])
+            else:
+                self.waiting.clear()
+        elif new := [x for x in left if x not in held]:
+            self.waiting.appendList([(x,) for x in new])
         if last is not None and not open_ and last + cadence < clock:
             open_ = True
             out.append((*key, last, None, "open"))
