@@ -79,30 +79,36 @@ def stream_memory(records: DataFrame, silence: str = "1 hour") -> DataFrame:
             return
         out = []
         # a position's first record is the one of the smallest id in its batch, however the batch's rows are dealt
-        rows = pd.concat(list(batches)).sort_values(["sequence", "record_id", "record_digest"])
+        values = lambda c: [None if x != x else x for x in c.tolist()]
+        rows = [x for b in batches for x in zip(map(lambda q: None if q is None else int(q), values(b["sequence"])), values(b["record_id"]), values(b["record_digest"]))]
+        rows.sort(key=lambda x: [(v is None, v) if v is not None else (True,) for v in x])  # nulls last
         open_ = sum(e - h for h, e in zip(begins, ends))
-        for r in rows.itertuples():
-            if r.sequence > top:
-                outcome = "accept" if r.sequence == top + 1 else "accept_after_hole"
-                if r.sequence > top + 1:
-                    begins.append(top + 1), ends.append(r.sequence)
-                    open_ += r.sequence - top - 1
-                top = r.sequence
+        for sequence, record_id, record_digest in rows:
+            if sequence is None:
+                outcome = "seen"
+            elif sequence > top:
+                outcome = "accept" if sequence == top + 1 else "accept_after_hole"
+                if sequence > top + 1:
+                    begins.append(top + 1), ends.append(sequence)
+                    open_ += sequence - top - 1
+                top = sequence
             else:
-                k = bisect.bisect_right(begins, r.sequence) - 1
-                if k >= 0 and r.sequence < ends[k]:
+                k = bisect.bisect_right(begins, sequence) - 1
+                if k >= 0 and sequence < ends[k]:
                     outcome, open_ = "fills_hole", open_ - 1
-                    pieces = [(a, b) for a, b in ((begins[k], r.sequence), (r.sequence + 1, ends[k])) if a < b]
+                    pieces = [(a, b) for a, b in ((begins[k], sequence), (sequence + 1, ends[k])) if a < b]
                     begins[k : k + 1], ends[k : k + 1] = [a for a, _ in pieces], [b for _, b in pieces]
                 else:
                     outcome = "seen"
-            out.append((*key, r.sequence, r.record_id, r.record_digest, outcome, open_))
+            out.append((*key, sequence, record_id, record_digest, outcome, open_))
         state.update((top, told, begins, ends))
         if begins and begins[-1] > told:
             state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), 0) + 3_600_000)
         yield pd.DataFrame(out, columns=POSITION_NAMES)
 
-    return records.withWatermark("source_time", silence).groupBy("tenant_id", "stream_id").applyInPandasWithState(step, POSITIONS, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    # a stream's rows become a frame of their own: only the columns that the step reads are moved there
+    read = records.select(*HELD, "source_time").withWatermark("source_time", silence)
+    return read.groupBy("tenant_id", "stream_id").applyInPandasWithState(step, POSITIONS, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 POSITION_NAMES = [c.split()[0] for c in POSITIONS.split(", ")]

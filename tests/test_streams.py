@@ -208,3 +208,62 @@ def test_settlement_by_family_is_never_early(spark, tmp_path):
     assert days[3] == [("f", 0, 1, "late"), ("f", 0, 2, "settled"), ("f", 1, 2, "settled")]
     assert days[4] == sorted([*days[3], ("g", 0, 2, "settled")])
     assert days[5] == sorted([*days[4], ("g", 2, 1, "settled"), ("g", 3, 1, "settled")])
+
+
+class _Calls:
+    """State held in a processor's test: each call is noted."""
+
+    def __init__(self):
+        self.calls, self.map, self.list, self.value = [], {}, [], None
+
+    def __getattr__(self, name):
+        def call(*args):
+            self.calls.append(name)
+            return {
+                "exists": lambda: bool(self.map or self.list or self.value), "getValue": lambda k: self.map.get(k), "updateValue": lambda k, v: self.map.update({k: v}), "get": lambda: self.value if self.value else iter(list(self.list)),
+                "update": lambda v: setattr(self, "value", v), "put": lambda v: setattr(self, "list", list(v)), "appendList": lambda v: self.list.extend(v), "clear": lambda: setattr(self, "list", []), "listTimers": lambda: [],
+            }.get(name, lambda: None if name in ("deleteTimer", "registerTimer") else self)(*(args if name in ("getValue", "updateValue", "update", "put", "appendList") else ()))
+
+        return call
+
+
+def test_ids_ask_the_state_once_an_id(spark):
+    import pandas as pd
+
+    own, ids = state._Ids(0), _Calls()
+    own.ids = ids
+    rows = pd.DataFrame({"record_id": ["a", "b"] * 50, "stream_id": "s", "sequence": 1, "wire_digest": "d", "arrival": range(100)})
+    one = pd.concat(own.handleInputRows(("t", 0), iter([rows]), None))
+    assert one.outcome.tolist() == ["first", "first"] + ["replay"] * 98 and ids.calls.count("getValue") == 0 and ids.calls.count("updateValue") == 2
+    two = pd.concat(own.handleInputRows(("t", 0), iter([rows.replace("b", "c")]), None))
+    assert sorted(two.outcome) == ["first"] + ["replay"] * 99 and ids.calls.count("getValue") == 2 and ids.calls.count("updateValue") == 3
+
+
+def test_silences_ask_the_state_as_often_for_many_records_as_for_few(spark):
+    import pandas as pd
+
+    class Clock:
+        ms = 0
+
+        def getCurrentWatermarkInMs(self):
+            return self.ms
+
+    calls = []
+    for n in (1, 500):
+        s, clock = state._Silences(), Clock()
+        s.handle, s.now, s.waiting, clock.ms = _Calls(), _Calls(), _Calls(), 0
+        at = pd.DataFrame({"source_time": pd.to_datetime([60 * k for k in range(1, n + 1)], unit="s", utc=True), "cadence_s": 90})
+        assert list(s.handleInputRows(("t", "c"), iter([at]), clock)) == [] and len(s.waiting.list) == n
+        clock.ms = 60_000 * n + 200_000
+        out = pd.concat(s.handleExpiredTimer(("t", "c"), clock, None))
+        assert out.state.tolist() == ["open"] and s.waiting.list == []
+        calls.append(len(s.now.calls) + len(s.waiting.calls))
+    assert calls[0] == calls[1] < 12
+
+
+def test_a_streams_memory_moves_only_what_it_reads(spark, tmp_path):
+    schema = "tenant_id string, stream_id string, sequence long, record_id string, record_digest string, source_time timestamp, note string"
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/in")
+    plan = evidence.stream_memory(evidence.parquet_stream(spark, f"{tmp_path}/in", schema))._jdf.queryExecution().analyzed().toString()
+    moved = plan[plan.index("FlatMapGroupsInPandasWithState") :].split("\n")[1:]
+    assert "note" not in "\n".join(moved[:2]) and "Project" in "\n".join(moved[:3]), plan
