@@ -98,3 +98,18 @@ def test_stages_take_nulls_ties_repeats_and_extra_columns(spark):
             ids = sorted(x[0] for x in kept if x[0] is not None)
             assert {3, 6} <= set(ids) and ids.count(4) <= 1 and not {0, 1, 2, 7} & set(ids)  # of equal rows one stays; empty texts fail the base, bars are junk
             assert all(x[1] == "" for x in kept if x[0] == 50)  # the later copy of 3 lost its lines; at most one such empty text stays
+
+
+def test_near_dedup_follows_simhash_links_too(spark):
+    from provenix.llm import simhash
+
+    # of many short texts, pairs whose fingerprints are within three bits though their shingles differ
+    r = random.Random(1)
+    base = [f"w{k}" for k in range(9)] * 12  # a few shingles outweigh the rest of a text in its fingerprint
+    rows = [(i, " ".join(base + [f"x{i}y{j}" for j in range(3)] * 1 + [r.choice(base)])) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    sets = [frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) for _, t in rows for w in [t.split()]]
+    prints = {x.doc_id: x.component_id for x in simhash.near_duplicates(df, 5).collect()}
+    assert len(set(prints.values())) < len(rows) and all(5 * len(a & b) < 4 * len(a | b) for i, a in enumerate(sets) for b in sets[:i])
+    _, stage = next(s for s in corpus_pipeline.STAGES if s[0] == "SimHash near-dedup")
+    assert sorted(x.doc_id for x in stage(spark, df, DIR).collect()) == sorted(set(prints.values()))
