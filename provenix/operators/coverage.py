@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from provenix.functions import intervals
 from provenix.operators.qualify import LEVELS, level_rank
 from provenix.operators.reconcile import SCOPE, STATUSES
+from provenix.sources.shared import stored
 
 POPULATION = [*SCOPE, "population_ref"]
 HOUR, LAST = 3_600_000_000, (1 << 63) - 1  # microseconds; the hour of an end that has not come
@@ -48,17 +49,20 @@ def four_places(numerator: F.Column, denominator: F.Column) -> F.Column:
     return F.when(scaled.isNotNull(), F.format_string("%d.%04d", F.floor(scaled / 10000).cast("long"), scaled % 10000))
 
 
-def report(results: DataFrame, facts: DataFrame, populations: DataFrame, classes: DataFrame, gaps: DataFrame | None = None) -> DataFrame:
+def report(facts: DataFrame, populations: DataFrame, classes: DataFrame, gaps: DataFrame | None = None) -> DataFrame:
     """One row for each population: six counts, level supported, admissible and claimed, numerator, ratio and its state.
 
     A population that gives a digest of its identifiers in place of them (identifier_digest, where that column exists) has no ratio. facts comes from ``support``; classes from ``qualify.in_force`` with the population as window; gaps(keys, gap_start, gap_end).
+
+    The report only counts, so facts of one population that are alike in all it asks about are one row with their number, stored once for all that follows.
     """
     windows = populations.select(*POPULATION, "window_start", "window_end")
-    placed = facts.join(windows, POPULATION).withColumn("in_window", (F.col("occurred_at") >= F.col("window_start")) & (F.col("occurred_at") < F.col("window_end")))
+    alike = stored(facts.groupBy(*POPULATION, "status", "support", "occurred_at", "skewed").agg(F.count(F.lit(1)).alias("n_facts")), "alike")
+    placed = alike.join(windows, POPULATION).withColumn("in_window", (F.col("occurred_at") >= F.col("window_start")) & (F.col("occurred_at") < F.col("window_end")))
     if gaps is not None:
         merged = intervals.merge(gaps, POPULATION)
-        hit = intervals.inside(placed.where("in_window").select(*POPULATION, "destination_record_id", "occurred_at"), merged, POPULATION, "occurred_at").select(*POPULATION, "destination_record_id", F.lit(True).alias("hit"))
-        placed = placed.join(hit, [*POPULATION, "destination_record_id"], "left")
+        instants = placed.where("in_window").select(*POPULATION, "occurred_at").distinct()
+        placed = placed.join(intervals.inside(instants, merged, POPULATION, "occurred_at").withColumn("hit", F.lit(True)), [*POPULATION, "occurred_at"], "left")
         any_gap = gaps.select(*POPULATION).distinct().withColumn("any_gap", F.lit(True))
         placed = placed.join(any_gap, POPULATION, "left")
     else:
@@ -73,9 +77,10 @@ def report(results: DataFrame, facts: DataFrame, populations: DataFrame, classes
         & ~(F.col("in_gap") & ~F.col("reconciled_in_gap")) & ~(F.col("in_gap") & (F.col("claimed_level") != "reconciled"))
         & ~(F.coalesce("any_gap", F.lit(False)) & F.col("occurred_at").isNull()) & (level_rank(F.col("support")) >= level_rank(F.col("claimed_level")))
     )
+    number = lambda cond: F.sum(F.when(cond, F.col("n_facts")).otherwise(0))
     tally = placed.join(head.select(*POPULATION, "claimed_level"), POPULATION).groupBy(*POPULATION).agg(
-        F.count_if(counted).alias("numerator"), F.count_if(F.col("in_gap")).alias("actions_in_gaps"), F.count_if(F.col("reconciled_in_gap")).alias("reconciled_in_gaps"),
-        *(F.count_if(F.col("status") == s).alias(s) for s in STATUSES),
+        number(counted).alias("numerator"), number(F.col("in_gap")).alias("actions_in_gaps"), number(F.col("reconciled_in_gap")).alias("reconciled_in_gaps"),
+        *(number(F.col("status") == s).alias(s) for s in STATUSES),
     )
     every = head.join(tally, POPULATION, "left").fillna(0, ["numerator", "actions_in_gaps", "reconciled_in_gaps", *STATUSES])
     truncated = F.col("result_cap_hit") | ~F.col("pagination_complete")
