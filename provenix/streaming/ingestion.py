@@ -82,16 +82,16 @@ def write_batch(batch: DataFrame, epoch: int, root: str) -> None:
     batch = keep(batch, f"{at}/checked")
     sound = batch.where("stage is null").drop("codes", "stage", "reason")
     held = _held(spark, f"{root}/ledger", sound.schema, epoch, sound)
-    against = ingest.classify_against_ledger(sound, held)
+    against = keep(ingest.classify_against_ledger(sound, held), f"{at}/against")
     fresh, known = against.where("outcome = 'accept'").drop("outcome"), against.where("outcome <> 'accept'")
-    with scratch(spark):
-        done = keep(ingest.classify_in_order(fresh).unionByName(known), f"{at}/classified")
-    accepted = done.where("outcome = 'accept'").drop("outcome")
-    conflicts = _with_rival(done.where("outcome in ('fork', 'content_substitution')"), held.drop("epoch").unionByName(accepted))
-    replays = done.where("outcome = 'replay'").drop("outcome").withColumns({"codes": F.array().cast("array<string>"), "stage": F.lit("replay"), "reason": F.lit("replay")})
-    refusals = batch.where("stage is not null").unionByName(replays)
-    for name, rows, by in (("ledger", accepted, ["tenant_id", "epoch"]), ("conflicts", conflicts, ["epoch"]), ("refusals", refusals, ["epoch"])):
-        rows.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(f"{root}/{name}")
+    with scratch(spark):  # both parts are stored, so the ledger may change while they are read
+        done = ingest.classify_in_order(fresh).unionByName(known)
+        accepted = done.where("outcome = 'accept'").drop("outcome")
+        conflicts = _with_rival(done.where("outcome in ('fork', 'content_substitution')"), held.drop("epoch").unionByName(accepted))
+        replays = done.where("outcome = 'replay'").drop("outcome").withColumns({"codes": F.array().cast("array<string>"), "stage": F.lit("replay"), "reason": F.lit("replay")})
+        refusals = batch.where("stage is not null").unionByName(replays)
+        for name, rows, by in (("ledger", accepted, ["tenant_id", "epoch"]), ("conflicts", conflicts, ["epoch"]), ("refusals", refusals, ["epoch"])):
+            rows.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(f"{root}/{name}")
     spark.range(1).select(F.lit(epoch).alias("epoch"), F.lit(True).alias("done")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("epoch").parquet(f"{root}/commits")
     drop(spark, at)
 

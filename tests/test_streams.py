@@ -267,3 +267,20 @@ def test_a_streams_memory_moves_only_what_it_reads(spark, tmp_path):
     plan = evidence.stream_memory(evidence.parquet_stream(spark, f"{tmp_path}/in", schema))._jdf.queryExecution().analyzed().toString()
     moved = plan[plan.index("FlatMapGroupsInPandasWithState") :].split("\n")[1:]
     assert "note" not in "\n".join(moved[:2]) and "Project" in "\n".join(moved[:3]), plan
+
+
+def test_a_batch_meets_the_ledger_once(spark, registries, tmp_path, monkeypatch):
+    kept, keep = [], ingestion.keep
+
+    def told(df, path):
+        kept.append(path.rsplit("/", 1)[1])
+        return keep(df, path)
+
+    monkeypatch.setattr(ingestion, "keep", told)
+    rows = [(1, wire(1), True), (2, wire(1), True), (3, wire(8, sequence=1), True), (4, wire(2, note='": 1.5,2e3,[7.5'), True), (5, wire(3)[:-1] + ', "x" :\n-2.5}', True)]
+    batch = ingestion.checked(spark.createDataFrame(rows, "submission_id long, wire string, sig_ok boolean"), *registries)
+    ingestion.write_batch(batch, 0, str(tmp_path))
+    assert kept == ["checked", "against"]  # what both sides of the ledger's answer are read from
+    assert {r.submission_id for r in ingestion.committed(spark, str(tmp_path), "ledger").collect()} == {1, 4}
+    found = {r.submission_id: list(r.codes) for r in ingestion.committed(spark, str(tmp_path), "refusals").collect()}
+    assert found == {2: [], 5: ["record.envelope.member_unknown", "record.number.float"]}
