@@ -63,9 +63,9 @@ def evaluate_reviews(reviews: DataFrame) -> DataFrame:
 def oversight(required: DataFrame, reviews: DataFrame) -> DataFrame:
     """required(tenant, boundary, window_ref, action_id, window_start, window_end): by window, how many actions needed a review,
     had one in time, had an effective one, had none. Counts are of actions, so repeated reviews change nothing."""
-    own = required.join(evaluate_reviews(reviews), [*SCOPE, "action_id"], "left")
+    own = required.join(evaluate_reviews(reviews), ["action_id", *SCOPE], "left")  # what tells most rows apart comes first: sorts are decided by it
     inside = (F.col("decided_at") >= F.col("window_start")) & (F.col("decided_at") < F.col("window_end"))
-    each = own.groupBy(*SCOPE, "window_ref", "action_id").agg(F.coalesce(F.bool_or(inside), F.lit(False)).alias("reviewed"), F.coalesce(F.bool_or(inside & (F.col("reason") == "effective")), F.lit(False)).alias("effective"), F.coalesce(F.bool_or(F.col("decided_at").isNotNull() & ~inside), F.lit(False)).alias("outside"))
+    each = own.groupBy("action_id", *SCOPE, "window_ref").agg(F.coalesce(F.bool_or(inside), F.lit(False)).alias("reviewed"), F.coalesce(F.bool_or(inside & (F.col("reason") == "effective")), F.lit(False)).alias("effective"), F.coalesce(F.bool_or(F.col("decided_at").isNotNull() & ~inside), F.lit(False)).alias("outside"))
     return each.groupBy(*SCOPE, "window_ref").agg(
         F.count(F.lit(1)).alias("n_required"), F.count_if("reviewed").alias("n_reviewed"), F.count_if("effective").alias("n_effective"), F.count_if(~F.col("reviewed")).alias("n_missing"), F.count_if("outside").alias("n_outside")
     )
@@ -81,7 +81,7 @@ def review_guards(required: DataFrame, reviews: DataFrame) -> DataFrame:
 def confirmed_outcomes(actions: DataFrame, outcomes: DataFrame, source: str) -> DataFrame:
     """Distinct actions with an undisputed outcome from exactly the named source."""
     good = outcomes.where((F.col("authoritative_source") == source) & ~F.col("disputed"))
-    return actions.select(*SCOPE, "action_id").distinct().join(good, [*SCOPE, "action_id"], "left_semi")
+    return actions.select("action_id", *SCOPE).distinct().join(good, ["action_id", *SCOPE], "left_semi")
 
 
 def assertions(report: DataFrame, oversight_: DataFrame, outcomes: DataFrame) -> DataFrame:

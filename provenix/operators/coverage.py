@@ -19,10 +19,14 @@ def support(results: DataFrame, confirmations: DataFrame, receipts: DataFrame, s
     observed at its ingest time; skewed when that receipt's clock is off by more than ``skew_ms``."""
     conf = confirmations.select(*SCOPE, F.col("record_id").alias("confirmation_record_id"), F.col("authoritative_time").alias("confirmed_at"))
     bound = receipts.groupBy(*SCOPE, "destination_record_id", "action_id").agg(F.max("ingest_time").alias("ingest_time"), F.max("clock_skew_ms").alias("clock_skew_ms"))
-    joined = results.join(conf, [*SCOPE, "confirmation_record_id"], "left").join(bound, [*SCOPE, "destination_record_id", "action_id"], "left")
+    return supported(results.join(conf, [*SCOPE, "confirmation_record_id"], "left").join(bound, [*SCOPE, "destination_record_id", "action_id"], "left"), skew_ms)
+
+
+def supported(evidenced: DataFrame, skew_ms: int = 5000) -> DataFrame:
+    """``support`` of results that carry their times, see ``reconcile.evidenced``."""
     matched = F.col("status") == "matched"
     observed = ~matched & F.col("ingest_time").isNotNull() & F.col("status").isin("unmatched_with_evidence", "duplicate")
-    return joined.select(
+    return evidenced.select(
         *POPULATION, "destination_record_id", "status", "action_id",
         F.when(matched, "reconciled").when(observed, "observed").alias("support"),
         F.when(matched, F.col("confirmed_at")).when(observed, F.col("ingest_time")).alias("occurred_at"),

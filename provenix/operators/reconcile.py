@@ -46,56 +46,81 @@ def duplicate_records(items: DataFrame, confirmations: DataFrame) -> DataFrame:
     return single.join(twins, [*SCOPE, "population_ref", "content"]).select(*ITEM, "content", "n_twins")
 
 
-def evidence_by_action(items: DataFrame, receipts: DataFrame, confirmations: DataFrame) -> DataFrame:
-    """By enumerated record and action: how many receipts and confirmations, and what the confirmations say. Both sides are
-    one table here, counted by record and action before it meets the populations."""
-    key = [*SCOPE, "destination_record_id", "action_id"]
-    none = F.lit(None).cast("string")
-    r = receipts.select(*key, F.lit(1).alias("r"), none.alias("record_id"), none.alias("destination_record_digest"), none.alias("destination_system"))
-    c = confirmations.select(*key, F.lit(0).alias("r"), "record_id", "destination_record_digest", "destination_system")
-    each = r.unionByName(c).groupBy(*key).agg(
+def evidence_by_action(items: DataFrame, receipts: DataFrame, confirmations: DataFrame, timed: bool = False) -> DataFrame:
+    """By enumerated record and action: how many receipts and confirmations, and what the confirmations say; n_r is null for a record without either. Both sides are
+    one table here, counted by record and action before it meets the populations. n_copies: how often the population names the record.
+
+    timed: with the confirmed_at of confirmations, and ingest_time and clock_skew_ms of receipts.
+    """
+    record = ["destination_record_id", *SCOPE]  # what tells most rows apart comes first: sorts are decided by it
+    own = {"record_id": "string", "destination_record_digest": "string", "destination_system": "string"} | ({"authoritative_time": "timestamp"} if timed else {})
+    theirs = {"ingest_time": "timestamp", "clock_skew_ms": "long"} if timed else {}
+    none = lambda cols: [F.lit(None).cast(t).alias(c) for c, t in cols.items()]
+    r = receipts.select(*record, "action_id", F.lit(1).alias("r"), *none(own), *(F.col(c).cast(t) for c, t in theirs.items()))
+    c = confirmations.select(*record, "action_id", F.lit(0).alias("r"), *own, *none(theirs))
+    times = [F.max(F.when(F.col("record_id").isNotNull(), F.col("authoritative_time"))).alias("confirmed_at"), *(F.max(x).alias(x) for x in theirs)] if timed else []
+    each = r.unionByName(c).groupBy(*record, "action_id").agg(
         F.sum("r").alias("n_r"), (F.count(F.lit(1)) - F.sum("r")).alias("n_c"), F.min("record_id").alias("confirmation_record"), F.min("destination_record_digest").alias("content"),
-        F.min("destination_system").alias("low_system"), F.max("destination_system").alias("high_system"),
+        F.min("destination_system").alias("low_system"), F.max("destination_system").alias("high_system"), *times,
     )
-    own = items.select(*ITEM, "action_family", F.col("destination_system").alias("own_system"))
-    return each.join(own, [*SCOPE, "destination_record_id"]).withColumn("other_system", (F.col("low_system") != F.col("own_system")) | (F.col("high_system") != F.col("own_system"))).drop("low_system", "high_system", "own_system")
+    wanted = items.select(*record, "population_ref", "action_family", F.col("destination_system").alias("own_system")).repartition(*record)
+    wanted = wanted.withColumn("n_copies", F.count(F.lit(1)).over(Window.partitionBy(*record, "population_ref")))
+    return wanted.join(each, record, "left").withColumn("other_system", (F.col("low_system") != F.col("own_system")) | (F.col("high_system") != F.col("own_system"))).drop("low_system", "high_system", "own_system")
 
 
-def classify(items: DataFrame, receipts: DataFrame, confirmations: DataFrame, proposals: DataFrame) -> DataFrame:
-    """One row for each enumerated record: status, action_id, confirmation_record_id.
-
-    Order of decision: out of scope, ambiguous, duplicate, matched, unmatched with evidence, unmatched without. The action is
-    kept only where exactly one receipt names it and the record is not ambiguous; the confirmation only for duplicates and matches.
+def evidenced(items: DataFrame, receipts: DataFrame, confirmations: DataFrame, proposals: DataFrame, timed: bool = True) -> DataFrame:
+    """``classify`` with what it saw on the way: confirmed_at of a named confirmation, ingest_time and clock_skew_ms of the receipt that names the action.
 
-    The rows are dealt by action once (proposals, and records one action spans), by record once, by content once.
+    The rows are dealt by record (evidence and populations), by content, by action (proposals, and records one action spans), and by record again; no input is read twice, and contents
+    travel once.
     """
-    by_action = proposals.groupBy(*SCOPE, "action_id").agg(F.count(F.lit(1)).alias("n_proposals"), F.min("action_family").alias("low"), F.max("action_family").alias("high"))
-    named = evidence_by_action(items, receipts, confirmations).join(by_action, [*SCOPE, "action_id"], "left")
-    same = Window.partitionBy(*SCOPE, "population_ref", "action_id")
-    got = F.col("n_r") > 0
-    spans = F.sum(got.cast("int")).over(same) > 1
-    facts = named.withColumn("spans", spans).groupBy(*ITEM).agg(
-        F.sum("n_r").alias("nr"), F.sum("n_c").alias("nc"), F.min(F.when(got, F.col("action_id"))).alias("receipt_action"), F.min(F.when(F.col("n_c") > 0, F.col("action_id"))).alias("confirmation_action"),
-        F.min("confirmation_record").alias("confirmation_record"), F.min("content").alias("content"), F.coalesce(F.bool_or("other_system"), F.lit(False)).alias("other_system"),
-        F.coalesce(F.bool_or((F.col("low") != F.col("action_family")) | (F.col("high") != F.col("action_family"))), F.lit(False)).alias("other_family"),
-        F.coalesce(F.max("n_proposals"), F.lit(0)).alias("most_proposals"), F.bool_or("spans").alias("spans"), F.max(F.when(got, F.col("n_proposals"))).alias("own_proposals"), F.max(F.when(got, F.col("low"))).alias("own_family"),
+    by_action = proposals.groupBy("action_id", *SCOPE).agg(F.count(F.lit(1)).alias("n_proposals"), F.min("action_family").alias("low"), F.max("action_family").alias("high"))
+    by_action = by_action.withColumnRenamed("action_id", "dealt")
+    named, seen, got = evidence_by_action(items, receipts, confirmations, timed), F.col("n_r").isNotNull(), F.col("n_r") > 0
+    item = ["destination_record_id", *SCOPE, "population_ref"]
+    whole = Window.partitionBy(*item)
+    # the row that holds a record's single confirmation stands for its content
+    single = (F.col("n_c") == 1) & (F.sum("n_c").over(whole) == 1) & ~F.coalesce(F.bool_or("other_system").over(whole), F.lit(False)) & F.col("content").isNotNull()
+    twin_of = F.when(F.col("single"), F.col("content")).otherwise(F.col("destination_record_id"))
+    twins = F.count_if("single").over(Window.partitionBy(F.xxhash64(twin_of), twin_of, *SCOPE, "population_ref"))
+    named = named.withColumn("single", F.coalesce(single, F.lit(False))).withColumn("twin", F.col("single") & (twins > 1)).drop("content", "single")
+    # a record without evidence has no action to be dealt by
+    named = named.withColumn("dealt", F.when(seen, F.col("action_id")).otherwise(F.concat(F.lit("\0"), "destination_record_id"))).repartition("dealt", *SCOPE)
+    spans = seen & (F.sum(got.cast("int")).over(Window.partitionBy("dealt", *SCOPE, "population_ref", seen)) > 1)
+    named = named.withColumn("spans", spans).join(by_action, ["dealt", *SCOPE], "left")
+    proposed, known = F.when(seen, F.col("n_proposals")), F.col("action_id").isNotNull()
+    times = [F.max("confirmed_at").alias("confirmed_at"), *(F.max(F.when(got & known, F.col(x))).alias(x) for x in ("ingest_time", "clock_skew_ms"))] if timed else []
+    told = ["n_copies", "n_r", "n_c", "action_id", "confirmation_record", "other_system", "twin", "spans", *(["confirmed_at", "ingest_time", "clock_skew_ms"] if timed else [])]
+    named = named.select(
+        *item, *told, proposed.alias("proposed"), (seen & ((F.col("low") != F.col("action_family")) | (F.col("high") != F.col("action_family")))).alias("other_family"),
+        (got & (F.col("n_c") > 0) & known & (proposed == 1) & (F.col("low") == F.col("action_family"))).alias("agrees"),
+    )
+    any_of = lambda c: F.coalesce(F.bool_or(c), F.lit(False)).alias(c)
+    facts = named.repartition(*item).groupBy(*item).agg(
+        F.coalesce(F.sum("n_r"), F.lit(0)).alias("nr"), F.coalesce(F.sum("n_c"), F.lit(0)).alias("nc"), F.min(F.when(got, F.col("action_id"))).alias("receipt_action"), F.min("confirmation_record").alias("confirmation_record"),
+        F.coalesce(F.max("proposed"), F.lit(0)).alias("most_proposals"), F.max("n_copies").alias("n_copies"), *(any_of(c) for c in ("other_system", "other_family", "spans", "twin", "agrees")), *times,
     )
-    single = (F.col("nc") == 1) & ~F.col("other_system")
-    twins = F.count_if(single).over(Window.partitionBy(*SCOPE, "population_ref", F.when(single, F.col("content")).otherwise(F.col("destination_record_id"))))
-    every = items.join(facts.withColumn("twin", single & (twins > 1)), ITEM, "left")
-    nr, nc = F.coalesce("nr", F.lit(0)), F.coalesce("nc", F.lit(0))
-    matched = (nr == 1) & (nc == 1) & (F.col("receipt_action") == F.col("confirmation_action")) & (F.col("own_proposals") == 1) & (F.col("own_family") == F.col("action_family"))
+    nr, nc = F.col("nr"), F.col("nc")
     status = (
         F.when(F.col("other_system") | F.col("other_family"), "out_of_scope").when((nr > 1) | (nc > 1) | (F.col("most_proposals") > 1) | F.col("spans"), "ambiguous").when(F.col("twin"), "duplicate")
-        .when(F.coalesce(matched, F.lit(False)), "matched").when(nr > 0, "unmatched_with_evidence").otherwise("unmatched_without_evidence")
+        .when((nr == 1) & (nc == 1) & F.col("agrees"), "matched").when(nr > 0, "unmatched_with_evidence").otherwise("unmatched_without_evidence")
     )
-    return every.withColumn("status", status).select(
-        *ITEM, "status",
-        F.when((nr == 1) & (F.col("status") != "ambiguous"), F.col("receipt_action")).alias("action_id"),
-        F.when(F.col("status").isin("duplicate", "matched"), F.col("confirmation_record")).alias("confirmation_record_id"),
+    own, held = (nr == 1) & (F.col("status") != "ambiguous"), F.col("status").isin("duplicate", "matched")
+    kept = [F.when(held, F.col("confirmed_at")).alias("confirmed_at"), *(F.when(own, F.col(x)).alias(x) for x in ("ingest_time", "clock_skew_ms"))] if timed else []
+    return facts.withColumn("status", status).withColumn("_copy", F.explode(F.expr("array_repeat(0, cast(n_copies as int))"))).select(
+        *ITEM, "status", F.when(own, F.col("receipt_action")).alias("action_id"), F.when(held, F.col("confirmation_record")).alias("confirmation_record_id"), *kept
     )
 
 
+def classify(items: DataFrame, receipts: DataFrame, confirmations: DataFrame, proposals: DataFrame) -> DataFrame:
+    """One row for each enumerated record: status, action_id, confirmation_record_id.
+
+    Order of decision: out of scope, ambiguous, duplicate, matched, unmatched with evidence, unmatched without. The action is
+    kept only where exactly one receipt names it and the record is not ambiguous; the confirmation only for duplicates and matches.
+    """
+    return evidenced(items, receipts, confirmations, proposals, timed=False)
+
+
 def counts(results: DataFrame, *keys: str) -> DataFrame:
     """Six counts by key, zeros included."""
     return results.groupBy(*keys).agg(*(F.count_if(F.col("status") == s).alias(s) for s in STATUSES), F.count(F.lit(1)).alias("n"))

@@ -8,7 +8,7 @@ import duckdb
 import pytest
 
 from provenix import queries
-from provenix.operators import coverage
+from provenix.operators import coverage, reconcile
 from provenix.sources.evidence import TABLES, view
 
 DIR = "/root/testdata/sf0.01"
@@ -58,3 +58,39 @@ def test_same_rows_as_sql(spark, name):
     cols = sorted(df.columns)
     assert sorted(rel.columns) == cols
     assert sorted(str(tuple(r[c] for c in cols)) for r in df.collect()) == sorted(str(tuple(r[rel.columns.index(c)] for c in cols)) for r in rel.fetchall())
+
+
+def test_a_report_reads_its_evidence_once_without_storing_it(spark, monkeypatch):
+    asked, kept = [], []
+
+    def reader(name):
+        asked.append(name)
+        return view(spark, "/root/testdata/sf0.001", name)
+
+    store = queries.stored
+    monkeypatch.setattr(queries, "stored", lambda df, kind: kept.append(kind) or store(df, kind))
+    queries.report_of(queries.storing(reader, "populations"))
+    assert {x: asked.count(x) for x in ("population_items", *queries.R_VIEWS)} == {x: 1 for x in ("population_items", *queries.R_VIEWS)}
+    assert kept == ["populations"]
+
+
+def test_results_carry_their_times(spark):
+    own, at = ("t", "b"), lambda h: T0 + timedelta(hours=h)
+    names = ["good", "late", "none", "none2", "twice", "twin1", "twin2", "bare1", "bare2", "nameless", "span1", "span2", "many"]
+    items = spark.createDataFrame([(*own, "p", d, "f", "erp") for d in (*names, "twice")] + [(*own, "q", "none", "f", "erp")], "tenant_id string, boundary_ref string, population_ref string, destination_record_id string, action_family string, destination_system string")
+    said = [(d, f"a-{d}") for d in ("good", "late", "twice", "twin1", "twin2", "bare1", "bare2")] + [("nameless", None), ("span1", "s"), ("span2", "s"), ("many", "a-many"), ("many", "a-many")]
+    receipts = spark.createDataFrame([(*own, d, a, f"r{k}", at(k), 1000 * k) for k, (d, a) in enumerate(said)], "tenant_id string, boundary_ref string, destination_record_id string, action_id string, record_id string, ingest_time timestamp, clock_skew_ms long")
+    digests = {"twin1": "same", "twin2": "same", "bare1": None, "bare2": None}
+    confirmed = ("good", "twice", "twin1", "twin2", "bare1", "bare2", "nameless")
+    confirmations = spark.createDataFrame([(*own, d, None if d == "nameless" else f"a-{d}", "erp", digests.get(d, f"x-{d}"), f"c-{d}", at(100 + k)) for k, d in enumerate(confirmed)], "tenant_id string, boundary_ref string, destination_record_id string, action_id string, destination_system string, destination_record_digest string, record_id string, authoritative_time timestamp")
+    proposals = spark.createDataFrame([(*own, a, "f") for a in {a for _, a in said if a}] + [(*own, "\0none", "other")], "tenant_id string, boundary_ref string, action_id string, action_family string")
+    args = (items, receipts, confirmations, proposals)
+    plain = reconcile.classify(*args)
+    got = sorted((r.population_ref, r.destination_record_id, r.status, r.action_id, r.confirmation_record_id) for r in plain.fillna("-").collect())
+    assert got == sorted([
+        ("p", "good", "matched", "a-good", "c-good"), ("p", "late", "unmatched_with_evidence", "a-late", "-"), ("p", "none", "unmatched_without_evidence", "-", "-"), ("q", "none", "unmatched_without_evidence", "-", "-"), ("p", "none2", "unmatched_without_evidence", "-", "-"),
+        ("p", "twice", "ambiguous", "-", "-"), ("p", "twice", "ambiguous", "-", "-"), ("p", "twin1", "duplicate", "a-twin1", "c-twin1"), ("p", "twin2", "duplicate", "a-twin2", "c-twin2"), ("p", "bare1", "matched", "a-bare1", "c-bare1"), ("p", "bare2", "matched", "a-bare2", "c-bare2"),
+        ("p", "nameless", "unmatched_with_evidence", "-", "-"), ("p", "span1", "ambiguous", "-", "-"), ("p", "span2", "ambiguous", "-", "-"), ("p", "many", "ambiguous", "-", "-"),
+    ])
+    rows = lambda df: sorted(str(tuple(r)) for r in df.collect())
+    assert rows(coverage.supported(reconcile.evidenced(*args))) == rows(coverage.support(plain, confirmations, receipts))
