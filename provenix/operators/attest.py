@@ -101,6 +101,8 @@ def assertions(report: DataFrame, oversight_: DataFrame, outcomes: DataFrame) ->
 def exclusions(report: DataFrame, oversight_: DataFrame, populations: DataFrame, uncovered_: DataFrame | None = None, asked: DataFrame | None = None, outcomes: DataFrame | None = None) -> DataFrame:
     """What each population's attestation does not claim: the standing list, and what its own evidence leaves open.
 
+    report: a row a population with tenant_id, population_ref and out_of_scope; no other column of a report is read.
+
     uncovered_(tenant_id, population_ref): parts of windows in which no boundary was in force, each counted. asked(tenant_id, population_ref): populations for which outcomes of a named source were asked for; where
     outcomes(tenant_id, population_ref, n_confirmed) confirms none, the assertion is withheld.
     """

@@ -53,6 +53,26 @@ def four_places(numerator: F.Column, denominator: F.Column) -> F.Column:
     return F.when(scaled.isNotNull(), F.format_string("%d.%04d", F.floor(scaled / 10000).cast("long"), scaled % 10000))
 
 
+def _classed(populations: DataFrame, classes: DataFrame) -> DataFrame:
+    named = classes.select(F.col("window_ref").alias("population_ref"), "tenant_id", "class_in_force", "enumeration_capable", "admissible_level", "emits_ratio")
+    return populations.join(named, ["tenant_id", "population_ref"], "left")
+
+
+def _stated(every: DataFrame) -> DataFrame:
+    """With ratio_state and independently_enumerable, of populations with their class and how many records are out of scope."""
+    truncated = F.col("result_cap_hit") | ~F.col("pagination_complete")
+    emits, enumerable = F.coalesce("emits_ratio", F.lit(False)), F.coalesce("enumeration_capable", F.lit(False))
+    inline = F.col("identifier_digest").isNull() if "identifier_digest" in every.columns else F.lit(True)
+    state = ratio_state(emits, truncated, enumerable, inline, F.col("signed_count"), F.col("out_of_scope"))
+    return every.withColumns({"ratio_state": state, "independently_enumerable": enumerable & emits & ~truncated})
+
+
+def ratio_states(populations: DataFrame, classes: DataFrame, out_of_scope: DataFrame) -> DataFrame:
+    """The states that ``report`` gives, without its counts: they rest on the class and on how many records are out of scope (``reconcile.out_of_scope``), not on support or gaps."""
+    every = _classed(populations.join(out_of_scope, POPULATION, "left"), classes).fillna(0, ["out_of_scope"])
+    return _stated(every).select(*POPULATION, "ratio_state", "out_of_scope", "independently_enumerable")
+
+
 def report(facts: DataFrame, populations: DataFrame, classes: DataFrame, gaps: DataFrame | None = None) -> DataFrame:
     """One row for each population: six counts, level supported, admissible and claimed, numerator, ratio and its state.
 
@@ -73,8 +93,7 @@ def report(facts: DataFrame, populations: DataFrame, classes: DataFrame, gaps: D
         placed = placed.withColumn("hit", F.lit(False)).withColumn("any_gap", F.lit(False))
     placed = placed.withColumn("in_gap", F.col("skewed") | F.coalesce("hit", F.lit(False))).withColumn("reconciled_in_gap", F.col("in_gap") & (F.col("status") == "matched") & (F.col("support") == "reconciled") & ~F.col("skewed"))
     best = placed.groupBy(*POPULATION).agg(F.max(level_rank(F.col("support"))).alias("best"))
-    named = classes.select(F.col("window_ref").alias("population_ref"), "tenant_id", "class_in_force", "enumeration_capable", "admissible_level", "emits_ratio")
-    head = populations.join(best, POPULATION, "left").join(named, ["tenant_id", "population_ref"], "left")
+    head = _classed(populations.join(best, POPULATION, "left"), classes)
     head = head.withColumn("evidence_level", F.element_at(F.array(*(F.lit(x) for x in LEVELS)), F.coalesce("best", F.lit(1)))).withColumn("claimed_level", claimed_level(F.col("evidence_level"), F.col("admissible_level")))
     counted = (
         F.col("support").isNotNull() & ~F.col("skewed") & F.coalesce("in_window", F.lit(True)) & ~F.col("status").isin("unmatched_without_evidence", "out_of_scope")
@@ -87,14 +106,11 @@ def report(facts: DataFrame, populations: DataFrame, classes: DataFrame, gaps: D
         *(number(F.col("status") == s).alias(s) for s in STATUSES),
     )
     every = head.join(tally, POPULATION, "left").fillna(0, ["numerator", "actions_in_gaps", "reconciled_in_gaps", *STATUSES])
-    truncated = F.col("result_cap_hit") | ~F.col("pagination_complete")
-    emits, enumerable = F.coalesce("emits_ratio", F.lit(False)), F.coalesce("enumeration_capable", F.lit(False))
-    inline = F.col("identifier_digest").isNull() if "identifier_digest" in populations.columns else F.lit(True)
-    every = every.withColumn("ratio_state", ratio_state(emits, truncated, enumerable, inline, F.col("signed_count"), F.col("out_of_scope")))
+    every = _stated(every)
     return every.select(
         *POPULATION, "class_in_force", "evidence_level", "admissible_level", "claimed_level", (F.col("claimed_level") != F.col("evidence_level")).alias("capped_by_class"), "ratio_state", "numerator", "signed_count",
         F.when(F.col("ratio_state") == "available", four_places(F.col("numerator"), F.col("signed_count") - F.col("out_of_scope"))).alias("coverage_ratio"),
-        (enumerable & emits & ~truncated).alias("independently_enumerable"), *STATUSES, "actions_in_gaps", "reconciled_in_gaps", (F.col("numerator") != F.col("matched")).alias("numerator_differs_from_matched"),
+        "independently_enumerable", *STATUSES, "actions_in_gaps", "reconciled_in_gaps", (F.col("numerator") != F.col("matched")).alias("numerator_differs_from_matched"),
     )
 
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from provenix.sources.shared import stored
+
 STATUSES = ("matched", "unmatched_with_evidence", "unmatched_without_evidence", "duplicate", "ambiguous", "out_of_scope")
 SCOPE = ["tenant_id", "boundary_ref"]
 ITEM = [*SCOPE, "population_ref", "destination_record_id"]
@@ -121,6 +123,28 @@ def classify(items: DataFrame, receipts: DataFrame, confirmations: DataFrame, pr
     return evidenced(items, receipts, confirmations, proposals, timed=False)
 
 
+def out_of_scope(items: DataFrame, receipts: DataFrame, confirmations: DataFrame, proposals: DataFrame) -> DataFrame:
+    """(scope, population_ref, out_of_scope): how many of a population's records ``classify`` calls out of scope, where nothing else of the classification is asked for. A population without any has no row.
+
+    Confirmations and proposals that agree with all records of their scope take no part: only what differs from one of them is moved.
+    """
+    record = ["destination_record_id", *SCOPE]
+    kinds = items.groupBy(*SCOPE, "action_family", "destination_system").agg(F.count(F.lit(1)).alias("n")).where("n > 0")
+    kinds = kinds.groupBy(*SCOPE).agg(F.collect_set("action_family").alias("families"), F.collect_set("destination_system").alias("systems"))
+    kinds = stored(kinds, "kinds")  # a row a scope, of a size that Spark then knows
+    elsewhere = confirmations.join(kinds, SCOPE).where("exists(systems, x -> x <> destination_system)").select(*record, F.col("destination_system").alias("_system"), F.lit(None).cast("string").alias("_family"))
+    odd = proposals.join(kinds, SCOPE).where("exists(families, x -> x <> action_family)").select("action_id", *SCOPE, F.col("action_family").alias("_family")).distinct()
+    named = receipts.select(*record, "action_id").unionByName(confirmations.select(*record, "action_id")).join(odd.hint("shuffle_hash"), ["action_id", *SCOPE])
+    signs = elsewhere.unionByName(named.select(*record, F.lit(None).cast("string").alias("_system"), "_family")).groupBy(*record).agg(
+        F.min("_system").alias("low_system"), F.max("_system").alias("high_system"), F.min("_family").alias("low"), F.max("_family").alias("high")
+    )
+    own = items.select(*ITEM, "action_family", "destination_system").join(signs.hint("shuffle_hash"), record)
+    differs = " or ".join(f"coalesce({a} <> {b}, false)" for a, b in (("low_system", "destination_system"), ("high_system", "destination_system"), ("low", "action_family"), ("high", "action_family")))
+    # a record that the population names twice counts twice, also where only one of the two differs
+    each = own.groupBy(*ITEM).agg(F.count(F.lit(1)).alias("n"), F.bool_or(F.expr(differs)).alias("out")).where("out")
+    return each.groupBy(*SCOPE, "population_ref").agg(F.sum("n").alias("out_of_scope"))
+
+
 def counts(results: DataFrame, *keys: str) -> DataFrame:
     """Six counts by key, zeros included."""
     return results.groupBy(*keys).agg(*(F.count_if(F.col("status") == s).alias(s) for s in STATUSES), F.count(F.lit(1)).alias("n"))

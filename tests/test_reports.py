@@ -94,3 +94,27 @@ def test_results_carry_their_times(spark):
     ])
     rows = lambda df: sorted(str(tuple(r)) for r in df.collect())
     assert rows(coverage.supported(reconcile.evidenced(*args))) == rows(coverage.support(plain, confirmations, receipts))
+
+
+def test_out_of_scope_is_counted_without_the_rest(spark):
+    text = lambda cols: ", ".join(f"{c} string" for c in cols.split())
+    names = ["good", "crm", "null_system", "family", "by_conf", "two_families", "bare", "nameless", "both"]
+    items = [("t", "b", "p", d, "f", "erp") for d in names] + [("t", "b", "p", "twice", "f", "erp"), ("t", "b", "p", "twice", "g", "erp"), ("t", "b", "q", "family", "f", "erp"), ("t", "b", "q", "only_g", "g", "crm"), ("u", "b", "p", "good", "g", "crm"), ("u", "b", "p", None, "g", "crm")]
+    receipts = [("t", "b", d, f"a-{d}") for d in ("good", "family", "twice", "two_families", "both", "both", "only_g")] + [("t", "b", "nameless", None), ("u", "b", "good", "a-good"), ("u", "b", None, "a-family"), ("t", "b", "unlisted", "a-family")]
+    systems = {"crm": "crm", "null_system": None, "both": "crm", "only_g": "crm"}
+    confirmations = [("t", "b", d, f"a-{d}", systems.get(d, "erp")) for d in ("good", "crm", "null_system", "by_conf", "both", "only_g")] + [("u", "b", "good", "a-good", "erp"), ("u", "b", "good", "a-good", "crm"), ("t", "b", "bare", None, "erp")]
+    proposals = [("t", "b", "a-good", "f"), ("t", "b", "a-family", "g"), ("t", "b", "a-by_conf", "h"), ("t", "b", "a-two_families", "f"), ("t", "b", "a-two_families", "g"), ("t", "b", "a-twice", "f"), ("t", "b", "a-both", "g"), ("t", "b", "a-only_g", "g"), ("u", "b", "a-good", "g"), ("t", "b", None, "g"), ("t", "b", "a-crm", None)]
+    i = spark.createDataFrame(items, text("tenant_id boundary_ref population_ref destination_record_id action_family destination_system"))
+    r = spark.createDataFrame(receipts, text("tenant_id boundary_ref destination_record_id action_id"))
+    c = spark.createDataFrame(confirmations, text("tenant_id boundary_ref destination_record_id action_id destination_system")).selectExpr("*", "concat('c', destination_record_id) record_id", "concat('x', destination_record_id) destination_record_digest")
+    p = spark.createDataFrame(proposals, text("tenant_id boundary_ref action_id action_family"))
+    got = {(x.tenant_id, x.boundary_ref, x.population_ref): x.out_of_scope for x in reconcile.out_of_scope(i, r, c, p).collect()}
+    assert got == {("t", "b", "p"): 7, ("t", "b", "q"): 1, ("u", "b", "p"): 1}
+    whole = reconcile.counts(reconcile.classify(i, r, c, p), "tenant_id", "boundary_ref", "population_ref")
+    assert got == {(x.tenant_id, x.boundary_ref, x.population_ref): x.out_of_scope for x in whole.collect() if x.out_of_scope}
+
+
+@pytest.mark.parametrize("name", ["o101_ratio_states", "o122_exclusions"])
+def test_no_support_is_derived_where_only_the_state_is_asked_for(spark, monkeypatch, name):
+    monkeypatch.setattr(queries, "facts_of", lambda v: pytest.fail("the whole report was made"))
+    assert queries.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
