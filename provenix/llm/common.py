@@ -31,7 +31,16 @@ def shared_dir(spark: SparkSession) -> str:
 def settle(df: DataFrame) -> DataFrame:
     """Cuts lineage: writes the rows to the shared checkpoint folder, from where any executor reads them again."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    del df
+    tidy(out.sparkSession)
+    return out
+
+
+def tidy(spark: SparkSession) -> None:
+    """Spark deletes the shuffle files of plans that nobody holds any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 class Store:
@@ -45,10 +54,21 @@ class Store:
         self.n += 1
         df.write.option("compression", "zstd").parquet(path := f"{self.folder}/{self.n}")
         del df
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()  # Spark deletes the shuffle files of plans that nobody holds any more
+        tidy(self.spark)
         return self.spark.read.parquet(path)
 
+    def together(self, dfs: Iterable[DataFrame]) -> DataFrame:
+        """One table of several of the same columns, each written when those before it are done and their shuffle files are gone."""
+        self.n += 1
+        top = f"{self.folder}/{self.n}"
+        paths = []
+        for k, df in enumerate(dfs):
+            df.write.option("compression", "zstd").parquet(path := f"{top}/{k}")
+            paths.append(path)
+            del df
+            tidy(self.spark)
+        return self.spark.read.parquet(*paths)
+
     def drop(self) -> None:
         at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.folder)
         at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

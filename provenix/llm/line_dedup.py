@@ -41,6 +41,7 @@ BEST = 24  # candidates of a row in one group at once
 LOOK = 4  # candidates of an open row in the one group that it looks into first
 BLOCK = 4096  # rows in a block of a larger group
 HELD = 1 << 19  # rows that a task joins at a time
+PARTS = 2  # parts of the words that are dealt one after the other, so that the disk holds the prefix rows of one
 BLOOM_BITS = 1 << 27  # largest Bloom filter that is broadcast: 16 MB; beyond, it passes more rows than need be, and loses none
 WIDE = 144  # words from which a set has 256 more bits of bitmap; 96 say nothing of a long one
 CANDIDATE = "a long, b long, far int, tok long, info long, bits long, wide binary"  # b is null: a is a row in a group of tok that is not done, far tells whether it is open
@@ -150,10 +151,10 @@ class Bloom:
         return found
 
 
-def _prefixes(docs: DataFrame, table, least: int) -> DataFrame:
+def _prefixes(docs: DataFrame, table, least: int, part: int = 0, parts: int = 1) -> DataFrame:
     """(tok, sig, info, bits, wide): the prefix words of every distinct word set that can match another; info packs size, position and 32 bits of the bitmap.
 
-    A set that several tasks hold comes from each of them.
+    A set that several tasks hold comes from each of them. Of ``parts`` parts of all words, these are the rows of one.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,10 +168,13 @@ def _prefixes(docs: DataFrame, table, least: int) -> DataFrame:
             size = n - -(-NUM * n // DEN) + 1
             at = runs(s.at[one], size)
             pos = at - np.repeat(s.at[one], size)
+            own = np.flatnonzero(s.tokens[at] % U(parts) == U(part))
+            of = np.repeat(np.arange(len(one)), size)[own]
+            at, pos = at[own], pos[own]
             low, high, wide = (x[one] for x in s.bitmaps())
-            info = (np.repeat(np.minimum(n, TOP), size).astype(U) << U(48)) | (np.minimum(pos, TOP).astype(U) << U(32)) | np.repeat(low, size)
-            cols = [pa.array(x.view(np.int64)) for x in (s.tokens[at], np.repeat(s.sig[one], size), info, np.repeat(high, size))]
-            yield pa.RecordBatch.from_arrays([*cols, _packed(np.repeat(wide, size, axis=0), np.repeat(n >= WIDE, size))], ["tok", "sig", "info", "bits", "wide"])
+            info = (np.minimum(n, TOP)[of].astype(U) << U(48)) | (np.minimum(pos, TOP).astype(U) << U(32)) | low[of]
+            cols = [pa.array(x.view(np.int64)) for x in (s.tokens[at], s.sig[one][of], info, high[of])]
+            yield pa.RecordBatch.from_arrays([*cols, _packed(wide[of], n[of] >= WIDE)], ["tok", "sig", "info", "bits", "wide"])
 
     return docs.select("text").mapInArrow(run, "tok long, sig long, info long, bits long, wide binary")
 
@@ -409,7 +413,7 @@ def removed_lines(keyed: DataFrame, store: Store, least: int = LEAST, reach: int
     """keyed(doc_id, mark, text) -> (doc_id, mark, lines): the numbers of the lines that go, from 0. What it needs on the way stands in store."""
     read = keyed.select("doc_id", "mark", "text")
     table = keyed.sparkSession.sparkContext.broadcast(_counts(read))  # 256 KB whatever the corpus
-    met = store.keep(_candidates(_prefixes(read, table, least), reach, best))
+    met = store.together(_candidates(_prefixes(read, table, least, k, PARTS), reach, best) for k in range(PARTS))
     # ends of pairs, and the rows that later rounds may pair
     ends = met.select("a").unionByName(met.where("b is not null").select(F.col("b").alias("a"))).distinct()
     lines = store.keep(_lines(read, least, Bloom.of(ends, "a")))

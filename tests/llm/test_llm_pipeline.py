@@ -113,3 +113,16 @@ def test_near_dedup_follows_simhash_links_too(spark):
     assert len(set(prints.values())) < len(rows) and all(5 * len(a & b) < 4 * len(a | b) for i, a in enumerate(sets) for b in sets[:i])
     _, stage = next(s for s in corpus_pipeline.STAGES if s[0] == "SimHash near-dedup")
     assert sorted(x.doc_id for x in stage(spark, df, DIR).collect()) == sorted(set(prints.values()))
+
+
+def test_words_are_dealt_in_parts_and_none_is_lost(spark):
+    import numpy as np
+
+    from provenix.llm import line_dedup
+
+    docs = spark.createDataFrame([(k, "\n".join(" ".join(f"w{(k * 7 + j * i) % 41}" for i in range(1, 9 + j)) for j in range(1, 6))) for k in range(40)], "doc_id long, text string").coalesce(1)
+    table = spark.sparkContext.broadcast(np.zeros(line_dedup.TABLE, np.uint8))
+    rows = lambda *part: [(r.tok, r.sig, r.info, r.bits) for r in line_dedup._prefixes(docs, table, 1, *part).collect()]
+    parts = [rows(k, line_dedup.PARTS) for k in range(line_dedup.PARTS)]
+    assert line_dedup.PARTS > 1 and all(parts) and sorted(sum(parts, [])) == sorted(rows())
+    assert not set.intersection(*({r[0] for r in p} for p in parts))
